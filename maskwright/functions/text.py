@@ -64,6 +64,11 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
 
 
+def at_least(text: Column, units: int) -> Column:
+    """Length in UTF-16 units reaches ``units``; the encoding is only tried on short texts."""
+    return (F.length(text) >= units) | (utf16_length(text) >= units)
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL, ``''`` when there is none."""
     return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))

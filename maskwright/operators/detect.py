@@ -15,7 +15,7 @@ from maskwright.rules import BUILT_IN, DIGIT, Rule, active_rules, score
 _NO_STRINGS = "array<string>"
 
 
-def _guard(text: Column, rule: Rule, has_digit: Column | None) -> Column | None:
+def guard(text: Column, rule: Rule, has_digit: Column | None) -> Column | None:
     """Cheap necessary condition for a match, or nothing if the rule names none."""
     if rule.needs == DIGIT:
         return has_digit
@@ -26,12 +26,12 @@ def _guard(text: Column, rule: Rule, has_digit: Column | None) -> Column | None:
     return condition
 
 
-def matches(text: Column, rule: Rule, guard: Column | None = None) -> Column:
+def matches(text: Column, rule: Rule, when: Column | None = None) -> Column:
     """All whole matches of a rule, left to right, without overlaps."""
     found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    if guard is None:
+    if when is None:
         return F.coalesce(found, F.array().cast(_NO_STRINGS))
-    return F.when(guard, found).otherwise(F.array().cast(_NO_STRINGS))
+    return F.when(when, found).otherwise(F.array().cast(_NO_STRINGS))
 
 
 def place(text: Column, values: Column, regex: str) -> Column:
@@ -62,10 +62,10 @@ def place(text: Column, values: Column, regex: str) -> Column:
     return let(values, lambda vs: F.when(F.size(vs) == 0, none).otherwise(located(vs)))
 
 
-def rule_spans(text: Column, rule: Rule, order: int, guard: Column | None) -> Column:
+def rule_spans(text: Column, rule: Rule, order: int, when: Column | None) -> Column:
     """Matches of one rule as sortable spans ``(start, ord, end, value, ...)``."""
     return F.transform(
-        place(text, matches(text, rule, guard), rule.regex),
+        place(text, matches(text, rule, when), rule.regex),
         lambda m: F.struct(
             m["start"].alias("start"),
             F.lit(order).alias("ord"),
@@ -107,7 +107,7 @@ def detections(text: Column, rules: Sequence[Rule], occurrences: str = "first")
     def collect(has_digit: Column) -> Column:
         parts = []
         for same_type in by_type.values():
-            found = [rule_spans(text, r, o, _guard(text, r, has_digit)) for o, r in same_type]
+            found = [rule_spans(text, r, o, guard(text, r, has_digit)) for o, r in same_type]
             # Rules of one type share their "seen" set, so they are deduplicated together.
             spans = found[0] if len(found) == 1 else F.concat(*found)
             if occurrences == "first":

@@ -12,79 +12,86 @@ from maskwright.functions.arrays import first_per_key, let, sums_before
 from maskwright.policy import Policy
 from maskwright.rules import BUILT_IN, DIGIT, Rule, active_rules, score
 
-_NO_STRINGS = "array<string>"
+HAS_DIGIT = "[0-9]"
 
 
-def guard(text: Column, rule: Rule, has_digit: Column | None) -> Column | None:
-    """Cheap necessary condition for a match, or nothing if the rule names none."""
+def _guard(text: Column, rule: Rule, has_digit: Column) -> Column:
+    """Cheap necessary condition for a match."""
     if rule.needs == DIGIT:
         return has_digit
-    condition = None
-    for part in rule.needs:
-        found = F.contains(text, F.lit(part))
-        condition = found if condition is None else condition | found
-    return condition
+    if not rule.needs:
+        return text.isNotNull()
+    if len(rule.needs) == 1:
+        return F.contains(text, F.lit(rule.needs[0]))
+    return F.rlike(text, F.lit("|".join(rule.needs)))
 
 
-def matches(text: Column, rule: Rule, when: Column | None = None) -> Column:
-    """All whole matches of a rule, left to right, without overlaps."""
-    found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    if when is None:
-        return F.coalesce(found, F.array().cast(_NO_STRINGS))
-    return F.when(when, found).otherwise(F.array().cast(_NO_STRINGS))
+def rule_hits(text: Column, rules: Sequence[Rule], may_match: Column) -> Column:
+    """Per rule with at least one match: its fields, all whole matches, and the text around them.
 
-
-def place(text: Column, values: Column, regex: str) -> Column:
-    """Add the start of every match: ``array<struct<value, start>>``.
-
-    Splitting by the same pattern yields the text between matches, so a start
-    is the length of everything in front of it.
+    Patterns stay literals, so each is compiled once per task.  Splitting by
+    the same pattern, which gives the text around the matches, is only done
+    where there are any.
     """
+    none = F.array().cast("array<string>")
 
-    def located(vs: Column) -> Column:
+    def hit(order: int, rule: Rule) -> Column:
+        found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
         return let(
-            F.split(text, regex, -1),
-            lambda gaps: let(
-                sums_before(
-                    F.transform(vs, lambda v, i: F.char_length(F.get(gaps, i)) + F.char_length(v))
-                ),
-                lambda before: F.transform(
-                    vs,
-                    lambda v, i: F.struct(
-                        v.alias("value"),
-                        (F.get(before, i) + F.char_length(F.get(gaps, i))).alias("start"),
-                    ),
-                ),
+            F.when(_guard(text, rule, may_match), found).otherwise(none),
+            lambda m: F.struct(
+                F.lit(order).alias("ord"),
+                F.lit(rule.type).alias("type"),
+                F.lit(score(rule.confidence)).alias("confidence"),
+                F.lit(rule.reason).alias("reason"),
+                m.alias("values"),
+                F.when(F.size(m) > 0, F.split(text, rule.regex, -1)).alias("gaps"),
             ),
         )
 
-    none = F.array().cast("array<struct<value:string,start:int>>")
-    return let(values, lambda vs: F.when(F.size(vs) == 0, none).otherwise(located(vs)))
+    hits = F.array(*[hit(i, r) for i, r in enumerate(rules)])
+    return F.filter(hits, lambda h: F.size(h["values"]) > 0)
 
 
-def rule_spans(text: Column, rule: Rule, order: int, when: Column | None) -> Column:
-    """Matches of one rule as sortable spans ``(start, ord, end, value, ...)``."""
-    return F.transform(
-        place(text, matches(text, rule, when), rule.regex),
-        lambda m: F.struct(
-            m["start"].alias("start"),
-            F.lit(order).alias("ord"),
-            (m["start"] + F.char_length(m["value"])).alias("end"),
-            F.lit(rule.type).alias("type"),
-            m["value"].alias("value"),
-            F.lit(score(rule.confidence)).alias("confidence"),
-        ),
+def starts(values: Column, gaps: Column) -> Column:
+    """Where each match starts: the length of everything in front of it."""
+    steps = F.transform(values, lambda v, i: F.char_length(F.get(gaps, i)) + F.char_length(v))
+    return let(
+        sums_before(steps),
+        lambda before: F.transform(before, lambda b, i: b + F.char_length(F.get(gaps, i))),
     )
 
 
+def spans_of(hits: Column) -> Column:
+    """Hits of rules as sortable spans, in rule order and then text order."""
+
+    def of_rule(h: Column) -> Column:
+        return let(
+            starts(h["values"], h["gaps"]),
+            lambda ss: F.transform(
+                h["values"],
+                lambda v, i: F.struct(
+                    F.get(ss, i).alias("start"),
+                    h["ord"].alias("ord"),
+                    h["type"].alias("type"),
+                    v.alias("value"),
+                    h["confidence"].alias("confidence"),
+                    h["reason"].alias("reason"),
+                ),
+            ),
+        )
+
+    return F.flatten(F.transform(hits, of_rule))
+
+
 def _public(spans: Column) -> Column:
     return F.transform(
-        spans,
+        F.array_sort(spans),
         lambda s: F.struct(
             s["type"].alias("type"),
             s["value"].alias("value"),
             s["start"].alias("start"),
-            s["end"].alias("end"),
+            (s["start"] + F.char_length(s["value"])).alias("end"),
             s["confidence"].alias("confidence"),
             F.lit("regex").alias("source"),
         ),
@@ -94,33 +101,21 @@ def _public(spans: Column) -> Column:
 def detections(text: Column, rules: Sequence[Rule], occurrences: str = "first") -> Column:
     """Detections of ``rules`` in ``text``, sorted by start, ties in rule order.
 
-    ``occurrences="first"`` keeps the first hit of every (type, value);
-    ``"all"`` keeps every hit.
+    ``occurrences="first"`` keeps the first hit of every (type, value), in rule
+    order and then text order; ``"all"`` keeps every hit.
     """
+    none = F.array().cast(schemas.DETECTIONS)
     if not rules:
-        return F.when(text.isNotNull(), F.array().cast(schemas.DETECTIONS))
-
-    by_type: dict[str, list[tuple[int, Rule]]] = {}
-    for order, rule in enumerate(rules):
-        by_type.setdefault(rule.type, []).append((order, rule))
-
-    def collect(has_digit: Column) -> Column:
-        parts = []
-        for same_type in by_type.values():
-            found = [rule_spans(text, r, o, guard(text, r, has_digit)) for o, r in same_type]
-            # Rules of one type share their "seen" set, so they are deduplicated together.
-            spans = found[0] if len(found) == 1 else F.concat(*found)
-            if occurrences == "first":
-                spans = let(spans, lambda xs: first_per_key(xs, lambda x: x["value"]))
-            parts.append(spans)
-        return let(
-            parts[0] if len(parts) == 1 else F.concat(*parts),
-            lambda xs: F.when(F.size(xs) == 0, F.array().cast(schemas.DETECTIONS)).otherwise(
-                _public(F.array_sort(xs))
-            ),
-        )
+        return F.when(text.isNotNull(), none)
+
+    def place(hits: Column) -> Column:
+        spans = spans_of(hits)
+        if occurrences == "first":
+            spans = let(spans, lambda xs: first_per_key(xs, lambda x: F.struct(x["type"], x["value"])))
+        return F.when(F.size(hits) == 0, none).otherwise(_public(spans))
 
-    return F.when(text.isNotNull(), let(F.rlike(text, F.lit("[0-9]")), collect))
+    found = let(F.rlike(text, F.lit(HAS_DIGIT)), lambda has_digit: rule_hits(text, rules, has_digit))
+    return F.when(text.isNotNull(), let(found, place))
 
 
 def detect(

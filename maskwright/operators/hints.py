@@ -9,29 +9,26 @@ from pyspark.sql import functions as F
 
 from maskwright import schemas
 from maskwright.functions.arrays import let
-from maskwright.operators.detect import matches, place
+from maskwright.operators.detect import rule_hits, spans_of
 from maskwright.policy import Policy
 from maskwright.rules import HINT_OPENING, HINTS, Rule
 
 
 def hints(text: Column, rules: Sequence[Rule] = HINTS) -> Column:
     """All hits, not deduplicated, ordered by rule and then by position."""
-
-    def of_rule(rule: Rule, may_hint: Column) -> Column:
-        return F.transform(
-            place(text, matches(text, rule, may_hint), rule.regex),
-            lambda m: F.struct(
-                F.lit(rule.type).alias("type"),
-                m["value"].alias("match"),
-                F.lit(rule.reason).alias("reason"),
-                m["start"].alias("index"),
-            ),
-        )
+    none = F.array().cast(schemas.HINTS)
 
     def collect(may_hint: Column) -> Column:
-        parts = [of_rule(r, may_hint) for r in rules]
-        found = parts[0] if len(parts) == 1 else F.concat(*parts)
-        return F.when(may_hint, found.cast(schemas.HINTS)).otherwise(F.array().cast(schemas.HINTS))
+        found = F.transform(
+            spans_of(rule_hits(text, rules, may_hint)),
+            lambda s: F.struct(
+                s["type"].alias("type"),
+                s["value"].alias("match"),
+                s["reason"].alias("reason"),
+                s["start"].alias("index"),
+            ),
+        ).cast(schemas.HINTS)
+        return F.when(may_hint, found).otherwise(none)
 
     return F.when(text.isNotNull(), let(F.rlike(text, F.lit(HINT_OPENING)), collect))
 

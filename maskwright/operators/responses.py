@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from maskwright import schemas
 from maskwright.functions.arrays import let
 from maskwright.functions.text import at_least, strip
-from maskwright.operators.detect import guard, matches
+from maskwright.operators.detect import HAS_DIGIT, rule_hits
 from maskwright.operators.gates import MIN_RESPONSE
 from maskwright.operators.ordered import next_within, previous_value
 from maskwright.operators.vault import candidate_rows
-from maskwright.rules import BUILT_IN, RESPONSE_TYPES, Rule
+from maskwright.rules import BUILT_IN, RESPONSE_TYPES
 
 DEBOUNCE_MS = 1500
 
@@ -50,23 +50,20 @@ def debounce_responses(updates: DataFrame, key: str = "conv_id", ts: str = "ts",
 
 def pii_warnings(text: Column) -> Column:
     """Every match of the five response rules, in rule order, without deduplication."""
+    rules = [r for r in BUILT_IN if r.type in RESPONSE_TYPES]
 
-    def of_rule(rule: Rule, has_digit: Column) -> Column:
+    def of_rule(hit: Column) -> Column:
         return F.transform(
-            matches(text, rule, guard(text, rule, has_digit)),
+            hit["values"],
             lambda v: F.struct(
                 F.lit("PII_IN_RESPONSE").alias("type"),
                 v.alias("value"),
-                F.lit(f"AI response contains what looks like a {rule.type}").alias("reason"),
+                F.concat(F.lit("AI response contains what looks like a "), hit["type"]).alias("reason"),
             ),
         )
 
-    def collect(has_digit: Column) -> Column:
-        return F.concat(
-            *[of_rule(r, has_digit) for r in BUILT_IN if r.type in RESPONSE_TYPES]
-        ).cast(schemas.WARNINGS)
-
-    return let(F.rlike(text, F.lit("[0-9]")), collect)
+    hits = let(F.rlike(text, F.lit(HAS_DIGIT)), lambda has_digit: rule_hits(text, rules, has_digit))
+    return F.when(text.isNotNull(), F.flatten(F.transform(hits, of_rule))).cast(schemas.WARNINGS)
 
 
 def echo_warning(token: Column) -> Column:

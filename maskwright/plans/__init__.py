@@ -1,0 +1 @@
+"""The prompt pipeline and the catalog of named queries."""

@@ -46,3 +46,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.isStreaming or cores == 1 or input_bytes(df) >= cores * split:
         return df
     return df.repartition(cores, *keys)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings the jobs rely on: UTC, and re-planning at run time with skewed joins split."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # One machine: the default is meant for clusters.
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    return spark

@@ -158,7 +158,7 @@ def dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(_DICTIONARY, items=spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
-def _entities_sql(source: str, keys: Sequence[str]) -> str:
+def entities_sql(source: str, keys: Sequence[str]) -> str:
     """CTE ``tagged`` for the balanced policy."""
     k = oracle.listed(keys)
     return f"""names AS (SELECT name AS value, array_to_string(regexp_extract_all(name, '[\\p{{L}}\\p{{N}}_]+'), ' ') AS "key",
@@ -178,7 +178,7 @@ def _entity_tag(spark: SparkSession, sf: str) -> DataFrame:
 register(
     "entity_tag",
     _entity_tag,
-    f"WITH {oracle.CORPUS}, {_entities_sql('corpus', oracle.CORPUS_KEYS)} "
+    f"WITH {oracle.CORPUS}, {entities_sql('corpus', oracle.CORPUS_KEYS)} "
     "SELECT src, id, sub, type, value, start, CAST(start + length(value) AS INTEGER) AS \"end\", "
     "CAST(0.82 AS DOUBLE) AS confidence, 'ner' AS source FROM tagged",
 )
@@ -194,7 +194,7 @@ def _merge_entities(spark: SparkSession, sf: str) -> DataFrame:
 register(
     "merge_entities",
     _merge_entities,
-    f"WITH {oracle.CORPUS}, {oracle.detections('corpus', oracle.CORPUS_KEYS)}, {_entities_sql('corpus', oracle.CORPUS_KEYS)}, "
+    f"WITH {oracle.CORPUS}, {oracle.detections('corpus', oracle.CORPUS_KEYS)}, {entities_sql('corpus', oracle.CORPUS_KEYS)}, "
     "merged AS (SELECT src, id, sub, type, value, start, source, 0 AS part, seq AS pos FROM dets UNION ALL "
     "SELECT src, id, sub, type, value, start, 'ner', 1, row_number() OVER (PARTITION BY src, id, sub ORDER BY start, type, value) "
     "FROM tagged t WHERE NOT EXISTS (SELECT 1 FROM dets d WHERE d.src = t.src AND d.id = t.id AND d.sub = t.sub "

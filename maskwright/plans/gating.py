@@ -11,7 +11,7 @@ from maskwright.operators.gates import (
 )
 from maskwright.plans import oracle
 from maskwright.plans.catalog import LINES_SQL, lines, pages, register
-from maskwright.plans.detection import dictionary
+from maskwright.plans.detection import dictionary, entities_sql
 from maskwright.plans.sanitize import sanitize
 from maskwright.plans.seed import seeded_turns
 from maskwright.policy import Policy
@@ -173,4 +173,23 @@ SANITIZED_REF = scanned_sql(oracle.detections, "n_spans")
 SANITIZED_SAFE = scanned_sql(oracle.covers, "n_values")
 register("sanitize_ref", _sanitize("reference", False), f"WITH {SANITIZED_REF} {_RESULT}")
 register("sanitize", _sanitize("safe", False), f"WITH {SANITIZED_SAFE} {_RESULT}")
-register("sanitize_with_entities", _sanitize("safe", True))
+
+
+def _covers_with_entities(source: str, keys) -> str:
+    k = oracle.listed(keys)
+    on = " AND ".join(f"t.{x} = s.{x}" for x in keys)
+    return (
+        f"{entities_sql(source, keys)}, cut AS (SELECT {oracle.listed(keys, 't.')}, t.type, t.value, string_split(s.text, t.value) AS g "
+        f"FROM tagged t JOIN {source} s ON {on}), "
+        f"places AS (SELECT *, unnest(range(1, len(g))) AS i FROM cut), "
+        f"spots AS (SELECT {k}, type, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + (i - 1) * length(value) AS INTEGER) AS start, "
+        f"CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + i * length(value) AS INTEGER) AS \"end\" FROM places), "
+        f"{oracle.covers(source, keys, also='spots')}"
+    )
+
+
+register(
+    "sanitize_with_entities",
+    _sanitize("safe", True),
+    f"WITH {scanned_sql(_covers_with_entities, 'n_values')} {_RESULT}",
+)

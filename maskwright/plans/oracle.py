@@ -57,12 +57,17 @@ def detections(source: str, keys: Sequence[str], rules: Sequence[Rule] = BUILT_I
       WHERE nth = 1)"""
 
 
-def covers(source: str, keys: Sequence[str], rules: Sequence[Rule] = BUILT_IN) -> str:
-    """CTEs ending in ``dets``: all hits, overlapping ones merged."""
+def covers(source: str, keys: Sequence[str], rules: Sequence[Rule] = BUILT_IN, also: str = "") -> str:
+    """CTEs ending in ``dets``: all hits, overlapping ones merged.
+
+    ``also`` names a CTE of further hits; they come after the rules.
+    """
     k = listed(keys)
+    more = f' UNION ALL SELECT {k}, 1000 AS ord, type, start, "end" FROM {also}' if also else ""
     return f"""{matches(source, keys, rules)},
+    all_hits AS (SELECT {k}, ord, type, start, "end" FROM matches{more}),
     reached AS (SELECT *, max("end") OVER (PARTITION BY {k} ORDER BY start, "end" DESC, ord
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM matches),
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM all_hits),
     grouped AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END)
         OVER (PARTITION BY {k} ORDER BY start, "end" DESC, ord ROWS UNBOUNDED PRECEDING) AS grp FROM reached),
     merged AS (SELECT {k}, grp, first(type ORDER BY start, "end" DESC, ord) AS type,

@@ -124,16 +124,19 @@ register(
 
 
 def _skip_unchanged(spark: SparkSession, sf: str) -> DataFrame:
-    """The last 30 characters of every answer; seeded endings repeat within a conversation."""
-    answers = read_responses(stream(spark, sf)).select("conv_id", "turn", "ts", F.right("text", F.lit(30)).alias("text"))
+    """Answers cut so that every second one repeats the one before."""
+    answers = read_responses(stream(spark, sf)).select(
+        "conv_id", "turn", "ts", F.concat(F.lit("Noted in conversation "), F.floor((F.col("turn") + 1) / 5)).alias("text")
+    )
     return written(spark, flow.skip_unchanged(answers), "changed").select("conv_id", "turn", "text")
 
 
 register(
     "stream_skip_unchanged",
     _skip_unchanged,
-    f"WITH {oracle.SEEDED}, cut AS (SELECT conv_id, turn, trim(right(text, 30)) AS text FROM seeded WHERE role = 'assistant'), "
-    "lagged AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM cut WHERE length(text) >= 20) "
+    f"WITH {oracle.SEEDED}, cut AS (SELECT conv_id, turn, 'Noted in conversation ' || CAST((turn + 1) // 5 AS VARCHAR) AS text "
+    "FROM seeded WHERE role = 'assistant'), "
+    "lagged AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM cut) "
     "SELECT conv_id, turn, text FROM lagged WHERE before IS NULL OR before <> text",
 )
 

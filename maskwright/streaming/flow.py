@@ -12,10 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskwright.functions.text import at_least, strip
 from maskwright.operators.audit import audit_entries
@@ -54,8 +54,8 @@ def sanitize_stream(turns: DataFrame, **options) -> DataFrame:
     return sanitize(prompts_of(turns), **options)
 
 
-def _part(conv_and_token: str = "token"):
-    return F.pmod(F.xxhash64(conv_and_token), F.lit(PARTS)).cast("int")
+def _part() -> Column:
+    return F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int")
 
 
 def token_events(sanitized: DataFrame, responses: DataFrame, closed: DataFrame | None = None) -> DataFrame:
@@ -179,9 +179,11 @@ def debounce_stream(updates: DataFrame, gap_ms: int = DEBOUNCE_MS) -> DataFrame:
     """The text visible once an answer has not changed for ``gap_ms``: one row per quiet period.
 
     ``updates`` has a watermark on ``ts``; a period is final once it has passed.
+    Session windows also merge rows exactly one gap apart, which here are the
+    end of a period, so the gap is a microsecond shorter.
     """
     return (
-        updates.groupBy("conv_id", F.session_window("ts", f"{gap_ms} milliseconds").alias("w"))
+        updates.groupBy("conv_id", F.session_window("ts", f"{gap_ms * 1000 - 1} microseconds").alias("w"))
         .agg(F.max("ts").alias("ts"), F.max_by("text", "ts").alias("text"))
         .select("conv_id", "ts", "text")
     )

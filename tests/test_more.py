@@ -50,7 +50,7 @@ def test_hint_fields_and_order(texts):
 
 
 def test_white_space_of_the_browser(texts):
-    nbsp = " "
+    nbsp = "\u00a0"
     assert semantic_hits(texts(f"my{nbsp}boss")).first().semantic_hits[0].type == "WORK_RELATION"
     row = texts(f"{nbsp} \t x y{nbsp}\n").select(strip(F.col("text")).alias("s")).first()
     assert row.s == "x y"

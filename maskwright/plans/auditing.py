@@ -20,8 +20,8 @@ from maskwright.plans.seed import SEEDED_TYPES
 from maskwright.plans.sessions import sanitized
 from maskwright.rules import BUILT_IN
 
-# "Now" of the retention query: 40 days after the first seeded turn.
-NOW_MS = 1704067200000 + 40 * 86_400_000
+# "Now" of the retention query: 30 days and 4 hours after the first seeded turn.
+NOW_MS = 1704067200000 + 30 * 86_400_000 + 4 * 3_600_000
 
 
 def audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,8 +80,8 @@ register(
 )
 register(
     "retention",
-    lambda spark, sf: retained(audit(spark, sf), NOW_MS, days=38).select("id", F.unix_millis("ts").alias("ts_ms")),
-    f"WITH {AUDIT} SELECT id, epoch_ms(ts) AS ts_ms FROM audit WHERE epoch_ms(ts) >= {NOW_MS - 38 * 86_400_000}",
+    lambda spark, sf: retained(audit(spark, sf), NOW_MS).select("id", F.unix_millis("ts").alias("ts_ms")),
+    f"WITH {AUDIT} SELECT id, epoch_ms(ts) AS ts_ms FROM audit WHERE epoch_ms(ts) >= {NOW_MS - 30 * 86_400_000}",
 )
 STATS = "SELECT count(*) AS prompts_processed, CAST(coalesce(sum(pii_count), 0) AS BIGINT) AS pii_caught FROM sanitized WHERE scanned"
 register("session_stats", lambda spark, sf: session_stats(sanitized(spark, sf)), f"WITH {SANITIZED_REF} {STATS}")

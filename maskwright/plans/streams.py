@@ -73,10 +73,7 @@ _HELD = (
 
 
 def _held_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    turns = stream(spark, sf)
-    events = flow.token_events(
-        flow.sanitize_stream(turns, allowlist=allowlist(spark), mode="reference"), read_responses(turns)
-    )
+    events = flow.token_events(stream(spark, sf), allowlist=allowlist(spark), mode="reference")
     return written(spark, flow.token_state(events), "tokens").select("conv_id", "turn", "token", "value")
 
 
@@ -91,9 +88,7 @@ def _closing(spark: SparkSession, sf: str) -> DataFrame:
     closed = turns.where(F.col("turn") == 2).select(
         "conv_id", (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts")
     )
-    events = flow.token_events(
-        flow.sanitize_stream(turns, allowlist=allowlist(spark), mode="reference"), read_responses(turns), closed
-    )
+    events = flow.token_events(turns, closed, allowlist=allowlist(spark), mode="reference")
     return written(spark, flow.token_state(events), "closing").select("conv_id", "turn", "token", "value")
 
 

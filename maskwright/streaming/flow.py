@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from maskwright.functions.text import at_least, strip
+from maskwright.functions.text import at_least, is_blank, strip
 from maskwright.operators.audit import audit_entries
 from maskwright.operators.gates import MIN_RESPONSE
-from maskwright.operators.redact import explode_tokens
 from maskwright.operators.responses import DEBOUNCE_MS, echo_warning, pii_warnings
 from maskwright.operators.vault import token_candidates
 from maskwright.plans.sanitize import sanitize
@@ -32,11 +31,12 @@ IDLE_MS = 6 * 3600 * 1000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files as they arrive; rows later than the watermark allows are dropped by stateful steps."""
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 256) -> DataFrame:
+    """Parquet files as they arrive, a bounded number per micro-batch.
+
+    Rows later than the watermark allows are dropped by stateful steps.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path).withWatermark("ts", LATENESS)
 
 
@@ -54,38 +54,46 @@ def sanitize_stream(turns: DataFrame, **options) -> DataFrame:
     return sanitize(prompts_of(turns), **options)
 
 
-def _part() -> Column:
-    return F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int")
-
+def token_events(turns: DataFrame, closed: DataFrame | None = None, **options) -> DataFrame:
+    """What happens to tokens: written by prompts, asked for by answers, dropped on close.
 
-def token_events(sanitized: DataFrame, responses: DataFrame, closed: DataFrame | None = None) -> DataFrame:
-    """What happens to tokens: written by prompts, asked for by answers, dropped on close."""
-    columns = ("conv_id", "part", "ts", "turn", "seq", "kind", "token", "value")
-    writes = (
-        explode_tokens(sanitized, ["conv_id", "turn", "ts"])
-        .withColumns({"kind": F.lit("write"), "part": _part()})
-        .select(*columns)
+    Prompts and answers take one projection over one read of the stream: each
+    turn becomes the array of its events.
+    """
+    text = F.col("text")
+    is_prompt = (F.col("role") == "user") & ~is_blank(text)
+    split = turns.withColumns(
+        {"text": F.when(is_prompt, text), "answer": F.when(F.col("role") == "assistant", text)}
     )
-    asked = responses.select(
-        "conv_id", "turn", "ts", F.explode_outer(token_candidates(F.col("text"))).alias("token")
-    ).where(F.col("token").isNotNull())
-    reads = asked.withColumns(
-        {"kind": F.lit("read"), "part": _part(), "seq": F.lit(0), "value": F.lit(None).cast("string")}
-    ).select(*columns)
-    events = writes.unionByName(reads)
-    if closed is not None:
-        ends = closed.select(
-            "conv_id",
-            F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"),
-            "ts",
-            F.lit(None).cast("long").alias("turn"),
-            F.lit(0).alias("seq"),
-            F.lit("close").alias("kind"),
-            F.lit(None).cast("string").alias("token"),
-            F.lit(None).cast("string").alias("value"),
+
+    def event(kind: str, token: Column, value: Column, seq: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), token.alias("token"), value.alias("value"), seq.alias("seq")
         )
-        events = events.unionByName(ends)
-    return events
+
+    writes = F.transform("tokens", lambda t: event("write", t["token"], t["value"], t["seq"]))
+    reads = F.transform(
+        F.coalesce(token_candidates(F.col("answer")), F.array().cast("array<string>")),
+        lambda t: event("read", t, F.lit(None).cast("string"), F.lit(0)),
+    )
+    exploded = sanitize(split, **options).select(
+        "conv_id", "ts", "turn", F.explode_outer(F.concat(writes, reads)).alias("e")
+    )
+    part = F.pmod(F.xxhash64("e.token"), F.lit(PARTS)).cast("int")
+    events = exploded.where(F.col("e").isNotNull()).select("conv_id", part.alias("part"), "ts", "turn", "e.*")
+    if closed is None:
+        return events
+    ends = closed.select(
+        "conv_id",
+        F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"),
+        "ts",
+        F.lit(None).cast("long").alias("turn"),
+        F.lit("close").alias("kind"),
+        F.lit(None).cast("string").alias("token"),
+        F.lit(None).cast("string").alias("value"),
+        F.lit(0).alias("seq"),
+    )
+    return events.unionByName(ends)
 
 
 def token_state(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
@@ -137,7 +145,7 @@ def scan_response_stream(
     Tokens held by the state are matched against the pieces in brackets of an answer.
     """
     responses = read_responses(turns)
-    echoes = token_state(token_events(sanitize_stream(turns, **options), responses, closed), idle_ms)
+    echoes = token_state(token_events(turns, closed, **options), idle_ms)
     echo_rows = echoes.select("conv_id", "turn", echo_warning(F.col("token")).alias("w"))
     found = responses.select("conv_id", "turn", F.explode_outer(pii_warnings(F.col("text"))).alias("w")).where(
         F.col("w").isNotNull()

@@ -50,7 +50,7 @@ def test_stream_equals_batch(spark, path):
 
 def test_state_carries_over_batches(spark, path):
     stream = flow.read_stream(spark, path, schemas.TURNS, files_per_batch=1)
-    events = flow.token_events(flow.sanitize_stream(stream, mode="reference"), read_responses(stream))
+    events = flow.token_events(stream, mode="reference")
     got = output(spark, flow.token_state(events), "held")
     assert {(r.conv_id, r.turn): (r.token, r.value) for r in got.collect()} == {
         (1, 1): ("[EMAIL_01]", "a@b.com"), (1, 3): ("[EMAIL_01]", "c@d.com"), (1, 5): ("[EMAIL_01]", "c@d.com"),
@@ -74,7 +74,7 @@ def test_close_and_idle_sessions_forget(spark):
     )
     stream = flow.read_stream(spark, files(spark, "idle", *batches), schemas.TURNS, files_per_batch=1)
     closed = stream.where("conv_id = 2 AND turn = 1").select("conv_id", (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"))
-    events = flow.token_events(flow.sanitize_stream(stream, mode="reference"), read_responses(stream), closed)
+    events = flow.token_events(stream, closed, mode="reference")
     got = output(spark, flow.token_state(events, idle_ms=150_000), "idle-out")
     # 2 was closed after its first answer; 3 was silent for longer than 150 s; 1 was not.
     assert sorted((r.conv_id, r.turn) for r in got.collect()) == [(1, 1), (1, 2), (2, 1)]

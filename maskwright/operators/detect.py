@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from maskwright import schemas
 from maskwright.functions.arrays import first_per_key, let, sums_before
+from maskwright.functions.reuse import built_once
 from maskwright.policy import Policy
 from maskwright.rules import BUILT_IN, DIGIT, Rule, active_rules, score
 
@@ -119,6 +120,15 @@ def detections(text: Column, rules: Sequence[Rule], occurrences: str = "first")
     return F.when(text.isNotNull(), let(found, place))
 
 
+def column_detections(df: DataFrame, text_col: str, rules: tuple[Rule, ...], occurrences: str) -> Column:
+    """The detections of a column of ``df``."""
+    return built_once(df, _of_column, text_col, rules, occurrences)
+
+
+def _of_column(text_col: str, rules: tuple[Rule, ...], occurrences: str) -> Column:
+    return detections(F.col(text_col), rules, occurrences)
+
+
 def detect(
     df: DataFrame,
     text_col: str = "text",
@@ -128,14 +138,13 @@ def detect(
     out: str = "detections",
 ) -> DataFrame:
     """Add the detections of every rule the policy leaves on."""
-    rules = active_rules(policy, custom)
-    return df.withColumn(out, detections(F.col(text_col), rules, occurrences))
+    return df.withColumn(out, column_detections(df, text_col, active_rules(policy, custom), occurrences))
 
 
 def detect_type(df: DataFrame, kind: str, text_col: str = "text", occurrences: str = "first") -> DataFrame:
     """Add the detections of the built-in rules of one type."""
-    rules = [r for r in BUILT_IN if r.type == kind]
-    return df.withColumn("detections", detections(F.col(text_col), rules, occurrences))
+    rules = tuple(r for r in BUILT_IN if r.type == kind)
+    return df.withColumn("detections", column_detections(df, text_col, rules, occurrences))
 
 
 def explode_detections(df: DataFrame, keys: Sequence[str], column: str = "detections") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright import schemas
 from maskwright.functions.arrays import let
+from maskwright.functions.reuse import built_once
 from maskwright.operators.detect import rule_hits, spans_of
 from maskwright.policy import Policy
 from maskwright.rules import HINT_OPENING, HINTS, Rule
@@ -33,15 +34,24 @@ def hints(text: Column, rules: Sequence[Rule] = HINTS) -> Column:
     return F.when(text.isNotNull(), let(F.rlike(text, F.lit(HINT_OPENING)), collect))
 
 
+def column_hints(df: DataFrame, text_col: str, rules: tuple[Rule, ...] = HINTS) -> Column:
+    """The indirect identifiers of a column of ``df``."""
+    return built_once(df, _of_column, text_col, rules)
+
+
+def _of_column(text_col: str, rules: tuple[Rule, ...]) -> Column:
+    return hints(F.col(text_col), rules)
+
+
 def semantic_hits(
     df: DataFrame, text_col: str = "text", policy: Policy = Policy(), out: str = "semantic_hits"
 ) -> DataFrame:
     """Add the indirect identifiers; they are advisory and never redacted."""
-    found = hints(F.col(text_col)) if policy.semantic_scrubbing else F.array().cast(schemas.HINTS)
+    found = column_hints(df, text_col) if policy.semantic_scrubbing else F.array().cast(schemas.HINTS)
     return df.withColumn(out, found)
 
 
 def hint_type(df: DataFrame, kind: str, text_col: str = "text") -> DataFrame:
     """Add the hits of one kind of indirect identifier."""
-    rules = [r for r in HINTS if r.type == kind]
-    return df.withColumn("semantic_hits", hints(F.col(text_col), rules))
+    rules = tuple(r for r in HINTS if r.type == kind)
+    return df.withColumn("semantic_hits", column_hints(df, text_col, rules))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright import schemas
 from maskwright.functions.arrays import first_per_key, heads, let, max_before, number_per_type
+from maskwright.functions.reuse import built_once
 from maskwright.functions.text import cutter
 
 MODES = ("reference", "safe")
@@ -122,12 +123,8 @@ def _tokens(spans: Column, labels: Column) -> Column:
     ).cast(schemas.TOKENS)
 
 
-def rewrite(
-    df: DataFrame, text_col: str, detections_col: str, mode: str, label: Callable[[Column], Column]
-) -> DataFrame:
-    """Add ``sanitized`` and ``tokens``; ``label`` maps the spans to their replacements."""
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
+def rewritten(text_col: str, detections_col: str, mode: str, label: Callable[[Column], Column]) -> Column:
+    """The struct ``(sanitized, tokens)``; ``label`` maps the spans to their replacements."""
     text = F.col(text_col)
 
     def with_spans(spans: Column) -> Column:
@@ -144,14 +141,30 @@ def rewrite(
     untouched = F.struct(
         text.alias("sanitized"), F.array().cast(schemas.TOKENS).alias("tokens")
     )
-    result = F.when(F.size(found) > 0, let(spans, with_spans)).otherwise(untouched)
+    return F.when(F.size(found) > 0, let(spans, with_spans)).otherwise(untouched)
+
+
+def rewrite(df: DataFrame, mode: str, build: Callable[..., Column], *args) -> DataFrame:
+    """Add ``sanitized`` and ``tokens`` from the struct that ``build(*args)`` yields."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     return (
-        df.withColumn("_rewritten", result)
+        df.withColumn("_rewritten", built_once(df, build, *args))
         .withColumns({"sanitized": F.col("_rewritten.sanitized"), "tokens": F.col("_rewritten.tokens")})
         .drop("_rewritten")
     )
 
 
+def _redacted(text_col: str, detections_col: str, mode: str) -> Column:
+    def label(spans: Column) -> Column:
+        return let(
+            number_per_type(spans),
+            lambda ns: F.transform(spans, lambda s, i: token(s["type"], F.get(ns, i))),
+        )
+
+    return rewritten(text_col, detections_col, mode, label)
+
+
 def redact(
     df: DataFrame, text_col: str = "text", detections_col: str = "detections", mode: str = "safe"
 ) -> DataFrame:
@@ -163,14 +176,7 @@ def redact(
     values the same token, so nothing detected stays readable and the text can
     be restored.
     """
-
-    def label(spans: Column) -> Column:
-        return let(
-            number_per_type(spans),
-            lambda ns: F.transform(spans, lambda s, i: token(s["type"], F.get(ns, i))),
-        )
-
-    return rewrite(df, text_col, detections_col, mode, label)
+    return rewrite(df, mode, _redacted, text_col, detections_col, mode)
 
 
 def token_map(tokens: Column) -> Column:

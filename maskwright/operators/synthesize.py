@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.arrays import let, number_per_type
-from maskwright.operators.redact import rewrite
+from maskwright.operators.redact import rewrite, rewritten
 
 # The word lists fake values are drawn from.
 FIRST_NAMES = (
@@ -149,6 +149,10 @@ def synthesize(
     Values depend on the seed, the key of the text, the type and the running
     number only, so a retried task writes the same text again.
     """
+    return rewrite(df, mode, _synthesized, text_col, detections_col, mode, tuple(key_cols), seed)
+
+
+def _synthesized(text_col: str, detections_col: str, mode: str, key_cols: tuple[str, ...], seed: int) -> Column:
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in key_cols])
 
     def label(spans: Column) -> Column:
@@ -157,4 +161,4 @@ def synthesize(
             lambda ns: F.transform(spans, lambda s, i: fake(s["type"], F.get(ns, i), seed, key, mode)),
         )
 
-    return rewrite(df, text_col, detections_col, mode, label)
+    return rewritten(text_col, detections_col, mode, label)

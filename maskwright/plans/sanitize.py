@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright import schemas
-from maskwright.operators.detect import detections
+from maskwright.operators.detect import column_detections
 from maskwright.operators.entities import entity_tag, merge_entities
 from maskwright.operators.gates import kill_switch, mark_allowlisted
-from maskwright.operators.hints import hints
+from maskwright.operators.hints import column_hints
 from maskwright.operators.redact import redact
 from maskwright.operators.synthesize import synthesize
 from maskwright.policy import Policy
@@ -52,13 +52,13 @@ def sanitize(
     else:
         df = mark_allowlisted(df, allowlist).withColumn("scanned", ~F.col("allowlisted")).drop("allowlisted")
     # Texts behind the gate are null to the detectors, which then do nothing.
-    seen = F.when(F.col("scanned"), F.col(text_col))
+    df = df.withColumn("_seen", F.when(F.col("scanned"), F.col(text_col)))
     found = F.coalesce(
-        detections(seen, active_rules(policy, custom), occurrences), F.array().cast(schemas.DETECTIONS)
+        column_detections(df, "_seen", active_rules(policy, custom), occurrences),
+        F.array().cast(schemas.DETECTIONS),
     )
     if entities is not None:
-        df = df.withColumn("_seen", seen)
-        df = entity_tag(df, keys, entities, "_seen", policy, occurrences, "_entities").drop("_seen")
+        df = entity_tag(df, keys, entities, "_seen", policy, occurrences, "_entities")
         found = merge_entities(found, F.coalesce("_entities", F.array().cast(schemas.DETECTIONS)), occurrences)
     if entities_col is not None:
         extra = F.when(F.col("scanned"), F.col(entities_col).cast(schemas.DETECTIONS))
@@ -73,7 +73,7 @@ def sanitize(
         {
             # Distinct (type, value) pairs in either mode.
             "pii_count": F.size("detections") if mode == "reference" else F.size("tokens"),
-            "semantic_hits": F.coalesce(hints(seen), none) if policy.semantic_scrubbing else none,
+            "semantic_hits": F.coalesce(column_hints(df, "_seen"), none) if policy.semantic_scrubbing else none,
             **side,
         }
-    )
+    ).drop("_seen")

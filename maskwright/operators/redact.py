@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright import schemas
-from maskwright.functions.arrays import first_per_key, heads, let, max_before, number_per_type
+from maskwright.functions.arrays import first_per_key, let, max_before, number_per_type
 from maskwright.functions.reuse import built_once
 from maskwright.functions.text import cutter
 

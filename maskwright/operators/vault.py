@@ -78,7 +78,8 @@ def restore(
     tokens stay.  Replacement is literal, longer tokens first.  Set
     ``any_shape`` for vaults with synthetic values.
     """
-    asked = candidate_rows(responses, vault if any_shape else None, text_col)
+    # Read twice below; the texts are searched once.
+    asked = cut_lineage(candidate_rows(responses, vault if any_shape else None, text_col))
     known = last_write_before(asked, vault, ["conv_id", "token"], "turn", "value", tie="seq")
     entries = (
         known.where(F.col("value").isNotNull())

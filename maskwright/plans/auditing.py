@@ -14,7 +14,7 @@ from maskwright.operators.detect import detect
 from maskwright.operators.responses import pii_warnings
 from maskwright.operators.review import distinct_types
 from maskwright.plans import oracle
-from maskwright.plans.catalog import corpus, documents, register
+from maskwright.plans.catalog import documents, register
 from maskwright.plans.gating import SANITIZED_REF, prompts
 from maskwright.plans.seed import SEEDED_TYPES
 from maskwright.plans.sessions import sanitized

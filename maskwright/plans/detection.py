@@ -12,7 +12,7 @@ from maskwright.operators.entities import entity_tag, merge_entities
 from maskwright.operators.hints import hint_type, semantic_hits
 from maskwright.operators.review import findings
 from maskwright.plans import oracle
-from maskwright.plans.catalog import corpus, documents, register
+from maskwright.plans.catalog import corpus, register
 from maskwright.plans.seed import seeded_turns
 from maskwright.policy import Policy
 from maskwright.rules import BUILT_IN, HINTS, Rule, active_rules

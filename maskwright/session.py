@@ -42,7 +42,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     if df.isStreaming or cores == 1 or input_bytes(df) >= cores * split:
         return df
     return df.repartition(cores, *keys)

@@ -42,7 +42,7 @@ def _usable(spark: SparkSession, regex: str) -> bool | None:
 
 
 def rules_from(raw: DataFrame) -> list[Rule]:
-    """Custom rules of a table, in its order of type and pattern unless it has a column ``ord``.
+    """Custom rules of a table, in its row order.
 
     If any pattern is invalid there are no custom rules at all.  A rule that can
     match the empty string is left out.

@@ -192,8 +192,8 @@ def debounce_stream(updates: DataFrame, gap_ms: int = DEBOUNCE_MS) -> DataFrame:
     """
     return (
         updates.groupBy("conv_id", F.session_window("ts", f"{gap_ms * 1000 - 1} microseconds").alias("w"))
-        .agg(F.max("ts").alias("ts"), F.max_by("text", "ts").alias("text"))
-        .select("conv_id", "ts", "text")
+        .agg(F.max(F.struct("ts", "text")).alias("last"))
+        .select("conv_id", "last.ts", "last.text")
     )
 
 

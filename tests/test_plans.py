@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from maskwright.operators.audit import audit_entries, audit_json, audit_report, session_stats
 from maskwright.operators.detect import detect, explode_detections
 from maskwright.operators.gates import drop_allowlisted, snippet_scan
 from maskwright.operators.redact import redact
@@ -58,6 +59,14 @@ def test_the_pipeline_does_not_shuffle(spark, turns):
     assert "Exchange" not in text and "Join" not in text and "Python" not in text
 
 
+def test_side_outputs_scan_once(turns):
+    done = sanitize(turns, mode="reference")
+    entries = audit_entries(done, ["conv_id", "turn"])
+    for df in (vault_rows(done), session_stats(done), entries, audit_json(entries), audit_report(entries)):
+        # The rules once, and the search that cuts long texts.
+        assert searches(plan(df)) <= len(BUILT_IN) + 1
+
+
 def test_filters_reach_the_scan(docs):
     text = plan(detect(docs.where("lang = 'de'")).select("doc_id", "detections"))
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,de)]" in text

@@ -66,7 +66,7 @@ register(
 
 def _noisy_hosts(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).select(
-        F.when(F.col("page_id") % 5 == 0, F.lit("  ")).otherwise(
+        F.when(F.contains("url", F.lit("?")), F.lit("  ")).otherwise(
             F.concat(F.lit(" "), F.upper(host_of(F.col("url"))), F.lit("\n "))
         ).alias("domain")
     )
@@ -75,7 +75,7 @@ def _noisy_hosts(spark: SparkSession, sf: str) -> DataFrame:
 register(
     "allowlist_norm",
     lambda spark, sf: normalise_allowlist(_noisy_hosts(spark, sf)),
-    f"SELECT DISTINCT {_HOST} AS domain FROM pages WHERE page_id % 5 <> 0 AND {_HOST} <> ''",
+    f"SELECT DISTINCT {_HOST} AS domain FROM pages WHERE NOT contains(url, '?') AND {_HOST} <> ''",
 )
 register(
     "allowlist_gate",

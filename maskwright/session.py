@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,15 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests, a temporary folder is made and recorded.
+    A cluster must name one: executors cannot read a folder of the driver's machine.
+    Where everything runs in one process, as in tests, a temporary folder is made and recorded.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="maskwright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as Parquet in the shared folder and read it back: computed once, columns prunable, and
+    independent of executors that are lost later."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame that is read several times, so that it is computed once."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import bpe, langid, mixing, quality, sharding, simhash, urlfilter
+from maskwright.llm import bpe, langid, mixing, paragraphs, quality, sharding, simhash, urlfilter
 from maskwright.llm.common import documents, setup
 
 #: Eight shards in two regions of two racks; a ninth comes as a region of its own, so that rows move only into it.
@@ -37,6 +37,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraphs.repeated_passages(documents(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("start").alias("start_word"), "n_words", "n_paragraphs",
+        F.col("first_id").alias("first_doc_id"), "removed",
+    )
+
+
 def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir), TREE, GROWN)
 
@@ -58,7 +66,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_mixing, op7_hash_tree, op8_url_filter, op9_byte_bpe, op10_language)
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_quality_rules, op3_mixing, op6_paragraphs, op7_hash_tree, op8_url_filter, op9_byte_bpe, op10_language,
+    )
 }
 
 SQL: dict[str, str] = {}

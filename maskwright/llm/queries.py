@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import bpe, langid, mixing, paragraphs, quality, sharding, simhash, urlfilter
+from maskwright.llm import bpe, hnsw, langid, licenses, mixing, paragraphs, quality, sharding, simhash, urlfilter
 from maskwright.llm.common import documents, setup
 
 #: Eight shards in two regions of two racks; a ninth comes as a region of its own, so that rows move only into it.
@@ -37,6 +37,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = setup(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hnsw.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = paragraphs.repeated_passages(documents(spark, sf_dir))
     return found.select(
@@ -68,7 +77,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_simhash, op2_quality_rules, op3_mixing, op6_paragraphs, op7_hash_tree, op8_url_filter, op9_byte_bpe, op10_language,
+        op1_simhash, op2_quality_rules, op3_mixing, op4_hnsw, op5_licenses, op6_paragraphs, op7_hash_tree, op8_url_filter,
+        op9_byte_bpe, op10_language,
     )
 }
 

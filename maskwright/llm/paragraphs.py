@@ -106,7 +106,7 @@ def cut_paragraphs(texts: Iterable[str | None]) -> tuple[np.ndarray, ...]:
     digest = _mixed(np.add.reduceat(h * powers[inside], starts), 1)
     five = np.zeros(len(words), np.uint64)
     for k in range(SHINGLE):
-        five[: len(words) - k] += _mixed(h, 11 + k)[k:]
+        five[: max(len(words) - k, 0)] += _mixed(h, 11 + k)[k:]
     at = np.flatnonzero(inside + SHINGLE <= n[number])
     short = np.flatnonzero(n < SHINGLE)
     owner = np.concatenate([number[at], short])

@@ -1,0 +1,73 @@
+"""Plain versions of what the operators compute."""
+
+import math
+import re
+from collections import Counter
+
+import xxhash
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def simhash(text, n=3):
+    w = WORD.findall((text or "").translate(LOWER))
+    if not w:
+        return 0
+    shingles = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or [" ".join(w)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups(nodes, linked):
+    """Smallest member reachable of each node."""
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    nodes = sorted(nodes)
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            if linked(a, b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {n: find(n) for n in nodes}
+
+
+def base_stats(text):
+    text = text or ""
+    w = words(text)
+    windows = Counter(zip(w, w[1:], w[2:]))
+    inside = [False] * len(w)
+    for i in range(len(w) - 2):
+        if windows[tuple(w[i : i + 3])] > 1:
+            inside[i] = inside[i + 1] = inside[i + 2] = True
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), sum(inside)
+
+
+def poisson_quantile(rate, u):
+    k, log = 0, -rate
+    total = math.exp(log)
+    while total <= u and k < rate + 12 * math.sqrt(rate) + 40:
+        k += 1
+        log += math.log(rate / k)
+        total += math.exp(log)
+    return k
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]

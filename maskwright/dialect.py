@@ -1,16 +1,22 @@
 """Rewriting of rule patterns into the JVM's regular-expression dialect.
 
-Rules are written in the browser dialect.  It differs from the JVM's in a few
-places that change results, so patterns are translated once on the driver:
+Rules are written in the browser dialect.  A pattern is read atom by atom, which
+also shows whether it is valid and whether it can match nothing.  What differs:
 
-* ``\\b`` and ``\\B`` look at ASCII word characters only;
+* ``\\b`` and ``\\B`` look at ASCII word characters only, ``[\\b]`` is a backspace;
 * ``\\s`` and ``\\S`` include the Unicode spaces;
 * ``.`` stops at four line terminators, ``$`` matches at the very end only;
-* ``[`` and ``&&`` have no special meaning inside a character class.
+* ``[`` and ``&&`` have no special meaning inside a character class;
+* braces that are no quantifier stand for themselves, as do letters behind a backslash that mean nothing;
+* group names may hold any letters, digits and ``_``;
+* atomic groups, possessive quantifiers and inline flags do not exist.
 """
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 # The whitespace of the browser dialect.
 SPACE_SET = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 SPACE = f"[{SPACE_SET}]"
@@ -21,42 +27,193 @@ NOT_BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?![A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?=[A-Za-
 STARTS_WORD = r"(?<![A-Za-z0-9_])"
 ENDS_WORD = r"(?![A-Za-z0-9_])"
 
-_OUTSIDE = {
-    r"\b": BOUNDARY,
-    r"\B": NOT_BOUNDARY,
-    r"\s": SPACE,
-    r"\S": f"[^{SPACE_SET}]",
-    ".": r"[^\n\r\u2028\u2029]",
-    "$": r"\z",
-}
-_INSIDE = {r"\s": SPACE_SET, r"\S": f"[^{SPACE_SET}]", "[": r"\[", "&": r"\&"}
+_OPENING = re.compile(r"\((?:\?(?::|=|!|<=|<!|<(?P<name>[^>]*)>))?")
+_REPEAT = re.compile(r"(?:[*+?]|\{(?P<low>\d+)(?:,(?P<high>\d*))?\})\??")
+_ESCAPED = re.compile(r"\\(?:c[A-Za-z]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|k<[^>]*>|[1-9]\d*|.)", re.DOTALL)
+_NAME = re.compile(r"[^\W\d][\w$]*")
+_SAME = set("dDwWfnrt")
+
+
+class InvalidPattern(ValueError):
+    """The pattern is no valid pattern of the browser dialect."""
+
+
+class Untranslatable(ValueError):
+    """The pattern is valid but says something that the JVM cannot."""
+
+
+@dataclass(frozen=True)
+class Translated:
+    regex: str
+    can_be_empty: bool
+
+
+def translate(pattern: str) -> Translated:
+    """The pattern on the JVM, where it matches the same strings, and whether it can match the empty string."""
+    reader = _Reader(pattern)
+    empty = reader.alternatives()
+    if reader.at < len(pattern):
+        raise InvalidPattern("unmatched )")
+    if reader.most_referred > reader.groups:
+        raise Untranslatable("a number behind a backslash that is no group")
+    return Translated("".join(reader.out), empty)
 
 
 def to_jvm(pattern: str) -> str:
     """Translate one pattern; the result matches the same strings on the JVM."""
-    out: list[str] = []
-    inside = False
-    i = 0
-    while i < len(pattern):
-        atom = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
-        i += len(atom)
-        if inside:
-            inside = atom != "]"
-            out.append(_INSIDE.get(atom, atom))
-        elif atom == "[":
-            # "[]" never matches and "[^]" matches anything in the browser dialect.
-            if pattern.startswith("^]", i):
-                out.append(r"[\s\S]")
-                i += 2
-            elif pattern.startswith("]", i):
-                out.append(r"(?!)")
-                i += 1
+    return translate(pattern).regex
+
+
+class _Reader:
+    def __init__(self, pattern: str) -> None:
+        self.text, self.at, self.out = pattern, 0, []
+        self.groups = self.most_referred = 0
+        self.names: dict[str, str] = {}
+
+    def alternatives(self) -> bool:
+        """Reads up to a closing parenthesis or the end; true if it can match the empty string."""
+        empty, sequence = False, True
+        while self.at < len(self.text) and self.text[self.at] != ")":
+            if self.text[self.at] == "|":
+                self.out.append("|")
+                self.at += 1
+                empty, sequence = empty or sequence, True
             else:
-                inside = True
-                out.append(atom)
+                sequence &= self.term()
+        return empty or sequence
+
+    def term(self) -> bool:
+        start, c = len(self.out), self.text[self.at]
+        fixed = False  # an assertion, which cannot be repeated
+        if c == "(":
+            empty, fixed = self.group()
+        elif c == "[":
+            self.character_class()
+            empty = False
+        elif c == "\\":
+            empty, fixed = self.escape()
+        elif c in "^$":
+            self.out.append(r"\z" if c == "$" else "^")
+            self.at += 1
+            empty = fixed = True
+        elif c in "*+?" or _REPEAT.match(self.text, self.at):
+            raise InvalidPattern("nothing to repeat")
+        else:
+            self.out.append(r"[^\n\r\u2028\u2029]" if c == "." else "\\" + c if c in "{}]" else c)
+            self.at += 1
+            empty = False
+        return self.repeated(start, empty, fixed)
+
+    def repeated(self, start: int, empty: bool, fixed: bool) -> bool:
+        found = _REPEAT.match(self.text, self.at)
+        if not found:
+            return empty
+        if fixed:
+            raise InvalidPattern("an assertion is repeated")
+        low, high = found["low"], found["high"]
+        if low and high and int(low) > int(high):
+            raise InvalidPattern("numbers out of order")
+        self.out.append(found[0])
+        self.at = found.end()
+        return empty or found[0][0] in "*?" or (low is not None and int(low) == 0)
+
+    def group(self) -> tuple[bool, bool]:
+        opening = _OPENING.match(self.text, self.at)
+        if self.text.startswith("(?", self.at) and len(opening[0]) == 1:
+            raise InvalidPattern("unknown group")
+        self.at, name = opening.end(), opening["name"]
+        if name is not None:
+            if not _NAME.fullmatch(name) or name in self.names:
+                raise InvalidPattern("bad group name")
+            self.names[name] = f"named{len(self.names)}"
+            self.groups += 1
+            self.out.append(f"(?<{self.names[name]}>")
         else:
-            out.append(_OUTSIDE.get(atom, atom))
-    return "".join(out)
+            self.groups += opening[0] == "("
+            self.out.append(opening[0])
+        empty = self.alternatives()
+        if not self.text.startswith(")", self.at):
+            raise InvalidPattern("missing )")
+        self.out.append(")")
+        self.at += 1
+        looks = opening[0] in ("(?=", "(?!", "(?<=", "(?<!")
+        return empty or looks, opening[0] in ("(?<=", "(?<!")
+
+    def escape(self) -> tuple[bool, bool]:
+        found = _ESCAPED.match(self.text, self.at)
+        if not found:
+            raise InvalidPattern("\\ at the end")
+        self.at, atom = found.end(), found[0]
+        rest = atom[1:]
+        if rest in ("b", "B"):
+            self.out.append(BOUNDARY if rest == "b" else NOT_BOUNDARY)
+            return True, True
+        if rest[0] in "123456789":
+            self.most_referred = max(self.most_referred, int(rest))
+            self.out.append(f"(?:{atom})")
+            return True, False
+        if rest.startswith("k<"):
+            if rest[2:-1] not in self.names:
+                raise Untranslatable("a reference to a name that comes later or not at all")
+            self.out.append(rf"\k<{self.names[rest[2:-1]]}>")
+            return True, False
+        self.out.append(SPACE if rest == "s" else f"[^{SPACE_SET}]" if rest == "S" else _character(atom))
+        return False, False
+
+    def character_class(self) -> None:
+        text = self.text
+        if text.startswith("[^]", self.at):
+            # "[]" never matches and "[^]" matches anything in the browser dialect.
+            self.out.append(r"[\s\S]")
+            self.at += 3
+            return
+        if text.startswith("[]", self.at):
+            self.out.append(r"(?!)")
+            self.at += 2
+            return
+        parts = ["["]
+        self.at += 1
+        if text.startswith("^", self.at):
+            parts.append("^")
+            self.at += 1
+        while not text.startswith("]", self.at):
+            if self.at >= len(text):
+                raise InvalidPattern("missing ]")
+            if text[self.at] != "\\":
+                parts.append("\\" + text[self.at] if text[self.at] in "[&^" else text[self.at])
+                self.at += 1
+                continue
+            found = _ESCAPED.match(text, self.at)
+            if not found:
+                raise InvalidPattern("\\ at the end")
+            self.at, atom = found.end(), found[0]
+            rest = atom[1:]
+            if rest[0] in "123456789":
+                raise Untranslatable("an octal number in a class")
+            if rest.startswith("k<"):
+                self.at -= len(rest) - 1
+                atom = rest = "\\k"
+            special = {"s": SPACE_SET, "S": f"[^{SPACE_SET}]", "b": r"\x08"}
+            parts.append(special.get(rest, _character(atom)))
+        self.at += 1
+        self.out.append("".join(parts) + "]")
+
+
+def _character(atom: str) -> str:
+    """An escaped character or class outside of what differs by place."""
+    rest = atom[1:]
+    if rest in _SAME or rest[0] in "xu" and len(rest) > 1:
+        return atom
+    if rest == "v":
+        return r"\x0B"
+    if rest == "0":
+        return r"\x00"
+    if rest[0] == "c" and len(rest) == 2:
+        return rf"\x{ord(rest[1]) % 32:02x}"
+    if rest == "c":
+        return r"\\c"
+    # Anything else stands for itself.
+    return rest if rest.isalnum() or ord(rest) > 127 or rest in "_\n" else "\\" + rest
 
 
 def literal(text: str) -> str:

@@ -28,28 +28,44 @@ def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda acc, x: acc + x)
 
 
-def sums_before(numbers: Column) -> Column:
-    """For every element the sum of all elements in front of it.
+def _levels(xs: Column, fold: Callable[[Column], Column], body: Callable[[Callable[[Column], list[Column]]], Column]) -> Column:
+    """Fold what stands in front of an element in three steps: whole blocks of 4096, whole blocks of 64, the rest.
 
-    Sums per block of 64 are taken first, so one element costs at most one
-    block plus the number of blocks, not all elements before it.
+    ``body`` gets a function from an index to these three folds; each reads at most 64 numbers as long as there are
+    fewer than 64 * 4096 elements.
     """
 
-    def with_numbers(xs: Column) -> Column:
-        block_sums = F.transform(
-            F.sequence(F.lit(0), F.floor(F.size(xs) / _BLOCK).cast("int")),
-            lambda b: total(F.slice(xs, b * _BLOCK + 1, _BLOCK)),
-        )
-        return let(
-            block_sums,
-            lambda bs: F.transform(
-                xs,
-                lambda _, i: total(F.slice(bs, 1, F.floor(i / _BLOCK).cast("int")))
-                + total(F.slice(xs, i - i % _BLOCK + 1, i % _BLOCK)),
-            ),
+    def blocks(values: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(values) / _BLOCK).cast("int")),
+            lambda b: fold(F.slice(values, b * _BLOCK + 1, _BLOCK)),
         )
 
-    return let(numbers, with_numbers)
+    def with_small(small: Column) -> Column:
+        def with_large(large: Column) -> Column:
+            def parts(i: Column) -> list[Column]:
+                s, t = F.floor(i / _BLOCK).cast("int"), F.floor(i / _BLOCK**2).cast("int")
+                return [
+                    fold(F.slice(large, 1, t)),
+                    fold(F.slice(small, t * _BLOCK + 1, s - t * _BLOCK)),
+                    fold(F.slice(xs, s * _BLOCK + 1, i - s * _BLOCK)),
+                ]
+
+            return body(parts)
+
+        return let(blocks(small), with_large)
+
+    return let(blocks(xs), with_small)
+
+
+def sums_before(numbers: Column) -> Column:
+    """For every element the sum of all elements in front of it."""
+    return let(
+        numbers,
+        lambda xs: _levels(
+            xs, total, lambda parts: F.transform(xs, lambda _, i: parts(i)[0] + parts(i)[1] + parts(i)[2])
+        ),
+    )
 
 
 def heads(xs: Column, differs: Callable[[Column, Column], Column]) -> Column:
@@ -140,21 +156,10 @@ def number_per_type(spans: Column) -> Column:
 def max_before(numbers: Column) -> Column:
     """For every element the largest element in front of it (0 for the first)."""
 
-    def with_numbers(xs: Column) -> Column:
-        block_max = F.transform(
-            F.sequence(F.lit(0), F.floor(F.size(xs) / _BLOCK).cast("int")),
-            lambda b: F.coalesce(F.array_max(F.slice(xs, b * _BLOCK + 1, _BLOCK)), F.lit(0)),
-        )
-        return let(
-            block_max,
-            lambda bm: F.transform(
-                xs,
-                lambda _, i: F.greatest(
-                    F.lit(0),
-                    F.array_max(F.slice(bm, 1, F.floor(i / _BLOCK).cast("int"))),
-                    F.array_max(F.slice(xs, i - i % _BLOCK + 1, i % _BLOCK)),
-                ),
-            ),
-        )
+    def largest(xs: Column) -> Column:
+        return F.coalesce(F.array_max(xs), F.lit(0))
 
-    return let(numbers, with_numbers)
+    return let(
+        numbers,
+        lambda xs: _levels(xs, largest, lambda parts: F.transform(xs, lambda _, i: F.greatest(*parts(i)))),
+    )

@@ -69,9 +69,16 @@ def at_least(text: Column, units: int) -> Column:
     return (F.length(text) >= units) | (utf16_length(text) >= units)
 
 
+# Scheme, user part, host (a name or an address in brackets), port; then the path, a query, a fragment or the end.
+_URL = (
+    r"\A\s*[A-Za-z][A-Za-z0-9+.\-]*:[/\\]{2}(?:[^/\\?#]*@)?"
+    r"(\[[0-9A-Fa-f:.]+\]|[^/\\?#@:\s\[\]<>^|%]+)(?::[0-9]*)?(?=[/\\?#]|\s*\z)"
+)
+
+
 def host_of(url: Column) -> Column:
-    """Lower-case host of a URL, ``''`` when there is none."""
-    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
+    """Lower-case host of a URL, ``''`` when there is none.  What follows the host may hold any characters."""
+    return F.coalesce(F.lower(F.regexp_extract(url, _URL, 1)), F.lit(""))
 
 
 def word_count(text: Column) -> Column:

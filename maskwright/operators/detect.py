@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from maskwright import schemas
 from maskwright.functions.arrays import first_per_key, let, sums_before
 from maskwright.functions.reuse import built_once
+from maskwright.functions.text import cutter
 from maskwright.policy import Policy
 from maskwright.rules import BUILT_IN, DIGIT, Rule, active_rules, score
 
@@ -28,6 +29,46 @@ def _guard(text: Column, rule: Rule, has_digit: Column) -> Column:
     return reduce(operator.or_, [F.contains(text, F.lit(part)) for part in rule.needs])
 
 
+def _visible_hits(text: Column, rule: Rule) -> Column:
+    """Matches of a rule that can match nothing, without the empty ones, each with blanks as long as the gap before it.
+
+    Such a rule matches wherever it is tried, and after an empty match the search moves on by one character, so the
+    matches themselves tell where they are.  Characters of two units would be tried twice; one of a single unit stands
+    in for each while searching.
+    """
+    wide = r"[\x{10000}-\x{10FFFF}]"
+    searched = F.when(F.rlike(text, F.lit(wide)), F.regexp_replace(text, wide, "\ue000")).otherwise(text)
+    matches = let(searched, lambda t: F.regexp_extract_all(t, F.lit(rule.regex), F.lit(0)))
+
+    def visible(ms: Column) -> Column:
+        sizes = F.transform(ms, lambda m: F.greatest(F.char_length(m), F.lit(1)))
+        return let(
+            sums_before(sizes),
+            lambda starts: F.filter(
+                F.transform(ms, lambda m, i: F.struct(F.get(starts, i).alias("start"), F.char_length(m).alias("size"))),
+                lambda s: s["size"] > 0,
+            ),
+        )
+
+    def placed(spots: Column) -> Column:
+        return cutter(
+            text,
+            lambda cut: F.transform(
+                spots,
+                lambda s, i: F.struct(
+                    cut(s["start"], s["size"]).alias("value"),
+                    F.repeat(
+                        F.lit(" "),
+                        s["start"] - F.when(i == 0, 0).otherwise(F.get(spots, i - 1)["start"] + F.get(spots, i - 1)["size"]),
+                    ).alias("gap"),
+                ),
+            ),
+        )
+
+    none = F.array().cast("array<struct<value:string,gap:string>>")
+    return F.when(text.isNotNull(), let(let(matches, visible), placed)).otherwise(none)
+
+
 def rule_hits(text: Column, rules: Sequence[Rule], may_match: Column) -> Column:
     """Per rule with at least one match: its fields, all whole matches, and the text around them.
 
@@ -37,18 +78,26 @@ def rule_hits(text: Column, rules: Sequence[Rule], may_match: Column) -> Column:
     """
     none = F.array().cast("array<string>")
 
+    def fields(order: int, rule: Rule, values: Column, gaps: Column) -> Column:
+        return F.struct(
+            F.lit(order).alias("ord"),
+            F.lit(rule.type).alias("type"),
+            F.lit(score(rule.confidence)).alias("confidence"),
+            F.lit(rule.reason).alias("reason"),
+            values.alias("values"),
+            gaps.alias("gaps"),
+        )
+
     def hit(order: int, rule: Rule) -> Column:
+        if rule.can_be_empty:
+            return let(
+                _visible_hits(text, rule),
+                lambda h: fields(order, rule, F.transform(h, lambda x: x["value"]), F.transform(h, lambda x: x["gap"])),
+            )
         found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
         return let(
             F.when(_guard(text, rule, may_match), found).otherwise(none),
-            lambda m: F.struct(
-                F.lit(order).alias("ord"),
-                F.lit(rule.type).alias("type"),
-                F.lit(score(rule.confidence)).alias("confidence"),
-                F.lit(rule.reason).alias("reason"),
-                m.alias("values"),
-                F.when(F.size(m) > 0, F.split(text, rule.regex, -1)).alias("gaps"),
-            ),
+            lambda m: fields(order, rule, m, F.when(F.size(m) > 0, F.split(text, rule.regex, -1))),
         )
 
     hits = F.array(*[hit(i, r) for i, r in enumerate(rules)])

@@ -17,8 +17,7 @@ SURE, UNSURE = 0.82, 0.55
 BALANCED_FROM = 0.7
 
 WORD = r"[\p{L}\p{N}_]+"
-# A dictionary of up to this many names becomes part of the row expression.
-LITERAL_NAMES = 512
+LOOKUPS = ("join", "literal")
 
 FOUND = "array<struct<type:string,value:string>>"
 
@@ -79,54 +78,90 @@ def grams(text: Column, sizes: Sequence[int], starts: Sequence[str] = ()) -> Col
 
 
 def find_entities(
-    df: DataFrame, keys: Sequence[str], entities: DataFrame, text_col: str = "text", policy: Policy = Policy()
+    df: DataFrame, entities: DataFrame, text_col: str = "text", policy: Policy = Policy(), lookup: str | None = None
 ) -> DataFrame:
     """Add ``found``: the distinct (type, value) pairs of the dictionary that occur in a text.
 
-    A short dictionary becomes literals in the row expression: no join, no
-    shuffle.  A longer one is joined on the word sequence; Spark broadcasts it
-    only if its size allows.  Sequences are made distinct per text first, and
-    only hits come back.
+    What is found depends on the text and the dictionary only.  ``lookup="join"``,
+    the default for tables, looks every distinct text up once, by its digest: its
+    word sequences are joined with the dictionary, and only hits come back.
+    ``lookup="literal"``, the default for streams, writes the dictionary into the
+    row expression: no join and no shuffle, but the names come to the driver and
+    into the plan, so it suits dictionaries of some hundred names.  Both give the
+    same result at any size.
     """
+    lookup = lookup or ("literal" if df.isStreaming else "join")
+    if lookup not in LOOKUPS:
+        raise ValueError(f"lookup must be one of {LOOKUPS}, not {lookup!r}")
     usable = usable_entities(entities, policy)
-    head = usable.limit(LITERAL_NAMES + 1).collect()
-    text = F.col(text_col)
-    none = F.array().cast(FOUND)
-    if not head:
+    text, none = F.col(text_col), F.array().cast(FOUND)
+    return _found_literally(df, usable, text, none) if lookup == "literal" else _found_by_join(df, usable, text, none)
+
+
+def _found_literally(df: DataFrame, usable: DataFrame, text: Column, none: Column) -> DataFrame:
+    rows = sorted(usable.collect())
+    if not rows:
         return df.withColumn("found", none)
-    if len(head) <= LITERAL_NAMES:
-        names = F.array(
-            *[F.struct(F.lit(r.key).alias("key"), F.lit(r.type).alias("type"), F.lit(r.value).alias("value")) for r in sorted(head)]
-        )
-        all_keys = sorted({r.key for r in head})
-        hits = F.filter(
-            grams(text, sorted({r.size for r in head}), sorted({k.split(" ")[0] for k in all_keys})),
-            lambda g: g.isin(*all_keys),
-        )
-        found = let(
-            hits,
-            lambda hs: F.when(
-                F.size(hs) > 0,
+    names = F.array(
+        *[F.struct(F.lit(r.key).alias("key"), F.lit(r.type).alias("type"), F.lit(r.value).alias("value")) for r in rows]
+    )
+    all_keys = sorted({r.key for r in rows})
+    hits = F.filter(
+        grams(text, sorted({r.size for r in rows}), sorted({k.split(" ")[0] for k in all_keys})),
+        lambda g: g.isin(*all_keys),
+    )
+    found = let(
+        hits,
+        lambda hs: F.when(
+            F.size(hs) > 0,
+            F.array_sort(
                 F.transform(
                     F.filter(names, lambda e: F.array_contains(hs, e["key"])),
                     lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value")),
-                ),
-            ).otherwise(none),
-        )
-        return df.withColumn("found", F.coalesce(found, none))
+                )
+            ),
+        ).otherwise(none),
+    )
+    return df.withColumn("found", F.coalesce(found, none))
 
+
+def _found_by_join(df: DataFrame, usable: DataFrame, text: Column, none: Column) -> DataFrame:
     sizes = sorted(r.size for r in usable.select("size").distinct().collect())
+    if not sizes:
+        return df.withColumn("found", none)
+    keyed = df.withColumn("_digest", F.md5(text.cast("binary")))
+    texts = keyed.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.first(text).alias("_text"))
+    # Words a name begins with are far fewer than word sequences: only sequences behind one of them are joined.
+    openings = usable.select(F.split_part("key", F.lit(" "), F.lit(1)).alias("_word"), "key", "size", "type", "value")
+    placed = texts.select("_digest", words(F.col("_text")).alias("_words")).select(
+        "_digest", "_words", F.posexplode_outer(F.array_distinct("_words")).alias("_i", "_word")
+    )
+    opened = placed.join(openings.select("_word").distinct(), "_word", "left_semi").groupBy("_digest").agg(
+        F.first("_words").alias("_words"), F.collect_set("_word").alias("_openings")
+    )
+    candidates = opened.select("_digest", F.explode(_grams_from(F.col("_words"), sizes, F.col("_openings"))).alias("key"))
     hits = (
-        df.select(*keys, F.explode_outer(grams(text, sizes)).alias("key"))
-        .join(usable, "key")
-        .groupBy(*keys)
+        candidates.join(usable.select("key", "type", "value"), "key")
+        .groupBy("_digest")
         .agg(F.sort_array(F.collect_set(F.struct("type", "value"))).alias("found"))
     )
-    return df.join(hits, list(keys), "left").withColumn("found", F.coalesce("found", none))
+    return keyed.join(hits, "_digest", "left").withColumn("found", F.coalesce("found", none)).drop("_digest")
+
+
+def _grams_from(ws: Column, sizes: Sequence[int], openings: Column) -> Column:
+    """Distinct word sequences of the given sizes that begin with one of the words ``openings``."""
+    begins = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.array_contains(openings, F.get(ws, i)))
+
+    def of_size(indexes: Column, n: int) -> Column:
+        return F.transform(
+            F.filter(indexes, lambda i: i + n <= F.size(ws)), lambda i: F.array_join(F.slice(ws, i + 1, n), " ")
+        )
+
+    return let(begins, lambda indexes: F.array_distinct(F.concat(*[of_size(indexes, n) for n in sizes])))
 
 
 def locate(text: Column, found: Column, occurrences: str = "first") -> Column:
-    """Turn found names into detections: at the first index of the name, or at all."""
+    """Turn found names into detections: at the first index of the name, or at all that are no part of a longer word."""
 
     def span(e: Column, start: Column) -> Column:
         return F.struct(
@@ -143,16 +178,36 @@ def locate(text: Column, found: Column, occurrences: str = "first") -> Column:
         )
     else:
 
+        # A character that no name holds stands for the name; where the text holds it, another of the same width does.
+        mark, clean = "\x01", F.translate(text, "\x01", "\x02")
+
         def all_of(e: Column) -> Column:
-            gaps = F.split(text, F.concat(F.lit(r"\Q"), e["value"], F.lit(r"\E")), -1)
-            return let(
-                F.transform(gaps, lambda g: F.char_length(g) + F.char_length(e["value"])),
+            gaps = F.split(F.replace(clean, e["value"], F.lit(mark)), mark, -1)
+            size = F.char_length(e["value"])
+
+            def spans(gs: Column) -> Column:
+                def beside(i: Column, before: bool) -> Column:
+                    """The character beside the i-th hit; of an empty gap it is the end of the hit next to it."""
+                    gap = F.get(gs, i if before else i + 1)
+                    edge, twin = (F.right, i == 0) if before else (F.left, i + 2 == F.size(gs))
+                    near = (F.right if before else F.left)(e["value"], F.lit(1))
+                    return F.when(gap != "", edge(gap, F.lit(1))).when(twin, F.lit("")).otherwise(near)
+
+                inside = lambda i: F.rlike(beside(i, True), F.lit(WORD)) | F.rlike(beside(i, False), F.lit(WORD))
+                steps = F.transform(gs, lambda g: F.char_length(g) + size)
                 # The sums behind the first gap, behind the second, ... are the ends of the hits.
-                lambda steps: F.transform(
-                    let(sums_before(steps), lambda ends: F.slice(ends, 2, F.size(ends))),
-                    lambda end: span(e, end - F.char_length(e["value"])),
-                ),
-            )
+                return let(
+                    sums_before(steps),
+                    lambda ends: F.filter(
+                        F.transform(
+                            F.slice(ends, 2, F.size(ends)),
+                            lambda end, i: F.when(~inside(i), span(e, end - size)),
+                        ),
+                        lambda s: s.isNotNull(),
+                    ),
+                )
+
+            return let(gaps, spans)
 
         placed = F.flatten(F.transform(found, all_of))
     return F.transform(
@@ -170,20 +225,20 @@ def locate(text: Column, found: Column, occurrences: str = "first") -> Column:
 
 def entity_tag(
     df: DataFrame,
-    keys: Sequence[str],
     entities: DataFrame,
     text_col: str = "text",
     policy: Policy = Policy(),
     occurrences: str = "first",
     out: str = "entities",
+    lookup: str | None = None,
 ) -> DataFrame:
     """Add the dictionary hits of every text as detections.
 
     One hit per (type, value), at the first index of the value in the text
     (``occurrences="first"``) or at every index (``"all"``); names whose exact
-    spelling does not occur are dropped.
+    spelling does not occur are dropped.  ``lookup`` as in ``find_entities``.
     """
-    found = find_entities(df, keys, entities, text_col, policy)
+    found = find_entities(df, entities, text_col, policy, lookup)
     return found.withColumn(out, locate(F.col(text_col), F.col("found"), occurrences)).drop("found")
 
 

@@ -15,8 +15,7 @@ PLATFORMS = (("claude.ai", "claude"), ("chat.openai.com", "chatgpt"), ("gemini.g
 MIN_SNIPPET = 6
 MIN_RESPONSE = 20
 
-# An allowlist of up to this many entries becomes part of the row expression.
-LITERAL_ALLOWLIST = 256
+LOOKUPS = ("join", "literal")
 
 
 def non_blank(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -56,25 +55,31 @@ def _contains_any(host: Column, domains: list[str]) -> Column:
     return hit
 
 
-def mark_allowlisted(df: DataFrame, allowlist: DataFrame, host_col: str = "domain") -> DataFrame:
+def mark_allowlisted(df: DataFrame, allowlist: DataFrame, host_col: str = "domain", lookup: str | None = None) -> DataFrame:
     """Add ``allowlisted``: the host contains an entry of the list.
 
-    A short list becomes a literal predicate, so nothing is joined or shuffled.
-    A longer one is matched over the distinct hosts: every piece of a host with
-    the length of some entry is looked up by an equi-join, and the hosts found
-    are joined back.  Neither way compares all hosts with all entries.
+    ``lookup="join"``, the default for tables, matches the distinct hosts: every
+    piece of a host with the length of some entry is looked up by an equi-join,
+    and the hosts found are joined back.  ``lookup="literal"``, the default for
+    streams, writes the list into the row expression: nothing is joined, but the
+    entries come to the driver and into the plan.  Neither way compares all hosts
+    with all entries, and both give the same result at any size.
     """
+    lookup = lookup or ("literal" if df.isStreaming else "join")
+    if lookup not in LOOKUPS:
+        raise ValueError(f"lookup must be one of {LOOKUPS}, not {lookup!r}")
     host = F.coalesce(F.col(host_col), F.lit(""))
-    head = allowlist.where(F.col("domain").isNotNull()).select("domain").limit(LITERAL_ALLOWLIST + 1).collect()
-    if len(head) <= LITERAL_ALLOWLIST:
-        return df.withColumn("allowlisted", _contains_any(host, sorted({r.domain for r in head})))
+    listed = allowlist.where(F.col("domain").isNotNull()).select("domain").distinct()
+    if lookup == "literal":
+        entries = F.array(*[F.lit(r.domain) for r in sorted(listed.collect())]).cast("array<string>")
+        return df.withColumn("allowlisted", F.exists(entries, lambda d: F.contains(host, d)))
 
     # Host names are at most 253 characters, so there are few distinct lengths.
-    sizes = [r.n for r in allowlist.select(F.length("domain").alias("n")).distinct().collect()]
+    sizes = [r.n for r in listed.select(F.length("domain").alias("n")).distinct().collect()]
     pieces = F.array_distinct(
         F.flatten(
             F.transform(
-                F.filter(F.array(*[F.lit(n) for n in sorted(sizes)]), lambda n: n <= F.length("_host")),
+                F.filter(F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>"), lambda n: n <= F.length("_host")),
                 lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(
                     F.transform(
                         F.sequence(F.lit(1), F.length("_host") - n + 1),
@@ -87,7 +92,7 @@ def mark_allowlisted(df: DataFrame, allowlist: DataFrame, host_col: str = "domai
     hosts = df.select(host.alias("_host")).distinct()
     found = (
         hosts.select("_host", F.explode(pieces).alias("domain"))
-        .join(allowlist.select("domain").distinct(), "domain", "left_semi")
+        .join(listed, "domain", "left_semi")
         .select("_host", F.lit(True).alias("_hit"))
         .distinct()
     )

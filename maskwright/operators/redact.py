@@ -110,7 +110,8 @@ def substitute(text: Column, spans: Column, labels: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(cutter(text, pieces))
 
 
-def _tokens(spans: Column, labels: Column) -> Column:
+def tokens_of(spans: Column, labels: Column) -> Column:
+    """The distinct (token, value) pairs of the spans of a text."""
     pairs = F.transform(
         spans,
         lambda s, i: F.struct(
@@ -132,7 +133,7 @@ def rewritten(text_col: str, detections_col: str, mode: str, label: Callable[[Co
             label(spans),
             lambda labels: F.struct(
                 substitute(text, spans, labels).alias("sanitized"),
-                _tokens(spans, labels).alias("tokens"),
+                tokens_of(spans, labels).alias("tokens"),
             ),
         )
 
@@ -155,12 +156,33 @@ def rewrite(df: DataFrame, mode: str, build: Callable[..., Column], *args) -> Da
     )
 
 
+# A token as it may stand in a text: its type and number.
+TOKEN = r"\[([^\[\]]+)_([0-9]{2,9})\]"
+
+
+def tokens_in(text: Column) -> Column:
+    """Tokens a text holds already, as an array of ``struct<type, n>``."""
+    kinds, numbers = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(2))
+    return F.array_distinct(
+        F.transform(F.arrays_zip(kinds.alias("type"), numbers.alias("n")), lambda z: F.struct(z["type"].alias("type"), z["n"].cast("long").alias("n")))
+    )
+
+
 def _redacted(text_col: str, detections_col: str, mode: str) -> Column:
     def label(spans: Column) -> Column:
-        return let(
-            number_per_type(spans),
-            lambda ns: F.transform(spans, lambda s, i: token(s["type"], F.get(ns, i))),
-        )
+        def tokens(ns: Column) -> Column:
+            return F.transform(spans, lambda s, i: token(s["type"], F.get(ns, i)))
+
+        def behind(ns: Column) -> Column:
+            def numbers(held: Column) -> Column:
+                last = lambda t: F.array_max(F.transform(F.filter(held, lambda h: h["type"] == t), lambda h: h["n"]))
+                return F.when(F.size(held) == 0, tokens(ns)).otherwise(
+                    F.transform(spans, lambda s, i: token(s["type"], F.get(ns, i) + F.coalesce(last(s["type"]), F.lit(0))))
+                )
+
+            return let(tokens_in(F.col(text_col)), numbers)
+
+        return let(number_per_type(spans), behind if mode == "safe" else tokens)
 
     return rewritten(text_col, detections_col, mode, label)
 
@@ -174,7 +196,8 @@ def redact(
     ``mode="safe"`` expects every occurrence to be listed
     (``detect(..., occurrences="all")``), merges overlaps first and gives equal
     values the same token, so nothing detected stays readable and the text can
-    be restored.
+    be restored.  Where a text holds tokens already, numbers of their type start
+    behind the largest of them.
     """
     return rewrite(df, mode, _redacted, text_col, detections_col, mode)
 

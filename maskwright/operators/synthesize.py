@@ -136,6 +136,22 @@ def fake(kind: Column, number: Column, seed: int, key: Column, mode: str) -> Col
     return result.when(kind == "CREDIT_CARD", cards).when(kind == "API_KEY", key_text).otherwise(other)
 
 
+#: Numbers of second choices start here, beyond what a conversation uses.
+SECOND = 5_000_011
+
+
+def safe_fake(kind: Column, number: Column, seed: int, key: Column, value: Column, text: Column) -> Column:
+    """The first of some fake values that the text does not hold and that does not hold the value itself.
+
+    Else the original could stay in place, or could not be told from the fake when the text is restored.  Two usual
+    values are tried, then a placeholder that no text holds.
+    """
+    usual = F.transform(F.array(F.lit(0), F.lit(SECOND)), lambda more: fake(kind, number + more, seed, key, "safe"))
+    last = F.format_string("[%s#%d#%s]", kind, number, F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key, text)), 1, 8))
+    fits = F.filter(usual, lambda f: ~F.contains(text, f) & ((value == "") | ~F.contains(f, value)))
+    return F.coalesce(F.get(fits, F.lit(0)), last)
+
+
 def synthesize(
     df: DataFrame,
     key_cols: Sequence[str],
@@ -147,7 +163,8 @@ def synthesize(
     """As ``redact``, with fake values in place of tokens.
 
     Values depend on the seed, the key of the text, the type and the running
-    number only, so a retried task writes the same text again.
+    number only, so a retried task writes the same text again; in safe mode a
+    value that the text holds already is passed over.
     """
     return rewrite(df, mode, _synthesized, text_col, detections_col, mode, tuple(key_cols), seed)
 
@@ -156,9 +173,11 @@ def _synthesized(text_col: str, detections_col: str, mode: str, key_cols: tuple[
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in key_cols])
 
     def label(spans: Column) -> Column:
+        def one(kind: Column, n: Column, value: Column) -> Column:
+            return safe_fake(kind, n, seed, key, value, F.col(text_col)) if mode == "safe" else fake(kind, n, seed, key, mode)
+
         return let(
-            number_per_type(spans),
-            lambda ns: F.transform(spans, lambda s, i: fake(s["type"], F.get(ns, i), seed, key, mode)),
+            number_per_type(spans), lambda ns: F.transform(spans, lambda s, i: one(s["type"], F.get(ns, i), s["value"]))
         )
 
     return rewritten(text_col, detections_col, mode, label)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from maskwright import schemas
 from maskwright.functions.arrays import let
 from maskwright.operators.ordered import last_write_before, running_number
-from maskwright.operators.redact import cover, explode_tokens, substitute, token
+from maskwright.operators.redact import cover, explode_tokens, substitute, token, tokens_in, tokens_of
+from maskwright.operators.synthesize import safe_fake
 from maskwright.session import cut_lineage
 
 # A token in brackets, whatever its type is called.
@@ -69,14 +70,66 @@ def candidate_rows(responses: DataFrame, vault: DataFrame | None, text_col: str
     return rows.where(F.col("token").isNotNull())
 
 
+def _replaced(text: Column, entries: Column) -> Column:
+    """The text with tokens (``struct<token, value>``) replaced, all in one pass: values are not searched again.
+
+    Tokens in brackets are cut out by one pattern and looked up in a map.  Tokens of another shape are replaced first,
+    the longest first, by a mark that stands for their place in the list, then the marks by their values.
+    """
+    bracketed = lambda e: F.rlike(e["token"], F.lit(rf"\A{BRACKETED}\z"))
+
+    def in_brackets(source: Column, known: Column, values: Callable[[Column, Column], Column]) -> Column:
+        parts = F.struct(
+            F.regexp_extract_all(source, F.lit(BRACKETED), F.lit(0)).alias("found"), F.split(source, BRACKETED, -1).alias("gaps")
+        )
+        return let(
+            parts,
+            lambda p: F.array_join(
+                F.transform(p["gaps"], lambda g, i: F.concat(g, F.when(i < F.size(p["found"]), values(F.get(p["found"], i), known)).otherwise(""))), ""
+            ),
+        )
+
+    def looked_up(token: Column, known: Column) -> Column:
+        return F.coalesce(F.try_element_at(known, token), token)
+
+    def with_shapes(plain: Column) -> Column:
+        marked = F.aggregate(
+            F.transform(plain, lambda e, i: F.struct(e.alias("e"), i.alias("i"))),
+            F.translate(text, "\x01\x02", "\x03\x04"),
+            lambda acc, x: F.replace(acc, x["e"]["token"], F.concat(F.lit("\x01"), x["i"].cast("string"), F.lit("\x02"))),
+        )
+        return let(
+            F.split(in_brackets(marked, F.map_from_entries(F.filter(entries, bracketed)), looked_up), "\x01", -1),
+            lambda parts: F.array_join(
+                F.transform(
+                    parts,
+                    lambda q, i: F.when(i == 0, q).otherwise(
+                        F.concat(
+                            F.get(plain, F.split_part(q, F.lit("\x02"), F.lit(1)).cast("int"))["value"],
+                            F.substring(q, F.position(F.lit("\x02"), q) + 1, F.length(q)),
+                        )
+                    ),
+                ),
+                "",
+            ),
+        )
+
+    plain = F.transform(
+        F.reverse(F.array_sort(F.transform(F.filter(entries, lambda e: ~bracketed(e)), lambda e: F.struct(F.length(e["token"]).alias("n"), e.alias("e"))))),
+        lambda x: x["e"],
+    )
+    only_brackets = let(F.map_from_entries(entries), lambda known: in_brackets(text, known, looked_up))
+    return let(plain, lambda ps: F.when(F.size(ps) == 0, only_brackets).otherwise(with_shapes(ps)))
+
+
 def restore(
     responses: DataFrame, vault: DataFrame, text_col: str = "text", any_shape: bool = False
 ) -> DataFrame:
     """Add ``restored``: tokens replaced by the values they had when the answer came.
 
     Only tokens that occur in an answer are looked up, as of its turn; unknown
-    tokens stay.  Replacement is literal, longer tokens first.  Set
-    ``any_shape`` for vaults with synthetic values.
+    tokens stay.  All are replaced at once, where tokens overlap the longer one.
+    Set ``any_shape`` for vaults with synthetic values.
     """
     # Read twice below; the texts are searched once.
     asked = cut_lineage(candidate_rows(responses, vault if any_shape else None, text_col))
@@ -84,82 +137,95 @@ def restore(
     entries = (
         known.where(F.col("value").isNotNull())
         .groupBy("conv_id", "turn")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct((-F.length("token")).alias("n"), F.col("token"), F.col("value")))
-            ).alias("_entries")
-        )
-    )
-    replaced = F.aggregate(
-        F.col("_entries"), F.col(text_col), lambda acc, e: F.replace(acc, e["token"], e["value"])
+        .agg(F.collect_set(F.struct("token", "value")).alias("_entries"))
     )
     return (
         responses.join(entries, ["conv_id", "turn"], "left")
-        .withColumn("restored", F.coalesce(replaced, F.col(text_col)))
+        .withColumn("restored", F.when(F.col("_entries").isNull(), F.col(text_col)).otherwise(_replaced(F.col(text_col), F.col("_entries"))))
         .drop("_entries")
     )
 
 
 def restore_with_map(text: Column, token_map: Column) -> Column:
     """Replace the tokens of a map held in the same row."""
-    entries = F.array_sort(
-        F.transform(
-            F.map_entries(token_map),
-            lambda e: F.struct((-F.length(e["key"])).alias("n"), e["key"].alias("k"), e["value"].alias("v")),
-        )
-    )
-    return F.when(F.size(token_map) > 0, F.aggregate(entries, text, lambda acc, e: F.replace(acc, e["k"], e["v"]))).otherwise(text)
+    entries = F.transform(F.map_entries(token_map), lambda e: F.struct(e["key"].alias("token"), e["value"].alias("value")))
+    return F.when(F.size(token_map) > 0, let(entries, lambda es: _replaced(text, es))).otherwise(text)
 
 
-def redact_conversations(turns: DataFrame, text_col: str = "text", detections_col: str = "detections") -> DataFrame:
-    """Redact with token numbers that run through the whole conversation.
+def redact_conversations(
+    turns: DataFrame, text_col: str = "text", detections_col: str = "detections", keys: Sequence[str] = ("conv_id", "turn"),
+    known: DataFrame | None = None,
+) -> DataFrame:
+    """Redact with token numbers that run through the whole conversation (the first of ``keys``).
 
     Equal values of a conversation share one token and different values never
     do, so merging the maps of its turns loses nothing.  ``detections`` must
-    list every occurrence.  Numbers follow the first appearance.
+    list every occurrence.  Numbers follow the first appearance, and start behind
+    the tokens that the texts hold already.  ``known`` (``conv_id, type, value,
+    n``) has values that were numbered before; they keep their numbers.
+    """
+    return rewrite_conversations(turns, text_col, detections_col, keys, lambda s: token(s["type"], s["n"]), known)
+
+
+def synthesize_conversations(
+    turns: DataFrame, seed: int = 0, text_col: str = "text", detections_col: str = "detections",
+    keys: Sequence[str] = ("conv_id", "turn"), known: DataFrame | None = None,
+) -> DataFrame:
+    """As ``redact_conversations`` with fake values: within a conversation each stands for one original."""
+    conv, text = F.coalesce(F.col(keys[0]).cast("string"), F.lit("")), F.col(text_col)
+    return rewrite_conversations(
+        turns, text_col, detections_col, keys, lambda s: safe_fake(s["type"], s["n"], seed, conv, s["value"], text), known
+    )
+
+
+def rewrite_conversations(
+    turns: DataFrame, text_col: str, detections_col: str, keys: Sequence[str], label: Callable[[Column], Column],
+    known: DataFrame | None = None,
+) -> DataFrame:
+    """Add ``sanitized`` and ``tokens``; ``label`` gives the replacement of a span with ``type``, ``value`` and its
+    number ``n`` in the conversation.
+
+    Rows are told apart by their keys and text, null or not; equal rows are rewritten alike.  Rows without a
+    conversation make up one of their own.
     """
-    keys = ["conv_id", "turn"]
-    found = turns.select(*keys, cover(F.col(text_col), F.col(detections_col)).alias("spans"))
-    exploded = found.select(*keys, F.posexplode_outer("spans").alias("i", "s"))
-    # Read three times below; computed once.
-    spans = cut_lineage(
-        exploded.where(F.col("s").isNotNull()).select(*keys, "i", "s.type", "s.value", "s.start", "s.end")
+    conv, order = keys[0], keys[1]
+    key = F.md5(F.to_json(F.struct(*keys, F.md5(F.col(text_col).cast("binary")).alias("_text"))).cast("binary"))
+    whose = F.to_json(F.struct(F.col(conv).alias("c")))
+    rows = turns.withColumns({"_row": key, "_conv": whose, "_spans": cover(F.col(text_col), F.col(detections_col))})
+    # Read several times below; computed once.
+    found = cut_lineage(
+        rows.select("_row", "_conv", F.col(order).alias("_turn"), F.posexplode_outer("_spans").alias("_i", "_s"))
+        .where(F.col("_s").isNotNull()).select("_row", "_conv", "_turn", "_i", "_s.type", "_s.value", "_s.start", "_s.end").distinct()
     )
-    value_keys = ["conv_id", "type", "value"]
-    firsts = (
-        spans.groupBy(*value_keys)
-        .agg(F.min(F.struct("turn", "i")).alias("f"))
-        .select(*value_keys, F.col("f.turn").alias("first_turn"), F.col("f.i").alias("first_i"))
+    value_keys = ["_conv", "type", "value"]
+    held = rows.select("_conv", F.explode(tokens_in(F.col(text_col))).alias("t")).select("_conv", "t.type", "t.n")
+    new = found.groupBy(*value_keys).agg(F.min(F.struct("_turn", "_i")).alias("f")).select(
+        *value_keys, F.col("f._turn").alias("_turn"), F.col("f._i").alias("_i")
     )
-    numbered = running_number(firsts, ["conv_id", "type"], ["first_turn", "first_i"], "n").select(
-        *value_keys, token(F.col("type"), F.col("n")).alias("token")
+    if known is not None:
+        known = known.select(F.to_json(F.struct(F.col("conv_id").cast(turns.schema[conv].dataType).alias("c"))).alias("_conv"), "type", "value", F.col("n").cast("long"))
+        held = held.unionByName(known.select("_conv", "type", "n"))
+        new = new.join(known, value_keys, "left_anti")
+    largest = held.groupBy("_conv", "type").agg(F.max("n").alias("_largest"))
+    numbered = (
+        running_number(new, ["_conv", "type"], ["_turn", "_i"], "n").join(largest, ["_conv", "type"], "left")
+        .select(*value_keys, (F.col("n") + F.coalesce("_largest", F.lit(0))).cast("long").alias("n"))
     )
-    per_turn = (
-        spans.join(numbered, value_keys)
-        .groupBy(*keys)
-        .agg(
-            F.sort_array(F.collect_list(F.struct("start", "end", "type", "value", "token", "i"))).alias("_spans")
-        )
+    if known is not None:
+        numbered = numbered.unionByName(known.groupBy(*value_keys).agg(F.min("n").alias("n")))
+    per_row = (
+        found.join(numbered, value_keys).groupBy("_row")
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "type", "value", "n"))).alias("_numbered"))
     )
-    labels = F.transform("_spans", lambda s: s["token"])
-    tokens = F.transform(
-        "_spans",
-        lambda s: F.struct(
-            s["token"].alias("token"), s["value"].alias("value"), s["type"].alias("type"), s["i"].alias("seq")
-        ),
-    ).cast(schemas.TOKENS)
-    spans_or_none = F.coalesce(F.col("_spans"), F.array().cast(per_turn.schema["_spans"].dataType))
-    text = F.col(text_col)
+    spans, text = F.col("_numbered"), F.col(text_col)
+    done = let(
+        F.transform(spans, label),
+        lambda labels: F.struct(substitute(text, spans, labels).alias("sanitized"), tokens_of(spans, labels).alias("tokens")),
+    )
+    untouched = F.struct(text.alias("sanitized"), F.array().cast(schemas.TOKENS).alias("tokens"))
     return (
-        turns.join(per_turn, keys, "left")
-        .withColumns(
-            {
-                "sanitized": F.when(
-                    F.col("_spans").isNotNull(),
-                    let(spans_or_none, lambda xs: substitute(text, xs, labels)),
-                ).otherwise(text),
-                "tokens": F.coalesce(tokens, F.array().cast(schemas.TOKENS)),
-            }
-        )
-        .drop("_spans")
+        turns.withColumn("_row", key).join(per_row, "_row", "left")
+        .withColumn("_done", F.when(spans.isNotNull(), done).otherwise(untouched))
+        .withColumns({"sanitized": F.col("_done.sanitized"), "tokens": F.col("_done.tokens")})
+        .drop("_row", "_numbered", "_done")
     )

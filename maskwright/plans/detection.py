@@ -78,16 +78,23 @@ CUSTOM_ROWS = (
     ("email", r"\buser\d+\b", ""),
     ("", r"\d+", "high"),
     ("nopattern", "  ", "high"),
+    # What only the browser dialect says this way: a name with "_", braces that count nothing, matches of nothing.
+    ("named", r"(?<first_name>\bOn[a-z]{4}\b)|{id}", "high"),
+    ("optional", r"(?:\bThe[a-z]{5}\b)?", "medium"),
+    ("ahead", r"(?=q)", "high"),
 )
 CUSTOM_RULES = (
     Rule("TICKET", r"\b[A-Z][a-z]{2}\d{3,}\b", "medium", custom=True),
     Rule("GREETING", r"\bÉt[a-z]+\b|\bOf[a-z]{3}\b", custom=True),
     Rule("EMAIL", r"\buser\d+\b", custom=True),
+    Rule("NAMED", r"\bOn[a-z]{4}\b", custom=True),
+    Rule("OPTIONAL", r"\bThe[a-z]{5}\b", "medium", custom=True),
 )
 
 
 def _detect_custom(spark: SparkSession, sf: str) -> DataFrame:
-    table = spark.createDataFrame(CUSTOM_ROWS, "type string, pattern string, confidence string")
+    rows = [(*row, i) for i, row in reversed(list(enumerate(CUSTOM_ROWS)))]
+    table = spark.createDataFrame(rows, "type string, pattern string, confidence string, ord long")
     return explode_detections(detect(corpus(spark, sf), custom=rules_from(table)), KEYS)
 
 
@@ -96,7 +103,7 @@ register("detect_custom", _detect_custom, _detections_sql((*BUILT_IN, *CUSTOM_RU
 # Rule rows made of the items of the benchmark table, with gaps to be cleaned up.
 _RAW_RULES = (
     "SELECT CASE WHEN item_id % 5 = 0 THEN '  ' ELSE concat(' type_', cast(item_id as {text}), ' ') END AS type, "
-    "CASE WHEN item_id % 7 = 0 THEN NULL ELSE concat(' ', substr(text, 1, 12), ' ') END AS pattern, "
+    "CASE WHEN item_id % 7 = 0 THEN NULL ELSE concat(' ', text, ' ') END AS pattern, "
     "CASE WHEN item_id % 3 = 0 THEN NULL WHEN item_id % 3 = 1 THEN 'medium' ELSE '' END AS confidence FROM {source}"
 )
 
@@ -158,12 +165,31 @@ def dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(_DICTIONARY, items=spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
-def entities_sql(source: str, keys: Sequence[str]) -> str:
+# Every two words that stand side by side in a benchmark item.
+_PAIRS = (
+    "SELECT DISTINCT concat({one}, ' ', {two}) AS name, CASE length({one}) % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORG' ELSE 'GPE' END AS label "
+    "FROM {source}"
+)
+
+
+def word_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    words = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("regexp_extract_all(text, '[A-Za-z]+', 0) AS w")
+    pairs = words.selectExpr("w", "explode(sequence(1, greatest(size(w) - 1, 1))) AS i").where("i < size(w)")
+    return spark.sql(_PAIRS.format(one="w[i - 1]", two="w[i]", source="{pairs}"), pairs=pairs)
+
+
+_PAIRS_SQL = _PAIRS.format(
+    one="w[i]", two="w[i + 1]",
+    source="(SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark)) AS p",
+)
+
+
+def entities_sql(source: str, keys: Sequence[str], dictionary_sql: str = _DICTIONARY.format(items="benchmark")) -> str:
     """CTE ``tagged`` for the balanced policy."""
     k = oracle.listed(keys)
     return f"""names AS (SELECT name AS value, array_to_string(regexp_extract_all(name, '[\\p{{L}}\\p{{N}}_]+'), ' ') AS "key",
         CASE label WHEN 'PERSON' THEN 'PERSON' WHEN 'ORG' THEN 'ORGANIZATION' ELSE 'LOCATION' END AS type
-      FROM ({_DICTIONARY.format(items='benchmark')}) WHERE label IN ('PERSON', 'ORG', 'LOC', 'GPE') AND length(name) > 3),
+      FROM ({dictionary_sql}) WHERE label IN ('PERSON', 'ORG', 'LOC', 'GPE') AND length(name) > 3),
     padded AS (SELECT {k}, text, ' ' || array_to_string(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), ' ') || ' ' AS flat
       FROM {source}),
     tagged AS (SELECT DISTINCT {k}, type, value, CAST(strpos(text, value) - 1 AS INTEGER) AS start
@@ -171,7 +197,7 @@ def entities_sql(source: str, keys: Sequence[str]) -> str:
 
 
 def _entity_tag(spark: SparkSession, sf: str) -> DataFrame:
-    tagged = entity_tag(corpus(spark, sf), KEYS, dictionary(spark, sf))
+    tagged = entity_tag(corpus(spark, sf), dictionary(spark, sf))
     return explode_detections(tagged, KEYS, "entities").drop("seq")
 
 
@@ -184,8 +210,17 @@ register(
 )
 
 
+register(
+    "entity_tag_long",
+    lambda spark, sf: explode_detections(entity_tag(corpus(spark, sf), word_pairs(spark, sf)), KEYS, "entities").drop("seq"),
+    f"WITH {oracle.CORPUS}, {entities_sql('corpus', oracle.CORPUS_KEYS, _PAIRS_SQL)} "
+    "SELECT src, id, sub, type, value, start, CAST(start + length(value) AS INTEGER) AS \"end\", "
+    "CAST(0.82 AS DOUBLE) AS confidence, 'ner' AS source FROM tagged",
+)
+
+
 def _merge_entities(spark: SparkSession, sf: str) -> DataFrame:
-    tagged = entity_tag(detect(corpus(spark, sf)), KEYS, dictionary(spark, sf))
+    tagged = entity_tag(detect(corpus(spark, sf)), dictionary(spark, sf))
     merged = tagged.withColumn("merged", merge_entities(F.col("detections"), F.col("entities")))
     rows = explode_detections(merged, KEYS, "merged")
     return rows.select(*KEYS, "seq", "type", "value", "start", "source")

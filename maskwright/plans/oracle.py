@@ -1,7 +1,10 @@
 """SQL texts that compute the same results in DuckDB, for checking.
 
-They are written relationally (one row per match, window functions) and share
-no logic with the array expressions the jobs use.
+They are written relationally (one row per match, window functions), unlike the
+array expressions of the jobs.  Not all of it is independent: patterns and word
+lists come from the same fixed values, offsets are sums over a split text on both
+sides, and ``fake_label`` repeats the formula of the fake values.  The tests
+compare these with plain Python.
 """
 
 from __future__ import annotations
@@ -77,12 +80,30 @@ def covers(source: str, keys: Sequence[str], rules: Sequence[Rule] = BUILT_IN, a
       FROM merged m JOIN {source} s ON {' AND '.join(f'm.{x} = s.{x}' for x in keys)})"""
 
 
-def numbered(keys: Sequence[str], label: str = "printf('[%s_%02d]', type, n)") -> str:
-    """CTE ``labelled``: every detection with its token; equal values of a text share a number."""
-    k = listed(keys)
-    return f"""firsts AS (SELECT *, min(seq) OVER (PARTITION BY {k}, type, value) AS first_seq FROM dets),
-    counted AS (SELECT *, dense_rank() OVER (PARTITION BY {k}, type ORDER BY first_seq) AS n FROM firsts),
-    labelled AS (SELECT *, {label} AS token FROM counted)"""
+def numbered(
+    keys: Sequence[str], label: str = "printf('[%s_%02d]', type, n)", source: str = "", group: Sequence[str] = ()
+) -> str:
+    """CTE ``labelled``: every detection with its token; equal values of a text share a number.
+
+    With ``source``, numbers start behind the tokens its texts hold.  ``group`` names those of the keys (which then are
+    a conversation and its turns) over which numbers run.
+    """
+    k, g = listed(keys), listed(group or keys)
+    place = "turn * 1000000 + seq" if group else "seq"
+    if not source:
+        source_cte, more, join = "", "", ""
+    else:
+        pattern = quote(r"\[([^\[\]]+)_([0-9]{2,9})\]")
+        source_cte = (
+            f"tokens_held AS (SELECT {g}, unnest(regexp_extract_all(text, {pattern}, 1)) AS type, "
+            f"CAST(unnest(regexp_extract_all(text, {pattern}, 2)) AS BIGINT) AS held_n FROM {source}), "
+            f"held_last AS (SELECT {g}, type, max(held_n) AS largest FROM tokens_held GROUP BY ALL), "
+        )
+        more, join = " + coalesce(largest, 0)", f" LEFT JOIN held_last USING ({g}, type)"
+    texts = f"SELECT counted.*, text FROM counted JOIN (SELECT {k}, text FROM {source}) AS texts USING ({k})" if source else "SELECT *, '' AS text FROM counted"
+    return f"""{source_cte}firsts AS (SELECT *, min({place}) OVER (PARTITION BY {g}, type, value) AS first_seq FROM dets),
+    counted AS (SELECT firsts.*, dense_rank() OVER (PARTITION BY {g}, type ORDER BY first_seq){more} AS n FROM firsts{join}),
+    labelled AS (SELECT * EXCLUDE (text), {label} AS token FROM ({texts}))"""
 
 
 def rewritten(source: str, keys: Sequence[str]) -> str:
@@ -111,7 +132,7 @@ def hint_hits(source: str, keys: Sequence[str], rules: Sequence[Rule] = HINTS) -
 def fake_label(keys: Sequence[str], seed: int, mode: str) -> str:
     """SQL for the fake value of a detection; see ``operators.synthesize``."""
     from maskwright.operators.synthesize import (
-        AREA_CODES, CITIES, EMAIL_DOMAINS, FIRST_NAMES, LAST_NAMES, ORGANIZATIONS, STEP,
+        AREA_CODES, CITIES, EMAIL_DOMAINS, FIRST_NAMES, LAST_NAMES, ORGANIZATIONS, SECOND, STEP,
     )
 
     key = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
@@ -153,11 +174,17 @@ def fake_label(keys: Sequence[str], seed: int, mode: str) -> str:
         full = f"({body} || {check})"
         card = f"CASE WHEN n = 1 THEN {card} ELSE {' || chr(32) || '.join(f'substr({full}, {1 + 4 * i}, 4)' for i in range(4))} END"
     other = "'[' || type || ']'" if mode != "safe" else "CASE WHEN n = 1 THEN '[' || type || ']' ELSE printf('[%s#%d]', type, n - 1) END"
-    return (
+    usual = (
         f"CASE type {' '.join(cases)} WHEN 'CREDIT_CARD' THEN {card} "
         f"WHEN 'API_KEY' THEN 'sk-test' || substr(md5('{seed}|' || {key} || '|API_KEY|' || CAST(n - 1 AS VARCHAR)), 1, 20) "
         f"ELSE {other} END"
     )
+    if mode != "safe":
+        return usual
+    second = re.sub(r"\bn\b", f"(n + {SECOND})", usual)
+    fits = lambda f: f"NOT contains(text, {f}) AND (value = '' OR NOT contains({f}, value))"
+    last = f"printf('[%s#%d#%s]', type, n, substr(md5('{seed}|' || {key} || '|' || text), 1, 8))"
+    return f"CASE WHEN {fits(usual)} THEN {usual} WHEN {fits(second)} THEN {second} ELSE {last} END"
 
 
 def response_hits(source: str) -> str:

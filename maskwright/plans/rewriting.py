@@ -14,7 +14,7 @@ from maskwright.operators.review import (
     severity_label,
 )
 from maskwright.operators.synthesize import synthesize
-from maskwright.operators.vault import redact_conversations, restore_with_map
+from maskwright.operators.vault import redact_conversations, restore_with_map, synthesize_conversations
 from maskwright.operators.redact import token_map
 from maskwright.plans import oracle
 from maskwright.plans.catalog import corpus, documents, register
@@ -26,7 +26,7 @@ _CORPUS_REF = (
     f"WITH {oracle.CORPUS}, {oracle.detections('corpus', oracle.CORPUS_KEYS)}, {oracle.numbered(oracle.CORPUS_KEYS)}"
 )
 _CORPUS_SAFE = (
-    f"WITH {oracle.CORPUS}, {oracle.covers('corpus', oracle.CORPUS_KEYS)}, {oracle.numbered(oracle.CORPUS_KEYS)}"
+    f"WITH {oracle.CORPUS}, {oracle.covers('corpus', oracle.CORPUS_KEYS)}, {oracle.numbered(oracle.CORPUS_KEYS, source='corpus')}"
 )
 _TURNS_REF = (
     f"WITH {oracle.SEEDED}, {oracle.detections('seeded', oracle.TURN_KEYS)}, {oracle.numbered(oracle.TURN_KEYS)}"
@@ -83,9 +83,17 @@ register(
     "redact_conversation",
     _redact_conversation,
     f"WITH {oracle.SEEDED}, {oracle.covers('seeded', oracle.TURN_KEYS)}, "
-    "placed AS (SELECT *, min(turn * 1000000 + seq) OVER (PARTITION BY conv_id, type, value) AS first_place FROM dets), "
-    "labelled AS (SELECT *, printf('[%s_%02d]', type, dense_rank() OVER (PARTITION BY conv_id, type ORDER BY first_place)) AS token "
-    f"FROM placed), {oracle.rewritten('seeded', oracle.TURN_KEYS)} SELECT conv_id, turn, sanitized FROM rewritten",
+    f"{oracle.numbered(oracle.TURN_KEYS, source='seeded', group=('conv_id',))}, "
+    f"{oracle.rewritten('seeded', oracle.TURN_KEYS)} SELECT conv_id, turn, sanitized FROM rewritten",
+)
+register(
+    "synthesize_conversation",
+    lambda spark, sf: synthesize_conversations(
+        detect(seeded_turns(spark, sf).select(*TURN, "text"), occurrences="all"), seed=7
+    ).select(*TURN, "sanitized"),
+    f"WITH {oracle.SEEDED}, {oracle.covers('seeded', oracle.TURN_KEYS)}, "
+    f"{oracle.numbered(oracle.TURN_KEYS, oracle.fake_label(('conv_id',), 7, 'safe'), 'seeded', ('conv_id',))}, "
+    f"{oracle.rewritten('seeded', oracle.TURN_KEYS)} SELECT conv_id, turn, sanitized FROM rewritten",
 )
 
 
@@ -102,7 +110,7 @@ for _mode, _name, _spans in (("reference", "synthesize_ref", oracle.detections),
         _name,
         _synthesize(_mode),
         f"WITH {oracle.CORPUS}, {_spans('corpus', oracle.CORPUS_KEYS)}, "
-        f"{oracle.numbered(oracle.CORPUS_KEYS, oracle.fake_label(oracle.CORPUS_KEYS, 7, _mode))}, "
+        f"{oracle.numbered(oracle.CORPUS_KEYS, oracle.fake_label(oracle.CORPUS_KEYS, 7, _mode), 'corpus' if _mode == 'safe' else '')}, "
         f"{oracle.rewritten('corpus', oracle.CORPUS_KEYS)} SELECT src, id, sub, sanitized FROM rewritten",
     )
 

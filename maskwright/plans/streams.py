@@ -14,7 +14,7 @@ from maskwright import schemas
 from maskwright.plans import oracle
 from maskwright.plans.auditing import AUDIT, STATS
 from maskwright.plans.catalog import register
-from maskwright.plans.gating import SANITIZED_REF, SANITIZED_SAFE, allowlist
+from maskwright.plans.gating import SANITIZED_REF, SANITIZED_STREAM, allowlist
 from maskwright.plans.seed import seeded_turns
 from maskwright.plans.sessions import DEBOUNCED, VAULT, updates
 from maskwright.session import work_dir
@@ -62,7 +62,7 @@ def _sanitize(spark: SparkSession, sf: str) -> DataFrame:
 register(
     "stream_sanitize",
     _sanitize,
-    f"WITH {SANITIZED_SAFE} SELECT conv_id, turn, scanned, sanitized, pii_count, hints FROM sanitized",
+    f"WITH {SANITIZED_STREAM} SELECT conv_id, turn, scanned, sanitized, pii_count, hints FROM sanitized",
 )
 
 _ANSWERS = "answers AS (SELECT conv_id, turn, text FROM seeded WHERE role = 'assistant')"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from maskwright.dialect import BOUNDARY, ENDS_WORD, SPACE, STARTS_WORD, to_jvm
+from maskwright.dialect import BOUNDARY, ENDS_WORD, SPACE, STARTS_WORD, to_jvm, translate
 from maskwright.policy import Policy
 
 HIGH, MEDIUM = "high", "medium"
@@ -36,6 +36,11 @@ class Rule:
         """The pattern in the JVM dialect."""
         return self.jvm or ("(?i)" if self.ignore_case else "") + to_jvm(self.pattern)
 
+    @property
+    def can_be_empty(self) -> bool:
+        """The pattern can match nothing; such matches do not count."""
+        return not self.jvm and translate(self.pattern).can_be_empty
+
     @property
     def re2(self) -> str:
         """The pattern in the RE2 dialect."""

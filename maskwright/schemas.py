@@ -7,7 +7,7 @@ WARNINGS = "array<struct<type:string,value:string,reason:string>>"
 TOKENS = "array<struct<token:string,value:string,type:string,seq:int>>"
 
 TURNS = "conv_id long, turn long, role string, text string, domain string, ts timestamp"
-CUSTOM_RULES = "type string, pattern string, confidence string"
+CUSTOM_RULES = "type string, pattern string, confidence string, ord long"
 ALLOWLIST = "domain string"
 ENTITIES = "name string, label string"
 VAULT = "conv_id long, turn long, seq int, token string, value string"

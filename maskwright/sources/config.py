@@ -3,61 +3,53 @@
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright import schemas
-from maskwright.dialect import to_jvm
+from maskwright.dialect import InvalidPattern, Untranslatable, to_jvm
 from maskwright.functions.text import strip
 from maskwright.operators.gates import normalise_allowlist
 from maskwright.rules import HIGH, Rule
 
-# Every rule becomes part of the query plan, so a rule table has to stay a configuration.
-MAX_RULES = 1000
-# Texts on which a rule that can match nothing shows itself.
-_PROBES = ("", "a", "0", " ", "aA0 _-.@:/", "ab 12\ncd")
-
-
-def normalise_rules(raw: DataFrame) -> DataFrame:
+def normalise_rules(raw: DataFrame, *also: Column) -> DataFrame:
     """Trim, drop rules without type or pattern, upper-case the type, default the confidence."""
     return raw.select(
+        *also,
         F.upper(strip(F.col("type"))).alias("type"),
         strip(F.col("pattern")).alias("pattern"),
         F.coalesce(F.when(F.col("confidence") != "", F.col("confidence")), F.lit(HIGH)).alias("confidence"),
     ).where((F.length("type") > 0) & (F.length("pattern") > 0))
 
 
-def _usable(spark: SparkSession, regex: str) -> bool | None:
-    """None if the pattern does not compile, False if it can match the empty string.
-
-    Spark folds the constant expression on the driver; no task runs.
-    """
+def _compiles(spark: SparkSession, regex: str) -> bool:
+    """Spark folds the constant expression on the driver; no task runs."""
     try:
-        empty = [
-            F.exists(F.regexp_extract_all(F.lit(p), F.lit(regex), F.lit(0)), lambda m: m == "") for p in _PROBES
-        ]
-        return not any(spark.range(1).select(*empty).first())
+        spark.range(1).select(F.rlike(F.lit(""), F.lit(regex))).first()
     except PySparkException:
-        return None
+        return False
+    return True
 
 
 def rules_from(raw: DataFrame) -> list[Rule]:
-    """Custom rules of a table, in its row order.
+    """Custom rules of a table, in the order of its column ``ord`` (rows without one come last, as they are read).
 
-    If any pattern is invalid there are no custom rules at all.  A rule that can
-    match the empty string is left out.
+    Order decides ties, and which of two equal hits is kept.  If any pattern is invalid there are no custom rules at
+    all.  A valid pattern that the JVM cannot run raises: leaving it out would let texts pass unredacted.  Rules are part
+    of the query plan and so come to the driver; they are a configuration.
     """
     spark = raw.sparkSession
-    kept = normalise_rules(raw).limit(MAX_RULES + 1).collect()
-    if len(kept) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} custom rules")
+    position = F.col("ord").cast("long") if "ord" in raw.columns else F.lit(None).cast("long")
+    rows = normalise_rules(raw, position.alias("ord")).collect()
     rules = []
-    for row in kept:
-        usable = _usable(spark, to_jvm(row.pattern))
-        if usable is None:
+    for row in sorted(rows, key=lambda r: (r.ord is None, r.ord or 0)):
+        try:
+            regex = to_jvm(row.pattern)
+        except InvalidPattern:
             return []
-        if usable:
-            rules.append(Rule(row.type, row.pattern, row.confidence, custom=True))
+        if not _compiles(spark, regex):
+            raise Untranslatable(f"rule {row.type}: {row.pattern}")
+        rules.append(Rule(row.type, row.pattern, row.confidence, custom=True))
     return rules
 
 

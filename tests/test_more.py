@@ -9,6 +9,7 @@ from maskwright.functions.hashing import prompt_hash
 from maskwright.functions.text import host_of, is_blank, preview, strip, utf16_length
 from maskwright.operators import entities as ent
 from maskwright.operators.audit import audit_entries, audit_json, audit_report, detector_quality, recent, retained, session_stats
+from maskwright.dialect import InvalidPattern, translate
 from maskwright.operators.detect import detect
 from maskwright.operators.gates import classify_platform, supported_host
 from maskwright.operators.hints import semantic_hits
@@ -16,6 +17,7 @@ from maskwright.operators.responses import pii_warnings, scan_with_map
 from maskwright.operators.review import findings, high_risk_flag, high_risk_types
 from maskwright.plans.sanitize import sanitize
 from maskwright.policy import Policy
+from maskwright.rules import Rule
 from maskwright.session import work_dir
 from maskwright.sources.config import load_allowlist, load_custom_rules, load_entities, rules_from
 from maskwright.sources.tables import append_audit, export_audit_json, read_audit, read_turns, write_token_vault
@@ -64,9 +66,8 @@ NAMES = [
 ]
 
 
-@pytest.mark.parametrize("limit", [512, 0])
-def test_entities(spark, texts, monkeypatch, limit):
-    monkeypatch.setattr(ent, "LITERAL_NAMES", limit)
+@pytest.mark.parametrize("lookup", ent.LOOKUPS)
+def test_entities(spark, texts, lookup):
     names = spark.createDataFrame(NAMES, "name string, label string")
     df = texts(
         "Anna Lee of Acme left New York; Acme stayed", "New\nYork", "Ann saw the Bank of the Far East", "Acmes", "", None,
@@ -74,7 +75,7 @@ def test_entities(spark, texts, monkeypatch, limit):
     )
 
     def tagged(policy, occurrences="first"):
-        rows = ent.entity_tag(df, ["id"], names, policy=policy, occurrences=occurrences).orderBy("id").collect()
+        rows = ent.entity_tag(df, names, policy=policy, occurrences=occurrences, lookup=lookup).orderBy("id").collect()
         return [[(e.type, e.value, e.start) for e in r.entities or []] for r in rows]
 
     balanced = tagged(Policy())
@@ -89,9 +90,21 @@ def test_entities(spark, texts, monkeypatch, limit):
     assert tagged(Policy(), "all")[0][-1] == ("ORGANIZATION", "Acme", 32)
 
 
+@pytest.mark.parametrize("lookup", ent.LOOKUPS)
+def test_what_a_text_holds_depends_on_the_text_alone(spark, lookup):
+    names = spark.createDataFrame([(f"Name{i} z", "PERSON") for i in range(700)] + [("E\\E+ x", "ORG")], "name string, label string")
+    rows = [(None, "Name1 z"), (None, None), (1, "no xName2 zx here, Name2 z!"), (1, "Name3 z"), (1, "Name3 z"), (2, "E\\E+ x, E\\E+ xx \x01")]
+    df = spark.createDataFrame(rows, "conv_id long, text string")
+    got = ent.entity_tag(df, names, occurrences="all", lookup=lookup).collect()
+    assert sorted((str(r.conv_id), str(r.text), [(e.value, e.start) for e in r.entities]) for r in got) == sorted([
+        ("None", "Name1 z", [("Name1 z", 0)]), ("None", "None", []), ("1", rows[2][1], [("Name2 z", 19)]),
+        ("1", "Name3 z", [("Name3 z", 0)]), ("1", "Name3 z", [("Name3 z", 0)]), ("2", rows[5][1], [("E\\E+ x", 0)]),
+    ])
+
+
 def test_entity_confidence_and_merge(spark, texts):
     names = spark.createDataFrame([("Ann", "PERSON"), ("Acme", "ORG")], "name string, label string")
-    row = ent.entity_tag(detect(texts("Ann a@b.com Acme")), ["id"], names, policy=Policy(sensitivity="strict")).withColumn(
+    row = ent.entity_tag(detect(texts("Ann a@b.com Acme")), names, policy=Policy(sensitivity="strict")).withColumn(
         "merged", ent.merge_entities(F.col("detections"), F.col("entities"))
     ).first()
     assert [(d.type, d.confidence, d.source) for d in row.merged] == [
@@ -116,13 +129,36 @@ def test_custom_rules(spark):
     assert [(r.type, r.pattern, r.confidence, r.custom) for r in rules] == [
         ("TICKET", "T-\\d+", "high", True), ("LOW", "lo+w", "medium", True),
     ]
-    # One pattern that does not compile switches all of them off; one that matches nothing is left out.
+    # One invalid pattern switches all of them off; a valid one that the JVM cannot run is an error.
     assert load({"type": "a", "pattern": "a"}, {"type": "b", "pattern": "(b"}) == []
-    assert [r.type for r in load({"type": "a", "pattern": "a"}, {"type": "b", "pattern": "b*"}, {"type": "c", "pattern": "\\b"})] == ["A"]
+    assert load({"type": "a", "pattern": "a"}, {"type": "b", "pattern": "a++"}) == []
+    with pytest.raises(ValueError):
+        load({"type": "a", "pattern": "a"}, {"type": "b", "pattern": r"\k<later>(?<later>a)"})
+    assert [r.type for r in load({"type": "b", "pattern": "b", "ord": 2}, {"type": "c", "pattern": "c"}, {"type": "a", "pattern": "a", "ord": 1})] == ["A", "B", "C"]
     assert load_custom_rules(spark, "/nonexistent/rules.json") == []
     assert rules_from(spark.createDataFrame([], "type string, pattern string, confidence string")) == []
 
 
+BROWSER_RULES = [
+    (r"(?<first_name>Bob)", "x Bob Bobby", [("Bob", 2), ("Bob", 6)]), ("{id}", "a {id} {id}", [("{id}", 2), ("{id}", 7)]),
+    ("a{,3}b", "aab a{,3}b", [("a{,3}b", 4)]), (r"[\b]x", "\bx bx", [("\bx", 0)]), (r"\p{L}", "Lp{L}", [("p{L}", 1)]),
+    (r"\Ax", "yAx", [("Ax", 1)]), ("(?=q)", "aq q", []), ("x*", "axxbx", [("xx", 1), ("x", 4)]), (r"(a)\1|", "aa b aa", [("aa", 0), ("aa", 5)]),
+    (r"\v|\cJ", "a\x0bb\nc", [("\x0b", 1), ("\n", 3)]), ("[a&&b]+", "a&b|c", [("a&b", 0)]), ("y*", "\U0001f600\U0001f600 yy\U0001f600y", [("yy", 3), ("y", 6)]), (r"\bé", "é aé", [("é", 3)]),
+]
+
+
+@pytest.mark.parametrize("pattern, text, want", BROWSER_RULES)
+def test_browser_dialect(texts, pattern, text, want):
+    found = detect(texts(text), policy=Policy().with_profile("none"), custom=[Rule("R", pattern, custom=True)], occurrences="all").first()
+    assert [(d.value, d.start) for d in found.detections if d.type == "R"] == want
+
+
+@pytest.mark.parametrize("pattern", ["(", "a)", "*a", "a++", "(?>a)", "(?i)a", "[a", "a{3,2}", "\\", "a**", "(?<1>x)", "(?<=a)*"])
+def test_invalid_patterns(pattern):
+    with pytest.raises(InvalidPattern):
+        translate(pattern)
+
+
 def test_allowlist_and_dictionary_files(spark):
     path = write_text(spark, "allow", '{"domain": " Intra.Example.org "}', '{"domain": "intra.example.org"}', '{"domain": " "}')
     assert [r.domain for r in load_allowlist(spark, path).collect()] == ["intra.example.org"]
@@ -134,12 +170,15 @@ def test_allowlist_and_dictionary_files(spark):
 
 def test_hosts(spark):
     rows = spark.createDataFrame(
-        [("https://Claude.AI/chat",), ("http://chat.openai.com:80/x",), ("https://x.gemini.google.com",), ("nonsense",), ("http://[bad",), (None,)],
+        [("https://Claude.AI/chat",), ("http://chat.openai.com:80/x",), ("https://x.gemini.google.com",), ("nonsense",), ("http://[bad",), (None,),
+         ("https://a_b.Example.com/x",), ("https://a.example.com/x?q=a|b",), ("https://a.example.com/a b",), ("https://user:p@w@h.org:8080?x",),
+         ("http://[2001:db8::1]:80/",), ("https://bücher.example/",), ("ftp:///x",)],
         "url string",
     ).select(host_of(F.col("url")).alias("h"), classify_platform(host_of(F.col("url"))).alias("p"), supported_host(F.col("url")).alias("s"))
-    assert [(r.h, r.p) for r in rows.collect()] == [
+    assert [(r.h, r.p) for r in rows.collect()][:6] == [
         ("claude.ai", "claude"), ("chat.openai.com", "chatgpt"), ("x.gemini.google.com", "gemini"), ("", None), ("", None), ("", None),
     ]
+    assert [r.h for r in rows.collect()][6:] == ["a_b.example.com", "a.example.com", "a.example.com", "h.org", "[2001:db8::1]", "bücher.example", ""]
     assert [r.s for r in rows.collect()][1:4] == [True, True, False]
 
 

@@ -24,6 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FEATURES = 4096
 #: Labelled documents of each language that are learned from: those with the least hash of their id.
 PER_LANGUAGE = 400
+#: Languages that are learned: those with the most documents.
+LANGUAGES = 200
 UNKNOWN = "und"
 
 # Families of languages by ISO 639-1 code. A language not listed is a family of its own.
@@ -137,19 +139,26 @@ def learnable(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """Learn from up to ``per_language`` labelled texts of each language (of rows that share an id, one).
+def train(
+    docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    languages: int = LANGUAGES,
+) -> LanguageModel | None:
+    """Learn from up to ``per_language`` labelled texts (of rows that share an id, one) of up to ``languages`` languages.
 
-    Rows without id, language or letter and held-out rows are not learned from.  Ranking moves only ids; the texts of
-    the sample are found by a broadcast of at most ``per_language`` ids for each language; its feature vectors, of a
-    fixed length, come to the driver.  None if there is nothing to learn from.
+    Rows without id, language or letter and held-out rows are not learned from.  A share of each language, by a hash of
+    the id, is ranked: twice what is wanted on average, so that a language of any size gives a few rows.  The texts of
+    the sample are found by a broadcast of at most ``per_language * languages`` ids; its feature vectors, of a fixed
+    length, come to the driver.  None if there is nothing to learn from.
     """
     usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         learnable(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     )
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = (
-        usable.groupBy("id", "lang").agg(F.lit(1).alias("one")).withColumn("rank", F.row_number().over(order))
+        usable.select("id", "lang").join(F.broadcast(counts), "lang").where(draw * F.col("count") < 2 * per_language)
+        .select("id", "lang").distinct().withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= per_language).select("id", "lang")
     )
 

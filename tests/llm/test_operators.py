@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
-import brute
+import plain
 
 from maskwright.llm import bpe, components, hnsw, langid, licenses, mixing, paragraphs, quality, queries, sharding, simhash, urlfilter
 
@@ -40,7 +40,7 @@ def test_components(llm_spark, seed):
     nodes = range(120)
     links = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(90)] + [(i, i + 1) for i in range(60, 90)] + [(5, 5), (None, 3)]
     have = {frozenset(x) for x in links if None not in x}
-    want = brute.groups({n for x in have for n in x}, lambda a, b: frozenset((a, b)) in have)
+    want = plain.groups({n for x in have for n in x}, lambda a, b: frozenset((a, b)) in have)
     linked = {n for x in have if len(x) == 2 for n in x}
     got = {r.node: r.root for r in components.components(llm_spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: r for n, r in want.items() if n in linked}
@@ -68,7 +68,7 @@ def test_golay_words():
 
 def test_fingerprints_equal_plain_ones(odd_rows, docs):
     texts = [r[1] for r in odd_rows if len(r[1] or "") < 200_000] + [r.text for r in docs.limit(30).collect()]
-    assert [simhash.fingerprint_of(t) & (1 << 64) - 1 for t in texts] == [brute.simhash(t) for t in texts]
+    assert [simhash.fingerprint_of(t) & (1 << 64) - 1 for t in texts] == [plain.simhash(t) for t in texts]
 
 
 @pytest.mark.parametrize("paired", [1024, 1])
@@ -79,7 +79,7 @@ def test_fingerprint_links(llm_spark, paired):
         center = rng.getrandbits(64)
         prints |= {center ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 2, 3, 4]))) for _ in range(8)}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    want = brute.groups(signed, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
+    want = plain.groups(signed, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
     links = simhash.fingerprint_links(llm_spark.createDataFrame([(p,) for p in signed], "fp long"), paired=paired)
     assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3 for r in links.collect())
     got = {p: p for p in signed} | {r.node: r.root for r in components.components(links).collect()}
@@ -88,8 +88,8 @@ def test_fingerprint_links(llm_spark, paired):
 
 def test_simhash_query(llm_spark, docs, sf):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op1_simhash(llm_spark, sf).collect()}
-    prints = {r.doc_id: brute.simhash(r.text) for r in docs.collect()}
-    want = brute.groups(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    prints = {r.doc_id: plain.simhash(r.text) for r in docs.collect()}
+    want = plain.groups(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
     assert got == {d: (f"{p:016x}", want[d]) for d, p in prints.items()}
 
 
@@ -120,7 +120,7 @@ def test_base_numbers(llm_spark, odd, docs, none):
         got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in judged.collect())
         want = Counter()
         for r in df.select("doc_id", "text").collect():
-            s = brute.base_stats(r.text)
+            s = plain.base_stats(r.text)
             want[(r.doc_id, *s, s[0] < 50 or 100 * s[4] > 50 * s[0])] += 1
         assert got == want
         assert not judged.where("kept and base_failed").count()
@@ -161,7 +161,7 @@ def test_mixing_by_brute_force(llm_spark, docs, odd):
         for r in df.select("doc_id", "source", "text").collect():
             who = str(r.doc_id) if r.doc_id is not None else hashlib.md5((r.text or "").encode()).hexdigest()
             u = int(hashlib.md5(f"0:n:{who}".encode()).hexdigest()[:13], 16) / 2**52
-            copies[(r.doc_id, r.source)] += brute.poisson_quantile(rate[r.source], u) if rate[r.source] else 0
+            copies[(r.doc_id, r.source)] += plain.poisson_quantile(rate[r.source], u) if rate[r.source] else 0
         rows_ = got.collect()
         assert Counter((r.doc_id, r.source) for r in rows_) == +copies
         assert set(got.columns) == set(df.columns) | {"n_copies", "copy", "order_key"}
@@ -182,7 +182,7 @@ def test_mixing_nothing(none):
 
 def test_poisson_of_large_rate(llm_spark):
     row = llm_spark.range(1).select(F.size(F.filter(mixing.poisson_table(F.lit(1000.0)), lambda c: c <= 0.5)).alias("k")).first()
-    assert row.k == brute.poisson_quantile(1000.0, 0.5)
+    assert row.k == plain.poisson_quantile(1000.0, 0.5)
 
 
 # Neighbours
@@ -247,9 +247,9 @@ def test_alignment_is_a_common_subsequence():
         pairs = licenses.align(a, b)
         assert all(a[i] == b[j] for i, j in pairs)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
-        assert len(pairs) <= brute.longest_common(a, b)
+        assert len(pairs) <= plain.longest_common(a, b)
         if len(set(a)) == len(a) and len(set(b)) == len(b):
-            assert len(pairs) == brute.longest_common(a, b)
+            assert len(pairs) == plain.longest_common(a, b)
 
 
 def test_notices_are_found(llm_spark, odd, none):
@@ -323,7 +323,7 @@ def test_similar_paragraphs_by_brute_force(llm_spark, block):
 
     links = paragraphs.paragraph_links(table, block=block).collect()
     assert links and all(similar(r.a, r.b) for r in links)
-    want = brute.groups(sets, similar)
+    want = plain.groups(sets, similar)
     got = {d: d for d in sets} | {r.node: r.root for r in components.components(llm_spark.createDataFrame(links, "a long, b long")).collect()}
     together = [(a, b) for a in sets for b in sets if a < b and want[a] == want[b]]
     assert sum(got[a] == got[b] for a, b in together) >= 0.95 * len(together)
@@ -343,7 +343,7 @@ def test_paragraphs_cover_the_text(odd_rows):
     doc, start, n, _, offsets, _ = paragraphs.cut_paragraphs([r[1] for r in odd_rows])
     for i, row in enumerate(odd_rows):
         own = doc == i
-        assert n[own].sum() == len(brute.words(row[1])) and (start[own] == np.r_[0, np.cumsum(n[own])[:-1]][: own.sum()]).all()
+        assert n[own].sum() == len(plain.words(row[1])) and (start[own] == np.r_[0, np.cumsum(n[own])[:-1]][: own.sum()]).all()
     assert (np.diff(offsets) > 0).all()
 
 
@@ -393,18 +393,18 @@ def test_url_verdicts(llm_spark):
     ]
     df = llm_spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls + urls[:3])], "page_id long, url string, rule string")
 
-    def plain(url):
+    def judged(url):
         host = path = ""
         if url and "://" in url:
             rest = url.split("://", 1)[1]
             end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
-            host, tail = rest[:end].translate(brute.LOWER), rest[end:]
+            host, tail = rest[:end].translate(plain.LOWER), rest[end:]
             path = tail[: min([tail.find(c) for c in "?#" if c in tail], default=len(tail))]
         fits = [(len(h + p), h + p, a) for a, h, p in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fits, default=(0, None, "allow"))
         return host, path, best[1], best[2]
 
-    want = sorted(((i, *plain(u)) for i, u in enumerate(urls + urls[:3])), key=repr)
+    want = sorted(((i, *judged(u)) for i, u in enumerate(urls + urls[:3])), key=repr)
     for limit in (urlfilter.MAX_BYTES, 1):
         assert rows(urlfilter.url_verdicts(df, queries.URL_RULES, max_bytes=limit)) == want
     assert urlfilter.url_verdicts(df.where("false"), queries.URL_RULES).count() == 0

@@ -4,7 +4,7 @@ from collections import Counter
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
-import brute
+import plain
 
 import corpus_pipeline as pipeline
 from maskwright.session import staged
@@ -16,11 +16,11 @@ def test_stages_by_brute_force(llm_spark, docs, sf):
     kept = staged(pipeline.language(llm_spark, docs, sf), "test")
     assert kept.columns == COLUMNS
     have = {r.doc_id for r in kept.collect()}
-    assert all(r.doc_id in have for r in docs.collect() if len(brute.words(r.text)) >= 20)
+    assert all(r.doc_id in have for r in docs.collect() if len(plain.words(r.text)) >= 20)
 
     single = staged(pipeline.near_copies(llm_spark, kept, sf), "test")
-    prints = {r.doc_id: brute.simhash(r.text) for r in kept.collect()}
-    group = brute.groups(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    prints = {r.doc_id: plain.simhash(r.text) for r in kept.collect()}
+    group = plain.groups(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
     assert {r.doc_id for r in single.collect()} == set(group.values()) and single.columns == COLUMNS
 
     cut = staged(pipeline.passages(llm_spark, single, sf), "test")
@@ -42,7 +42,7 @@ def test_stages_by_brute_force(llm_spark, docs, sf):
     want = Counter()
     for r in rows:
         u = int(hashlib.md5(f"0:n:{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
-        want[r.doc_id] += brute.poisson_quantile(n[r.source] ** 0.5 * scale / n[r.source], u)
+        want[r.doc_id] += plain.poisson_quantile(n[r.source] ** 0.5 * scale / n[r.source], u)
     assert Counter(r.doc_id for r in mixed.collect()) == +want and mixed.columns == COLUMNS
 
     last = pipeline.tokens(llm_spark, mixed, sf).collect()

@@ -38,4 +38,4 @@ def prompt_hash(text: Column) -> Column:
 def audit_id(ts: Column, key: Column) -> Column:
     """Base-36 milliseconds and four base-36 digits that depend on the row only."""
     digits = F.lower(F.conv(F.substring(F.md5(key), 1, 12), 16, 36))
-    return F.concat(F.lower(F.conv(F.unix_millis(ts).cast("string"), 10, 36)), F.right(F.lpad(digits, 4, "0"), F.lit(4)))
+    return F.concat(F.lower(F.conv(F.unix_millis(ts).cast("string"), 10, 36)), F.right(F.concat(F.lit("0000"), digits), F.lit(4)))

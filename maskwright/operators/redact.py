@@ -162,9 +162,9 @@ TOKEN = r"\[([^\[\]]+)_([0-9]{2,9})\]"
 
 def tokens_in(text: Column) -> Column:
     """Tokens a text holds already, as an array of ``struct<type, n>``."""
-    kinds, numbers = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(2))
-    return F.array_distinct(
-        F.transform(F.arrays_zip(kinds.alias("type"), numbers.alias("n")), lambda z: F.struct(z["type"].alias("type"), z["n"].cast("long").alias("n")))
+    return F.transform(
+        F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))),
+        lambda t: F.struct(F.regexp_extract(t, TOKEN, 1).alias("type"), F.regexp_extract(t, TOKEN, 2).cast("long").alias("n")),
     )
 
 

@@ -10,7 +10,7 @@ from maskwright.functions.arrays import let
 from maskwright.functions.text import at_least, strip
 from maskwright.operators.detect import HAS_DIGIT, rule_hits
 from maskwright.operators.gates import MIN_RESPONSE
-from maskwright.operators.ordered import next_within, previous_value
+from maskwright.operators.ordered import RANGE, next_within, previous_value
 from maskwright.operators.vault import candidate_rows
 from maskwright.rules import BUILT_IN, RESPONSE_TYPES
 
@@ -26,13 +26,17 @@ def latest_response(turns: DataFrame) -> DataFrame:
     )
 
 
-def response_gate(responses: DataFrame, text_col: str = "text") -> DataFrame:
+# An hour, where answers are ordered by microseconds instead of turns.
+_GATE_RANGE = 3_600_000_000
+
+
+def response_gate(responses: DataFrame, text_col: str = "text", width: int = RANGE) -> DataFrame:
     """Answers worth scanning: at least 20 characters, and not the text scanned just before."""
     long_enough = responses.withColumn(text_col, strip(F.col(text_col))).where(
         at_least(F.col(text_col), MIN_RESPONSE)
     )
     return (
-        previous_value(long_enough, ["conv_id"], "turn", text_col, "_before")
+        previous_value(long_enough, ["conv_id"], "turn", text_col, "_before", width)
         .where(F.col("_before").isNull() | (F.col("_before") != F.col(text_col)))
         .drop("_before")
     )
@@ -105,6 +109,19 @@ def scan_responses(
     )
 
 
+def scan_updates(updates: DataFrame, vault: DataFrame, gap_ms: int = DEBOUNCE_MS, any_shape: bool = False) -> DataFrame:
+    """The whole way of an answer: changes of its text, quiet periods, the gate, the scan.
+
+    ``updates`` has ``conv_id, ts, text``, one row per change; ``vault`` has ``conv_id, ts, seq, token`` with the time of
+    the prompt.  One row per scanned text, as of its time: ``conv_id, ts, warnings, token_echo, echo_detected``.
+    """
+    quiet = debounce_responses(updates, gap_ms=gap_ms).withColumn("turn", F.unix_micros(F.col("ts").cast("timestamp")))
+    worth = response_gate(quiet, width=_GATE_RANGE)
+    written = vault.withColumn("turn", F.unix_micros(F.col("ts").cast("timestamp")))
+    scanned = scan_responses(worth, written, any_shape=any_shape)
+    return scanned.withColumn("ts", F.timestamp_micros("turn")).drop("turn")
+
+
 def scan_with_map(text: Column, token_map: Column) -> Column:
     """Warnings for an answer whose token map is held in the same row."""
     echoes = F.transform(

@@ -35,28 +35,29 @@ def high_risk_types(detections: Column) -> Column:
     return F.filter(distinct_types(detections), lambda t: t.isin(*HIGH_RISK_TYPES))
 
 
-def route(df: DataFrame, on_high_risk: str = "redact", text_col: str = "text") -> DataFrame:
-    """Decide per row what is sent on, and record it.
-
-    Adds ``action`` (``clean``, ``redacted``, ``original`` or ``quarantined``)
-    and ``outgoing`` (null while quarantined).
-    """
+def action_of(detections: Column, on_high_risk: str) -> Column:
+    """``clean``, ``redacted``, ``original`` or ``quarantined``."""
     if on_high_risk not in DECISIONS:
         raise ValueError(f"on_high_risk must be one of {DECISIONS}, not {on_high_risk!r}")
     taken = {"redact": "redacted", "original": "original", "quarantine": "quarantined"}[on_high_risk]
-    action = (
-        F.when(high_risk_flag(F.col("detections")), F.lit(taken))
-        .when(F.size("detections") > 0, F.lit("redacted"))
-        .otherwise(F.lit("clean"))
-    )
-    return df.withColumn("action", action).withColumn(
-        "outgoing",
-        F.when(F.col("action") == "original", F.col(text_col)).when(
-            F.col("action") != "quarantined", F.col("sanitized")
-        ),
+    return (
+        F.when(high_risk_flag(detections), F.lit(taken)).when(F.size(detections) > 0, F.lit("redacted")).otherwise(F.lit("clean"))
     )
 
 
+def outgoing(action: Column, text: Column) -> Column:
+    return F.when(action == "original", text).when(action != "quarantined", F.col("sanitized"))
+
+
+def route(df: DataFrame, on_high_risk: str = "redact", text_col: str = "text") -> DataFrame:
+    """Decide per row what is sent on, and record it.
+
+    Adds ``action`` and ``outgoing`` (null while quarantined).
+    """
+    action = action_of(F.col("detections"), on_high_risk)
+    return df.withColumn("action", action).withColumn("outgoing", outgoing(F.col("action"), F.col(text_col)))
+
+
 def split_quarantine(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows to send and the rows held back."""
     held = F.col("action") == "quarantined"

@@ -18,7 +18,10 @@ from maskwright.plans.catalog import documents, register
 from maskwright.plans.gating import SANITIZED_REF, prompts
 from maskwright.plans.seed import SEEDED_TYPES
 from maskwright.plans.sessions import sanitized
+from maskwright.policy import Policy
 from maskwright.rules import BUILT_IN
+from maskwright.session import work_dir
+from maskwright.sources.tables import append_audit, purge_audit, read_audit
 
 # "Now" of the retention query: 30 days and 4 hours after the first seeded turn.
 NOW_MS = 1704067200000 + 30 * 86_400_000 + 4 * 3_600_000
@@ -38,7 +41,9 @@ def _hash_sql(text: str) -> str:
 _ID = (
     "array_to_string(list_transform([7, 6, 5, 4, 3, 2, 1, 0], lambda p: "
     "substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((epoch_ms(s.ts) // CAST(pow(36, p) AS BIGINT)) % 36 AS INTEGER) + 1, 1)), '') "
-    "|| substr(md5(CAST(s.conv_id AS VARCHAR) || '|' || CAST(s.turn AS VARCHAR)), 1, 4)"
+    "|| array_to_string(list_transform([3, 2, 1, 0], lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST("
+    "(CAST('0x' || substr(md5(CAST(s.conv_id AS VARCHAR) || '|' || CAST(s.turn AS VARCHAR)), 1, 12) AS BIGINT) "
+    "// CAST(pow(36, p) AS BIGINT)) % 36 AS INTEGER) + 1, 1)), '')"
 )
 AUDIT = (
     f"{SANITIZED_REF}, type_firsts AS (SELECT conv_id, turn, type, min(seq) AS seq FROM dets GROUP BY ALL), "
@@ -83,6 +88,21 @@ register(
     lambda spark, sf: retained(audit(spark, sf), NOW_MS).select("id", F.unix_millis("ts").alias("ts_ms")),
     f"WITH {AUDIT} SELECT id, epoch_ms(ts) AS ts_ms FROM audit WHERE epoch_ms(ts) >= {NOW_MS - 30 * 86_400_000}",
 )
+
+
+def _purged(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as a table, from which a job has removed the days that are too old."""
+    path = work_dir(spark, "audit")
+    append_audit(audit(spark, sf), path)
+    purge_audit(spark, path, Policy(audit_retention_days=3), NOW_MS - 27 * 86_400_000)
+    return read_audit(spark, path).select("id", F.col("day").cast("string").alias("day"))
+
+
+register(
+    "audit_purge",
+    _purged,
+    f"WITH {AUDIT} SELECT id, CAST(day AS VARCHAR) AS day FROM audit WHERE day >= CAST(make_timestamp({NOW_MS - 30 * 86_400_000} * 1000) AS DATE)",
+)
 STATS = "SELECT count(*) AS prompts_processed, CAST(coalesce(sum(pii_count), 0) AS BIGINT) AS pii_caught FROM sanitized WHERE scanned"
 register("session_stats", lambda spark, sf: session_stats(sanitized(spark, sf)), f"WITH {SANITIZED_REF} {STATS}")
 register(

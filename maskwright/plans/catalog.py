@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.plans.seed import seeded_turns
-from maskwright.session import spread
+from maskwright.sources.tables import read_table
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +30,7 @@ def register(name: str, run: Job, sql: str | None = None) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *(columns or ("text",)))
-    return spread(table, "doc_id")
+    return read_table(spark, f"{sf_dir}/documents.parquet", "doc_id").select("doc_id", *(columns or ("text",)))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

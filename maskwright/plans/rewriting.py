@@ -10,8 +10,8 @@ from maskwright.operators.detect import detect, explode_detections
 from maskwright.operators.padding import jitter_timestamps, pad_texts
 from maskwright.operators.redact import explode_tokens, redact
 from maskwright.operators.review import (
-    DECISIONS, DETECTION_PREVIEW, TOKEN_PREVIEW, diff_segments, high_risk_flag, high_risk_types, route, severity,
-    severity_label,
+    DECISIONS, DETECTION_PREVIEW, TOKEN_PREVIEW, action_of, diff_segments, high_risk_flag, high_risk_types, outgoing,
+    severity, severity_label,
 )
 from maskwright.operators.synthesize import synthesize
 from maskwright.operators.vault import redact_conversations, restore_with_map, synthesize_conversations
@@ -143,12 +143,18 @@ register(
 
 
 def _route(spark: SparkSession, sf: str) -> DataFrame:
-    done = _scanned(spark, sf)
-    parts = [
-        route(done, decision).select(F.lit(decision).alias("decision"), *TURN, "action", "outgoing")
-        for decision in DECISIONS
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """All three decisions over one scan."""
+    text, done = F.col("text"), _scanned(spark, sf)
+    decided = done.select(
+        *TURN,
+        F.explode(
+            F.array(*[
+                F.struct(F.lit(d).alias("decision"), action_of(F.col("detections"), d).alias("action"), outgoing(action_of(F.col("detections"), d), text).alias("outgoing"))
+                for d in DECISIONS
+            ])
+        ).alias("r"),
+    )
+    return decided.select("r.decision", *TURN, "r.action", "r.outgoing")
 
 
 register(
@@ -185,13 +191,17 @@ register(
 
 
 def _preview(spark: SparkSession, sf: str) -> DataFrame:
-    values = explode_detections(detect(corpus(spark, sf)), KEYS).select(*KEYS, "seq", "value")
-    texts = corpus(spark, sf).select(*KEYS, F.lit(-1).alias("seq"), F.col("text").alias("value"))
-    return values.unionByName(texts).select(
+    """Every value and, as number -1, the text, over one scan."""
+    shown = F.concat(
+        F.array(F.struct(F.lit(-1).alias("seq"), F.col("text").alias("value"))),
+        F.transform("detections", lambda d, i: F.struct(i.alias("seq"), d["value"].alias("value"))),
+    )
+    rows = detect(corpus(spark, sf)).select(*KEYS, F.explode(shown).alias("s"))
+    return rows.select(
         *KEYS,
-        "seq",
-        preview(F.col("value"), DETECTION_PREVIEW).alias("detection"),
-        preview(F.col("value"), TOKEN_PREVIEW).alias("token_value"),
+        "s.seq",
+        preview(F.col("s.value"), DETECTION_PREVIEW).alias("detection"),
+        preview(F.col("s.value"), TOKEN_PREVIEW).alias("token_value"),
     )
 
 

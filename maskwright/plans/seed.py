@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.session import spread
+from maskwright.sources.tables import read_table
 
 SEEDED_TURNS = """
 SELECT conv_id, turn, role,
@@ -53,5 +53,5 @@ DUCKDB_SQL = SEEDED_TURNS.format(epoch_seconds=f"make_timestamp(({_SECONDS}) * 1
 
 
 def seeded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn")
+    conversations = read_table(spark, f"{sf_dir}/conversations.parquet", "conv_id", "turn")
     return spark.sql(SPARK_SQL.replace("FROM conversations", "FROM {conversations}"), conversations=conversations)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.operators.responses import debounce_responses, latest_response, response_gate, scan_responses
+from maskwright.operators.responses import debounce_responses, latest_response, response_gate, scan_responses, scan_updates
+from maskwright.operators.redact import explode_tokens
 from maskwright.operators.vault import drop_session_tokens, merge_token_map, restore, vault_rows
 from maskwright.plans import oracle
 from maskwright.plans.catalog import register
@@ -95,25 +96,26 @@ register(
 )
 
 
-def _repeated(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers of which some repeat the one before: cut to their last sentence, some to a few characters."""
-    return responses(spark, sf).select(
-        *TURN,
-        F.when(F.col("turn") % 4 == 3, F.right("text", F.lit(12)))
-        .when(F.col("turn") % 2 == 1, F.concat(F.lit("Noted in conversation "), F.floor((F.col("turn") + 1) / 5)))
-        .otherwise(F.right("text", F.lit(40)))
-        .alias("text"),
-    )
+def repeating(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole answers, of which some repeat the one before: turns in pairs get the text of the first of them; a few are
+    too short."""
+    answers = responses(spark, sf).select(*TURN, "text")
+    firsts = answers.select("conv_id", F.col("turn").alias("_turn"), F.col("text").alias("_text"))
+    paired = answers.withColumn("_turn", F.col("turn") - F.when(F.col("turn") % 4 == 3, 2).otherwise(0))
+    texts = paired.join(firsts, ["conv_id", "_turn"], "left")
+    return texts.select(*TURN, F.when(F.col("conv_id") % 7 == 0, F.lit("too short")).otherwise(F.coalesce("_text", "text")).alias("text"))
 
 
-register(
-    "response_gate",
-    lambda spark, sf: response_gate(_repeated(spark, sf)).select(*TURN, "text"),
-    f"WITH {oracle.SEEDED}, {_ANSWERS}, cut AS (SELECT conv_id, turn, trim(CASE WHEN turn % 4 = 3 THEN right(text, 12) "
-    "WHEN turn % 2 = 1 THEN 'Noted in conversation ' || CAST((turn + 1) // 5 AS VARCHAR) ELSE right(text, 40) END) AS text FROM answers), "
-    "lagged AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM cut WHERE length(text) >= 20) "
-    "SELECT conv_id, turn, text FROM lagged WHERE before IS NULL OR before <> text",
+_REPEATING = (
+    f"{oracle.SEEDED}, {_ANSWERS}, repeating AS (SELECT a.conv_id, a.turn, CASE WHEN a.conv_id % 7 = 0 THEN 'too short' "
+    "ELSE coalesce(f.text, a.text) END AS text FROM answers a LEFT JOIN answers f ON f.conv_id = a.conv_id "
+    "AND f.turn = a.turn - CASE WHEN a.turn % 4 = 3 THEN 2 ELSE 0 END)"
+)
+CHANGED = (
+    f"WITH {_REPEATING}, lagged AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM repeating "
+    "WHERE length(text) >= 20) SELECT conv_id, turn, text FROM lagged WHERE before IS NULL OR before <> text"
 )
+register("response_gate", lambda spark, sf: response_gate(repeating(spark, sf)).select(*TURN, "text"), CHANGED)
 
 
 def updates(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,6 +147,32 @@ register(
 )
 
 
+def _answer_flow(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = explode_tokens(sanitized(spark, sf), ["conv_id", "ts"])
+    found = scan_updates(updates(spark, sf), tokens)
+    rows = found.select("conv_id", F.unix_micros("ts").alias("us"), "token_echo", F.explode_outer("warnings").alias("w"))
+    return rows.select("conv_id", "us", "token_echo", "w.type", "w.value", "w.reason")
+
+
+register(
+    "answer_flow",
+    _answer_flow,
+    f"WITH {VAULT}, {_ANSWERS}, steps AS (SELECT *, unnest(range(0, length(text) // 100 + 1)) AS k FROM answers), "
+    "changes AS (SELECT conv_id, epoch_us(ts) + (k * 700 + k // 4 * 1500) * 1000 AS us, left(text, CAST((k + 1) * 100 AS INTEGER)) AS text FROM steps), "
+    "led AS (SELECT *, lead(us) OVER (PARTITION BY conv_id ORDER BY us) AS next FROM changes), "
+    "quiet AS (SELECT conv_id, us, trim(text, chr(32) || chr(9) || chr(10)) AS text FROM led WHERE next IS NULL OR next - us >= 1500000), "
+    "lagged AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY us) AS before FROM quiet WHERE length(text) >= 20), "
+    "gated AS (SELECT conv_id, us AS turn, text FROM lagged WHERE before IS NULL OR before <> text), "
+    "first_write AS (SELECT conv_id, token, min(1704067200000000 + conv_id * 3600000000 + turn * 30000000) AS us FROM vault GROUP BY ALL), "
+    f"{oracle.response_hits('gated').replace('hits AS', 'found AS', 1)}, "
+    "echoes AS (SELECT g.conv_id, g.turn, f.token FROM gated g JOIN first_write f ON f.conv_id = g.conv_id AND f.us < g.turn AND contains(g.text, f.token)), "
+    "w AS (SELECT conv_id, turn, 'TOKEN_ECHO' AS type, token AS value, 'AI echoed the redaction token ' || token || ' in its response' AS reason FROM echoes "
+    "UNION ALL SELECT conv_id, turn, 'PII_IN_RESPONSE', value, 'AI response contains what looks like a ' || type FROM found) "
+    "SELECT g.conv_id, g.turn AS us, EXISTS (SELECT 1 FROM echoes e WHERE e.conv_id = g.conv_id AND e.turn = g.turn) AS token_echo, "
+    "w.type, w.value, w.reason FROM gated g LEFT JOIN w ON w.conv_id = g.conv_id AND w.turn = g.turn",
+)
+
+
 def _debounce_events(spark: SparkSession, sf: str) -> DataFrame:
     """Five event types only: every key is hot."""
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_type", "event_id", "ts")

@@ -1,7 +1,7 @@
 """Queries that run the streaming jobs over files and return what they wrote.
 
 The turns are first written as files in order of time, several per
-conversation, and read one file per micro-batch, so state has to carry over.
+conversation, and read a slice per micro-batch, so what is remembered has to carry over.
 All folders lie below the shared folder of the session.
 """
 
@@ -14,34 +14,41 @@ from maskwright import schemas
 from maskwright.plans import oracle
 from maskwright.plans.auditing import AUDIT, STATS
 from maskwright.plans.catalog import register
-from maskwright.plans.gating import SANITIZED_REF, SANITIZED_STREAM, allowlist
+from maskwright.plans.gating import SANITIZED_REF, SANITIZED_SAFE, SANITIZED_STREAM, allowlist
 from maskwright.plans.seed import seeded_turns
-from maskwright.plans.sessions import DEBOUNCED, VAULT, updates
+from maskwright.operators.vault import restore
+from maskwright.plans.sessions import CHANGED, DEBOUNCED, repeating, updates
 from maskwright.session import work_dir
-from maskwright.sources.tables import append_audit, read_audit, read_responses, write_token_vault
+from maskwright.sources.tables import append_audit, read_audit, write_token_vault
 from maskwright.streaming import flow
 
 SLICES = 3
+FILES = 4
 
 
-def turn_files(spark: SparkSession, sf: str) -> str:
-    """Seeded turns as files: first turns of all conversations, then the following ones.
+def turn_files(spark: SparkSession, sf: str, late: bool = False) -> str:
+    """Seeded turns as files in their order of time: first turns of all conversations, then the following ones.
 
-    The event time here runs by turn over all conversations at once, so that a
-    file never holds events far behind those of the file before.
+    With ``late`` the slices arrive the other way round, so that answers come before the prompts they quote, and a close
+    event follows.
     """
     path = work_dir(spark, "turns")
-    turns = seeded_turns(spark, sf).withColumn(
-        "ts", F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 30)
-    ).select("conv_id", "turn", "role", "text", "domain", "ts")
-    for i in range(SLICES):
+    turns = seeded_turns(spark, sf).select("conv_id", "turn", "role", "text", "domain", "ts")
+    for i in reversed(range(SLICES)) if late else range(SLICES):
         part = turns.where(F.least(F.floor(F.col("turn") / 2), F.lit(SLICES - 1)) == i)
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(FILES).write.mode("append").parquet(path)
     return path
 
 
-def stream(spark: SparkSession, sf: str) -> DataFrame:
-    return flow.read_stream(spark, turn_files(spark, sf), schemas.TURNS, files_per_batch=1)
+def stream(spark: SparkSession, sf: str, late: bool = False) -> DataFrame:
+    return flow.read_stream(spark, turn_files(spark, sf, late), schemas.TURNS, files_per_batch=FILES)
+
+
+def conversations(spark: SparkSession, turns: DataFrame) -> str:
+    """Run the conversation job over everything there is; the folder of its tables."""
+    out = work_dir(spark, "conversations")
+    flow.conversation_stream(turns, f"{out}/tables", f"{out}/checkpoint", allowlist=allowlist(spark)).awaitTermination()
+    return f"{out}/tables"
 
 
 def written(spark: SparkSession, result: DataFrame, name: str) -> DataFrame:
@@ -65,6 +72,7 @@ register(
     f"WITH {SANITIZED_STREAM} SELECT conv_id, turn, scanned, sanitized, pii_count, hints FROM sanitized",
 )
 
+_VAULT = f"{SANITIZED_SAFE}, vault AS (SELECT conv_id, turn, seq, token, value FROM labelled)"
 _ANSWERS = "answers AS (SELECT conv_id, turn, text FROM seeded WHERE role = 'assistant')"
 _HELD = (
     "held AS (SELECT a.conv_id, a.turn, v.token, arg_max(v.value, v.turn) AS value FROM answers a JOIN vault v "
@@ -73,29 +81,25 @@ _HELD = (
 
 
 def _held_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    events = flow.token_events(stream(spark, sf), allowlist=allowlist(spark), mode="reference")
-    return written(spark, flow.token_state(events), "tokens").select("conv_id", "turn", "token", "value")
+    return flow.held_tokens(spark, conversations(spark, stream(spark, sf)))
 
 
 register(
-    "stream_vault", _held_tokens, f"WITH {VAULT}, {_ANSWERS}, {_HELD} SELECT conv_id, turn, token, value FROM held"
+    "stream_vault", _held_tokens, f"WITH {_VAULT}, {_ANSWERS}, {_HELD} SELECT conv_id, turn, token, value FROM held"
 )
 
 
 def _closing(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations are closed right after turn 2; answers after that find no older token."""
+    """Conversations are closed at turn 2; answers after that find no older token."""
     turns = stream(spark, sf)
-    closed = turns.where(F.col("turn") == 2).select(
-        "conv_id", (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts")
-    )
-    events = flow.token_events(turns, closed, allowlist=allowlist(spark), mode="reference")
-    return written(spark, flow.token_state(events), "closing").select("conv_id", "turn", "token", "value")
+    closed = turns.where(F.col("turn") == 2).withColumns({"role": F.lit("close"), "text": F.lit(None).cast("string")})
+    return flow.held_tokens(spark, conversations(spark, turns.unionByName(closed)))
 
 
 register(
     "stream_closed_sessions",
     _closing,
-    f"WITH {VAULT}, {_ANSWERS}, closed AS (SELECT DISTINCT conv_id FROM seeded WHERE turn = 2), "
+    f"WITH {_VAULT}, {_ANSWERS}, closed AS (SELECT DISTINCT conv_id FROM seeded WHERE turn = 2), "
     "held AS (SELECT a.conv_id, a.turn, v.token, arg_max(v.value, v.turn) AS value FROM answers a JOIN vault v "
     "ON v.conv_id = a.conv_id AND v.turn < a.turn AND contains(a.text, v.token) "
     "AND NOT (v.turn <= 2 AND a.turn > 2 AND a.conv_id IN (SELECT conv_id FROM closed)) GROUP BY ALL) "
@@ -104,38 +108,59 @@ register(
 
 
 def _scan(spark: SparkSession, sf: str) -> DataFrame:
-    result = flow.scan_response_stream(stream(spark, sf), allowlist=allowlist(spark), mode="reference")
-    return written(spark, result, "warnings")
+    tables = flow.Tables(conversations(spark, stream(spark, sf)))
+    return tables.read(spark, "warnings", flow.WARNINGS).select("conv_id", "turn", "type", "value", "reason")
 
 
 register(
     "stream_scan_responses",
     _scan,
-    f"WITH {VAULT}, {_ANSWERS}, {_HELD}, {oracle.response_hits('answers').replace('hits AS', 'found AS', 1)} "
+    f"WITH {_VAULT}, {_ANSWERS}, {_HELD}, {oracle.response_hits('answers').replace('hits AS', 'found AS', 1)} "
     "SELECT conv_id, turn, 'TOKEN_ECHO' AS type, token AS value, "
     "'AI echoed the redaction token ' || token || ' in its response' AS reason FROM held UNION ALL "
     "SELECT conv_id, turn, 'PII_IN_RESPONSE', value, 'AI response contains what looks like a ' || type FROM found",
 )
 
 
-def _skip_unchanged(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers cut so that every second one repeats the one before."""
-    answers = read_responses(stream(spark, sf)).select(
-        "conv_id", "turn", "ts", F.concat(F.lit("Noted in conversation "), F.floor((F.col("turn") + 1) / 5)).alias("text")
-    )
-    return written(spark, flow.skip_unchanged(answers), "changed").select("conv_id", "turn", "text")
+def _late(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns that arrive the wrong way round: the vault still restores every prompt, and the rows are listed as late."""
+    tables = flow.Tables(conversations(spark, stream(spark, sf, late=True)))
+    done = tables.read(spark, "sanitized", "conv_id long, turn long, sanitized string")
+    quoted = done.select("conv_id", (F.col("turn") + 1_000_000).alias("turn"), F.col("sanitized").alias("text"))
+    back = restore(quoted, flow.stream_vault(spark, tables.root)).select("conv_id", (F.col("turn") - 1_000_000).alias("turn"), "restored")
+    late = tables.read(spark, "late", flow.LATE).select("conv_id", "turn", F.lit(True).alias("late"))
+    return back.join(late, ["conv_id", "turn"], "left").withColumn("late", F.coalesce("late", F.lit(False)))
 
 
 register(
-    "stream_skip_unchanged",
-    _skip_unchanged,
-    f"WITH {oracle.SEEDED}, cut AS (SELECT conv_id, turn, 'Noted in conversation ' || CAST((turn + 1) // 5 AS VARCHAR) AS text "
-    "FROM seeded WHERE role = 'assistant'), "
-    "lagged AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM cut) "
-    "SELECT conv_id, turn, text FROM lagged WHERE before IS NULL OR before <> text",
+    "stream_late",
+    _late,
+    f"WITH {oracle.SEEDED}, sliced AS (SELECT *, least(turn // 2, {SLICES - 1}) AS slice FROM seeded), "
+    "latest AS (SELECT conv_id, max(slice) AS slice FROM sliced GROUP BY ALL) "
+    "SELECT s.conv_id, s.turn, s.text AS restored, s.slice < l.slice AS late FROM sliced s JOIN latest l USING (conv_id) "
+    "WHERE role = 'user' AND trim(text) <> ''",
 )
 
 
+def _skip_unchanged(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole answers, of which every second repeats the first of its conversation."""
+    out = work_dir(spark, "changed")
+    answers = flow.read_stream(spark, _repeating_files(spark, sf), "conv_id long, turn long, text string", files_per_batch=FILES)
+    flow.changed_answers(answers, f"{out}/tables", f"{out}/checkpoint").awaitTermination()
+    return flow.Tables(f"{out}/tables").read(spark, "changed", "conv_id long, turn long, text string").select("conv_id", "turn", "text")
+
+
+def _repeating_files(spark: SparkSession, sf: str) -> str:
+    path, answers = work_dir(spark, "answers"), repeating(spark, sf)
+    for i in range(SLICES):
+        part = answers.where(F.least(F.floor(F.col("turn") / 4), F.lit(SLICES - 1)) == i)
+        part.repartition(FILES).write.mode("append").parquet(path)
+    return path
+
+
+register("stream_skip_unchanged", _skip_unchanged, CHANGED)
+
+
 def _debounce(spark: SparkSession, sf: str) -> DataFrame:
     """Changes as a stream; a closing event far in the future lets the last period end."""
     path = work_dir(spark, "updates")
@@ -145,7 +170,7 @@ def _debounce(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit("").alias("text")
     )
     end.write.mode("append").parquet(path)
-    changed = flow.read_stream(spark, path, "conv_id long, ts timestamp, text string")
+    changed = flow.read_stream(spark, path, "conv_id long, ts timestamp, text string", lateness="10 seconds")
     done = written(spark, flow.debounce_stream(changed), "debounced")
     return done.where(F.col("conv_id") >= 0).select("conv_id", F.unix_micros("ts").alias("us"), "text")
 

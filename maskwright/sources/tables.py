@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import strip
 from maskwright.operators.audit import audit_json
 from maskwright.operators.gates import non_blank
+from maskwright.policy import Policy
+from maskwright.session import spread
+
+
+def read_table(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """A table for the scanning jobs: files that are fewer than the cores are dealt out by ``keys`` first.
+
+    Results are the same either way; inputs of at least one full split per core are read as they are.
+    """
+    return spread(spark.read.parquet(path), *keys)
 
 
 def read_turns(spark: SparkSession, path: str, schema: str | None = None, stream: bool = False) -> DataFrame:
@@ -30,9 +43,28 @@ def read_responses(turns: DataFrame) -> DataFrame:
     return turns.where(F.col("role") == "assistant").withColumn("text", strip(F.col("text")))
 
 
-def write_token_vault(vault: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Append vault rows; ``partition_by`` names columns such as a day to prune on."""
-    vault.write.mode("append").partitionBy(*partition_by).parquet(path)
+#: Folders of a vault; a conversation lies in one of them.
+VAULT_BUCKETS = 64
+
+
+def _bucket(conv: Column) -> Column:
+    return F.pmod(F.xxhash64(conv), F.lit(VAULT_BUCKETS)).cast("int")
+
+
+def write_token_vault(vault: DataFrame, path: str) -> None:
+    """Append vault rows, in folders by a hash of the conversation."""
+    vault.withColumn("bucket", _bucket(F.col("conv_id"))).write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def read_token_vault(spark: SparkSession, path: str, conv_ids: Iterable[int] | None = None) -> DataFrame:
+    """Vault rows; with ``conv_ids`` of these conversations, and only their folders are read."""
+    rows = spark.read.parquet(path)
+    if conv_ids is None:
+        return rows.drop("bucket")
+    ids = sorted(set(conv_ids))
+    asked = spark.createDataFrame([(i,) for i in ids], "conv_id long").select("conv_id", _bucket(F.col("conv_id")).alias("bucket"))
+    buckets = sorted({r.bucket for r in asked.collect()})
+    return rows.where(F.col("bucket").isin(*buckets)).join(asked.select("conv_id"), "conv_id", "left_semi").drop("bucket")
 
 
 def append_audit(entries: DataFrame, path: str) -> None:
@@ -40,6 +72,22 @@ def append_audit(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").partitionBy("day").parquet(path)
 
 
+def purge_audit(spark: SparkSession, path: str, policy: Policy, now_ms: int) -> list[str]:
+    """Remove the days of a log that end before the policy's retention begins; returns them.
+
+    Whole day folders go, without reading their files.  What is left of the day the limit falls into is hidden by
+    ``operators.audit.retained`` until it goes as well.
+    """
+    first = datetime.fromtimestamp(now_ms / 1000 - policy.audit_retention_days * 86400, timezone.utc).date().isoformat()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("day=")]
+    old = [d for d in days if d.getName().removeprefix("day=") < first]
+    for day in old:
+        files.delete(day, True)
+    return sorted(d.getName().removeprefix("day=") for d in old)
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -1,43 +1,58 @@
 """The same jobs on streams of turns.
 
 Stateless steps are the batch projections.  What a conversation remembers is
-kept in keyed state.  One conversation may carry a large share of the traffic,
-so its tokens are spread over several state keys: a token belongs to one of
-``PARTS`` parts of its conversation, and only closing a conversation addresses
-all of them.
+kept in tables that every micro-batch reads and adds to, not in the memory of a
+keyed operator: the batch jobs, which split large conversations by ranges of
+turns, then do the work, other jobs can read the token vault, and turns may come
+in any order.  A table has a folder for each micro-batch, which a repeated batch
+overwrites, and below it one for each of ``BUCKETS`` groups of conversations, of
+which a batch reads those it needs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from maskwright.functions.text import at_least, is_blank, strip
+from maskwright.functions.text import at_least, strip
 from maskwright.operators.audit import audit_entries
 from maskwright.operators.gates import MIN_RESPONSE
+from maskwright.operators.ordered import last_write_before, previous_value
 from maskwright.operators.responses import DEBOUNCE_MS, echo_warning, pii_warnings
-from maskwright.operators.vault import token_candidates
+from maskwright.operators.vault import candidate_rows
 from maskwright.plans.sanitize import sanitize
+from maskwright.session import cut_lineage
 from maskwright.sources.tables import prompts_of, read_responses
 
-PARTS = 16
-LATENESS = "10 seconds"
-IDLE_MS = 6 * 3600 * 1000
+BUCKETS = 64
+#: How long a period of changes waits for late ones, where a job needs a watermark at all.
+LATENESS = "10 minutes"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Place of a close behind everything else of its turn.
+LAST = 2**31 - 1
 
+VAULT = "conv_id long, turn long, seq int, type string, token string, value string"
+ASKED = "conv_id long, turn long, token string"
+HELD = "conv_id long, turn long, token string, value string, late boolean"
+CLOSED = "conv_id long, turn long"
+LATE = "conv_id long, turn long, role string"
+WARNINGS = "conv_id long, turn long, type string, value string, reason string"
+LAST_TEXT = "conv_id long, turn long, digest string"
 
-def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 256) -> DataFrame:
+
+def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 256, lateness: str | None = None) -> DataFrame:
     """Parquet files as they arrive, a bounded number per micro-batch.
 
-    Rows later than the watermark allows are dropped by stateful steps.
+    Without ``lateness`` there is no watermark, and no row is ever dropped: the jobs on tables need none.  With it, steps
+    that keep state in an operator (``debounce_stream``) drop what comes later than that.
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path).withWatermark("ts", LATENESS)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return rows if lateness is None else rows.withWatermark("ts", lateness)
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -50,137 +65,143 @@ def run_available(df: DataFrame, path: str, checkpoint: str, partition_by: tuple
 
 
 def sanitize_stream(turns: DataFrame, **options) -> DataFrame:
-    """Every prompt through the batch pipeline: one narrow projection, no state."""
+    """Every prompt through the batch pipeline: one narrow projection, no state; tokens are numbered per text."""
     return sanitize(prompts_of(turns), **options)
 
 
-def token_events(turns: DataFrame, closed: DataFrame | None = None, **options) -> DataFrame:
-    """What happens to tokens: written by prompts, asked for by answers, dropped on close.
+@dataclass(frozen=True)
+class Tables:
+    """Tables below a folder, by name; one micro-batch adds one folder to each."""
 
-    Prompts and answers take one projection over one read of the stream: each
-    turn becomes the array of its events.
-    """
-    text = F.col("text")
-    is_prompt = (F.col("role") == "user") & ~is_blank(text)
-    split = turns.withColumns(
-        {"text": F.when(is_prompt, text), "answer": F.when(F.col("role") == "assistant", text)}
-    )
+    root: str
 
-    def event(kind: str, token: Column, value: Column, seq: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), token.alias("token"), value.alias("value"), seq.alias("seq")
-        )
-
-    writes = F.transform("tokens", lambda t: event("write", t["token"], t["value"], t["seq"]))
-    reads = F.transform(
-        F.coalesce(token_candidates(F.col("answer")), F.array().cast("array<string>")),
-        lambda t: event("read", t, F.lit(None).cast("string"), F.lit(0)),
-    )
-    exploded = sanitize(split, **options).select(
-        "conv_id", "ts", "turn", F.explode_outer(F.concat(writes, reads)).alias("e")
-    )
-    part = F.pmod(F.xxhash64("e.token"), F.lit(PARTS)).cast("int")
-    events = exploded.where(F.col("e").isNotNull()).select("conv_id", part.alias("part"), "ts", "turn", "e.*")
-    if closed is None:
-        return events
-    ends = closed.select(
-        "conv_id",
-        F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"),
-        "ts",
-        F.lit(None).cast("long").alias("turn"),
-        F.lit("close").alias("kind"),
-        F.lit(None).cast("string").alias("token"),
-        F.lit(None).cast("string").alias("value"),
-        F.lit(0).alias("seq"),
-    )
-    return events.unionByName(ends)
+    def write(self, name: str, rows: DataFrame, batch_id: int) -> None:
+        bucketed = rows.withColumn("bucket", bucket_of(F.col("conv_id")))
+        bucketed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/batch={batch_id}")
 
+    def read(self, spark: SparkSession, name: str, schema: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of all batches, or of those ``before`` a number; ``buckets`` limits what is read."""
+        reader = spark.read.schema(f"{schema}, batch long, bucket int").option("basePath", f"{self.root}/{name}")
+        try:
+            rows = reader.parquet(f"{self.root}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = spark.createDataFrame([], f"{schema}, batch long, bucket int")
+        if before is not None:
+            rows = rows.where(F.col("batch") < before)
+        return rows if buckets is None else rows.where(F.col("bucket").isin(*buckets))
 
-def token_state(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
-    """Keep the token map of every conversation; answer reads with the value held at that moment.
 
-    A later write of a token replaces its value.  State goes away on close, or
-    when the watermark passes ``idle_ms`` after the last event.
-    """
+def bucket_of(conv: Column) -> Column:
+    return F.pmod(F.xxhash64(conv), F.lit(BUCKETS)).cast("int")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values(["ts", "turn", "seq"], na_position="last", kind="stable")
-        answers = []
-        for row in rows.itertuples(index=False):
-            if row.kind == "write":
-                held[row.token] = row.value
-            elif row.kind == "read":
-                if row.token in held:
-                    answers.append((key[0], int(row.turn), row.ts, row.token, held[row.token]))
-            else:
-                held.clear()
-        if held:
-            state.update((json.dumps(held),))
-            last = int(rows["ts"].max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(answers, columns=["conv_id", "turn", "ts", "token", "value"])
-
-    return events.groupBy("conv_id", "part").applyInPandasWithState(
-        step,
-        outputStructType="conv_id long, turn long, ts timestamp, token string, value string",
-        stateStructType="held string",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+def run_batches(df: DataFrame, checkpoint: str, put: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Give every micro-batch that is there to ``put``."""
+    return (
+        df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
     )
 
 
-def scan_response_stream(
-    turns: DataFrame, closed: DataFrame | None = None, idle_ms: int = IDLE_MS, **options
-) -> DataFrame:
-    """Warnings for answers as they arrive, one row each: echoed tokens and personal data.
-
-    Tokens held by the state are matched against the pieces in brackets of an answer.
-    """
-    responses = read_responses(turns)
-    echoes = token_state(token_events(turns, closed, **options), idle_ms)
-    echo_rows = echoes.select("conv_id", "turn", echo_warning(F.col("token")).alias("w"))
-    found = responses.select("conv_id", "turn", F.explode_outer(pii_warnings(F.col("text"))).alias("w")).where(
-        F.col("w").isNotNull()
-    )
-    return echo_rows.unionByName(found).select("conv_id", "turn", "w.type", "w.value", "w.reason")
+def conversation_stream(turns: DataFrame, root: str, checkpoint: str, **options) -> StreamingQuery:
+    """Sanitize prompts with numbers per conversation, keep the vault, and look up the tokens of answers.
 
+    Rows with role ``close`` end a conversation: answers of later turns find none of its tokens.  Nothing else ever
+    forgets a token.  Tables below ``root``:
 
-def skip_unchanged(responses: DataFrame) -> DataFrame:
-    """Drop answers that are too short or equal to the one scanned just before in their conversation.
+    ``sanitized``  prompts with their result; ``vault``  their tokens;
+    ``held``       tokens of answers with the value they had, by turn.  An answer that came before the prompt it quotes
+                   is looked up again when that prompt arrives: its row is then ``late`` (the last row counts);
+    ``late``       rows behind a turn of their conversation that was processed before;
+    ``warnings``   tokens that answers repeat, and personal data in them.
+    """
+    tables = Tables(root)
 
-    The state is a digest of the last text.
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # Read for each of the tables; the source is read once.
+        rows = cut_lineage(batch)
+        buckets = [r.b for r in rows.select(bucket_of(F.col("conv_id")).alias("b")).distinct().collect()]
+        if not buckets:
+            return
+        convs = rows.select("conv_id").distinct()
+
+        def held_before(name: str, schema: str) -> DataFrame:
+            return tables.read(spark, name, schema, batch_id, buckets).join(convs, "conv_id", "left_semi")
+
+        vault = held_before("vault", VAULT)
+        known = vault.select("conv_id", "type", "value", F.regexp_extract("token", r"_([0-9]+)\]$", 1).cast("long").alias("n")).distinct()
+        done = cut_lineage(sanitize(prompts_of(rows), known=known, lookup="literal", **options))
+        tables.write("sanitized", done.drop("detections", "semantic_hits"), batch_id)
+        added = done.select("conv_id", "turn", F.explode("tokens").alias("t")).select("conv_id", "turn", "t.seq", "t.type", "t.token", "t.value")
+        tables.write("vault", added, batch_id)
+
+        answers = read_responses(rows)
+        asked = candidate_rows(answers, None)
+        closed = rows.where(F.col("role") == "close").select("conv_id", "turn")
+        latest = held_before("seen", CLOSED).groupBy("conv_id").agg(F.max("turn").alias("_last"))
+        late = rows.join(latest, "conv_id").where(F.col("turn") < F.col("_last")).select("conv_id", "turn", "role")
+        for name, table in (("asked", asked), ("closed", closed), ("late", late)):
+            tables.write(name, table, batch_id)
+        tables.write("seen", rows.groupBy("conv_id").agg(F.max("turn").alias("turn")), batch_id)
+
+        # Answers of this batch, and earlier ones that quote a token of a prompt that came only now.
+        again = held_before("asked", ASKED).select("conv_id", "turn", "token").join(
+            added.select("conv_id", "token", F.col("turn").alias("_written")), ["conv_id", "token"]
+        ).where(F.col("_written") < F.col("turn")).select("conv_id", "turn", "token").distinct()
+        reads = cut_lineage(asked.withColumn("late", F.lit(False)).unionByName(again.withColumn("late", F.lit(True))))
+        writes = vault.select("conv_id", "turn", "seq", "token", "value").unionByName(added.drop("type"))
+        ends = held_before("closed", CLOSED).select("conv_id", "turn").unionByName(closed)
+        ended = writes.join(ends.withColumnRenamed("turn", "_end"), "conv_id").where(F.col("turn") <= F.col("_end")).select(
+            "conv_id", F.col("_end").alias("turn"), F.lit(LAST).alias("seq"), "token", F.lit(None).cast("string").alias("value")
+        ).distinct()
+        found = last_write_before(reads.select("conv_id", "turn", "token"), writes.unionByName(ended), ["conv_id", "token"], "turn", "value", tie="seq")
+        held = cut_lineage(found.where(F.col("value").isNotNull()).join(reads, ["conv_id", "turn", "token"]).select("conv_id", "turn", "token", "value", "late"))
+        tables.write("held", held, batch_id)
+        echoes = held.select("conv_id", "turn", echo_warning(F.col("token")).alias("w"))
+        own = answers.select("conv_id", "turn", F.explode_outer(pii_warnings(F.col("text"))).alias("w")).where(F.col("w").isNotNull())
+        tables.write("warnings", echoes.unionByName(own).select("conv_id", "turn", "w.type", "w.value", "w.reason"), batch_id)
+
+    return run_batches(turns, checkpoint, put)
+
+
+def held_tokens(spark: SparkSession, root: str) -> DataFrame:
+    """The tokens of answers with their values, as last looked up."""
+    rows = Tables(root).read(spark, "held", HELD)
+    return rows.groupBy("conv_id", "turn", "token").agg(F.max_by("value", "batch").alias("value"))
+
+
+def stream_vault(spark: SparkSession, root: str) -> DataFrame:
+    """The token vault that the stream wrote, as the batch jobs take it."""
+    return Tables(root).read(spark, "vault", VAULT).select("conv_id", "turn", "seq", "token", "value")
+
+
+def changed_answers(responses: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Write to ``changed`` the answers that are long enough and differ from the one before in their conversation.
+
+    Of earlier batches only a digest of each conversation's last answer is kept.  Compares answers in order of turns
+    within a batch and with those of earlier batches.
     """
-    schema = responses.schema
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "turn"], kind="stable")
-        keep = []
-        for text in rows["text"]:
-            digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-            keep.append(digest != last)
-            last = digest
-        state.update((last,))
-        yield rows[keep]
-
-    trimmed = responses.withColumn("text", strip(F.col("text"))).where(at_least(F.col("text"), MIN_RESPONSE))
-    return trimmed.groupBy("conv_id").applyInPandasWithState(
-        step,
-        outputStructType=schema,
-        stateStructType="digest string",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
+    tables = Tables(root)
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = cut_lineage(batch.withColumn("text", strip(F.col("text"))).where(at_least(F.col("text"), MIN_RESPONSE)))
+        rows = rows.withColumn("digest", F.sha2("text", 256))
+        buckets = [r.b for r in rows.select(bucket_of(F.col("conv_id")).alias("b")).distinct().collect()]
+        if not buckets:
+            return
+        convs = rows.groupBy("conv_id").agg(F.min("turn").alias("_first"))
+        last = tables.read(spark, "last", LAST_TEXT, batch_id, buckets).join(convs, "conv_id").where(F.col("turn") < F.col("_first"))
+        before = last.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("digest", "turn").alias("digest"))
+        order = rows.select("conv_id", "turn", "digest").unionByName(before)
+        compared = previous_value(order, ["conv_id"], "turn", "digest", "_before").select("conv_id", "turn", "_before")
+        kept = rows.join(compared, ["conv_id", "turn"]).where(F.col("_before").isNull() | (F.col("_before") != F.col("digest")))
+        tables.write("changed", kept.drop("digest", "_before"), batch_id)
+        tables.write("last", rows.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("digest", "turn").alias("digest")), batch_id)
+
+    return run_batches(responses, checkpoint, put)
 
 
 def debounce_stream(updates: DataFrame, gap_ms: int = DEBOUNCE_MS) -> DataFrame:

@@ -1,6 +1,8 @@
 """Hints, entities, sources, audit and fingerprints."""
 
 import json
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from maskwright.dialect import InvalidPattern, translate
 from maskwright.operators.detect import detect
 from maskwright.operators.gates import classify_platform, supported_host
 from maskwright.operators.hints import semantic_hits
+from maskwright.operators.redact import redact
 from maskwright.operators.responses import pii_warnings, scan_with_map
 from maskwright.operators.review import findings, high_risk_flag, high_risk_types
 from maskwright.plans.sanitize import sanitize
@@ -20,7 +23,7 @@ from maskwright.policy import Policy
 from maskwright.rules import Rule
 from maskwright.session import work_dir
 from maskwright.sources.config import load_allowlist, load_custom_rules, load_entities, rules_from
-from maskwright.sources.tables import append_audit, export_audit_json, read_audit, read_turns, write_token_vault
+from maskwright.sources.tables import append_audit, export_audit_json, purge_audit, read_audit, read_token_vault, read_turns, write_token_vault
 
 HINTS = {
     "FAMILY_RELATION": ["My daughter's school is nearby", "MY IN-LAW", "my  kids"],
@@ -197,6 +200,41 @@ def test_fingerprints(texts):
     assert [r.n for r in rows] == [0, 1, 4, 4096, 10000, None]
 
 
+def test_the_log_is_purged_by_day(spark):
+    path = work_dir(spark, "purge")
+    days = ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"]
+    df = spark.createDataFrame([(d, d) for d in days], "day string, id string").withColumn("day", F.to_date("day"))
+    append_audit(df, path)
+    now = 1704067200000 + 4 * 86_400_000 + 3_600_000  # 5 January, 01:00
+    assert purge_audit(spark, path, Policy(audit_retention_days=2), now) == days[:2]
+    assert sorted(r.id for r in read_audit(spark, path).collect()) == days[2:]
+    assert purge_audit(spark, path, Policy(audit_retention_days=2), now) == []
+
+
+def test_vault_folders(spark):
+    path = work_dir(spark, "vault")
+    rows = spark.range(300).select(F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("[A_01]").alias("token"))
+    write_token_vault(rows, path)
+    some = read_token_vault(spark, path, [7, 9])
+    assert sorted(r.conv_id for r in some.collect()) == [7, 9] and read_token_vault(spark, path).count() == 300
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", some._jdf.queryExecution().executedPlan().toString())
+
+
+def test_many_matches_in_one_text_take_linear_time(texts):
+    def seconds(n):
+        df = texts(" ".join(f"u{i}@x.org" for i in range(n))).cache()
+        df.count()
+        job = redact(detect(df, occurrences="all")).select(F.size("tokens").alias("n"))
+        best = []
+        for _ in range(2):
+            started = time.perf_counter()
+            assert job.first().n == n
+            best.append(time.perf_counter() - started)
+        return min(best)
+
+    assert seconds(160_000) <= 3 * seconds(80_000) + 1
+
+
 def test_preview(texts):
     rows = texts("x" * 40, "x" * 41).orderBy("id").select(preview(F.col("text"), 40).alias("p")).collect()
     assert [r.p for r in rows] == ["x" * 40, "x" * 40 + "…"]

@@ -12,6 +12,7 @@ from maskwright.operators.vault import merge_token_map, restore, vault_rows
 from maskwright.plans.sanitize import sanitize
 from maskwright.session import input_bytes, spread
 from maskwright.rules import BUILT_IN
+from maskwright.sources.tables import read_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,14 +49,14 @@ def test_redaction_is_one_narrow_projection(docs):
     for mode, occurrences in (("reference", "first"), ("safe", "all")):
         text = plan(redact(detect(docs, occurrences=occurrences), mode=mode).select("doc_id", "sanitized"))
         assert "Exchange" not in text and "Python" not in text
-        # The chunks of long texts are cut by one more search each.
-        assert searches(text) <= len(BUILT_IN) + 2
+        # The chunks of long texts are cut by one more search each; safe mode looks for tokens that are there already.
+        assert searches(text) <= len(BUILT_IN) + (3 if mode == "safe" else 2)
 
 
 def test_the_pipeline_does_not_shuffle(spark, turns):
     allow = spark.createDataFrame([("internal.org",)], "domain string")
     names = spark.createDataFrame([("New York", "GPE")], "name string, label string")
-    text = plan(sanitize(turns, allowlist=allow, entities=names).select("conv_id", "turn", "sanitized", "semantic_hits"))
+    text = plan(sanitize(turns, allowlist=allow, entities=names, lookup="literal", numbering="text").select("conv_id", "turn", "sanitized", "semantic_hits"))
     assert "Exchange" not in text and "Join" not in text and "Python" not in text
 
 
@@ -86,6 +87,19 @@ def test_no_pairwise_joins_and_no_whole_group_windows(turns):
     assert "lag(text" in text and "_range" in text
 
 
+def test_the_queries_scan_as_the_library_does(spark):
+    text = plan(detect(read_table(spark, f"{SF}/documents.parquet", "doc_id")).select("doc_id", "detections"))
+    # One file for all cores: dealt out once, in front of the projection.
+    assert text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text and searches(text) == len(BUILT_IN)
+
+
+def test_conversations_are_numbered_without_pairs(turns):
+    text = plan(sanitize(turns.where("role = 'user'")).select("conv_id", "turn", "sanitized"))
+    assert "CartesianProduct" not in text and "NestedLoop" not in text and "Python" not in text
+    # What is numbered in one window is a range of turns of one conversation and type.
+    assert all("_range" in line for line in text.split("\n") if "Window [" in line)
+
+
 def test_small_inputs_are_spread_and_large_ones_left_alone(spark, docs, monkeypatch):
     assert spread(docs, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr("maskwright.session.input_bytes", lambda df: 1 << 50)

@@ -9,7 +9,7 @@ from maskwright.operators.padding import jitter_timestamps, pad_texts
 from maskwright.operators.redact import explode_tokens, redact, token_map
 from maskwright.operators.review import diff_segments, route, severity, severity_label, split_quarantine
 from maskwright.operators.synthesize import GENERATORS, STEP, fake, synthesize
-from maskwright.operators.vault import restore_with_map
+from maskwright.operators.vault import redact_conversations, restore_with_map, synthesize_conversations
 
 LONG = "lorem ipsum é dolor " * 700 + "a@b.com " + "sit amet " * 900 + "123-45-6789 10.0.0.1"
 
@@ -191,3 +191,37 @@ def test_diff_segments_join_to_the_texts(texts):
 def test_tokens_as_rows(texts):
     rows = explode_tokens(redact(detect(texts("a@b.com 10.0.0.1", "none")), mode="reference"), ["id"]).orderBy("seq").collect()
     assert [(r.id, r.seq, r.token, r.value) for r in rows] == [(0, 0, "[EMAIL_01]", "a@b.com"), (0, 1, "[IP_ADDRESS_01]", "10.0.0.1")]
+
+
+def test_safe_mode_of_texts_that_hold_tokens(texts):
+    text = "[EMAIL_01] said a@b.com, [IP_ADDRESS_V6_07] 10.0.0.1 and b@b.com"
+    row = redact(detect(texts(text), occurrences="all")).withColumn("map", token_map(F.col("tokens")))
+    row = row.withColumn("back", restore_with_map(F.col("sanitized"), F.col("map"))).first()
+    assert row.sanitized == "[EMAIL_01] said [EMAIL_02], [IP_ADDRESS_V6_07] [IP_ADDRESS_01] and [EMAIL_03]" and row.back == text
+
+
+def test_no_value_stands_for_itself(texts):
+    text = "card 4111 1111 1111 1111 end"
+    row = synthesize(detect(texts(text), occurrences="all"), ["id"]).withColumn("map", token_map(F.col("tokens")))
+    row = row.withColumn("back", restore_with_map(F.col("sanitized"), F.col("map"))).first()
+    assert "4111 1111 1111 1111" not in row.sanitized and row.back == text
+
+
+def test_restored_values_are_not_searched_again(spark):
+    df = spark.createDataFrame([("[A_01] [B_01] x1 x12 \x01", {"[A_01]": "[B_01]", "[B_01]": "b x1", "x1": "[A_01]", "x12": "y"})], "t string, m map<string,string>")
+    assert df.select(restore_with_map(F.col("t"), F.col("m")).alias("r")).first().r.startswith("[B_01] b x1 [A_01] y")
+
+
+def test_turns_of_a_conversation_share_numbers(spark):
+    rows = [(1, 0, "a@b.com"), (1, 1, "c@d.com and a@b.com"), (1, 1, "c@d.com and a@b.com"), (None, None, "e@f.com"), (None, 3, "g@h.com e@f.com"), (1, 2, None)]
+    rows += [(2, i, f"mail u{i}@x.org from 10.0.0.{i}") for i in range(250)]
+    turns = detect(spark.createDataFrame(rows, "conv_id long, turn long, text string"), occurrences="all")
+    for done in (redact_conversations(turns), synthesize_conversations(turns)):
+        got = done.collect()
+        assert len(got) == len(rows)
+        tokens = {(r.conv_id, t.token, t.value) for r in got for t in r.tokens}
+        assert len({(c, t) for c, t, _ in tokens}) == len({(c, v) for c, _, v in tokens}) == len(tokens) == 2 + 2 + 500
+        assert not any(v in r.sanitized for r in got if r.text for v in [t.value for t in r.tokens])
+    known = spark.createDataFrame([(1, "EMAIL", "c@d.com", 9)], "conv_id long, type string, value string, n long")
+    later = {(r.conv_id, r.turn): r.sanitized for r in redact_conversations(turns.where("conv_id = 1"), known=known).collect()}
+    assert later == {(1, 0): "[EMAIL_10]", (1, 1): "[EMAIL_09] and [EMAIL_10]", (1, 2): None}

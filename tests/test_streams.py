@@ -41,43 +41,70 @@ def path(spark):
     return files(spark, "turns", *BATCHES)
 
 
+def conversations(spark, turns, **options):
+    out = work_dir(spark, "conversations")
+    flow.conversation_stream(turns, f"{out}/tables", f"{out}/checkpoint", **options).awaitTermination()
+    return flow.Tables(f"{out}/tables")
+
+
+def one_by_one(spark, path):
+    return flow.read_stream(spark, path, schemas.TURNS, files_per_batch=1)
+
+
 def test_stream_equals_batch(spark, path):
-    stream = flow.read_stream(spark, path, schemas.TURNS, files_per_batch=1)
-    got = output(spark, flow.sanitize_stream(stream).select("conv_id", "turn", "sanitized", "pii_count"), "sanitized")
-    batch = sanitize(spark.read.parquet(path).where("role = 'user'")).select("conv_id", "turn", "sanitized", "pii_count")
+    got = output(spark, flow.sanitize_stream(one_by_one(spark, path)).select("conv_id", "turn", "sanitized", "pii_count"), "sanitized")
+    batch = sanitize(spark.read.parquet(path).where("role = 'user'"), numbering="text").select("conv_id", "turn", "sanitized", "pii_count")
     assert sorted(got.collect()) == sorted(batch.collect()) and got.count() == 3
 
 
-def test_state_carries_over_batches(spark, path):
-    stream = flow.read_stream(spark, path, schemas.TURNS, files_per_batch=1)
-    events = flow.token_events(stream, mode="reference")
-    got = output(spark, flow.token_state(events), "held")
-    assert {(r.conv_id, r.turn): (r.token, r.value) for r in got.collect()} == {
-        (1, 1): ("[EMAIL_01]", "a@b.com"), (1, 3): ("[EMAIL_01]", "c@d.com"), (1, 5): ("[EMAIL_01]", "c@d.com"),
-        (2, 1): ("[SSN_01]", "123-45-6789"),
+def test_tables_carry_over_batches(spark, path):
+    tables = conversations(spark, one_by_one(spark, path))
+    assert {(r.conv_id, r.turn, r.token): r.value for r in flow.held_tokens(spark, tables.root).collect()} == {
+        (1, 1, "[EMAIL_01]"): "a@b.com", (1, 3, "[EMAIL_01]"): "a@b.com", (1, 5, "[EMAIL_01]"): "a@b.com", (2, 1, "[SSN_01]"): "123-45-6789",
     }
+    done = {(r.conv_id, r.turn): r.sanitized for r in tables.read(spark, "sanitized", "conv_id long, turn long, sanitized string").collect()}
+    assert done == {(1, 0): "mail [EMAIL_01]", (2, 0): "key [SSN_01]", (1, 2): "[EMAIL_02] now"}
+    warnings = tables.read(spark, "warnings", flow.WARNINGS).where("conv_id = 2").collect()
+    assert sorted((r.type, r.value) for r in warnings) == [("PII_IN_RESPONSE", "111-22-3333"), ("TOKEN_ECHO", "[SSN_01]")]
+    assert tables.read(spark, "late", flow.LATE).count() == 0
 
 
-def test_warnings(spark, path):
-    stream = flow.read_stream(spark, path, schemas.TURNS, files_per_batch=1)
-    rows = output(spark, flow.scan_response_stream(stream, mode="reference"), "warnings").where("conv_id = 2").collect()
-    assert sorted((r.type, r.value) for r in rows) == [("PII_IN_RESPONSE", "111-22-3333"), ("TOKEN_ECHO", "[SSN_01]")]
+def test_late_prompts_reach_the_vault_and_their_answers(spark):
+    batches = (
+        [turn(1, 1, "assistant", "[EMAIL_01] ok", 100)],
+        [turn(1, 2, "user", "c@d.com", 150)],
+        [turn(1, 0, "user", "a@b.com", 0)],
+    )
+    tables = conversations(spark, one_by_one(spark, files(spark, "late", *batches)))
+    vault = {(r.turn, r.token): r.value for r in flow.stream_vault(spark, tables.root).collect()}
+    # Numbers follow arrival; no value is lost and none shares a token.
+    assert vault == {(2, "[EMAIL_01]"): "c@d.com", (0, "[EMAIL_02]"): "a@b.com"}
+    assert [(r.conv_id, r.turn, r.role) for r in tables.read(spark, "late", flow.LATE).collect()] == [(1, 0, "user")]
+
+    batches = ([turn(1, 1, "assistant", "[EMAIL_01] ok", 100)], [turn(1, 0, "user", "a@b.com", 0)])
+    tables = conversations(spark, one_by_one(spark, files(spark, "late", *batches)))
+    assert [(r.turn, r.token, r.value, r.late) for r in tables.read(spark, "held", flow.HELD).collect()] == [(1, "[EMAIL_01]", "a@b.com", True)]
 
 
-def test_close_and_idle_sessions_forget(spark):
+def test_only_a_close_forgets(spark):
     batches = (
-        [turn(1, 0, "user", "a@b.com", 0), turn(2, 0, "user", "a@b.com", 0), turn(3, 0, "user", "a@b.com", 0)],
-        [turn(1, 1, "assistant", "[EMAIL_01]", 100), turn(2, 1, "assistant", "[EMAIL_01]", 100)],
-        [turn(9, 0, "user", "nothing", 200)],
-        [turn(9, 1, "user", "nothing", 300)],
-        [turn(n, 2, "assistant", "[EMAIL_01]", 310) for n in (1, 2, 3)],
+        [turn(n, 0, "user", "a@b.com", 0) for n in (1, 2, 3)],
+        [turn(2, 1, "assistant", "[EMAIL_01]", 100), turn(2, 1, "close", None, 101)],
+        [turn(n, 2, "assistant", "[EMAIL_01]", 10**8) for n in (1, 2, 3)],
+        [turn(2, 3, "user", "x@y.org", 10**8 + 1), turn(2, 4, "assistant", "[EMAIL_02] [EMAIL_01]", 10**8 + 2)],
     )
-    stream = flow.read_stream(spark, files(spark, "idle", *batches), schemas.TURNS, files_per_batch=1)
-    closed = stream.where("conv_id = 2 AND turn = 1").select("conv_id", (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"))
-    events = flow.token_events(stream, closed, mode="reference")
-    got = output(spark, flow.token_state(events, idle_ms=150_000), "idle-out")
-    # 2 was closed after its first answer; 3 was silent for longer than 150 s; 1 was not.
-    assert sorted((r.conv_id, r.turn) for r in got.collect()) == [(1, 1), (1, 2), (2, 1)]
+    held = flow.held_tokens(spark, conversations(spark, one_by_one(spark, files(spark, "closed", *batches))).root)
+    assert sorted((r.conv_id, r.turn, r.value) for r in held.collect()) == [
+        (1, 2, "a@b.com"), (2, 1, "a@b.com"), (2, 4, "x@y.org"), (3, 2, "a@b.com"),
+    ]
+
+
+def test_long_lists_on_a_stream(spark, path):
+    names = spark.createDataFrame([(f"Name{i} z", "PERSON") for i in range(600)], "name string, label string")
+    hosts = spark.createDataFrame([(f"h{i}.org",) for i in range(300)], "domain string")
+    stream = one_by_one(spark, path).withColumn("text", F.concat(F.lit("Name7 z "), "text"))
+    got = output(spark, flow.sanitize_stream(stream, entities=names, allowlist=hosts).select("conv_id", "turn", "scanned", "sanitized"), "lists")
+    assert sorted(r.sanitized for r in got.collect()) == ["[PERSON_01] [EMAIL_01] now", "[PERSON_01] key [SSN_01]", "[PERSON_01] mail [EMAIL_01]"]
 
 
 def test_unchanged_answers_are_skipped(spark):
@@ -86,9 +113,10 @@ def test_unchanged_answers_are_skipped(spark):
         [turn(1, 0, "assistant", text, 0), turn(1, 1, "assistant", text, 1), turn(2, 0, "assistant", "short", 1)],
         [turn(1, 2, "assistant", f" {text} ", 2), turn(1, 3, "assistant", other, 3), turn(1, 4, "assistant", text, 4)],
     )
-    stream = flow.read_stream(spark, files(spark, "same", *batches), schemas.TURNS, files_per_batch=1)
-    rows = output(spark, flow.skip_unchanged(read_responses(stream)), "changed").collect()
-    assert sorted(r.turn for r in rows) == [0, 3, 4]
+    out = work_dir(spark, "changed")
+    answers = read_responses(one_by_one(spark, files(spark, "same", *batches)))
+    flow.changed_answers(answers, f"{out}/tables", f"{out}/checkpoint").awaitTermination()
+    assert sorted(r.turn for r in flow.Tables(f"{out}/tables").read(spark, "changed", "conv_id long, turn long").collect()) == [0, 3, 4]
 
 
 def test_debounce_and_late_rows(spark):
@@ -102,7 +130,7 @@ def test_debounce_and_late_rows(spark):
         [(9, 1000.0, "end")],
         [(9, 2000.0, "end")],
     )
-    stream = flow.read_stream(spark, files(spark, "changes", *batches, schema=schema), schema, files_per_batch=1)
+    stream = flow.read_stream(spark, files(spark, "changes", *batches, schema=schema), schema, files_per_batch=1, lateness="10 seconds")
     rows = output(spark, flow.debounce_stream(stream), "quiet").where("conv_id < 9").collect()
     assert sorted((r.conv_id, r.text) for r in rows) == [(1, "abc"), (1, "abcd"), (1, "x"), (2, "yz"), (3, "z")]
 

@@ -194,7 +194,7 @@ def rewrite_conversations(
     rows = turns.withColumns({"_row": key, "_conv": whose, "_spans": cover(F.col(text_col), F.col(detections_col))})
     # Read several times below; computed once.
     found = cut_lineage(
-        rows.select("_row", "_conv", F.col(order).alias("_turn"), F.posexplode_outer("_spans").alias("_i", "_s"))
+        rows.select("_row", "_conv", F.coalesce(F.col(order).cast("long"), F.lit(-1)).alias("_turn"), F.posexplode_outer("_spans").alias("_i", "_s"))
         .where(F.col("_s").isNotNull()).select("_row", "_conv", "_turn", "_i", "_s.type", "_s.value", "_s.start", "_s.end").distinct()
     )
     value_keys = ["_conv", "type", "value"]

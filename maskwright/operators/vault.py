@@ -223,9 +223,12 @@ def rewrite_conversations(
         lambda labels: F.struct(substitute(text, spans, labels).alias("sanitized"), tokens_of(spans, labels).alias("tokens")),
     )
     untouched = F.struct(text.alias("sanitized"), F.array().cast(schemas.TOKENS).alias("tokens"))
+    done_type = f"struct<sanitized:string,tokens:{schemas.TOKENS}>"
+    # Better no result than a text that goes out as it came.
+    lost = F.raise_error(F.lit("a detected value has no number")).cast(done_type)
     return (
         turns.withColumn("_row", key).join(per_row, "_row", "left")
-        .withColumn("_done", F.when(spans.isNotNull(), done).otherwise(untouched))
+        .withColumn("_done", F.when(spans.isNotNull(), done).when(F.size(F.col(detections_col)) > 0, lost).otherwise(untouched))
         .withColumns({"sanitized": F.col("_done.sanitized"), "tokens": F.col("_done.tokens")})
         .drop("_row", "_numbered", "_done")
     )

@@ -60,6 +60,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def builder(name: str = "maskwright") -> SparkSession.Builder:
+    """A session builder with what can only be set when a session is made.
+
+    Expressions of thousands of nodes are built here; noting the Python line of each takes longer than many a job.
+    """
+    return SparkSession.builder.appName(name).config("spark.python.sql.dataFrameDebugging.enabled", "false")
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the jobs rely on: UTC, and re-planning at run time with skewed joins split."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

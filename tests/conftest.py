@@ -2,7 +2,6 @@ import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
@@ -11,16 +10,14 @@ sys.path.insert(0, str(ROOT / "tools"))
 
 @pytest.fixture(scope="session")
 def spark():
-    from maskwright.session import prepare
+    from maskwright.session import builder, prepare
 
     session = (
-        SparkSession.builder.master("local[8]")
-        .appName("tests")
+        builder("tests").master("local[8]")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -104,6 +105,21 @@ GENERATORS: dict[str, tuple[int, Callable[[Column], Column]]] = {
 }
 
 
+def shapes() -> list[str]:
+    """Patterns of all fake values, each of a fixed number of characters after its words, so that what stands beside a
+    fake value in a text cannot become part of it.  A number behind ``#`` may follow."""
+    def one_of(words: Sequence[str]) -> str:
+        return "(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")"
+
+    usual = [
+        *[one_of([n.lower() for n in FIRST_NAMES]) + rf"\d{{{d}}}@" + one_of(EMAIL_DOMAINS) for d in (2, 3)],
+        rf"\({one_of(AREA_CODES)}\) \d{{3}}-\d{{4}}", r"\d{3}-\d{2}-\d{4}", r"01/\d{2}/\d{4}", r"GB\d{2}TEST\d{8}", r"X\d{7}",
+        r"4111 1111 \d{4} \d{4}", "sk-test[0-9a-f]{20}", one_of(FIRST_NAMES) + " " + one_of(LAST_NAMES), one_of(ORGANIZATIONS), one_of(CITIES),
+        *[rf"192\.0\.2\.\d{{{d}}}" for d in (1, 2, 3)], *[rf"2001:db8::[0-9a-f]{{{d}}}" for d in (1, 2, 3, 4)],
+    ]
+    return [*usual, *[u + r"#\d+" for u in usual]]
+
+
 def start_of(seed: int, key: Column, kind: Column) -> Column:
     """Where a text starts in the value space of a type: 32 hash bits."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key, kind))

@@ -11,7 +11,7 @@ from maskwright import schemas
 from maskwright.functions.arrays import let
 from maskwright.operators.ordered import last_write_before, running_number
 from maskwright.operators.redact import cover, explode_tokens, substitute, token, tokens_in, tokens_of
-from maskwright.operators.synthesize import safe_fake
+from maskwright.operators.synthesize import safe_fake, shapes
 from maskwright.session import cut_lineage
 
 # A token in brackets, whatever its type is called.
@@ -61,12 +61,22 @@ def token_candidates(text: Column, lengths: Sequence[int] = ()) -> Column:
     return F.array_distinct(F.concat(bracketed, pieces))
 
 
-def candidate_rows(responses: DataFrame, vault: DataFrame | None, text_col: str = "text") -> DataFrame:
+def synthetic_candidates(text: Column) -> Column:
+    """Every distinct piece of a text that looks like a fake value, or stands in brackets."""
+    # Looked for at every place: the shapes of two values may overlap.
+    found = [F.regexp_extract_all(text, F.lit(f"(?=({s}))"), F.lit(1)) for s in shapes()]
+    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(BRACKETED), F.lit(0)), *found))
+
+
+def candidate_rows(
+    responses: DataFrame, vault: DataFrame | None, text_col: str = "text", synthetic: bool = False
+) -> DataFrame:
     """One row per (answer, possible token)."""
-    lengths = plain_token_lengths(vault) if vault is not None else ()
-    rows = responses.select(
-        "conv_id", "turn", F.explode_outer(token_candidates(F.col(text_col), lengths)).alias("token")
-    )
+    if synthetic:
+        pieces = synthetic_candidates(F.col(text_col))
+    else:
+        pieces = token_candidates(F.col(text_col), plain_token_lengths(vault) if vault is not None else ())
+    rows = responses.select("conv_id", "turn", F.explode_outer(pieces).alias("token"))
     return rows.where(F.col("token").isNotNull())
 
 
@@ -123,16 +133,18 @@ def _replaced(text: Column, entries: Column) -> Column:
 
 
 def restore(
-    responses: DataFrame, vault: DataFrame, text_col: str = "text", any_shape: bool = False
+    responses: DataFrame, vault: DataFrame, text_col: str = "text", any_shape: bool = False, synthetic: bool = False
 ) -> DataFrame:
     """Add ``restored``: tokens replaced by the values they had when the answer came.
 
     Only tokens that occur in an answer are looked up, as of its turn; unknown
     tokens stay.  All are replaced at once, where tokens overlap the longer one.
-    Set ``any_shape`` for vaults with synthetic values.
+    Set ``synthetic`` for vaults with the values of ``synthesize``, and
+    ``any_shape`` for tokens of any other shape: then all pieces of an answer that
+    have the length of a token are looked up, many for each character of it.
     """
     # Read twice below; the texts are searched once.
-    asked = cut_lineage(candidate_rows(responses, vault if any_shape else None, text_col))
+    asked = cut_lineage(candidate_rows(responses, vault if any_shape else None, text_col, synthetic))
     known = last_write_before(asked, vault, ["conv_id", "token"], "turn", "value", tie="seq")
     entries = (
         known.where(F.col("value").isNotNull())

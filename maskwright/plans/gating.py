@@ -276,7 +276,7 @@ def _restored(synthetic: bool):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         done = sanitize(prompts(spark, sf), Policy(synthetic_mode=synthetic), allowlist=allowlist(spark))
         quoted = done.select("conv_id", (F.col("turn") + 1_000_000).alias("turn"), F.col("sanitized").alias("text"))
-        back = restore(quoted, vault_rows(done), any_shape=synthetic)
+        back = restore(quoted, vault_rows(done), synthetic=synthetic)
         return back.select("conv_id", (F.col("turn") - 1_000_000).alias("turn"), "restored")
 
     return run

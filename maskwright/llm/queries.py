@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm import bpe, hnsw, langid, licenses, mixing, paragraphs, quality, sharding, simhash, urlfilter
 from maskwright.llm.common import documents, setup
-from maskwright.llm.sql import mixing_sql, url_sql
+from maskwright.llm.sql import mixing_sql, shard_sql, url_sql
 
 #: Eight shards in two regions of two racks; a ninth comes as a region of its own, so that rows move only into it.
 TREE = {"r0": {"k0": {0: 1.0, 1: 1.0}, "k1": {2: 1.0, 3: 1.0}}, "r1": {"k2": {4: 1.0, 5: 1.0}, "k3": {6: 1.0, 7: 1.0}}}
@@ -83,4 +83,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op3_mixing": mixing_sql(), "op8_url_filter": url_sql(URL_RULES)}
+SQL = {"op3_mixing": mixing_sql(), "op7_hash_tree": shard_sql(TREE, GROWN), "op8_url_filter": url_sql(URL_RULES)}

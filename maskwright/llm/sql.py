@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 _BITS = "CAST('0x' || substr(md5({0}), 1, 13) AS BIGINT)"
 
@@ -40,3 +40,70 @@ parts AS (
          regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path FROM tails)
 SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM parts
 """
+
+
+_POLYNOMIAL = 0xEDB88320  # of CRC-32, as its bits are shifted
+_ALL = 0xFFFFFFFF
+_PIECE = 64  # bytes
+
+
+def _crc_sql(hexa: str, bits: str, start: str) -> str:
+    """The CRC register after some bits of a text in hexadecimal digits."""
+    bit = f"(CAST('0x' || substr({hexa}, 1 + 2 * (i // 8), 2) AS BIGINT) >> (i % 8)) & 1"
+    step = f"CASE WHEN xor(c & 1, b) = 1 THEN xor(c >> 1, {_POLYNOMIAL}) ELSE c >> 1 END"
+    return f"list_reduce(list_transform(range({bits}), lambda i: {bit}), lambda c, b: {step}, CAST({start} AS BIGINT))"
+
+
+def _crc_ctes() -> str:
+    """CTE ``checked``: CRC-32 of every text.
+
+    The register after two pieces follows from the registers of both, as all steps are linear over single bits: the first
+    is moved on by as many zeros as the second has bits.  Texts are cut into pieces of 64 bytes, with zeros in front.
+    """
+
+    def moved(register: int) -> int:
+        for _ in range(8 * _PIECE):
+            register = register >> 1 ^ (_POLYNOMIAL if register & 1 else 0)
+        return register
+
+    terms = "CAST(0 AS BIGINT)"
+    for j in range(32):
+        terms = f"xor({terms}, ((s >> {j}) & 1) * {moved(1 << j)})"
+    digits = 2 * _PIECE
+    return f"""numbered AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+started AS (SELECT r, printf('%08X', {_ALL} - CAST('0x' || substr(h, 1, 8) AS BIGINT)) || substr(h, 9) AS h FROM numbered WHERE n >= 4),
+filled AS (SELECT r, repeat('0', ({digits} - length(h) % {digits}) % {digits}) || h AS h FROM started),
+cut AS (SELECT r, k, substr(h, 1 + {digits} * k, {digits}) AS p FROM (SELECT r, h, unnest(range(0, length(h) // {digits})) AS k FROM filled)),
+pieces AS (SELECT r, list({_crc_sql('p', str(8 * _PIECE), '0')} ORDER BY k) AS registers FROM cut GROUP BY r),
+whole AS (SELECT r, list_reduce(registers, lambda s, c: xor(c, {terms})) AS register FROM pieces),
+checked AS (SELECT doc_id, n + 1 AS size, xor(coalesce(register, {_crc_sql('h', 'CASE WHEN n < 4 THEN 8 * n ELSE 0 END', str(_ALL))}), {_ALL}) AS text_crc32
+  FROM numbered LEFT JOIN whole USING (r))"""
+
+
+def _named(name: str, key: str) -> str:
+    return f"concat('{name}:', {key})"
+
+
+def _tree_sql(node: Mapping | float, path: str = "") -> str:
+    """The shard of ``doc_id`` in a tree: the least waiting time decides at each level."""
+
+    def weight(x: Mapping | float) -> float:
+        return sum(map(weight, x.values())) if isinstance(x, Mapping) else x
+
+    children = [(f"{path}/{name}", child, _tree_sql(child, f"{path}/{name}") if isinstance(child, Mapping) else str(name)) for name, child in node.items()]
+    if len(children) == 1:
+        return children[0][2]
+    key = "coalesce(CAST(doc_id AS VARCHAR), '')"
+    waits = [f"-ln(1.0 - {_BITS.format(_named(here, key))} / 4503599627370496.0) / {float(weight(child))}" for here, child, _ in children]
+    cases = " ".join(f"WHEN {w} = least({', '.join(waits)}) THEN {then}" for w, (_, _, then) in zip(waits, children))
+    return f"(CASE {cases} END)"
+
+
+def shard_sql(tree: Mapping, grown: Mapping) -> str:
+    place = f"{_BITS.format(_named('slot', "coalesce(CAST(doc_id AS VARCHAR), '')"))}"
+    return f"""
+WITH {_crc_ctes()},
+placed AS (SELECT *, CAST({_tree_sql(tree)} AS INTEGER) AS shard, CAST({_tree_sql(grown)} AS INTEGER) AS grown_shard, {place} AS place FROM checked)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY place, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot FROM placed
+"""

@@ -3,10 +3,13 @@
 import json
 import re
 import time
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from maskwright import session
 from maskwright.functions.hashing import prompt_hash
 from maskwright.functions.text import host_of, is_blank, preview, strip, utf16_length
 from maskwright.operators import entities as ent
@@ -211,6 +214,24 @@ def test_the_log_is_purged_by_day(spark):
     assert purge_audit(spark, path, Policy(audit_retention_days=2), now) == []
 
 
+def test_work_folders(spark, monkeypatch):
+    monkeypatch.setattr(session, "_MADE", [])
+    table = session.staged(spark.range(3), "some")
+    path = session._MADE[0]
+    assert table.count() == 3 and Path(path.removeprefix("file:")).exists()
+    session.clear_work(spark)
+    assert not Path(path.removeprefix("file:")).exists() and session._MADE == []
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Unset:
+        conf = {}
+        sparkContext = SimpleNamespace(master="spark://host:7077")
+
+    with pytest.raises(ValueError):
+        session.work_dir(Unset, "x")
+
+
 def test_vault_folders(spark):
     path = work_dir(spark, "vault")
     rows = spark.range(300).select(F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("[A_01]").alias("token"))

@@ -27,6 +27,8 @@ PER_LANGUAGE = 400
 #: Languages that are learned: those with the most documents.
 LANGUAGES = 200
 UNKNOWN = "und"
+#: Score from which a document is kept: little above what chance gives for four languages, so that short and mixed ones stay.
+MIN_SCORE = 0.3
 
 # Families of languages by ISO 639-1 code. A language not listed is a family of its own.
 FAMILIES = {
@@ -209,7 +211,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return said.select(id_col, "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is told with at least ``min_score``; the others, and texts without a
     letter, go.  All columns stay as they are."""
     model = train(docs, PER_LANGUAGE, id_col, text_col, lang_col)

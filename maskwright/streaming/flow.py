@@ -26,6 +26,7 @@ from maskwright.operators.ordered import last_write_before, previous_value
 from maskwright.operators.responses import DEBOUNCE_MS, echo_warning, pii_warnings
 from maskwright.operators.vault import candidate_rows
 from maskwright.plans.sanitize import sanitize
+from maskwright.policy import Policy
 from maskwright.session import cut_lineage
 from maskwright.sources.tables import prompts_of, read_responses
 
@@ -116,6 +117,8 @@ def conversation_stream(turns: DataFrame, root: str, checkpoint: str, **options)
     ``late``       rows behind a turn of their conversation that was processed before;
     ``warnings``   tokens that answers repeat, and personal data in them.
     """
+    if options.get("policy", Policy()).synthetic_mode:
+        raise ValueError("fake values do not tell the number they were made from; streams of conversations use tokens")
     tables = Tables(root)
 
     def put(batch: DataFrame, batch_id: int) -> None:
@@ -132,7 +135,7 @@ def conversation_stream(turns: DataFrame, root: str, checkpoint: str, **options)
 
         vault = held_before("vault", VAULT)
         known = vault.select("conv_id", "type", "value", F.regexp_extract("token", r"_([0-9]+)\]$", 1).cast("long").alias("n")).distinct()
-        done = cut_lineage(sanitize(prompts_of(rows), known=known, lookup="literal", **options))
+        done = cut_lineage(sanitize(prompts_of(rows), known=known, numbering="conversation", **options))
         tables.write("sanitized", done.drop("detections", "semantic_hits"), batch_id)
         added = done.select("conv_id", "turn", F.explode("tokens").alias("t")).select("conv_id", "turn", "t.seq", "t.type", "t.token", "t.value")
         tables.write("vault", added, batch_id)
@@ -204,17 +207,19 @@ def changed_answers(responses: DataFrame, root: str, checkpoint: str) -> Streami
     return run_batches(responses, checkpoint, put)
 
 
-def debounce_stream(updates: DataFrame, gap_ms: int = DEBOUNCE_MS) -> DataFrame:
+def debounce_stream(updates: DataFrame, gap_ms: int = DEBOUNCE_MS, keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
     """The text visible once an answer has not changed for ``gap_ms``: one row per quiet period.
 
+    A period is kept for each of ``keys``; with the turn among them a busy conversation is spread over its answers.
+
     ``updates`` has a watermark on ``ts``; a period is final once it has passed.
     Session windows also merge rows exactly one gap apart, which here are the
     end of a period, so the gap is a microsecond shorter.
     """
     return (
-        updates.groupBy("conv_id", F.session_window("ts", f"{gap_ms * 1000 - 1} microseconds").alias("w"))
+        updates.groupBy(*keys, F.session_window("ts", f"{gap_ms * 1000 - 1} microseconds").alias("w"))
         .agg(F.max(F.struct("ts", "text")).alias("last"))
-        .select("conv_id", "last.ts", "last.text")
+        .select(*keys, "last.ts", "last.text")
     )
 
 

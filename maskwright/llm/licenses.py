@@ -11,8 +11,9 @@ from __future__ import annotations
 import sys
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -26,28 +27,114 @@ COVERAGE = 0.8
 #: A notice may be longer than its template by this share of it and two words.
 SLACK = 0.25
 
-# Usual license notices, with the words that tell them from each other.
-NOTICES = (
-    ("apache-2.0", "apache 2.0", "Licensed under the Apache License, Version 2.0."),
-    ("mit", "mit", "Released under the MIT License."),
-    ("cc-by-nc-4.0", "by-nc 4.0", "Licensed under CC BY-NC 4.0."),
-    ("gpl-3.0", "gnu general 3", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "mit-text",
-        "permission granted free charge",
+#: Whole license texts, and notices of their own wording; read where the job is planned, not by its tasks.
+TEXTS = Path(__file__).parent / "license_texts"
+
+# Words that tell a full text from others ("-": a word that must not stand in the aligned stretch).
+FULL = {
+    "apache-2.0": "perpetual irrevocable contributor", "artistic-1.0": "artistic semblance", "cc0-1.0": "affirmer waiver",
+    "gfdl-1.2": "invariant cover 1.2", "gfdl-1.3": "invariant cover multiauthor",
+    "gpl-1.0": "general nominal mercy", "gpl-2.0": "general 1991", "gpl-3.0": "convey propagate -cooperation",
+    "lgpl-2.0": "library 1991 linked -lesser", "lgpl-2.1": "lesser linked", "lgpl-3.0": "lesser combined minimal",
+    "mpl-1.1": "covered initial developer", "mpl-2.0": "covered incompatible secondary",
+}
+
+# SPDX identifier, words that tell the names (see above), names of a license.
+NAMES = (
+    ("MIT", "mit", ("MIT License", "MIT license terms")),
+    ("Apache-2.0", "apache", ("Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 License", "Apache-2.0 License", "Apache Software License 2.0")),
+    ("GPL-1.0", "gnu general 1 -lesser -library -affero", ("GNU General Public License, version 1",)),
+    ("GPL-2.0", "gnu general -lesser -library -affero", ("GNU General Public License, version 2", "GNU General Public License, version 2.0", "GNU General Public License v2", "GNU General Public License v2.0")),
+    ("GPL-2.0", "", ("GPLv2", "GPL-2.0", "GPL version 2", "GPL v2", "GPL 2.0")),
+    ("GPL-3.0", "gnu general -lesser -library -affero", ("GNU General Public License, version 3", "GNU General Public License, version 3.0", "GNU General Public License v3", "GNU General Public License v3.0")),
+    ("GPL-3.0", "", ("GPLv3", "GPL-3.0", "GPL version 3", "GPL v3", "GPL 3.0")),
+    ("LGPL-2.0", "gnu library", ("GNU Library General Public License, version 2",)),
+    ("LGPL-2.1", "gnu lesser", ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1")),
+    ("LGPL-2.1", "", ("LGPLv2.1", "LGPL-2.1", "LGPL version 2.1", "LGPL v2.1", "LGPL 2.1")),
+    ("LGPL-3.0", "gnu lesser", ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3", "GNU Lesser General Public License v3.0")),
+    ("LGPL-3.0", "", ("LGPLv3", "LGPL-3.0", "LGPL version 3", "LGPL v3", "LGPL 3.0")),
+    ("AGPL-3.0", "gnu affero", ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3", "GNU Affero General Public License v3.0")),
+    ("AGPL-3.0", "", ("AGPLv3", "AGPL-3.0", "AGPL version 3", "AGPL v3", "AGPL 3.0")),
+    ("BSD-2-Clause", "bsd", ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause License", "FreeBSD License")),
+    ("BSD-3-Clause", "bsd", ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "Revised BSD License", "BSD-3-Clause License")),
+    ("BSD-4-Clause", "bsd", ("BSD 4-Clause License", "4-Clause BSD License", "Original BSD License", "BSD-4-Clause License")),
+    ("0BSD", "", ("Zero-Clause BSD License", "0BSD License")),
+    ("ISC", "isc", ("ISC License",)),
+    ("MPL-1.1", "", ("Mozilla Public License, version 1.1", "Mozilla Public License 1.1", "MPL 1.1", "MPL-1.1")),
+    ("MPL-2.0", "", ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License v2.0", "MPL 2.0", "MPL-2.0")),
+    ("EPL-1.0", "", ("Eclipse Public License 1.0", "Eclipse Public License v1.0", "EPL-1.0", "EPL 1.0")),
+    ("EPL-2.0", "", ("Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License v. 2.0", "EPL-2.0", "EPL 2.0")),
+    ("CDDL-1.0", "", ("Common Development and Distribution License 1.0", "CDDL 1.0", "CDDL-1.0")),
+    ("EUPL-1.2", "", ("European Union Public Licence 1.2", "EUPL 1.2", "EUPL-1.2", "EUPL v1.2")),
+    ("CC0-1.0", "", ("CC0 1.0", "CC0-1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "Creative Commons CC0 License", "CC0")),
+    ("Unlicense", "unlicense", ("Unlicense",)),
+    ("Zlib", "zlib", ("zlib License",)),
+    ("BSL-1.0", "boost", ("Boost Software License, Version 1.0", "Boost Software License 1.0")),
+    ("WTFPL", "", ("WTFPL",)),
+    ("Artistic-2.0", "", ("Artistic License 2.0", "Artistic License, Version 2.0")),
+    ("Python-2.0", "", ("Python Software Foundation License", "PSF License")),
+    ("GFDL-1.2", "gnu documentation", ("GNU Free Documentation License, Version 1.2",)),
+    ("GFDL-1.3", "gnu documentation", ("GNU Free Documentation License, Version 1.3",)),
+    ("OFL-1.1", "", ("SIL Open Font License, Version 1.1", "SIL Open Font License 1.1")),
+    ("ODbL-1.0", "", ("Open Database License 1.0", "Open Database License v1.0", "ODbL 1.0", "ODbL v1.0")),
+    ("ODC-By-1.0", "", ("Open Data Commons Attribution License v1.0", "ODC-By 1.0", "ODC-By v1.0")),
+)
+COMMONS = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+#: Words of names that may be missing; all others tell the name.
+_FILLING = frozenset("license licence the public version v international unported universal software terms and".split())
+
+
+def _notices() -> Iterator[tuple[str, str, str]]:
+    """Name (an SPDX identifier, with ``-header`` or ``-text`` behind it for the long wordings), words that tell it, wording."""
+    for spdx, needs, phrases in (*NAMES, *_commons()):
+        name = spdx.lower()
+        for phrase in phrases:
+            bars = [w for w in needs.split() if w.startswith("-")]
+            own = " ".join([*dict.fromkeys([*(w for w in words_of(phrase) if w and w not in _FILLING), *(w for w in needs.split() if w in words_of(phrase))]), *bars])
+            yield name, own, f"Licensed under the {phrase}."
+            yield name, f"under {own}", f"under {phrase}"
+            yield name, f"under {own}", f"under the {phrase}"
+        for end in ("", "-only", "-or-later", "+") if "GPL" in spdx else ("",):
+            yield name, f"{name}{end} spdx-license-identifier", f"SPDX-License-Identifier: {spdx}{end}"
+            if "-" in spdx:
+                yield name, f"{name}{end} license", f"License: {spdx}{end}"
+    for spdx, needs in FULL.items():
+        yield f"{spdx}-text", needs, (TEXTS / f"{spdx}.txt").read_text("utf-8")
+    for part in (TEXTS / "notices.txt").read_text("utf-8").split("== ")[1:]:
+        head, text = part.split("\n", 1)
+        name, needs = head.split(" ", 1)
+        yield name, needs, text
+    yield "apache-2.0", "apache 2.0", "Licensed under the Apache License, Version 2.0."
+    yield "mit", "mit", "Released under the MIT License."
+    yield "cc-by-nc-4.0", "by-nc 4.0", "Licensed under CC BY-NC 4.0."
+    yield "gpl-3.0", "gnu general 3 -lesser -library -affero", "This work is licensed under the GNU General Public License, version 3."
+    yield (
+        "apache-2.0-header", "apache except compliance",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+        "with the License. You may obtain a copy of the License at",
+    )
+    yield (
+        "mit-text", "permission granted free charge",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
         "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
         "notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ),
-    (
-        "apache-2.0-header",
-        "apache except compliance",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
-        "with the License. You may obtain a copy of the License at",
-    ),
-)
+    )
+
+
+def _commons() -> Iterator[tuple[str, str, tuple[str, ...]]]:
+    """The Creative Commons licenses in their versions."""
+    for code, long in COMMONS.items():
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            loose = long.replace("NonCommercial", "Non-Commercial"), long.replace("NoDerivatives", "NoDerivs"), long.replace("ShareAlike", "Share Alike")
+            names = [f"Creative Commons {n} {version}" for n in dict.fromkeys([long, *loose])]
+            names += [f"Creative Commons {long} {version} {kind} License" for kind in ("International", "Unported", "International Public")]
+            names += [f"CC {code} {version}", f"CC-{code} {version}", f"CC-{code}-{version}"]
+            yield f"CC-{code}-{version}", "", tuple(names)
 
 
 def words_of(text: str) -> list[str]:
@@ -55,6 +142,23 @@ def words_of(text: str) -> list[str]:
     return [w.strip(b".,;:!?()[]{}\"'*").decode("utf-8", "replace") for w in text.encode("utf-8", "surrogatepass").lower().split()]
 
 
+def _links() -> Iterator[tuple[str, str, str]]:
+    """Links to the Creative Commons licenses, each one word."""
+    for code in COMMONS:
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            for start in ("http://", "https://", "http://www.", "https://www."):
+                for end in ("", "/", "/deed.en", "/legalcode"):
+                    link = f"{start}creativecommons.org/licenses/{code.lower()}/{version}{end}"
+                    yield f"cc-{code.lower()}-{version}", link, link
+    for start in ("http://", "https://"):
+        for end in ("", "/"):
+            link = f"{start}creativecommons.org/publicdomain/zero/1.0{end}"
+            yield "cc0-1.0", link, link
+
+
+NOTICES = tuple(dict.fromkeys([*_links(), *_notices()]))
+
+
 def align(text: Sequence[str], template: Sequence[str]) -> list[tuple[int, int]]:
     """Aligned places (text, template) in increasing order."""
     found, todo = [], [(0, len(text), 0, len(template))]
@@ -100,11 +204,14 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 class Notice:
     name: str
     needs: frozenset[str]
+    bars: frozenset[str]  # words that must not stand in the aligned stretch
     words: tuple[str, ...]
 
     @classmethod
     def of(cls, name: str, needs: str, text: str) -> Notice:
-        return cls(name, frozenset(needs.split()), tuple(words_of(text)))
+        marks = needs.split()
+        bars = frozenset(w[1:] for w in marks if w.startswith("-"))
+        return cls(name, frozenset(w for w in marks if not w.startswith("-")), bars, tuple(words_of(text)))
 
     def least(self, coverage: float) -> int:
         """Words that have to be aligned."""
@@ -114,45 +221,57 @@ class Notice:
         """Best coverage with matched words, first and last place (excluded) in the text; None below ``coverage``.
 
         Of the words that are fewest in the text, more than may be missing are looked up, so that every possible place of
-        the notice is looked at; a place is the stretch around such a word.
+        the notice is looked at; a place is the stretch around such a word.  Stretches of long notices that begin and end
+        within an eighth of the slack are looked at as one.
         """
         n, least = len(self.words), self.least(coverage)
         slack = int(n * SLACK) + 2
         rare = sorted(range(n), key=lambda j: (len(places.get(self.words[j], ())), j))[: n - least + 1]
-        spots = sorted({(max(0, i - j - slack), min(len(words), i + n - j + slack)) for j in rare for i in places.get(self.words[j], ())})
+        grid = max(1, slack // 8)
+        diagonals = {(i - j) // grid * grid for j in rare for i in places.get(self.words[j], ())}
+        spots = sorted({(max(0, d - slack), min(len(words), d + grid - 1 + n + slack)) for d in diagonals})
         best = None
         for lo, hi in spots:
             pairs = align(words[lo:hi], self.words)
-            if len(pairs) >= least and self.needs <= {self.words[j] for _, j in pairs}:
+            if len(pairs) >= least and self.needs <= {self.words[j] for _, j in pairs} and self.bars.isdisjoint(words[lo + pairs[0][0] : lo + pairs[-1][0] + 1]):
                 this = (len(pairs) / n, len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1)
                 if best is None or (-this[1], this[2]) < (-best[1], best[2]):
                     best = this
         return best
 
 
-def find_notices(text: str | None, notices: Sequence[Notice], coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
-    """``(name, coverage, matched, start, end)`` of every notice in a text, in words."""
-    low = (text or "").encode("utf-8", "surrogatepass").lower()
-    # A needed word that is no part of the text cannot be aligned.
-    likely = [n for n in notices if all(w.encode() in low for w in n.needs)]
-    if not likely:
-        return []
-    words = words_of(text)
+def by_word(notices: Sequence[Notice]) -> dict[str, list[Notice]]:
+    """Notices by the one of their needed words that is likely the rarest."""
+    out: dict[str, list[Notice]] = {}
+    for n in notices:
+        words = n.needs or n.words[:1]
+        out.setdefault(max(words, key=lambda w: (w not in ("under", "license", "general"), len(w), w)), []).append(n)
+    return out
+
+
+def find_notices(text: str | None, notices: Mapping[str, Sequence[Notice]], coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
+    """``(name, coverage, matched, start, end)`` of every notice in a text, in words; of the wordings of one name the best."""
+    words = words_of(text or "")
     places: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         places.setdefault(w, []).append(i)
-    hits = ((n.name, n.find(words, places, coverage)) for n in likely)
-    return [(name, *hit) for name, hit in hits if hit is not None]
+    best: dict[str, tuple[float, int, int, int]] = {}
+    # A needed word that the text does not have cannot be aligned.
+    for n in (n for w in sorted(notices.keys() & places.keys()) for n in notices[w]):
+        hit = n.find(words, places, coverage) if all(w in places for w in n.needs) else None
+        if hit is not None and (n.name not in best or (-hit[0], -hit[1], hit[2]) < (-best[n.name][0], -best[n.name][1], best[n.name][2])):
+            best[n.name] = hit
+    return [(name, *hit) for name, hit in best.items()]
 
 
 def scan_licenses(docs: DataFrame, notices: Sequence[tuple[str, str, str]] = NOTICES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for every notice that a row of ``docs`` holds: the id, ``license``, ``coverage``, ``matched``,
     ``start_word``, ``end_word`` (excluded); one row with nulls for a row of ``docs`` without any.
 
-    The best place of each notice is given, the first of equal ones.  Null and blank texts hold none; repeated rows are
+    The best place of each ``license`` in any of its wordings is given, the first of equal ones.  Null and blank texts hold none; repeated rows are
     repeated.  Narrow: no shuffle, and memory for a batch of texts.
     """
-    templates = [Notice.of(*n) for n in notices]
+    templates = by_word([Notice.of(*n) for n in notices])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

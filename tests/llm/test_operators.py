@@ -275,6 +275,25 @@ def test_license_query_by_plain_search(llm_spark, docs, sf):
     assert want and want <= got
 
 
+def test_usual_licenses_are_told_apart(llm_spark):
+    short = {
+        "bsd-3-clause": "Released under the BSD 3-Clause License.", "bsd-2-clause": "SPDX-License-Identifier: BSD-2-Clause",
+        "isc": "Distributed under the ISC License.", "mpl-2.0": "This file is under the Mozilla Public License 2.0.",
+        "lgpl-2.1": "Licensed under the GNU Lesser General Public License, version 2.1", "agpl-3.0": "Published under the AGPL v3",
+        "gpl-2.0": "Licensed under the GNU General Public License, version 2.", "cc0-1.0": "Available under CC0 1.0",
+        "cc-by-4.0": "This text is licensed under a Creative Commons Attribution 4.0 International License.",
+        "cc-by-sa-3.0": "See https://creativecommons.org/licenses/by-sa/3.0/ for more.", "unlicense": "Released under the Unlicense.",
+    }
+    filler = " ".join(prose(8, 60))
+    df = llm_spark.createDataFrame([(n, f"{filler} {t} {filler}") for n, t in short.items()], "doc_id string, text string")
+    assert {(r.doc_id, r.license) for r in licenses.scan_licenses(df).collect()} == {(n, n) for n in short}
+    whole = [(n, t) for n, _, t in licenses.NOTICES if n.endswith("-text")]
+    assert len({n for n, _ in whole}) >= 20
+    df = llm_spark.createDataFrame([(n, f"{filler}\n{t}\n{filler}") for n, t in whole], "doc_id string, text string")
+    got = {(r.doc_id, r.license) for r in licenses.scan_licenses(df).collect() if r.license.endswith("-text")}
+    assert got == {(n, n) for n, _ in whole}
+
+
 # Passages
 
 

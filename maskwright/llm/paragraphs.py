@@ -6,8 +6,10 @@ sentence ends, and in stretches without either at local minima of a hash of
 neighbouring words.  Equal paragraphs share a digest.  For the others, keys of
 two minima of the hashes of their five-word shingles each (four keys) are
 joined, paragraphs that collide are verified by the exact Jaccard similarity of
-their shingles, and connected components of what is similar are the classes.  A
-run of neighbouring paragraphs that an earlier document has too is removed.
+their shingles, and connected components of what is similar are the classes.
+So that a passage is found whatever it is glued to, every three
+neighbours of finer pieces are compared too, by their digest.  A run of
+neighbouring or overlapping units that an earlier document has too is removed.
 """
 
 from __future__ import annotations
@@ -33,11 +35,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair of similarity s meets in a key with probability 1 - (1 - s**ROWS)**BANDS: 0.983 at 0.8.
 BANDS, ROWS = 4, 2
-#: Words of neighbouring repeated paragraphs from which they are a passage.  A pasted passage of over 50 words holds
-#: at least so many in whole sentences; what stands alone and is shorter is left in place.
+#: Words of neighbouring repeated units from which they are a passage; what stands alone and is shorter is left in place.
 MIN_RUN = 25
 #: Words without a cut after which hash minima cut, and the reach of such a minimum on both sides.
 LONG, REACH = 32, 8
+#: Reach of the minima that cut fine pieces (inside sentences), and neighbouring fine pieces that are compared as one.
+FINE, CHAIN = 2, 3
 #: Different paragraphs of one key that one task compares; larger keys are compared block by block.
 BLOCK = 1024
 #: Rows (16 bytes each) up to which a table is broadcast; beyond, it is joined by a shuffle.
@@ -59,21 +62,33 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.r_[np.uint64(1), np.full(max(n - 1, 0), _ODD, np.uint64)])
 
 
-def _hash_cuts(h: np.ndarray) -> np.ndarray:
-    """Offsets after which a stretch of words is cut: where the hash of two neighbours is least within ``REACH``."""
+def _hash_cuts(h: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Offsets after which a stretch of words is cut: where the hash of two neighbours is least within ``reach``."""
     pair = _mixed(h[:-1] + h[1:] * np.uint64(3), 7)
-    if len(pair) <= 2 * REACH:
+    if len(pair) <= 2 * reach:
         return np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(pair, 2 * REACH + 1)
-    return np.flatnonzero(windows.argmin(axis=1) == REACH) + REACH
+    windows = np.lib.stride_tricks.sliding_window_view(pair, 2 * reach + 1)
+    return np.flatnonzero(windows.argmin(axis=1) == reach) + reach
 
 
-def cut_paragraphs(texts: Iterable[str | None]) -> tuple[np.ndarray, ...]:
-    """Of all paragraphs of some texts: text number, first word, words, digest, and shingles as offsets and hashes.
-
-    Words are separated by ASCII white space and ASCII letters lower-cased.  A paragraph of fewer than five words has
-    one shingle, itself; shingle hashes have 32 bits, are sorted and without repeats.
-    """
+def _fine_cuts(h: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Whether words are cut behind each word: at the end of its stretch, and where the hash of it and the next word is
+    least among those within ``FINE`` in the same stretch."""
+    pair = _mixed(h[:-1] + h[1:] * np.uint64(3), 7)
+    inner = stretch[:-1] == stretch[1:]
+    least = inner.copy()
+    for k in range(1, FINE + 1):
+        near = stretch[:-k] == stretch[k:]
+        near = near[: len(pair) - k] & inner[k:]
+        less = pair[:-k] < pair[k:]
+        least[: len(near)] &= ~near | less
+        least[k:] &= ~(near & inner[:-k]) | ~less
+    return np.r_[~inner | least, True]
+
+
+def _read(texts: Iterable[str | None]) -> tuple[np.ndarray, ...]:
+    """Hashes of the words of some texts one after the other, whether a sentence or line ends behind each, ends of
+    lines, and words of each text."""
     words: list[bytes] = []
     sizes, lines = [], []
     for text in texts:
@@ -82,48 +97,106 @@ def cut_paragraphs(texts: Iterable[str | None]) -> tuple[np.ndarray, ...]:
             words += line.split()
             lines.append(len(words))
         sizes.append(len(words) - before)
-    if not words:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(1, np.int64), none.astype(np.int32)
+    ends = np.unique(np.array([*lines, *np.cumsum(sizes)], np.int64))
     coded = pa.array(words, pa.large_binary()).dictionary_encode()
     vocabulary, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     h = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))[code]
     stop = np.fromiter((w[-1] in b".!?" and w[-2:-1] not in (b".", b"!", b"?", b"") for w in vocabulary), bool, len(vocabulary))
     last = stop[code]
-    last[np.array(lines)[np.array(lines) > 0] - 1] = True
-    ends = np.cumsum(sizes)
     last[ends[ends > 0] - 1] = True
+    return h, last, ends[ends > 0], np.array(sizes, np.int64)
+
+
+def _pieces(h: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the pieces between sentence ends, long ones cut at hash minima."""
     cuts = np.flatnonzero(last) + 1
     starts = np.r_[0, cuts[:-1]]
     extra = [s + _hash_cuts(h[s:e]) + 1 for s, e in zip(starts, cuts) if e - s > LONG]
     if extra:
         cuts = np.unique(np.concatenate([cuts, *extra]))
         starts = np.r_[0, cuts[:-1]]
-    n = cuts - starts
+    return starts, cuts - starts
+
+
+def _described(h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of stretches of words, and their shingles as offsets and hashes."""
     number = np.repeat(np.arange(len(starts)), n)
-    inside = np.arange(len(words)) - starts[number]
-    powers = _powers(int(n.max()))
-    digest = _mixed(np.add.reduceat(h * powers[inside], starts), 1)
-    five = np.zeros(len(words), np.uint64)
+    first = np.cumsum(n) - n
+    inside = np.arange(len(number)) - first[number]
+    at = starts[number] + inside
+    powers = _powers(int(n.max(initial=0)))
+    digest = _mixed(np.add.reduceat(h[at] * powers[inside], first), 1) if len(n) else np.zeros(0, np.uint64)
+    five = np.zeros(len(h), np.uint64)
     for k in range(SHINGLE):
-        five[: max(len(words) - k, 0)] += _mixed(h, 11 + k)[k:]
-    at = np.flatnonzero(inside + SHINGLE <= n[number])
+        five[: max(len(h) - k, 0)] += _mixed(h, 11 + k)[k:]
+    long = inside + SHINGLE <= n[number]
     short = np.flatnonzero(n < SHINGLE)
-    owner = np.concatenate([number[at], short])
-    value = np.concatenate([_mixed(five[at], 2), digest[short]]).astype(np.uint32)
+    owner = np.concatenate([number[long], short])
+    value = np.concatenate([_mixed(five[at[long]], 2), digest[short]]).astype(np.uint32)
     both = np.unique(owner.astype(np.uint64) << np.uint64(32) | value)
     owner, value = (both >> np.uint64(32)).astype(np.int64), both.astype(np.uint32).view(np.int32)
-    offsets = np.searchsorted(owner, np.arange(len(starts) + 1))
+    return digest, np.searchsorted(owner, np.arange(len(starts) + 1)), value
+
+
+def cut_paragraphs(texts: Iterable[str | None]) -> tuple[np.ndarray, ...]:
+    """Of all pieces of some texts: text number, first word, words, digest, and shingles as offsets and hashes.
+
+    Words are separated by ASCII white space and ASCII letters lower-cased.  A piece of fewer than five words has
+    one shingle, itself; shingle hashes have 32 bits, are sorted and without repeats.
+    """
+    h, last, _, sizes = _read(texts)
+    return _units(h, sizes, *_pieces(h, last))
+
+
+def _units(h: np.ndarray, sizes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    if not len(h):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, np.zeros(1, np.int64), none.astype(np.int32)
+    digest, offsets, value = _described(h, starts, n)
+    ends = np.cumsum(sizes)
     doc = np.searchsorted(ends, starts, side="right")
     return doc, starts - (ends - sizes)[doc], n, digest.view(np.int64), offsets, value
 
 
-def paragraph_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, hash, start, n, digest, shingles``: the paragraphs of all texts, with the text's hash."""
+def _exact(h: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text number, first word, words and digest of every ``CHAIN`` neighbouring fine pieces of a text."""
+    stretch = np.cumsum(np.r_[0, last[:-1]])
+    cuts = np.flatnonzero(_fine_cuts(h, stretch)) + 1
+    starts = np.r_[0, cuts[:-1]]
+    n = cuts - starts
+    inside = np.arange(len(h)) - np.repeat(starts, n)
+    one = _mixed(np.add.reduceat(h * _powers(int(n.max()))[inside], starts), 3)
+    ends = np.cumsum(sizes)
+    doc = np.searchsorted(ends, starts, side="right")
+    at = np.flatnonzero(doc[: max(len(doc) - CHAIN + 1, 0)] == doc[CHAIN - 1 :])
+    digest = one[at]
+    for k in range(1, CHAIN):
+        digest = _mixed(digest, 4) + one[at + k]
+    end = cuts[at + CHAIN - 1]
+    return doc[at], starts[at] - (ends - sizes)[doc[at]], end - starts[at], _mixed(digest, 6).view(np.int64)
+
+
+def cut_units(texts: Iterable[str | None], chains: bool = True) -> tuple[np.ndarray, ...]:
+    """As ``cut_paragraphs``: the pieces, and chains of fine pieces; the last have
+    no shingles and are compared by their digest only."""
+    h, last, lines, sizes = _read(texts)
+    if not len(h):
+        return _units(h, sizes, lines, lines)
+    starts, n = _pieces(h, last)
+    doc, start, n, digest, offsets, value = _units(h, sizes, starts, n)
+    if not chains:
+        return doc, start, n, digest, offsets, value
+    exact = _exact(h, last, sizes)
+    doc, start, n, digest = (np.r_[x, y] for x, y in zip((doc, start, n, digest), exact))
+    return doc, start, n, digest, np.r_[offsets, np.full(len(exact[0]), offsets[-1])], value
+
+
+def paragraph_table(docs: DataFrame, id_col: str, text_col: str, chains: bool = False) -> DataFrame:
+    """``id, hash, start, n, digest, shingles``: the units of all texts, with the text's hash; chains of fine pieces on demand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-            doc, start, n, digest, offsets, shingles = cut_paragraphs(batch.column(2).to_pylist())
+            doc, start, n, digest, offsets, shingles = cut_units(batch.column(2).to_pylist(), chains)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(shingles, pa.int32()))
             columns = [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc))]
             columns += [pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(digest), lists]
@@ -272,9 +345,10 @@ def repeated_passages(
     A document is an id with a text (its hash is ``hash``): rows that repeat both count as one, and rows without id
     stand behind those with one.  ``start`` counts words.  In the first document that has a paragraph of a class it is
     kept, in all later ones it is removed (``first_id`` is the least of those first documents); repeats inside one
-    document stay.  Only runs of at least ``min_run`` words are listed.  Null and blank texts have no paragraphs.
+    document stay.  Only runs of at least ``min_run`` words are listed;
+    ``n_paragraphs`` counts the units in them, which may overlap.  Null and blank texts have no paragraphs.
     """
-    table = staged(paragraph_table(docs, id_col, text_col), "paragraphs")
+    table = staged(paragraph_table(docs, id_col, text_col, chains=True), "paragraphs")
     roots = components(paragraph_links(table, similarity))
     who = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("hash").alias("hash"))
     owners = table.groupBy("digest").agg(F.min(who).alias("lo"), F.max(who).alias("hi"))
@@ -288,12 +362,15 @@ def repeated_passages(
         table.join(_narrow(shared, shared.count()), "digest")
         .select(who.alias("who"), "start", "n", "first", (F.col("first") < who).alias("removed")).distinct()
     )
-    by_doc = Window.partitionBy("who", "removed").orderBy("start")
-    begins = F.coalesce(F.lag(F.col("start") + F.col("n")).over(by_doc) != F.col("start"), F.lit(True))
-    runs = marked.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(by_doc))
+    by_doc = Window.partitionBy("who", "removed").orderBy("start", "n", "first")
+    before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.max(F.col("start") + F.col("n")).over(before) < F.col("start"), F.lit(True))
+    runs = marked.withColumn("begins", begins.cast("int")).withColumn(
+        "run", F.sum("begins").over(by_doc.rowsBetween(Window.unboundedPreceding, 0))
+    )
     return (
         runs.groupBy("who", "removed", "run")
-        .agg(F.min("start").alias("start"), F.sum("n").alias("n_words"), F.count("*").alias("n_paragraphs"), F.min("first").alias("first"))
+        .agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).cast("long").alias("n_words"), F.count("*").alias("n_paragraphs"), F.min("first").alias("first"))
         .where(F.col("n_words") >= min_run)
         .select(F.col("who.id").alias("id"), F.col("who.hash").alias("hash"), "start", "n_words", "n_paragraphs", F.col("first.id").alias("first_id"), "removed")
     )

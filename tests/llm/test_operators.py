@@ -323,6 +323,22 @@ def test_planted_passages(llm_spark):
             assert passage not in left[10 * p + c] and len(left[10 * p + c].split()) >= 230
 
 
+def test_short_passages_without_stops(llm_spark):
+    def plain_words(seed, n):
+        rng = random.Random(seed)
+        return [f"{rng.choice('qua zor mip lek'.split())}{rng.randint(0, 5000)}" for _ in range(n)]
+
+    data = []
+    for p in range(40):
+        passage = plain_words(p, 51)
+        for c in range(2):
+            base, at = plain_words(1000 + 2 * p + c, 240), random.Random(2 * p + c).randint(0, 240)
+            data.append((10 * p + c, " ".join(base[:at] + passage + base[at:])))
+    found = paragraphs.repeated_passages(llm_spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.id for r in found if r.removed} == {10 * p + 1 for p in range(40)}
+    assert all(25 <= r.n_words <= 51 for r in found)
+
+
 @pytest.mark.parametrize("block", [1024, 2])
 def test_similar_paragraphs_by_brute_force(llm_spark, block):
     rng, texts = random.Random(4), []

@@ -7,7 +7,8 @@ neighbouring words.  Equal paragraphs share a digest.  For the others, keys of
 two minima of the hashes of their five-word shingles each (four keys) are
 joined, paragraphs that collide are verified by the exact Jaccard similarity of
 their shingles, and connected components of what is similar are the classes.
-So that a passage is found whatever it is glued to, every three
+Whole lines, and overlapping parts of long ones, are compared in the same way
+beside them.  So that a passage is found whatever it is glued to, every three
 neighbours of finer pieces are compared too, by their digest.  A run of
 neighbouring or overlapping units that an earlier document has too is removed.
 """
@@ -41,6 +42,8 @@ MIN_RUN = 25
 LONG, REACH = 32, 8
 #: Reach of the minima that cut fine pieces (inside sentences), and neighbouring fine pieces that are compared as one.
 FINE, CHAIN = 2, 3
+#: Words up to which a line is compared as a whole, and from which also in parts; the reach of the minima between parts.
+WHOLE, PARTS, WIDE = 1024, 128, 32
 #: Different paragraphs of one key that one task compares; larger keys are compared block by block.
 BLOCK = 1024
 #: Rows (16 bytes each) up to which a table is broadcast; beyond, it is joined by a shuffle.
@@ -158,6 +161,24 @@ def _units(h: np.ndarray, sizes: np.ndarray, starts: np.ndarray, n: np.ndarray)
     return doc, starts - (ends - sizes)[doc], n, digest.view(np.int64), offsets, value
 
 
+def _wholes(h: np.ndarray, lines: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of whole lines of up to ``WHOLE`` words and more than one piece, and of neighbouring parts,
+    cut at hash minima within ``WIDE``, of lines of more than ``PARTS`` words."""
+    starts, n = [], []
+    begin = np.r_[0, lines[:-1]]
+    count = np.searchsorted(pieces, lines) - np.searchsorted(pieces, begin)
+    for s, e in zip(begin[count > 1].tolist(), lines[count > 1].tolist()):
+        if e - s <= WHOLE:
+            starts.append(s)
+            n.append(e - s)
+        if e - s > PARTS:
+            edges = [s, *(s + _hash_cuts(h[s:e], WIDE) + 1).tolist(), e]
+            for i in range(max(len(edges) - 2, 0)):
+                starts.append(edges[i])
+                n.append(edges[i + 2] - edges[i])
+    return np.array(starts, np.int64), np.array(n, np.int64)
+
+
 def _exact(h: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     """Text number, first word, words and digest of every ``CHAIN`` neighbouring fine pieces of a text."""
     stretch = np.cumsum(np.r_[0, last[:-1]])
@@ -177,13 +198,14 @@ def _exact(h: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarr
 
 
 def cut_units(texts: Iterable[str | None], chains: bool = True) -> tuple[np.ndarray, ...]:
-    """As ``cut_paragraphs``: the pieces, and chains of fine pieces; the last have
+    """As ``cut_paragraphs``: the pieces, whole lines and parts of long lines, and chains of fine pieces; the last have
     no shingles and are compared by their digest only."""
     h, last, lines, sizes = _read(texts)
     if not len(h):
         return _units(h, sizes, lines, lines)
     starts, n = _pieces(h, last)
-    doc, start, n, digest, offsets, value = _units(h, sizes, starts, n)
+    more, size = _wholes(h, lines, starts)
+    doc, start, n, digest, offsets, value = _units(h, sizes, np.r_[starts, more], np.r_[n, size])
     if not chains:
         return doc, start, n, digest, offsets, value
     exact = _exact(h, last, sizes)

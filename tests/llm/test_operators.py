@@ -339,6 +339,21 @@ def test_short_passages_without_stops(llm_spark):
     assert all(25 <= r.n_words <= 51 for r in found)
 
 
+def test_lines_with_changed_words(llm_spark):
+    data = []
+    for p in range(40):
+        line = prose(500 + p, 50 + 50 * (p % 2))
+        changed = list(line)
+        for k in (25, 60)[: 1 + p % 2]:  # one change in 50 words, two in 100
+            changed[k] = "changed"
+        for c, own in enumerate((line, changed)):
+            around = [" ".join(prose(3000 + 10 * p + 3 * c + k, 60)) for k in range(2)]
+            data.append((10 * p + c, f"{around[0]}\n{' '.join(own)}\n{around[1]}"))
+    found = paragraphs.repeated_passages(llm_spark.createDataFrame(data, "doc_id long, text string")).collect()
+    whole = {r.id for r in found if r.removed and r.start == 60 and r.n_words == 50 + 50 * (r.id // 10 % 2)}
+    assert {r.id for r in found if r.removed} <= {10 * p + 1 for p in range(40)} and len(whole) >= 36
+
+
 @pytest.mark.parametrize("block", [1024, 2])
 def test_similar_paragraphs_by_brute_force(llm_spark, block):
     rng, texts = random.Random(4), []

@@ -107,3 +107,56 @@ placed AS (SELECT *, CAST({_tree_sql(tree)} AS INTEGER) AS shard, CAST({_tree_sq
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
   row_number() OVER (PARTITION BY shard ORDER BY place, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot FROM placed
 """
+
+
+def manifest_sql(levels: int = 24) -> str:
+    """A tree for each source and one over their roots, level by level; enough levels for ``3**levels`` rows of a source."""
+    fields = "concat({})".format(
+        ", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}"))
+    )
+    bits = "8 * strlen(CAST(doc_id AS VARCHAR))"
+    even = f"xor({_crc_sql('hex(encode(CAST(doc_id AS VARCHAR)))', bits, str(_ALL))}, {_ALL}) % 2 = 0"
+    tampered = f"CASE WHEN doc_id IS NOT NULL AND {even} THEN replace(text, chr(10), '') ELSE text END"
+    ctes = [
+        f"hashed AS (SELECT doc_id, source, sha256({fields.format('text')}) AS leaf, sha256({fields.format(tampered)}) AS found FROM documents)",
+        """placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed)""",
+        "s0 AS (SELECT coalesce('1' || source, '') AS t, i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM placed)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            ctes.append(
+                f"{name}{k + 1} AS MATERIALIZED (SELECT t, i // 3 AS i, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h, "
+                f"(n + 2) // 3 AS n FROM {name}{k} GROUP BY t, i // 3, n)"
+            )
+
+    def way(name: str, start: str, place: str, carried: str) -> None:
+        ctes.append(f"{name}w0 AS (SELECT {carried}, t, {place} AS i, CAST([] AS VARCHAR[]) AS l, CAST([] AS VARCHAR[]) AS r FROM {start})")
+        for k in range(levels):
+            ctes.append(
+                f"{name}g{k} AS MATERIALIZED (SELECT t, i // 3 AS p, n, list(h ORDER BY i) AS run FROM {name}{k} GROUP BY t, i // 3, n)"
+            )
+            left, right = "array_to_string(run[:w.i % 3], '')", "array_to_string(run[w.i % 3 + 2:], '')"
+            ctes.append(
+                f"{name}w{k + 1} AS MATERIALIZED (SELECT {', '.join('w.' + c.strip() for c in carried.split(','))}, w.t, w.i // 3 AS i, "
+                f"CASE WHEN n > 1 THEN list_append(w.l, {left}) ELSE w.l END AS l, CASE WHEN n > 1 THEN list_append(w.r, {right}) ELSE w.r END AS r "
+                f"FROM {name}w{k} w JOIN {name}g{k} g ON w.t = g.t AND w.i // 3 = g.p)"
+            )
+
+    climb("s")
+    ctes.append(f"subroots AS (SELECT t, h FROM s{levels})")
+    ctes.append("r0 AS (SELECT 0 AS t, row_number() OVER (ORDER BY encode(t)) - 1 AS i, h, count(*) OVER () AS n FROM subroots)")
+    ctes.append("grouped AS (SELECT 0 AS t, t AS name, h AS subroot, row_number() OVER (ORDER BY encode(t)) - 1 AS i FROM subroots)")
+    climb("r")
+    way("s", "(SELECT *, coalesce('1' || source, '') AS t FROM placed)", "i", "doc_id, leaf, found")
+    way("r", "grouped", "i", "name, subroot")
+    ctes.append(
+        f"paths AS (SELECT doc_id, leaf, found, subroot, list_concat(a.l, b.l) AS l, list_concat(a.r, b.r) AS r "
+        f"FROM sw{levels} a JOIN rw{levels} b ON a.t = b.name)"
+    )
+    folded = "list_reduce(list_transform(range(1, len(l) + 1), lambda k: [l[k], r[k]]), lambda h, p: [sha256(p[1] || h[1] || p[2]), ''], [found, ''])[1]"
+    proof = "sha256(array_to_string(list_transform(range(1, len(l) + 1), lambda k: l[k] || r[k]), ''))"
+    return f"""
+WITH {", ".join(ctes)}, folded AS (SELECT *, {folded} AS folded_root, {proof} AS proof_sha256 FROM paths)
+SELECT doc_id, leaf, subroot, root.h AS root, proof_sha256, folded_root, folded_root = root.h AS verified FROM folded, (SELECT h FROM r{levels}) root
+"""

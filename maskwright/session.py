@@ -43,6 +43,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Remove the folder of a frame made by ``staged``, when nothing will read it any more."""
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        made = next((m for m in _MADE if path.endswith(m.split("://")[-1])), None)
+        if made is not None:
+            _MADE.remove(made)
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(made)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame that is read several times, so that it is computed once."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.session import staged
+from maskwright.session import drop_staged, staged
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,15 +15,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     a node, then the smaller ones, under the least of them, which needs a number
     of rounds that is logarithmic in the graph's size.  A round is two minima by
     node (summed up before the shuffle) and two equi-joins; a node with very many
-    links is split by the skew join.  Every round is written to the shared folder.
+    links is split by the skew join.  Every round is written to the shared folder, then the one before it is removed.
     Null ends and loops are left out; without links the result is empty.
     """
     raw = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = staged(raw.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = _digest(edges)
     while before[0]:
-        edges = staged(_small_star(_large_star(edges)), "links")
+        older, edges = edges, staged(_small_star(_large_star(edges)), "links")
         after = _digest(edges)
+        drop_staged(older)
         if after == before:
             break
         before = after

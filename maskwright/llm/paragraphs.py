@@ -1,16 +1,14 @@
 """Repeated passages by MinHash banding of paragraphs.
 
-A passage is often pasted into the middle of a line.  The paragraphs compared
-here are therefore cut where only nearby words decide: after line breaks and
-sentence ends, and in stretches without either at local minima of a hash of
-neighbouring words.  Equal paragraphs share a digest.  For the others, keys of
-two minima of the hashes of their five-word shingles each (four keys) are
-joined, paragraphs that collide are verified by the exact Jaccard similarity of
-their shingles, and connected components of what is similar are the classes.
-Whole lines, and overlapping parts of long ones, are compared in the same way
-beside them.  So that a passage is found whatever it is glued to, every three
-neighbours of finer pieces are compared too, by their digest.  A run of
-neighbouring or overlapping units that an earlier document has too is removed.
+Paragraphs are lines; long lines are compared as a whole and in overlapping parts
+that are cut where only nearby words decide.  Keys of two minima of the hashes of
+their five-word shingles each (four keys) are joined, paragraphs that collide are
+verified by the exact Jaccard similarity of their shingles, and connected
+components of what is similar are the classes.  A passage may also be pasted into
+the middle of a line: beside the paragraphs, windows of ``WINDOW`` words are
+compared by their digest, of every ``WINNOW`` neighbouring ones that with the least
+hash, so that texts which share ``WINDOW + WINNOW - 1`` words share a window.  A run
+of neighbouring or overlapping units that an earlier document has too is removed.
 """
 
 from __future__ import annotations
@@ -21,6 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +27,8 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import fresh
 from maskwright.llm.components import components
-from maskwright.session import staged
+from maskwright.llm.periodic import split_words, text_bytes
+from maskwright.session import drop_staged, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,12 +38,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 4, 2
 #: Words of neighbouring repeated units from which they are a passage; what stands alone and is shorter is left in place.
 MIN_RUN = 25
-#: Words without a cut after which hash minima cut, and the reach of such a minimum on both sides.
-LONG, REACH = 32, 8
-#: Reach of the minima that cut fine pieces (inside sentences), and neighbouring fine pieces that are compared as one.
-FINE, CHAIN = 2, 3
-#: Words up to which a line is compared as a whole, and from which also in parts; the reach of the minima between parts.
-WHOLE, PARTS, WIDE = 1024, 128, 32
+#: Words of a window, and neighbouring windows of which one is compared.  Of a shared passage of n words at least
+#: n - 2 * (WINNOW - 1) are covered; what is not covered between two windows is bridged.
+WINDOW, WINNOW = 10, 10
+#: Words from which a line is compared in parts too; the reach of the minima between parts.
+PARTS, WIDE = 128, 32
 #: Different paragraphs of one key that one task compares; larger keys are compared block by block.
 BLOCK = 1024
 #: Rows (16 bytes each) up to which a table is broadcast; beyond, it is joined by a shuffle.
@@ -65,7 +64,7 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.r_[np.uint64(1), np.full(max(n - 1, 0), _ODD, np.uint64)])
 
 
-def _hash_cuts(h: np.ndarray, reach: int = REACH) -> np.ndarray:
+def _hash_cuts(h: np.ndarray, reach: int) -> np.ndarray:
     """Offsets after which a stretch of words is cut: where the hash of two neighbours is least within ``reach``."""
     pair = _mixed(h[:-1] + h[1:] * np.uint64(3), 7)
     if len(pair) <= 2 * reach:
@@ -74,51 +73,20 @@ def _hash_cuts(h: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.flatnonzero(windows.argmin(axis=1) == reach) + reach
 
 
-def _fine_cuts(h: np.ndarray, stretch: np.ndarray) -> np.ndarray:
-    """Whether words are cut behind each word: at the end of its stretch, and where the hash of it and the next word is
-    least among those within ``FINE`` in the same stretch."""
-    pair = _mixed(h[:-1] + h[1:] * np.uint64(3), 7)
-    inner = stretch[:-1] == stretch[1:]
-    least = inner.copy()
-    for k in range(1, FINE + 1):
-        near = stretch[:-k] == stretch[k:]
-        near = near[: len(pair) - k] & inner[k:]
-        less = pair[:-k] < pair[k:]
-        least[: len(near)] &= ~near | less
-        least[k:] &= ~(near & inner[:-k]) | ~less
-    return np.r_[~inner | least, True]
-
-
-def _read(texts: Iterable[str | None]) -> tuple[np.ndarray, ...]:
-    """Hashes of the words of some texts one after the other, whether a sentence or line ends behind each, ends of
-    lines, and words of each text."""
-    words: list[bytes] = []
-    sizes, lines = [], []
-    for text in texts:
-        before = len(words)
-        for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
-            words += line.split()
-            lines.append(len(words))
-        sizes.append(len(words) - before)
-    ends = np.unique(np.array([*lines, *np.cumsum(sizes)], np.int64))
-    coded = pa.array(words, pa.large_binary()).dictionary_encode()
-    vocabulary, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))[code]
-    stop = np.fromiter((w[-1] in b".!?" and w[-2:-1] not in (b".", b"!", b"?", b"") for w in vocabulary), bool, len(vocabulary))
-    last = stop[code]
-    last[ends[ends > 0] - 1] = True
-    return h, last, ends[ends > 0], np.array(sizes, np.int64)
-
-
-def _pieces(h: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the pieces between sentence ends, long ones cut at hash minima."""
-    cuts = np.flatnonzero(last) + 1
-    starts = np.r_[0, cuts[:-1]]
-    extra = [s + _hash_cuts(h[s:e]) + 1 for s, e in zip(starts, cuts) if e - s > LONG]
-    if extra:
-        cuts = np.unique(np.concatenate([cuts, *extra]))
-        starts = np.r_[0, cuts[:-1]]
-    return starts, cuts - starts
+def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts one after the other (ASCII letters lower-cased), ends of lines, and words of
+    each text."""
+    data, ends = text_bytes(column)
+    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    letters, lengths, sizes, before = split_words(data, ends)
+    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))]
+    ).dictionary_encode()
+    vocabulary = words.dictionary.to_pylist()
+    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))[words.indices.to_numpy()]
+    lines = np.unique(np.r_[before[np.flatnonzero(data == 10)], np.cumsum(sizes)])
+    return h, lines[lines > 0], sizes
 
 
 def _described(h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,109 +109,122 @@ def _described(h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return digest, np.searchsorted(owner, np.arange(len(starts) + 1)), value
 
 
+def _parts(h: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the lines, those of more than ``PARTS`` words cut at hash minima."""
+    begin = np.r_[0, lines[:-1]][: len(lines)]
+    cuts = [lines]
+    for s, e in zip(begin.tolist(), lines.tolist()):
+        if e - s > PARTS:
+            cuts.append(s + _hash_cuts(h[s:e], WIDE) + 1)
+    edges = np.unique(np.concatenate(cuts))
+    starts = np.r_[0, edges[:-1]][: len(edges)]
+    return starts, edges - starts
+
+
+def _paragraphs(h: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of all lines, and of every two neighbouring parts of lines that are cut."""
+    begin = np.r_[0, lines[:-1]][: len(lines)]
+    starts, n = _parts(h, lines)
+    line = np.searchsorted(lines, starts, side="right")
+    pair = np.flatnonzero(line[:-1] == line[1:])
+    return np.r_[begin, starts[pair]], np.r_[lines - begin, n[pair] + n[pair + 1]]
+
+
+def _windows(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and digests of the windows with the least hash among every ``WINNOW`` neighbouring windows of a text."""
+    m = len(h) - WINDOW + 1
+    if m < WINNOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    value = np.zeros(m, np.uint64)
+    for k in range(WINDOW):
+        value = value * np.uint64(_ODD) + h[k : k + m]
+    value = _mixed(value, 3)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    around = np.lib.stride_tricks.sliding_window_view(value, WINNOW)
+    within = text[: len(around)] == text[WINDOW + WINNOW - 2 :]
+    chosen = np.unique((around.argmin(axis=1) + np.arange(len(around)))[within])
+    return chosen, _mixed(value[chosen], 6)
+
+
+def _placed(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the text of each word, and the word's number in it."""
+    ends = np.cumsum(sizes)
+    doc = np.searchsorted(ends, starts, side="right")
+    return doc, starts - (ends - sizes)[doc]
+
+
 def cut_paragraphs(texts: Iterable[str | None]) -> tuple[np.ndarray, ...]:
-    """Of all pieces of some texts: text number, first word, words, digest, and shingles as offsets and hashes.
+    """Of the lines of some texts, long ones cut in parts: text number, first word, words, digest, and shingles as offsets
+    and hashes.
 
-    Words are separated by ASCII white space and ASCII letters lower-cased.  A piece of fewer than five words has
+    Words are separated by ASCII white space and ASCII letters lower-cased.  A paragraph of fewer than five words has
     one shingle, itself; shingle hashes have 32 bits, are sorted and without repeats.
     """
-    h, last, _, sizes = _read(texts)
-    return _units(h, sizes, *_pieces(h, last))
+    h, lines, sizes = _read(pa.array(texts, pa.large_string()))
+    starts, n = _parts(h, lines)
+    digest, offsets, value = _described(h, starts, n)
+    return *_placed(starts, sizes), n, digest.view(np.int64), offsets, value
 
 
-def _units(h: np.ndarray, sizes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    if not len(h):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(1, np.int64), none.astype(np.int32)
-    digest, offsets, value = _described(h, starts, n)
-    ends = np.cumsum(sizes)
-    doc = np.searchsorted(ends, starts, side="right")
-    return doc, starts - (ends - sizes)[doc], n, digest.view(np.int64), offsets, value
-
-
-def _wholes(h: np.ndarray, lines: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of whole lines of up to ``WHOLE`` words and more than one piece, and of neighbouring parts,
-    cut at hash minima within ``WIDE``, of lines of more than ``PARTS`` words."""
-    starts, n = [], []
-    begin = np.r_[0, lines[:-1]]
-    count = np.searchsorted(pieces, lines) - np.searchsorted(pieces, begin)
-    for s, e in zip(begin[count > 1].tolist(), lines[count > 1].tolist()):
-        if e - s <= WHOLE:
-            starts.append(s)
-            n.append(e - s)
-        if e - s > PARTS:
-            edges = [s, *(s + _hash_cuts(h[s:e], WIDE) + 1).tolist(), e]
-            for i in range(max(len(edges) - 2, 0)):
-                starts.append(edges[i])
-                n.append(edges[i + 2] - edges[i])
-    return np.array(starts, np.int64), np.array(n, np.int64)
-
-
-def _exact(h: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Text number, first word, words and digest of every ``CHAIN`` neighbouring fine pieces of a text."""
-    stretch = np.cumsum(np.r_[0, last[:-1]])
-    cuts = np.flatnonzero(_fine_cuts(h, stretch)) + 1
-    starts = np.r_[0, cuts[:-1]]
-    n = cuts - starts
-    inside = np.arange(len(h)) - np.repeat(starts, n)
-    one = _mixed(np.add.reduceat(h * _powers(int(n.max()))[inside], starts), 3)
-    ends = np.cumsum(sizes)
-    doc = np.searchsorted(ends, starts, side="right")
-    at = np.flatnonzero(doc[: max(len(doc) - CHAIN + 1, 0)] == doc[CHAIN - 1 :])
-    digest = one[at]
-    for k in range(1, CHAIN):
-        digest = _mixed(digest, 4) + one[at + k]
-    end = cuts[at + CHAIN - 1]
-    return doc[at], starts[at] - (ends - sizes)[doc[at]], end - starts[at], _mixed(digest, 6).view(np.int64)
-
-
-def cut_units(texts: Iterable[str | None], chains: bool = True) -> tuple[np.ndarray, ...]:
-    """As ``cut_paragraphs``: the pieces, whole lines and parts of long lines, and chains of fine pieces; the last have
-    no shingles and are compared by their digest only."""
-    h, last, lines, sizes = _read(texts)
-    if not len(h):
-        return _units(h, sizes, lines, lines)
-    starts, n = _pieces(h, last)
-    more, size = _wholes(h, lines, starts)
-    doc, start, n, digest, offsets, value = _units(h, sizes, np.r_[starts, more], np.r_[n, size])
-    if not chains:
-        return doc, start, n, digest, offsets, value
-    exact = _exact(h, last, sizes)
-    doc, start, n, digest = (np.r_[x, y] for x, y in zip((doc, start, n, digest), exact))
-    return doc, start, n, digest, np.r_[offsets, np.full(len(exact[0]), offsets[-1])], value
-
-
-def paragraph_table(docs: DataFrame, id_col: str, text_col: str, chains: bool = False) -> DataFrame:
-    """``id, hash, start, n, digest, shingles``: the units of all texts, with the text's hash; chains of fine pieces on demand."""
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``PIECE`` bytes of text each."""
+    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy()
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE)) + 1
+    for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+        if end > begin:
+            yield batch.slice(begin, end - begin)
+
+
+def paragraph_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``digest, shingles``: the paragraphs of all texts that can be similar to a different one.
+
+    Different sets of fewer than four shingles, or of four and four, are less similar than 0.8; those with up to three
+    are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-            doc, start, n, digest, offsets, shingles = cut_units(batch.column(2).to_pylist(), chains)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(shingles, pa.int32()))
-            columns = [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc))]
-            columns += [pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(digest), lists]
-            return pa.RecordBatch.from_arrays(columns, ["id", "hash", "start", "n", "digest", "shingles"])
+        for batch in batches:
+            for part in _slices(batch, 0):
+                h, lines, _ = _read(part.column(0))
+                starts, n = _paragraphs(h, lines)
+                enough = n >= SHINGLE + 3
+                digest, offsets, value = _described(h, starts[enough], n[enough])
+                digest, first = np.unique(digest, return_index=True)
+                shingles = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(value, pa.int32())).take(pa.array(first))
+                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), shingles], ["digest", "shingles"])
 
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "digest long, shingles array<int>").where("size(shingles) >= 4")
+
+
+def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, hash, start, n, digest, again``: paragraphs and windows of all texts, with the text's hash, and whether the text
+    has the digest before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begun = 0
-            while begun < batch.num_rows:
-                end = begun + 1
-                while end < batch.num_rows and batch.slice(begun, end + 1 - begun).column(2).nbytes < PIECE:
-                    end += 1
-                yield cut(batch.slice(begun, end - begun))
-                begun = end
+            for part in _slices(batch, 2):
+                h, lines, sizes = _read(part.column(2))
+                starts, n = _paragraphs(h, lines)
+                digest, _, _ = _described(h, starts, n)
+                more, window = _windows(h, sizes)
+                starts, n, digest = np.r_[starts, more], np.r_[n, np.full(len(more), WINDOW)], np.r_[digest, window]
+                order = np.argsort(starts, kind="stable")
+                starts, n, digest = starts[order], n[order], digest[order]
+                doc, start = _placed(starts, sizes)
+                _, first = np.unique(_mixed(digest, 9) + doc.astype(np.uint64), return_index=True)
+                again = np.ones(len(doc), bool)
+                again[first] = False
+                columns = [part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc))]
+                columns += [pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(again)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "start", "n", "digest", "again"])
 
     read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("string"))
     kind = read.schema["id"].dataType.simpleString()
-    return read.mapInArrow(run, f"id {kind}, hash long, start int, n int, digest long, shingles array<int>")
+    return read.mapInArrow(run, f"id {kind}, hash long, start int, n int, digest long, again boolean")
 
 
 def _band_keys(table: DataFrame) -> DataFrame:
-    """``key, digest``: the keys of every paragraph that can be similar to a different one.
-
-    Different sets of fewer than four shingles, or of four and four, are less similar than 0.8; those with up to
-    three have no keys.
-    """
+    """``key, digest``: the keys of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +245,7 @@ def _band_keys(table: DataFrame) -> DataFrame:
                 [pa.array(np.concatenate(keys)), pa.array(np.tile(digest, BANDS))], ["key", "digest"]
             )
 
-    return table.where("size(shingles) >= 4").select("digest", "shingles").mapInArrow(run, "key long, digest long")
+    return table.select("digest", "shingles").mapInArrow(run, "key long, digest long")
 
 
 def _narrow(table: DataFrame, count: int) -> DataFrame:
@@ -275,41 +256,44 @@ def _narrow(table: DataFrame, count: int) -> DataFrame:
 def _verified(members: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: links between paragraphs that share a key and whose shingles are similar.
 
-    ``members`` has ``key, left, right, block, digest, shingles``; rows of a (key, left, right) are compared, those of
-    two blocks only across.  Pairs that are connected already are not looked at again, so a group gives fewer links
-    than it has members.
+    ``members`` has ``key, left, right, whole, part, digest, shingles``; rows of a (key, left, right) are compared, two rows
+    with ``whole`` or of one ``part`` not with each other.  Pairs that are connected already are not looked at again, so
+    a group gives fewer links than it has members.
     """
 
-    def links(block: np.ndarray, digest: np.ndarray, sets: list[frozenset], across: bool) -> Iterator[tuple[int, int]]:
-        root = list(range(len(sets)))
+    def links(whole: np.ndarray, component: np.ndarray, digest: np.ndarray, sets: list[frozenset]) -> Iterator[tuple[int, int]]:
+        _, root = np.unique(component, return_inverse=True)
+        root = root.tolist()
+        names = list(range(len(root)))
 
         def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
+            while names[i] != i:
+                names[i] = names[names[i]]
+                i = names[i]
             return i
 
         for j in range(1, len(sets)):
+            b, mine, all_of = sets[j], root[j], whole[j]
             for i in range(j):
-                a, b = sets[i], sets[j]
-                if (across and block[i] == block[j]) or min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                a = sets[i]
+                if (all_of and whole[i]) or min(len(a), len(b)) < similarity * max(len(a), len(b)):
                     continue
-                if find(i) != find(j):
+                x, y = find(root[i]), find(mine)
+                if x != y:
                     both = len(a & b)
                     if both >= similarity * (len(a) + len(b) - both):
-                        root[find(i)] = find(j)
+                        names[x] = y
                         yield int(digest[i]), int(digest[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(part: pa.Table) -> pa.RecordBatch:
-            cols = [part.column(k).to_numpy() for k in ("key", "left", "right", "block", "digest")]
-            key, left, right, block, digest = cols
+            key, left, right, whole, component, digest = (part.column(k).to_numpy() for k in ("key", "left", "right", "whole", "part", "digest"))
             sets = [frozenset(s) for s in part.column("shingles").to_pylist()]
             new = np.flatnonzero((np.diff(key) != 0) | (np.diff(left) != 0) | (np.diff(right) != 0)) + 1
             out = []
             for s, e in zip(np.r_[0, new], np.r_[new, len(key)]):
                 if e - s > 1:
-                    out += links(block[s:e], digest[s:e], sets[s:e], left[s] != right[s])
+                    out += links(whole[s:e], component[s:e], digest[s:e], sets[s:e])
             ab = np.array(out, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
@@ -329,7 +313,49 @@ def _verified(members: DataFrame, similarity: float) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield found(rest)
 
-    return members.mapInArrow(run, "a long, b long")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["key", "left", "right", "whole", "part", "digest", "shingles"]
+    grouped = members.select(*columns).repartition(n, "key", "left", "right").sortWithinPartitions("key", "left", "right", "digest")
+    return grouped.mapInArrow(run, "a long, b long")
+
+
+def _to_heads(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links of the paragraphs of each key to two of them, the one found most often and the one of least digest."""
+    heads = members.join(sets.select("digest", "found"), "digest").groupBy("key").agg(
+        F.array_distinct(F.array(F.max_by("digest", F.struct("found", "digest")), F.min("digest"))).alias("heads")
+    )
+    heads = heads.select("key", F.explode("heads").alias("head")).join(sets.select(F.col("digest").alias("head"), F.col("shingles").alias("theirs")), "head")
+    pairs = members.join(sets.select("digest", "shingles"), "digest").join(heads, "key").where("digest <> head")
+    both = F.size(F.array_intersect("shingles", "theirs"))
+    enough = both >= F.lit(similarity) * (F.size("shingles") + F.size("theirs") - both)
+    return pairs.where(enough).select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct()
+
+
+def _crowded_links(members: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """``a, b``: links in keys of more than ``block`` paragraphs.
+
+    All are compared with two heads of their key.  What this connects in components needs no more comparisons inside them;
+    the paragraphs outside the largest component of a key are compared, block by block, with all of the key.  If a key's
+    paragraphs are variants of the most frequent one, that is linear.
+    """
+    first = staged(_to_heads(members, sets, similarity), "links")
+    roots = components(first).select(F.col("node").alias("digest"), F.col("root"))
+    placed = staged(members.join(roots, "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("part")), "members")
+    parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    keys = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    keys = keys.where("most < all").select(
+        "key", "largest", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("lefts"), F.ceil(F.col("all") / block).cast("int").alias("rights")
+    )
+    here = placed.join(keys, "key")
+    at = F.xxhash64("digest")
+    others = here.where("part <> largest").select(
+        "key", F.pmod(at, F.col("lefts")).cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"), F.lit(False).alias("whole"), "part", "digest"
+    )
+    everyone = here.select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), F.pmod(at, F.col("rights")).cast("int").alias("right"), F.lit(True).alias("whole"), "part", "digest"
+    )
+    rows = others.union(everyone).join(sets.select("digest", "shingles"), "digest")
+    return first.union(_verified(rows, similarity))
 
 
 def paragraph_links(table: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -338,25 +364,24 @@ def paragraph_links(table: DataFrame, similarity: float = SIMILARITY, block: int
     ``table`` is a stored paragraph table.  The keys of all paragraphs are shuffled once, summed up to their least and
     greatest digest before; only what collides is looked at again.
     """
-    keys = _band_keys(table)
     shared = staged(
-        keys.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("key"), "shared"
+        _band_keys(table).groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("key"), "shared"
     )
     members = staged(_band_keys(table).join(_narrow(shared, shared.count()), "key").distinct(), "members")
     digests = staged(members.select("digest").distinct(), "members")
-    sets = (
-        table.where("size(shingles) >= 4").join(_narrow(digests, digests.count()), "digest", "left_semi")
-        .groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    sets = staged(
+        table.join(_narrow(digests, digests.count()), "digest", "left_semi")
+        .groupBy("digest").agg(F.first("shingles").alias("shingles"), F.count("*").alias("found")),
+        "sets",
     )
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    rows = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "digest"
+    crowds = staged(members.groupBy("key").count().where(F.col("count") > block).select("key"), "crowds")
+    few = members.join(crowds, "key", "left_anti").join(sets.select("digest", "shingles"), "digest").select(
+        "key", F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(False).alias("whole"), F.col("digest").alias("part"), "digest", "shingles"
     )
-    full = rows.join(sets, "digest").select("key", "left", "right", "block", "digest", "shingles")
-    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = full.repartition(n, "key", "left", "right").sortWithinPartitions("key", "left", "right", "digest")
-    return _verified(grouped, similarity).distinct()
+    links = _verified(few, similarity)
+    if crowds.limit(1).count():
+        links = links.union(_crowded_links(members.join(crowds, "key", "left_semi"), sets, similarity, block))
+    return links.distinct()
 
 
 def repeated_passages(
@@ -370,23 +395,25 @@ def repeated_passages(
     document stay.  Only runs of at least ``min_run`` words are listed;
     ``n_paragraphs`` counts the units in them, which may overlap.  Null and blank texts have no paragraphs.
     """
-    table = staged(paragraph_table(docs, id_col, text_col, chains=True), "paragraphs")
-    roots = components(paragraph_links(table, similarity))
+    table = staged(paragraph_table(docs, id_col, text_col), "paragraphs")
+    roots = staged(components(paragraph_links(table, similarity)), "roots")
+    drop_staged(table)
+    table = staged(unit_table(docs, id_col, text_col), "units")
+    # Digests of several texts first, by their number alone; then only their places are looked at.
+    often = table.where("not again").groupBy("digest").count().where("count > 1").select("digest")
+    wanted = staged(often.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "full_outer").select("digest", F.coalesce("root", "digest").alias("class")), "shared")
     who = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("hash").alias("hash"))
-    owners = table.groupBy("digest").agg(F.min(who).alias("lo"), F.max(who).alias("hi"))
-    known = owners.join(roots, owners["digest"] == roots["node"], "left").where("root is not null or lo <> hi").select(
-        "digest", F.coalesce("root", "digest").alias("class"), "lo", "hi"
-    )
-    classed = staged(known, "classes")
-    first = classed.groupBy("class").agg(F.min("lo").alias("first"), F.max("hi").alias("final")).where("first <> final")
-    shared = staged(classed.join(first, "class").select("digest", "first"), "classes")
+    places = staged(table.join(_narrow(wanted, wanted.count()), "digest").select("id", "hash", "start", "n", "class"), "places")
+    drop_staged(table)
+    first = places.groupBy("class").agg(F.min(who).alias("first"), F.max(who).alias("final")).where("first <> final").select("class", "first")
     marked = (
-        table.join(_narrow(shared, shared.count()), "digest")
+        places.join(first, "class")
         .select(who.alias("who"), "start", "n", "first", (F.col("first") < who).alias("removed")).distinct()
     )
     by_doc = Window.partitionBy("who", "removed").orderBy("start", "n", "first")
     before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
-    begins = F.coalesce(F.max(F.col("start") + F.col("n")).over(before) < F.col("start"), F.lit(True))
+    reach = F.max(F.col("start") + F.col("n")).over(before)
+    begins = F.coalesce(reach + max(WINNOW - WINDOW, 0) < F.col("start"), F.lit(True))
     runs = marked.withColumn("begins", begins.cast("int")).withColumn(
         "run", F.sum("begins").over(by_doc.rowsBetween(Window.unboundedPreceding, 0))
     )

@@ -37,9 +37,9 @@ GRAM = MIN_WORDS * (MIN_PERIODS - 1) // MIN_PERIODS // 2
 PIECE = 2 << 20
 
 
-def split_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """The words of some texts that follow each other: their bytes without what separates them, the bytes of each word,
-    and the words of each text."""
+    the words of each text, and the words that begin before each byte."""
     letter = (data != 32) & ((data < 9) | (data > 13))
     begins = letter.copy()
     begins[1:] &= ~letter[:-1]
@@ -48,7 +48,7 @@ def split_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     begins[starts] = letter[starts]
     before = np.r_[0, np.cumsum(begins)]
     number = before[1:][letter] - 1
-    return data[letter], np.bincount(number, minlength=int(before[-1])), np.diff(before[np.r_[0, ends]])
+    return data[letter], np.bincount(number, minlength=int(before[-1])), np.diff(before[np.r_[0, ends]]), before
 
 
 def word_ids(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -302,7 +302,7 @@ def find_runs(ids: np.ndarray, text: np.ndarray) -> np.ndarray:
     return merged[np.lexsort((merged[:, 2], merged[:, 0]))]
 
 
-def _columns(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the texts of a column, and where each ends; null texts are empty."""
     column = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
@@ -313,8 +313,8 @@ def _columns(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _described(column: pa.Array) -> tuple[list[list[tuple[int, int, int]]], list[bytes]]:
     """The runs of every text (start, words, period), and the texts without the repeats."""
-    data, ends = _columns(column)
-    letters, sizes, words = split_words(data, ends)
+    data, ends = text_bytes(column)
+    letters, sizes, words, _ = split_words(data, ends)
     text = np.repeat(np.arange(len(words)), words)
     first = np.cumsum(words) - words
     rows = find_runs(word_ids(letters, sizes), text)

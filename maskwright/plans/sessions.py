@@ -147,16 +147,18 @@ register(
 )
 
 
-def _answer_flow(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = explode_tokens(sanitized(spark, sf), ["conv_id", "ts"])
-    found = scan_updates(updates(spark, sf), tokens)
-    rows = found.select("conv_id", F.unix_micros("ts").alias("us"), "token_echo", F.explode_outer("warnings").alias("w"))
+def prompt_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of the prompts with the time of their prompt."""
+    return explode_tokens(sanitized(spark, sf), ["conv_id", "ts"])
+
+
+def flow_rows(scanned: DataFrame) -> DataFrame:
+    """One row per warning of a scanned answer, or one without."""
+    rows = scanned.select("conv_id", F.unix_micros("ts").alias("us"), "token_echo", F.explode_outer("warnings").alias("w"))
     return rows.select("conv_id", "us", "token_echo", "w.type", "w.value", "w.reason")
 
 
-register(
-    "answer_flow",
-    _answer_flow,
+ANSWER_FLOW = (
     f"WITH {VAULT}, {_ANSWERS}, steps AS (SELECT *, unnest(range(0, length(text) // 100 + 1)) AS k FROM answers), "
     "changes AS (SELECT conv_id, epoch_us(ts) + (k * 700 + k // 4 * 1500) * 1000 AS us, left(text, CAST((k + 1) * 100 AS INTEGER)) AS text FROM steps), "
     "led AS (SELECT *, lead(us) OVER (PARTITION BY conv_id ORDER BY us) AS next FROM changes), "
@@ -171,6 +173,7 @@ register(
     "SELECT g.conv_id, g.turn AS us, EXISTS (SELECT 1 FROM echoes e WHERE e.conv_id = g.conv_id AND e.turn = g.turn) AS token_echo, "
     "w.type, w.value, w.reason FROM gated g LEFT JOIN w ON w.conv_id = g.conv_id AND w.turn = g.turn",
 )
+register("answer_flow", lambda spark, sf: flow_rows(scan_updates(updates(spark, sf), prompt_tokens(spark, sf))), ANSWER_FLOW)
 
 
 def _debounce_events(spark: SparkSession, sf: str) -> DataFrame:

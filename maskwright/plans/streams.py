@@ -15,10 +15,10 @@ from maskwright.plans import oracle
 from maskwright.plans.auditing import AUDIT, STATS
 from maskwright.plans.catalog import register
 from maskwright.plans.gating import SANITIZED_REF, SANITIZED_SAFE, SANITIZED_STREAM, allowlist
-from maskwright.plans.seed import seeded_turns
+from maskwright.plans.seed import DUCKDB_SQL, seeded_turns
 from maskwright.operators.vault import restore
-from maskwright.plans.sessions import CHANGED, DEBOUNCED, repeating, updates
-from maskwright.session import work_dir
+from maskwright.plans.sessions import ANSWER_FLOW, CHANGED, DEBOUNCED, flow_rows, prompt_tokens, repeating, updates
+from maskwright.session import cut_lineage, work_dir
 from maskwright.sources.tables import append_audit, read_audit, write_token_vault
 from maskwright.streaming import flow
 
@@ -44,10 +44,10 @@ def stream(spark: SparkSession, sf: str, late: bool = False) -> DataFrame:
     return flow.read_stream(spark, turn_files(spark, sf, late), schemas.TURNS, files_per_batch=FILES)
 
 
-def conversations(spark: SparkSession, turns: DataFrame) -> str:
+def conversations(spark: SparkSession, turns: DataFrame, **options) -> str:
     """Run the conversation job over everything there is; the folder of its tables."""
     out = work_dir(spark, "conversations")
-    flow.conversation_stream(turns, f"{out}/tables", f"{out}/checkpoint", allowlist=allowlist(spark)).awaitTermination()
+    flow.conversation_stream(turns, f"{out}/tables", f"{out}/checkpoint", allowlist=allowlist(spark), **options).awaitTermination()
     return f"{out}/tables"
 
 
@@ -107,6 +107,34 @@ register(
 )
 
 
+#: In the seeded turns, conversations are an hour apart and their turns half a minute.
+BOUND = "40 hours"
+_BOUND_US = 40 * 3600 * 1_000_000
+
+
+def _expired(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations that have been idle for ``BOUND`` lose their tokens, and start again at 1 if they go on."""
+    root = conversations(spark, stream(spark, sf), timeout=BOUND, merge=1)
+    return flow.held_tokens(spark, root)
+
+
+# A conversation that goes on after its end is one of its own: its number times 8 plus the ends so far.
+_SEGMENTED = (
+    f"raw AS ({DUCKDB_SQL}), sliced AS (SELECT *, least(turn // 2, {SLICES - 1}) AS slice FROM raw), "
+    "clock AS (SELECT slice, max(max(epoch_us(ts))) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS now FROM sliced GROUP BY slice), "
+    "touched AS (SELECT conv_id, slice, max(max(epoch_us(ts))) OVER (PARTITION BY conv_id ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before "
+    "FROM sliced GROUP BY ALL), "
+    f"segments AS (SELECT conv_id, slice, count(*) FILTER (before < now - {_BOUND_US}) OVER (PARTITION BY conv_id ORDER BY slice) AS segment "
+    "FROM touched JOIN clock USING (slice)), "
+    "seeded AS (SELECT conv_id * 8 + segment AS conv_id, turn, role, domain, ts, text FROM sliced JOIN segments USING (conv_id, slice))"
+)
+register(
+    "stream_expired_sessions",
+    _expired,
+    f"WITH {_VAULT}, {_ANSWERS}, {_HELD} SELECT conv_id // 8 AS conv_id, turn, token, value FROM held".replace(oracle.SEEDED, _SEGMENTED),
+)
+
+
 def _scan(spark: SparkSession, sf: str) -> DataFrame:
     tables = flow.Tables(conversations(spark, stream(spark, sf)))
     return tables.read(spark, "warnings", flow.WARNINGS).select("conv_id", "turn", "type", "value", "reason")
@@ -142,6 +170,28 @@ register(
 )
 
 
+def _too_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns that arrive the wrong way round: those older than ``BOUND`` are listed, the others are processed."""
+    tables = flow.Tables(conversations(spark, stream(spark, sf, late=True), lateness=BOUND, merge=2))
+    missed = tables.read(spark, "too_late", flow.TOO_LATE).select("conv_id", "turn", "role", F.lit(True).alias("too_late"))
+    done = tables.read(spark, "sanitized", "conv_id long, turn long, sanitized string")
+    quoted = done.select("conv_id", (F.col("turn") + 1_000_000).alias("turn"), F.col("sanitized").alias("text"))
+    back = restore(quoted, flow.stream_vault(spark, tables.root)).select("conv_id", (F.col("turn") - 1_000_000).alias("turn"), "restored")
+    processed = back.select("conv_id", "turn", F.lit("user").alias("role"), F.lit(False).alias("too_late"), "restored")
+    return missed.withColumn("restored", F.lit(None).cast("string")).unionByName(processed)
+
+
+register(
+    "stream_too_late",
+    _too_late,
+    f"WITH {oracle.SEEDED}, sliced AS (SELECT *, least(turn // 2, {SLICES - 1}) AS slice FROM seeded), "
+    "clock AS (SELECT slice, max(max(epoch_us(ts))) OVER (ORDER BY slice DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS now FROM sliced GROUP BY slice), "
+    f"judged AS (SELECT s.*, coalesce(epoch_us(ts) < now - {_BOUND_US}, false) AS too_late FROM sliced s JOIN clock USING (slice)) "
+    "SELECT conv_id, turn, role, too_late, CASE WHEN NOT too_late THEN text END AS restored FROM judged "
+    "WHERE too_late OR (role = 'user' AND trim(text) <> '')",
+)
+
+
 def _skip_unchanged(spark: SparkSession, sf: str) -> DataFrame:
     """Whole answers, of which every second repeats the first of its conversation."""
     out = work_dir(spark, "changed")
@@ -178,6 +228,25 @@ def _debounce(spark: SparkSession, sf: str) -> DataFrame:
 register("stream_debounce", _debounce, DEBOUNCED)
 
 
+def _answer_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes in order of time, a part of the conversations per micro-batch, through the whole flow in one query."""
+    path, out = work_dir(spark, "updates"), work_dir(spark, "answers")
+    changes = updates(spark, sf)
+    most = changes.agg(F.max("conv_id").alias("n"), F.max("ts").alias("ts")).first()
+    for i in range(SLICES):
+        part = changes.where(F.floor(F.col("conv_id") * SLICES / (most.n + 1)) == i)
+        part.repartition(FILES).write.mode("append").parquet(path)
+    end = changes.limit(1).select(F.lit(-1).cast("long").alias("conv_id"), F.expr(f"timestamp'{most.ts}' + INTERVAL 1 DAY").alias("ts"), F.lit("").alias("text"))
+    end.write.mode("append").parquet(path)
+    changed = flow.read_stream(spark, path, "conv_id long, ts timestamp, text string", files_per_batch=FILES, lateness="10 seconds")
+    vault = cut_lineage(prompt_tokens(spark, sf))
+    flow.answer_stream(changed, lambda: vault, f"{out}/tables", f"{out}/checkpoint").awaitTermination()
+    return flow_rows(flow.Tables(f"{out}/tables").read(spark, "scanned", flow.SCANNED))
+
+
+register("stream_answer_flow", _answer_flow, ANSWER_FLOW)
+
+
 def _stats(spark: SparkSession, sf: str) -> DataFrame:
     result = flow.running_stats(flow.sanitize_stream(stream(spark, sf), allowlist=allowlist(spark), mode="reference"))
     out = work_dir(spark, "stats")

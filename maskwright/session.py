@@ -44,13 +44,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_staged(df: DataFrame) -> None:
-    """Remove the folder of a frame made by ``staged``, when nothing will read it any more."""
+    """Remove the folder of a frame made by ``staged``, when nothing will read it any more, and let Spark remove the shuffle
+    files of jobs that are over (it does when the driver's garbage is collected)."""
     for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
         made = next((m for m in _MADE if path.endswith(m.split("://")[-1])), None)
         if made is not None:
             _MADE.remove(made)
             folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(made)
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    df.sparkSession._jvm.System.gc()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from maskwright.plans.sanitize import sanitize
 from maskwright.session import work_dir
 from maskwright.sources.tables import read_responses
 from maskwright.streaming import flow
+from maskwright.streaming.state import Files, State
 
 
 def files(spark, name, *batches, schema=schemas.TURNS):
@@ -142,3 +143,108 @@ def test_counters_and_audit(spark, path):
     assert flow.latest_counters(spark, f"{out}/data").first() == (3, 3)
     entries = output(spark, flow.audit_stream(sanitized), "entries")
     assert sorted(r.pii_types[0] for r in entries.collect()) == ["EMAIL", "EMAIL", "SSN"]
+
+
+def rows_in(spark, root, name):
+    """What the files of a state's table hold, seen or not."""
+    state = State.latest(spark, root)
+    return state.read(name, flow.STATE[name])
+
+
+def test_idle_conversations_end_and_their_rows_go(spark):
+    batches = (
+        [turn(n, 0, "user", "a@b.com", 0) for n in (1, 2, 3)],
+        [turn(2, 1, "assistant", "[EMAIL_01]", 50), turn(9, 0, "user", "nothing", 150)],
+        # Conversation 1 was idle for more than 100 seconds; 2 was not; 3 is not heard of again.
+        [turn(1, 2, "assistant", "[EMAIL_01]", 151), turn(1, 3, "user", "x@y.org", 152), turn(2, 2, "assistant", "[EMAIL_01]", 149)],
+        [turn(1, 4, "assistant", "[EMAIL_01]", 153), turn(9, 1, "user", "nothing", 160)],
+    )
+    for merge in (1, 2, 100):
+        path = files(spark, "idle", *batches)
+        tables = conversations(spark, one_by_one(spark, path), timeout="100 seconds", merge=merge)
+        held = {(r.conv_id, r.turn): r.value for r in flow.held_tokens(spark, tables.root).collect()}
+        assert held == {(2, 1): "a@b.com", (2, 2): "a@b.com", (1, 4): "x@y.org"}
+        vault = {(r.conv_id, r.turn, r.token) for r in flow.stream_vault(spark, tables.root).collect()}
+        assert {v for v in vault if v[0] != 3} >= {(1, 3, "[EMAIL_01]"), (2, 0, "[EMAIL_01]")}
+        if merge == 1:
+            assert vault == {(1, 3, "[EMAIL_01]"), (2, 0, "[EMAIL_01]")}
+            assert {r.conv_id for r in rows_in(spark, tables.root, "seen").collect()} == {1, 2, 9}
+
+
+def test_rows_beyond_the_bound_are_listed_and_closed_tokens_go(spark):
+    batches = (
+        [turn(1, 0, "user", "a@b.com", 0), turn(1, 1, "close", None, 10), turn(2, 0, "user", "c@d.com", 10)],
+        [turn(3, 0, "user", "nothing", 200)],
+        [turn(2, 1, "assistant", "[EMAIL_01]", 99), turn(2, 2, "assistant", "[EMAIL_01]", 100), turn(4, 0, "user", "late@x.org", 50)],
+        [turn(1, 5, "user", "n@m.org", 250), turn(1, 6, "assistant", "[EMAIL_01]", 251)],
+    )
+    for merge in (1, 100):
+        tables = conversations(spark, one_by_one(spark, files(spark, "bound", *batches)), lateness="100 seconds", merge=merge)
+        assert sorted((r.conv_id, r.turn) for r in tables.read(spark, "too_late", flow.TOO_LATE).collect()) == [(2, 1), (4, 0)]
+        assert {(r.conv_id, r.turn): r.value for r in flow.held_tokens(spark, tables.root).collect()} == {(2, 2): "c@d.com", (1, 6): "n@m.org"}
+    tables = conversations(spark, one_by_one(spark, files(spark, "bound", *batches)), lateness="100 seconds", merge=1)
+    assert {(r.conv_id, r.turn) for r in flow.stream_vault(spark, tables.root).collect()} == {(2, 0), (1, 5)}
+    with pytest.raises(ValueError):
+        conversations(spark, one_by_one(spark, files(spark, "bound", *batches)), lateness="100 seconds", timeout="10 seconds")
+
+
+def test_what_a_batch_reads_does_not_grow(spark):
+    """New conversations in every batch, idle after two: the state is as large after 11 batches as after 6."""
+    merge, sizes = 2, {}
+    batches = [
+        [turn(100 * k + i, 0, "user", f"mail a{100 * k + i}@b.com", 60 * k) for i in range(20)]
+        + [turn(100 * (k - 1) + i, 1, "assistant", "[EMAIL_01]", 60 * k) for i in range(20) if k]
+        for k in range(11)
+    ]
+    path, out = files(spark, "steady", *batches), work_dir(spark, "steady")
+    stream = one_by_one(spark, path)
+    commit = State.commit
+
+    def measured(self, *args, **kwargs):
+        sizes[self.batch_id] = self.bytes()
+        commit(self, *args, **kwargs)
+
+    State.commit = measured
+    try:
+        flow.conversation_stream(stream, f"{out}/tables", f"{out}/checkpoint", timeout="100 seconds", merge=merge).awaitTermination()
+    finally:
+        State.commit = commit
+    assert flow.held_tokens(spark, f"{out}/tables").count() == 20 * 10
+    cycles = [[sizes[b] for b in range(s, s + 4)] for s in (3, 7)]
+    assert len(sizes) == 11 and max(cycles[1]) <= 1.1 * max(cycles[0])
+    # Three batches live on, and those since the last merge; nothing older is left in any file.
+    assert rows_in(spark, f"{out}/tables", "vault").count() <= 20 * (3 + merge)
+    for name in ("vault", "seen", "asked"):
+        found = Files(spark, f"{out}/tables").names(name)
+        assert len(found) <= 2 * merge + 2, found
+
+
+def test_a_repeated_batch_changes_nothing(spark):
+    out = work_dir(spark, "repeated")
+    schemas_, rows = {"vault": flow.STATE["vault"]}, lambda k: spark.createDataFrame([(k, 0, 0, "EMAIL", "[EMAIL_01]", f"v{k}")], flow.STATE["vault"])
+    for k in (0, 1, 1, 2, 2, 3, 3):
+        state = State.before(spark, out, k)
+        assert sorted(r.conv_id for r in state.read("vault", flow.STATE["vault"]).collect()) == list(range(k))
+        state.commit({"vault": rows(k)}, schemas_, k, 2, lambda name: state.read(name, flow.STATE[name]))
+    assert State.latest(spark, out).clock == 3
+    assert sorted(r.conv_id for r in State.latest(spark, out).read("vault", flow.STATE["vault"]).collect()) == [0, 1, 2, 3]
+
+
+def test_answers_through_one_query(spark):
+    schema = "conv_id long, ts timestamp, text string"
+    text, other = "mail [EMAIL_01] to 111-22-3333 now", "nothing to be found in here"
+    batches = (
+        [(1, 0.0, text[:10]), (1, 1.0, text), (2, 0.0, other)],
+        [(1, 100.0, text), (2, 100.0, other + "!"), (3, 100.0, "short")],
+        [(1, 200.0, other), (1, 200.5, text), (4, 200.0, text)],
+        [(9, 5000.0, "end")], [(9, 9000.0, "end")],
+    )
+    path, out = files(spark, "live", *batches, schema=schema), work_dir(spark, "live")
+    changed = flow.read_stream(spark, path, schema, files_per_batch=1, lateness="10 seconds")
+    written = spark.createDataFrame([(1, 1_700_000_000 - 5.0, 0, "[EMAIL_01]")], "conv_id long, ts double, seq int, token string").withColumn("ts", F.timestamp_seconds("ts"))
+    flow.answer_stream(changed, lambda: written, f"{out}/tables", f"{out}/checkpoint", merge=1).awaitTermination()
+    got = flow.Tables(f"{out}/tables").read(spark, "scanned", flow.SCANNED).collect()
+    found = sorted((r.conv_id, r.ts.timestamp() - 1_700_000_000, r.token_echo, [w.value for w in r.warnings]) for r in got)
+    ssn = "111-22-3333"
+    # The second and the last text of 1 are the one scanned before: only the first is scanned.
+    assert found == [(1, 1.0, True, ["[EMAIL_01]", ssn]), (2, 0.0, False, []), (2, 100.0, False, []), (4, 200.0, False, [ssn])]

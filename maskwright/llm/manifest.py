@@ -28,8 +28,8 @@ from maskwright.session import staged
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FANOUT = 3
-#: Levels of a block: at most 3**9 = 19,683 nodes come together in one group of a task.
-DEPTH = 9
+#: Levels of a block: at most 3**7 = 2,187 nodes come together in one group of a task.
+DEPTH = 7
 #: A way to the root: level by level the digests left and right of the path, each of 64 digits.
 PATH = "array<struct<left: string, right: string>>"
 _PATH = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))

@@ -45,8 +45,6 @@ WINDOW, WINNOW = 10, 10
 PARTS, WIDE = 128, 32
 #: Different paragraphs of one key that one task compares; larger keys are compared block by block.
 BLOCK = 1024
-#: Rows (16 bytes each) up to which a table is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Bytes of text that are cut at a time.
 PIECE = 2 << 20
 
@@ -89,24 +87,25 @@ def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, lines[lines > 0], sizes
 
 
-def _described(h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests of stretches of words, and their shingles as offsets and hashes."""
+def _digests(h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Digests of stretches of words."""
+    if not len(n):
+        return np.zeros(0, np.uint64)
     number = np.repeat(np.arange(len(starts)), n)
     first = np.cumsum(n) - n
     inside = np.arange(len(number)) - first[number]
-    at = starts[number] + inside
-    powers = _powers(int(n.max(initial=0)))
-    digest = _mixed(np.add.reduceat(h[at] * powers[inside], first), 1) if len(n) else np.zeros(0, np.uint64)
+    return _mixed(np.add.reduceat(h[starts[number] + inside] * _powers(int(n.max()))[inside], first), 1)
+
+
+def _shingles(h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of 32 bits of the shingles of stretches of ``SHINGLE`` words or more, with repeats, and their offsets."""
     five = np.zeros(len(h), np.uint64)
     for k in range(SHINGLE):
         five[: max(len(h) - k, 0)] += _mixed(h, 11 + k)[k:]
-    long = inside + SHINGLE <= n[number]
-    short = np.flatnonzero(n < SHINGLE)
-    owner = np.concatenate([number[long], short])
-    value = np.concatenate([_mixed(five[at[long]], 2), digest[short]]).astype(np.uint32)
-    both = np.unique(owner.astype(np.uint64) << np.uint64(32) | value)
-    owner, value = (both >> np.uint64(32)).astype(np.int64), both.astype(np.uint32).view(np.int32)
-    return digest, np.searchsorted(owner, np.arange(len(starts) + 1)), value
+    five = _mixed(five, 2).astype(np.uint32).view(np.int32)
+    size = n - (SHINGLE - 1)
+    offsets = np.r_[0, np.cumsum(size)]
+    return five[np.arange(int(offsets[-1])) + np.repeat(starts - offsets[:-1], size)], offsets
 
 
 def _parts(h: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,12 +157,19 @@ def cut_paragraphs(texts: Iterable[str | None]) -> tuple[np.ndarray, ...]:
     and hashes.
 
     Words are separated by ASCII white space and ASCII letters lower-cased.  A paragraph of fewer than five words has
-    one shingle, itself; shingle hashes have 32 bits, are sorted and without repeats.
+    one shingle, itself; shingle hashes have 32 bits and may repeat.
     """
     h, lines, sizes = _read(pa.array(texts, pa.large_string()))
     starts, n = _parts(h, lines)
-    digest, offsets, value = _described(h, starts, n)
-    return *_placed(starts, sizes), n, digest.view(np.int64), offsets, value
+    digest, short = _digests(h, starts, n), n < SHINGLE
+    value, ends = _shingles(h, starts[~short], n[~short])
+    size = np.ones(len(n), np.int64)
+    size[~short] = np.diff(ends)
+    offsets = np.r_[0, np.cumsum(size)]
+    out = np.empty(int(offsets[-1]), np.int32)
+    out[offsets[:-1][short]] = digest[short].astype(np.uint32).view(np.int32)
+    out[np.repeat(~short, size)] = value
+    return *_placed(starts, sizes), n, digest.view(np.int64), offsets, out
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -176,10 +182,9 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def paragraph_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``digest, shingles``: the paragraphs of all texts that can be similar to a different one.
+    """``digest, shingles``: the paragraphs of all texts that can be similar to a different one, shingles with repeats.
 
-    Different sets of fewer than four shingles, or of four and four, are less similar than 0.8; those with up to three
-    are left out.
+    Different sets of fewer than four shingles are less similar than 0.8: paragraphs of up to seven words are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +192,13 @@ def paragraph_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for part in _slices(batch, 0):
                 h, lines, _ = _read(part.column(0))
                 starts, n = _paragraphs(h, lines)
-                enough = n >= SHINGLE + 3
-                digest, offsets, value = _described(h, starts[enough], n[enough])
-                digest, first = np.unique(digest, return_index=True)
-                shingles = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(value, pa.int32())).take(pa.array(first))
+                starts, n = starts[n >= SHINGLE + 3], n[n >= SHINGLE + 3]
+                digest, first = np.unique(_digests(h, starts, n), return_index=True)
+                value, offsets = _shingles(h, starts[first], n[first])
+                shingles = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(value, pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), shingles], ["digest", "shingles"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "digest long, shingles array<int>").where("size(shingles) >= 4")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "digest long, shingles array<int>")
 
 
 def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -205,7 +210,7 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for part in _slices(batch, 2):
                 h, lines, sizes = _read(part.column(2))
                 starts, n = _paragraphs(h, lines)
-                digest, _, _ = _described(h, starts, n)
+                digest = _digests(h, starts, n)
                 more, window = _windows(h, sizes)
                 starts, n, digest = np.r_[starts, more], np.r_[n, np.full(len(more), WINDOW)], np.r_[digest, window]
                 order = np.argsort(starts, kind="stable")
@@ -218,9 +223,9 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 columns += [pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(again)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "start", "n", "digest", "again"])
 
-    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("string"))
+    read = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("hash"), F.col(text_col).cast("string"))
     kind = read.schema["id"].dataType.simpleString()
-    return read.mapInArrow(run, f"id {kind}, hash long, start int, n int, digest long, again boolean")
+    return read.mapInArrow(run, f"id {kind}, hash int, start int, n int, digest long, again boolean")
 
 
 def _band_keys(table: DataFrame) -> DataFrame:
@@ -248,11 +253,6 @@ def _band_keys(table: DataFrame) -> DataFrame:
     return table.select("digest", "shingles").mapInArrow(run, "key long, digest long")
 
 
-def _narrow(table: DataFrame, count: int) -> DataFrame:
-    """Broadcast a table of a known number of rows of two numbers if that is at most ``BROADCAST_ROWS``."""
-    return F.broadcast(table) if count <= BROADCAST_ROWS else table
-
-
 def _verified(members: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: links between paragraphs that share a key and whose shingles are similar.
 
@@ -367,11 +367,11 @@ def paragraph_links(table: DataFrame, similarity: float = SIMILARITY, block: int
     shared = staged(
         _band_keys(table).groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("key"), "shared"
     )
-    members = staged(_band_keys(table).join(_narrow(shared, shared.count()), "key").distinct(), "members")
+    members = staged(_band_keys(table).join(shared, "key").distinct(), "members")
     digests = staged(members.select("digest").distinct(), "members")
     sets = staged(
-        table.join(_narrow(digests, digests.count()), "digest", "left_semi")
-        .groupBy("digest").agg(F.first("shingles").alias("shingles"), F.count("*").alias("found")),
+        table.join(digests, "digest", "left_semi")
+        .groupBy("digest").agg(F.array_distinct(F.first("shingles")).alias("shingles"), F.count("*").alias("found")),
         "sets",
     )
     crowds = staged(members.groupBy("key").count().where(F.col("count") > block).select("key"), "crowds")
@@ -403,9 +403,9 @@ def repeated_passages(
     often = table.where("not again").groupBy("digest").count().where("count > 1").select("digest")
     wanted = staged(often.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "full_outer").select("digest", F.coalesce("root", "digest").alias("class")), "shared")
     who = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("hash").alias("hash"))
-    places = staged(table.join(_narrow(wanted, wanted.count()), "digest").select("id", "hash", "start", "n", "class"), "places")
+    places = staged(table.join(wanted, "digest").select("id", "hash", "start", "n", "class"), "places")
     drop_staged(table)
-    first = places.groupBy("class").agg(F.min(who).alias("first"), F.max(who).alias("final")).where("first <> final").select("class", "first")
+    first = staged(places.groupBy("class").agg(F.min(who).alias("first"), F.max(who).alias("final")).where("first <> final").select("class", "first"), "classes")
     marked = (
         places.join(first, "class")
         .select(who.alias("who"), "start", "n", "first", (F.col("first") < who).alias("removed")).distinct()
@@ -464,7 +464,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else without_words(t, zip(s, e)) for t, s, e in zip(texts, starts, ends)], dtype=object)
 
-    keyed = docs.withColumns({no_id: F.col(id_col).isNull(), id_: F.coalesce(id_col, F.lit(0)), hash_: F.xxhash64(text_col)})
+    keyed = docs.withColumns({no_id: F.col(id_col).isNull(), id_: F.coalesce(id_col, F.lit(0)), hash_: F.hash(text_col)})
     joined = keyed.join(spans, [no_id, id_, hash_], "left")
     shorter: Column = cut(F.col(text_col), F.col(f"{spans_}.start"), F.col(f"{spans_}.end"))
     return joined.withColumn(text_col, F.when(F.col(spans_).isNull(), F.col(text_col)).otherwise(shorter)).select(*docs.columns)

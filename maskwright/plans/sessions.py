@@ -171,7 +171,7 @@ ANSWER_FLOW = (
     "w AS (SELECT conv_id, turn, 'TOKEN_ECHO' AS type, token AS value, 'AI echoed the redaction token ' || token || ' in its response' AS reason FROM echoes "
     "UNION ALL SELECT conv_id, turn, 'PII_IN_RESPONSE', value, 'AI response contains what looks like a ' || type FROM found) "
     "SELECT g.conv_id, g.turn AS us, EXISTS (SELECT 1 FROM echoes e WHERE e.conv_id = g.conv_id AND e.turn = g.turn) AS token_echo, "
-    "w.type, w.value, w.reason FROM gated g LEFT JOIN w ON w.conv_id = g.conv_id AND w.turn = g.turn",
+    "w.type, w.value, w.reason FROM gated g LEFT JOIN w ON w.conv_id = g.conv_id AND w.turn = g.turn"
 )
 register("answer_flow", lambda spark, sf: flow_rows(scan_updates(updates(spark, sf), prompt_tokens(spark, sf))), ANSWER_FLOW)
 

@@ -123,7 +123,7 @@ _SEGMENTED = (
     f"raw AS ({DUCKDB_SQL}), sliced AS (SELECT *, least(turn // 2, {SLICES - 1}) AS slice FROM raw), "
     "clock AS (SELECT slice, max(max(epoch_us(ts))) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS now FROM sliced GROUP BY slice), "
     "touched AS (SELECT conv_id, slice, max(max(epoch_us(ts))) OVER (PARTITION BY conv_id ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before "
-    "FROM sliced GROUP BY ALL), "
+    "FROM sliced GROUP BY conv_id, slice), "
     f"segments AS (SELECT conv_id, slice, count(*) FILTER (before < now - {_BOUND_US}) OVER (PARTITION BY conv_id ORDER BY slice) AS segment "
     "FROM touched JOIN clock USING (slice)), "
     "seeded AS (SELECT conv_id * 8 + segment AS conv_id, turn, role, domain, ts, text FROM sliced JOIN segments USING (conv_id, slice))"

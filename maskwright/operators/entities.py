@@ -131,15 +131,13 @@ def _found_by_join(df: DataFrame, usable: DataFrame, text: Column, none: Column)
         return df.withColumn("found", none)
     keyed = df.withColumn("_digest", F.md5(text.cast("binary")))
     texts = keyed.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.first(text).alias("_text"))
-    # Words a name begins with are far fewer than word sequences: only sequences behind one of them are joined.
-    openings = usable.select(F.split_part("key", F.lit(" "), F.lit(1)).alias("_word"), "key", "size", "type", "value")
-    placed = texts.select("_digest", words(F.col("_text")).alias("_words")).select(
-        "_digest", "_words", F.posexplode_outer(F.array_distinct("_words")).alias("_i", "_word")
-    )
-    opened = placed.join(openings.select("_word").distinct(), "_word", "left_semi").groupBy("_digest").agg(
-        F.first("_words").alias("_words"), F.collect_set("_word").alias("_openings")
-    )
-    candidates = opened.select("_digest", F.explode(_grams_from(F.col("_words"), sizes, F.col("_openings"))).alias("key"))
+    # Words a name begins with are far fewer than word sequences: only sequences behind one of them are joined.  Words
+    # travel with their place and without their text, so rows are in proportion to the words.
+    openings = usable.select(F.split_part("key", F.lit(" "), F.lit(1)).alias("_word")).distinct()
+    split = texts.select("_digest", words(F.col("_text")).alias("_words"))
+    placed = split.select("_digest", F.posexplode("_words").alias("_i", "_word"))
+    opened = placed.join(openings, "_word", "left_semi").groupBy("_digest").agg(F.collect_list("_i").alias("_at"))
+    candidates = split.join(opened, "_digest").select("_digest", F.explode(_grams_at(F.col("_words"), sizes, F.col("_at"))).alias("key"))
     hits = (
         candidates.join(usable.select("key", "type", "value"), "key")
         .groupBy("_digest")
@@ -148,16 +146,15 @@ def _found_by_join(df: DataFrame, usable: DataFrame, text: Column, none: Column)
     return keyed.join(hits, "_digest", "left").withColumn("found", F.coalesce("found", none)).drop("_digest")
 
 
-def _grams_from(ws: Column, sizes: Sequence[int], openings: Column) -> Column:
-    """Distinct word sequences of the given sizes that begin with one of the words ``openings``."""
-    begins = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.array_contains(openings, F.get(ws, i)))
+def _grams_at(ws: Column, sizes: Sequence[int], places: Column) -> Column:
+    """Distinct word sequences of the given sizes that begin at some places."""
 
-    def of_size(indexes: Column, n: int) -> Column:
+    def of_size(n: int) -> Column:
         return F.transform(
-            F.filter(indexes, lambda i: i + n <= F.size(ws)), lambda i: F.array_join(F.slice(ws, i + 1, n), " ")
+            F.filter(places, lambda i: i + n <= F.size(ws)), lambda i: F.array_join(F.slice(ws, i + 1, n), " ")
         )
 
-    return let(begins, lambda indexes: F.array_distinct(F.concat(*[of_size(indexes, n) for n in sizes])))
+    return F.array_distinct(F.concat(*[of_size(n) for n in sizes]))
 
 
 def locate(text: Column, found: Column, occurrences: str = "first") -> Column:

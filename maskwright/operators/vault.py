@@ -68,16 +68,67 @@ def synthetic_candidates(text: Column) -> Column:
     return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(BRACKETED), F.lit(0)), *found))
 
 
+#: Characters of the piece of a token by which answers look it up; shorter tokens are looked up whole.
+ANCHOR = 4
+
+
+def _pieces(text: Column, size: Column) -> Column:
+    """All pieces of a text with a number of characters."""
+    return F.when(
+        size <= F.length(text), F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda p: F.substring(text, p, size))
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def contained_tokens(responses: DataFrame, vault: DataFrame, text_col: str = "text") -> DataFrame:
+    """``conv_id, turn, token``: the tokens of any shape that an answer of their conversation contains.
+
+    Every token has an anchor, the one of its pieces of ``ANCHOR`` characters that the fewest tokens have (the first by
+    spelling of these).  An answer gives a row for each of its pieces of that size, whatever the lengths of the tokens;
+    where a piece is an anchor, the whole token is looked for in the answer.
+    """
+    held = vault.where((F.length("token") > 0) & ~F.rlike("token", F.lit(rf"\A{BRACKETED}\z"))).select("conv_id", "token").distinct()
+    size = F.least(F.length("token"), F.lit(ANCHOR))
+    cut = held.select("token").distinct().select("token", F.explode(F.array_distinct(_pieces(F.col("token"), size))).alias("anchor"))
+    often = cut.groupBy("anchor").agg(F.count("*").alias("n"))
+    anchors = cut.join(often, "anchor").groupBy("token").agg(F.min_by("anchor", F.struct("n", "anchor")).alias("anchor"))
+    # Read twice: for its sizes, of which there are at most ANCHOR, and for the join.
+    keyed = cut_lineage(held.join(anchors, "token"))
+    sizes = sorted(r.n for r in keyed.select(F.length("anchor").alias("n")).distinct().collect())
+    if not sizes:
+        return held.select("conv_id", F.lit(None).cast(responses.schema["turn"].dataType).alias("turn"), "token").limit(0)
+    text = F.col(text_col)
+    asked = responses.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(*[_pieces(text, F.lit(n)) for n in sizes]))).alias("anchor"))
+    hits = asked.join(keyed, ["conv_id", "anchor"]).select("conv_id", "turn", "token").distinct()
+    found = hits.join(responses.select("conv_id", "turn", text.alias("_text")), ["conv_id", "turn"]).where(F.contains("_text", "token"))
+    return found.select("conv_id", "turn", "token").distinct()
+
+
 def candidate_rows(
     responses: DataFrame, vault: DataFrame | None, text_col: str = "text", synthetic: bool = False
 ) -> DataFrame:
-    """One row per (answer, possible token)."""
-    if synthetic:
-        pieces = synthetic_candidates(F.col(text_col))
-    else:
-        pieces = token_candidates(F.col(text_col), plain_token_lengths(vault) if vault is not None else ())
-    rows = responses.select("conv_id", "turn", F.explode_outer(pieces).alias("token"))
-    return rows.where(F.col("token").isNotNull())
+    """One row per (answer, possible token); with a vault also those of its tokens that are not in brackets."""
+    pieces = synthetic_candidates(F.col(text_col)) if synthetic else token_candidates(F.col(text_col))
+    rows = responses.select("conv_id", "turn", F.explode_outer(pieces).alias("token")).where(F.col("token").isNotNull())
+    if synthetic or vault is None:
+        return rows
+    return rows.unionByName(contained_tokens(responses, vault, text_col)).distinct()
+
+
+def token_history(vault: DataFrame) -> DataFrame:
+    """``conv_id, token, writes``: what every token has stood for, in order (``turn, seq, value``), without writes that change
+    nothing.  Numbered through a conversation a token has one."""
+    return vault.groupBy("conv_id", "token").agg(F.array_sort(F.collect_list(F.struct("turn", "seq", "value"))).alias("writes")).withColumn(
+        "writes", F.filter("writes", lambda w, i: (i == 0) | ~w["value"].eqNullSafe(F.get(F.col("writes"), i - 1)["value"]))
+    )
+
+
+def value_before(asked: DataFrame, history: DataFrame) -> DataFrame:
+    """``conv_id, turn, token, value`` as of the turn of each asked row, by one equi-join with a history.
+
+    A history that is stored in buckets by its keys (``sources.tables.write_vault_table``) is not shuffled.
+    """
+    last = F.try_element_at(F.filter("writes", lambda w: w["turn"] < F.col("turn")), F.lit(-1))
+    return asked.join(history, ["conv_id", "token"]).select("conv_id", "turn", "token", last["value"].alias("value"))
 
 
 def _replaced(text: Column, entries: Column) -> Column:
@@ -141,11 +192,15 @@ def restore(
     tokens stay.  All are replaced at once, where tokens overlap the longer one.
     Set ``synthetic`` for vaults with the values of ``synthesize``, and
     ``any_shape`` for tokens of any other shape: then all pieces of an answer that
-    have the length of a token are looked up, many for each character of it.
+    have the length of an anchor are looked up (``contained_tokens``).  The vault may
+    also be a history (``token_history``), which is joined where it lies.
     """
-    # Read twice below; the texts are searched once.
-    asked = cut_lineage(candidate_rows(responses, vault if any_shape else None, text_col, synthetic))
-    known = last_write_before(asked, vault, ["conv_id", "token"], "turn", "value", tie="seq")
+    asked = candidate_rows(responses, vault if any_shape else None, text_col, synthetic)
+    if "writes" in vault.columns:
+        known = value_before(asked, vault)
+    else:
+        # Read twice below; the texts are searched once.
+        known = last_write_before(cut_lineage(asked), vault, ["conv_id", "token"], "turn", "value", tie="seq")
     entries = (
         known.where(F.col("value").isNotNull())
         .groupBy("conv_id", "turn")
@@ -197,20 +252,25 @@ def rewrite_conversations(
     """Add ``sanitized`` and ``tokens``; ``label`` gives the replacement of a span with ``type``, ``value`` and its
     number ``n`` in the conversation.
 
-    Rows are told apart by their keys and text, null or not; equal rows are rewritten alike.  Rows without a
-    conversation make up one of their own.
+    Rows are told apart by their keys and text, null or not; equal rows are rewritten alike, with the detections of one of
+    them.  Rows without a conversation make up one of their own.
     """
     conv, order = keys[0], keys[1]
     key = F.md5(F.to_json(F.struct(*keys, F.md5(F.col(text_col).cast("binary")).alias("_text"))).cast("binary"))
     whose = F.to_json(F.struct(F.col(conv).alias("c")))
-    rows = turns.withColumns({"_row": key, "_conv": whose, "_spans": cover(F.col(text_col), F.col(detections_col))})
-    # Read several times below; computed once.
-    found = cut_lineage(
-        rows.select("_row", "_conv", F.coalesce(F.col(order).cast("long"), F.lit(-1)).alias("_turn"), F.posexplode_outer("_spans").alias("_i", "_s"))
+    rows = turns.select(
+        key.alias("_row"), whose.alias("_conv"), F.coalesce(F.col(order).cast("long"), F.lit(-1)).alias("_turn"),
+        F.col(detections_col).alias("_detections"), cover(F.col(text_col), F.col(detections_col)).alias("_spans"),
+        tokens_in(F.col(text_col)).alias("_held"),
+    )
+    # Detection runs here only: what was found is kept beside the rows, without their texts, and joined back below.
+    rows = cut_lineage(rows.where((F.size("_detections") > 0) | (F.size("_held") > 0)))
+    found = (
+        rows.select("_row", "_conv", "_turn", F.posexplode_outer("_spans").alias("_i", "_s"))
         .where(F.col("_s").isNotNull()).select("_row", "_conv", "_turn", "_i", "_s.type", "_s.value", "_s.start", "_s.end").distinct()
     )
     value_keys = ["_conv", "type", "value"]
-    held = rows.select("_conv", F.explode(tokens_in(F.col(text_col))).alias("t")).select("_conv", "t.type", "t.n")
+    held = rows.select("_conv", F.explode("_held").alias("t")).select("_conv", "t.type", "t.n")
     new = found.groupBy(*value_keys).agg(F.min(F.struct("_turn", "_i")).alias("f")).select(
         *value_keys, F.col("f._turn").alias("_turn"), F.col("f._i").alias("_i")
     )
@@ -229,6 +289,8 @@ def rewrite_conversations(
         found.join(numbered, value_keys).groupBy("_row")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end", "type", "value", "n"))).alias("_numbered"))
     )
+    kept = rows.where(F.size("_detections") > 0).groupBy("_row").agg(F.first("_detections").alias("_detections"))
+    per_row = kept.join(per_row, "_row", "left")
     spans, text = F.col("_numbered"), F.col(text_col)
     done = let(
         F.transform(spans, label),
@@ -238,9 +300,10 @@ def rewrite_conversations(
     done_type = f"struct<sanitized:string,tokens:{schemas.TOKENS}>"
     # Better no result than a text that goes out as it came.
     lost = F.raise_error(F.lit("a detected value has no number")).cast(done_type)
+    nothing = F.array().cast(turns.schema[detections_col].dataType)
+    columns = [F.coalesce("_detections", nothing).alias(c) if c == detections_col else F.col(c) for c in turns.columns]
     return (
-        turns.withColumn("_row", key).join(per_row, "_row", "left")
-        .withColumn("_done", F.when(spans.isNotNull(), done).when(F.size(F.col(detections_col)) > 0, lost).otherwise(untouched))
-        .withColumns({"sanitized": F.col("_done.sanitized"), "tokens": F.col("_done.tokens")})
-        .drop("_row", "_numbered", "_done")
+        turns.drop(detections_col).withColumn("_row", key).join(per_row, "_row", "left")
+        .withColumn("_done", F.when(spans.isNotNull(), done).when(F.size("_detections") > 0, lost).otherwise(untouched))
+        .select(*columns, F.col("_done.sanitized").alias("sanitized"), F.col("_done.tokens").alias("tokens"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import host_of
+from maskwright.operators.recognise import recognise
 from maskwright.operators.vault import restore, vault_rows
 from maskwright.operators.gates import (
     classify_platform, drop_allowlisted, mark_allowlisted, non_blank, normalise_allowlist, snippet_scan, supported_host,
@@ -270,6 +271,32 @@ register(
 )
 
 
+def _first_words():
+    """A recogniser that takes the first word of a text for a person, and also gives a span that is wrong."""
+    import re
+
+    def tag(texts):
+        first = [re.search("[A-Za-z]+", t) for t in texts]
+        return [[] if m is None else [("PERSON", *m.span(), m.group(), 0.9), ("PERSON", m.start() + 1, m.end() + 1, m.group(), 0.9)] for m in first]
+
+    return tag
+
+
+def _with_tagger(spark: SparkSession, sf: str) -> DataFrame:
+    """A recogniser that runs in the job, and whose wrong spans are counted instead of taken."""
+    turns = recognise(prompts(spark, sf), _first_words)
+    done = sanitize(turns, allowlist=allowlist(spark), entities_col="recognised")
+    return done.select(*TURN, "scanned", "sanitized", F.col("pii_count").cast("long").alias("pii_count"), F.col("rejected").cast("long").alias("rejected"))
+
+
+register(
+    "sanitize_with_tagger",
+    _with_tagger,
+    f"WITH {scanned_sql(_covers_with_first_word, 'n_values', _BY_CONVERSATION)} SELECT s.conv_id, s.turn, scanned, sanitized, pii_count, "
+    "CAST(p.text <> regexp_replace(p.text, '[A-Za-z]', '') AS BIGINT) AS rejected FROM sanitized s JOIN prompts p ON p.conv_id = s.conv_id AND p.turn = s.turn",
+)
+
+
 def _restored(synthetic: bool):
     """Every prompt is sanitized, and its result sent back at the end of the conversation: all of it must come back."""
 

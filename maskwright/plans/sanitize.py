@@ -46,7 +46,7 @@ def sanitize(
     the whole conversation, the first of ``keys``: only then can an answer that
     quotes an earlier turn be restored.  ``numbering="text"`` starts again in every
     text; it is the default in reference mode and on streams, where it keeps the
-    scan a narrow projection without state (``streaming.flow.sanitize_batches``
+    scan a narrow projection without state (``streaming.flow.conversation_stream``
     numbers conversations of a stream).  ``known`` (``conv_id, type, value, n``)
     has values that were numbered before.
     """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,12 @@ from maskwright.operators.responses import debounce_responses, latest_response,
 from maskwright.operators.redact import explode_tokens
 from maskwright.operators.vault import drop_session_tokens, merge_token_map, restore, vault_rows
 from maskwright.plans import oracle
-from maskwright.plans.catalog import register
+from maskwright.plans.catalog import CATALOG, register
 from maskwright.plans.gating import SANITIZED_REF, allowlist, prompts
 from maskwright.plans.sanitize import sanitize
 from maskwright.plans.seed import seeded_turns
-from maskwright.sources.tables import read_responses
+from maskwright.session import work_dir
+from maskwright.sources.tables import read_responses, write_vault_table
 
 TURN = list(oracle.TURN_KEYS)
 
@@ -67,6 +70,38 @@ register(
 )
 
 
+_RESTORED_SQL = CATALOG["restore"].sql
+
+
+def _restore_from_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The vault as a bucketed table."""
+    stored = write_vault_table(vault(spark, sf), f"vault_{uuid.uuid4().hex}", work_dir(spark, "vault"))
+    return restore(responses(spark, sf), stored).select(*TURN, "restored")
+
+
+register("restore_from_table", _restore_from_table, _RESTORED_SQL)
+
+
+def _any_shape(spark: SparkSession, sf: str) -> DataFrame:
+    """Beginnings of prompts, of 50 lengths, as tokens; every answer quotes the prompt before it."""
+    asked = prompts(spark, sf).select("conv_id", "turn", "text")
+    tokens = asked.select("conv_id", "turn", F.lit(0).alias("seq"), F.expr("substr(text, 1, CAST(3 + (conv_id * 7 + turn) % 50 AS INT))").alias("token"))
+    quoted = asked.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("quote"))
+    answers = responses(spark, sf).join(quoted, TURN, "left").select(*TURN, F.concat_ws(" ", "text", "quote").alias("text"))
+    found = scan_responses(answers, tokens, any_shape=True).select(*TURN, F.explode("warnings").alias("w"))
+    return found.where(F.col("w.type") == "TOKEN_ECHO").select(*TURN, F.col("w.value").alias("token"))
+
+
+register(
+    "scan_any_shape",
+    _any_shape,
+    f"WITH {oracle.SEEDED}, {_ANSWERS}, prompts AS (SELECT conv_id, turn, text FROM seeded WHERE role = 'user' AND trim(text) <> ''), "
+    "tokens AS (SELECT conv_id, turn, substr(text, 1, CAST(3 + (conv_id * 7 + turn) % 50 AS INTEGER)) AS token FROM prompts), "
+    "quoting AS (SELECT a.conv_id, a.turn, concat_ws(' ', a.text, p.text) AS text FROM answers a LEFT JOIN prompts p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1) "
+    "SELECT DISTINCT q.conv_id, q.turn, t.token FROM quoting q JOIN tokens t ON t.conv_id = q.conv_id AND t.turn < q.turn AND contains(q.text, t.token)",
+)
+
+
 def _scan(spark: SparkSession, sf: str) -> DataFrame:
     found = scan_responses(responses(spark, sf), vault(spark, sf))
     rows = found.select(*TURN, "echo_detected", "token_echo", F.posexplode_outer("warnings").alias("seq", "w"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from datetime import datetime, timezone
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.text import strip
 from maskwright.operators.audit import audit_json
 from maskwright.operators.gates import non_blank
+from maskwright.operators.vault import token_history
 from maskwright.policy import Policy
 from maskwright.session import spread
 
@@ -51,14 +53,24 @@ def _bucket(conv: Column) -> Column:
     return F.pmod(F.xxhash64(conv), F.lit(VAULT_BUCKETS)).cast("int")
 
 
-def write_token_vault(vault: DataFrame, path: str) -> None:
-    """Append vault rows, in folders by a hash of the conversation."""
-    vault.withColumn("bucket", _bucket(F.col("conv_id"))).write.mode("append").partitionBy("bucket").parquet(path)
+def _commit(rows: DataFrame, path: str, folder: str, commit: str | None) -> None:
+    """Add rows below ``folder=.../commit=...``; what a commit of this name wrote before is replaced."""
+    named = rows.withColumn("commit", F.lit(f"c-{commit or uuid.uuid4().hex}"))
+    writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(folder, "commit").parquet(path)
+
+
+def write_token_vault(vault: DataFrame, path: str, commit: str | None = None) -> None:
+    """Append vault rows, in folders by a hash of the conversation.
+
+    A job that is run again under the same ``commit`` replaces its rows instead of doubling them.
+    """
+    _commit(vault.withColumn("bucket", _bucket(F.col("conv_id"))), path, "bucket", commit)
 
 
 def read_token_vault(spark: SparkSession, path: str, conv_ids: Iterable[int] | None = None) -> DataFrame:
     """Vault rows; with ``conv_ids`` of these conversations, and only their folders are read."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(path).drop("commit")
     if conv_ids is None:
         return rows.drop("bucket")
     ids = sorted(set(conv_ids))
@@ -67,9 +79,25 @@ def read_token_vault(spark: SparkSession, path: str, conv_ids: Iterable[int] | N
     return rows.where(F.col("bucket").isin(*buckets)).join(asked.select("conv_id"), "conv_id", "left_semi").drop("bucket")
 
 
-def append_audit(entries: DataFrame, path: str) -> None:
-    """Append log entries, one folder per day."""
-    entries.write.mode("append").partitionBy("day").parquet(path)
+def write_vault_table(vault: DataFrame, name: str, path: str | None = None, buckets: int = VAULT_BUCKETS) -> DataFrame:
+    """Store what every token has stood for as a table in buckets by conversation and token, sorted; returns the table.
+
+    ``operators.vault.restore`` takes it for the vault and joins it without shuffling it.
+    """
+    writer = token_history(vault).write.mode("overwrite").bucketBy(buckets, "conv_id", "token").sortBy("conv_id", "token")
+    (writer if path is None else writer.option("path", path)).saveAsTable(name)
+    return vault.sparkSession.table(name)
+
+
+def append_audit(entries: DataFrame, path: str, commit: str | None = None) -> None:
+    """Append log entries, one folder per day; ``commit`` as in ``write_token_vault``."""
+    _commit(entries, path, "day", commit)
+
+
+def append_and_purge(entries: DataFrame, path: str, policy: Policy, now_ms: int, commit: str | None = None) -> list[str]:
+    """Append log entries and remove the days that are too old, as one step that can be repeated."""
+    append_audit(entries, path, commit)
+    return purge_audit(entries.sparkSession, path, policy, now_ms)
 
 
 def purge_audit(spark: SparkSession, path: str, policy: Policy, now_ms: int) -> list[str]:
@@ -89,7 +117,7 @@ def purge_audit(spark: SparkSession, path: str, policy: Policy, now_ms: int) ->
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("commit")
 
 
 def export_audit_json(audit: DataFrame, path: str) -> None:

@@ -20,7 +20,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,12 +76,11 @@ def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, ends = text_bytes(column)
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     letters, lengths, sizes, before = split_words(data, ends)
-    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int64)
-    words = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))]
-    ).dictionary_encode()
-    vocabulary = words.dictionary.to_pylist()
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))[words.indices.to_numpy()]
+    starts = np.cumsum(lengths) - lengths
+    inside = np.arange(len(letters)) - np.repeat(starts, lengths)
+    coded = _mixed(np.arange(256, dtype=np.uint64), 5)[letters] * _powers(int(lengths.max(initial=0)))[inside]
+    h = np.add.reduceat(coded, starts) if len(starts) else np.zeros(0, np.uint64)
+    h = _mixed(h + lengths.astype(np.uint64), 17)
     lines = np.unique(np.r_[before[np.flatnonzero(data == 10)], np.cumsum(sizes)])
     return h, lines[lines > 0], sizes
 
@@ -261,34 +259,36 @@ def _verified(members: DataFrame, similarity: float) -> DataFrame:
     a group gives fewer links than it has members.
     """
 
-    def links(whole: np.ndarray, component: np.ndarray, digest: np.ndarray, sets: list[frozenset]) -> Iterator[tuple[int, int]]:
-        _, root = np.unique(component, return_inverse=True)
-        root = root.tolist()
-        names = list(range(len(root)))
-
-        def find(i: int) -> int:
-            while names[i] != i:
-                names[i] = names[names[i]]
-                i = names[i]
-            return i
-
-        for j in range(1, len(sets)):
-            b, mine, all_of = sets[j], root[j], whole[j]
-            for i in range(j):
-                a = sets[i]
-                if (all_of and whole[i]) or min(len(a), len(b)) < similarity * max(len(a), len(b)):
-                    continue
-                x, y = find(root[i]), find(mine)
-                if x != y:
-                    both = len(a & b)
-                    if both >= similarity * (len(a) + len(b) - both):
-                        names[x] = y
-                        yield int(digest[i]), int(digest[j])
+    def links(whole: list[bool], component: list[int], digest: list[int], sets: list[frozenset]) -> Iterator[tuple[int, int]]:
+        groups: dict[int, list[int]] = {}
+        home: dict[int, int] = {}
+        joined: dict[int, int] = {}
+        for j, b in enumerate(sets):
+            mine = home.setdefault(component[j], j)
+            while mine in joined:
+                mine = joined[mine]
+            groups.setdefault(mine, [])
+            least, most = similarity * len(b), len(b) / similarity
+            for other in [g for g in groups if g != mine]:
+                for i in groups[other]:
+                    a = sets[i]
+                    if least <= len(a) <= most and not (whole[i] and whole[j]):
+                        both = len(a & b)
+                        if both >= similarity * (len(a) + len(b) - both):
+                            yield digest[i], digest[j]
+                            groups[mine] += groups.pop(other)
+                            joined[other] = mine
+                            break
+            groups[mine].append(j)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(part: pa.Table) -> pa.RecordBatch:
-            key, left, right, whole, component, digest = (part.column(k).to_numpy() for k in ("key", "left", "right", "whole", "part", "digest"))
-            sets = [frozenset(s) for s in part.column("shingles").to_pylist()]
+            key, left, right = (part.column(k).to_numpy() for k in ("key", "left", "right"))
+            whole, component, digest = (part.column(k).to_pylist() for k in ("whole", "part", "digest"))
+            lists = part.column("shingles").combine_chunks()
+            ends = lists.offsets.to_pylist()
+            values = lists.values.to_pylist()
+            sets = [frozenset(values[x:y]) for x, y in zip(ends, ends[1:])]
             new = np.flatnonzero((np.diff(key) != 0) | (np.diff(left) != 0) | (np.diff(right) != 0)) + 1
             out = []
             for s, e in zip(np.r_[0, new], np.r_[new, len(key)]):

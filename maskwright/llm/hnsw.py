@@ -29,8 +29,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LINKS = 16
 #: Candidates kept while adding a node, and while searching.
 EF_BUILD, EF_SEARCH = 96, 160
-#: Shards at least, and vectors of a shard at most (a task holds one shard).
-SHARDS, SHARD_ROWS = 8, 50_000
+#: Vectors that are worth a shard of their own until there are ``SHARDS``, and vectors and bytes of a shard at most (a task
+#: holds one shard).
+SHARDS, FEW_ROWS, SHARD_ROWS, SHARD_BYTES = 8, 1000, 10_000, 64 << 20
+#: A search keeps one candidate at least for so many vectors of the shard: recall falls with a shard's size otherwise.
+WIDEN = 31
+#: Vectors of a shard differ by a factor of at most ``2**BAND`` in length, so that the graph's single precision tells them apart.
+BAND = 4
 #: Nodes or queries that are handled in step, and candidates of each that are expanded in one step.
 STEP, WIDTH = 256, 4
 
@@ -149,6 +154,7 @@ def build_graph(vectors: np.ndarray, links: int = LINKS, ef: int = EF_BUILD, see
     """
     n = len(vectors)
     x = np.asarray(vectors, np.float64)
+    x = x / max(np.abs(x).max(initial=0), 1e-300)
     square = (x * x).sum(axis=1)
     x = np.hstack([x, np.sqrt(np.maximum(square.max(initial=0) - square, 0))[:, None]])
     x = (x / np.sqrt(max(square.max(initial=0), 1e-300))).astype(np.float32)
@@ -185,6 +191,13 @@ def _finite(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda v: v != 0)
 
 
+def _band(v: Column) -> Column:
+    """The binary logarithm of a vector's length in steps of ``BAND``."""
+    most = F.array_max(F.transform(v, F.abs))
+    squares = F.aggregate(v, F.lit(0.0), lambda total, c: total + (c / most) * (c / most))
+    return F.floor((F.log2(most) + F.log2(squares) / 2) / BAND).cast("int")
+
+
 def _clean(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, v`` of the rows that take part, as doubles and without repeats; zeros have no sign."""
     v = F.transform(F.col(vector_col).cast("array<double>"), lambda c: c + F.lit(0.0))
@@ -199,22 +212,24 @@ def build_index(
     """A stored table with one row for each shard, and the number of shards.
 
     Every vector is indexed.  Equal vectors are one node with the ``k + 1`` smallest ids that have it: no other can be
-    among the ``k`` nearest of anything.  Shards hold vectors of one dimension; there are so many that a shard has about
-    ``shard_rows`` vectors at most, which is what a task holds.
+    among the ``k`` nearest of anything.  Shards hold vectors of one dimension and of similar length; there are so many that
+    a shard has about ``shard_rows`` vectors and ``SHARD_BYTES`` at most, which is what a task holds.
     """
     order = Window.partitionBy("v").orderBy("vec_id")
     ranked = _clean(rows, id_col, vector_col).distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    nodes = staged(ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
-    dims = sorted((r["d"], r["n"]) for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect())
+    kind = F.concat_ws(":", F.size("v"), _band(F.col("v")))
+    nodes = staged(ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("kind", kind), "vectors")
+    kinds = sorted((r["kind"], r["d"], r["n"]) for r in nodes.groupBy("kind").agg(F.first(F.size("v")).alias("d"), F.count("*").alias("n")).collect())
     first, total = {}, 0
-    for d, n in dims:
-        count = max(shards, -(-n // shard_rows))
-        first[d] = (total, count)
+    for name, d, n in kinds:
+        most = max(min(shard_rows, SHARD_BYTES // (8 * d)), 1)
+        count = max(min(shards, -(-n // FEW_ROWS)), -(-n // most))
+        first[name] = (total, count)
         total += count
     if not total:
-        first, total = {0: (0, 1)}, 1
-    lookup = F.create_map(*[c for d, (f, n) in first.items() for c in (F.lit(d), F.struct(F.lit(f).alias("f"), F.lit(n).alias("n")))])
-    at = lookup[F.size("v")]
+        first, total = {"": (0, 1)}, 1
+    lookup = F.create_map(*[c for name, (f, n) in first.items() for c in (F.lit(name), F.struct(F.lit(f).alias("f"), F.lit(n).alias("n")))])
+    at = lookup[F.col("kind")]
     dealt = nodes.withColumn("shard", (at["f"] + F.pmod(F.xxhash64("v"), at["n"])).cast("int")).select("shard", "v", "ids")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +302,7 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int, id_c
 
     def found(graph: Graph, raw: np.ndarray, ids: list[list[int]], names: list[int], q: np.ndarray) -> Iterator[pa.RecordBatch]:
         scale = np.maximum(np.abs(q).max(axis=1, keepdims=True), 1e-300)
-        near = graph.nearest(np.hstack([q / scale, np.zeros((len(q), 1))]).astype(np.float32), max(ef, k + 1))
+        near = graph.nearest(np.hstack([q / scale, np.zeros((len(q), 1))]).astype(np.float32), max(ef, k + 1, len(graph.x) // WIDEN))
         out = []
         for name, vector, nodes in zip(names, q, near):
             nodes = nodes[nodes >= 0]

@@ -19,16 +19,20 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.session import staged
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FEATURES = 4096
 #: Labelled documents of each language that are learned from: those with the least hash of their id.
 PER_LANGUAGE = 400
-#: Languages that are learned: those with the most documents.
-LANGUAGES = 200
+#: Texts of other families that a family's machine learns from, dealt evenly to their languages (four of each at least).
+OTHERS = 2000
+#: Rows of sampled ids (some 20 bytes each) up to which they are broadcast; beyond, the texts are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 UNKNOWN = "und"
-#: Score from which a document is kept: little above what chance gives for four languages, so that short and mixed ones stay.
-MIN_SCORE = 0.3
+#: Probability of its family from which a document is kept: the machine of one family at least takes it rather for its own.
+MIN_SCORE = 0.5
 
 # Families of languages by ISO 639-1 code. A language not listed is a family of its own.
 FAMILIES = {
@@ -87,13 +91,15 @@ class LanguageModel:
     pair_rows: np.ndarray
     pair_slopes: np.ndarray
 
-    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Languages and scores: the family's share among families times the language's share of its pairs."""
+    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages and scores: the family's own probability times the language's share of its pairs; and the
+        former."""
         x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
         margins = (x @ self.family_rows.T) * self.family_slopes
-        shares = 1 / (1 + np.exp(-np.clip(margins, -50, 50)))
-        family = shares.argmax(axis=1)
-        score = shares[np.arange(len(x)), family] / np.maximum(shares.sum(axis=1), 1e-12)
+        own = 1 / (1 + np.exp(-np.clip(margins, -50, 50)))
+        family = own.argmax(axis=1)
+        sure_of = own[np.arange(len(x)), family]
+        score = sure_of.copy()
         wins = [np.zeros((len(x), len(f))) for f in self.families]
         sure = [np.zeros((len(x), len(f))) for f in self.families]
         for (f, a, b), row, slope in zip(self.pairs, self.pair_rows, self.pair_slopes):
@@ -109,31 +115,37 @@ class LanguageModel:
             names.append(self.families[f][best])
             if n > 1:
                 score[i] *= sure[f][i, best] / (n - 1)
-        return names, score
+        return names, score, sure_of
 
 
-def fit_languages(x: np.ndarray, langs: Sequence[str]) -> LanguageModel | None:
-    """None without rows."""
-    if not len(x):
-        return None
-    langs = np.array(langs)
-    groups: dict[str, list[str]] = {}
-    for lang in sorted(set(langs)):
-        groups.setdefault(FAMILY_OF.get(lang, f"other {lang}"), []).append(lang)
-    families = tuple(tuple(g) for g in groups.values())
+def family_of(lang: str) -> str:
+    return FAMILY_OF.get(lang, f"other {lang}")
 
-    def machine(inside: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, float]:
-        return linear_svm(x[rows], np.where(inside[rows], 1.0, -1.0))
 
-    every = np.ones(len(x), bool)
-    tops = [machine(np.isin(langs, f), every) for f in families]
-    pairs = [(i, a, b) for i, f in enumerate(families) for a, b in combinations(range(len(f)), 2)]
-    lows = [machine(langs == families[i][a], np.isin(langs, [families[i][a], families[i][b]])) for i, a, b in pairs]
+def fit_family(x: np.ndarray, langs: Sequence[str], others: np.ndarray) -> list[tuple[str | None, str | None, np.ndarray, float]]:
+    """The machines of a family: against others (without languages), and for each pair of its languages."""
+    langs = np.array(langs)
+    names = sorted(set(langs))
+    both = np.concatenate([x, others])
+    made = [(None, None, *linear_svm(both, np.r_[np.ones(len(x)), -np.ones(len(others))]))]
+    for a, b in combinations(names, 2):
+        rows = (langs == a) | (langs == b)
+        made.append((a, b, *linear_svm(x[rows], np.where(langs[rows] == a, 1.0, -1.0))))
+    return made
+
+
+def assembled(languages: dict[str, list[str]], machines: Sequence[tuple]) -> LanguageModel:
+    """A model from ``(family, a, b, weights, slope)`` of all machines."""
+    names = sorted(languages)
+    tops = {m[0]: m[3:] for m in machines if m[1] is None}
+    lows = sorted((m for m in machines if m[1] is not None), key=lambda m: m[:3])
+    families = tuple(tuple(sorted(languages[f])) for f in names)
+    pairs = tuple((names.index(f), families[names.index(f)].index(a), families[names.index(f)].index(b)) for f, a, b, *_ in lows)
 
     def rows(fits: list) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([f[0] for f in fits], np.float32).reshape(-1, x.shape[1] + 1), np.array([f[1] for f in fits])
+        return np.array([f[0] for f in fits], np.float32).reshape(-1, FEATURES + 1), np.array([f[1] for f in fits])
 
-    return LanguageModel(families, *rows(tops), tuple(pairs), *rows(lows))
+    return LanguageModel(families, *rows([tops[f] for f in names]), pairs, *rows([m[3:] for m in lows]))
 
 
 def learnable(id_col: str = "doc_id") -> Column:
@@ -143,58 +155,77 @@ def learnable(id_col: str = "doc_id") -> Column:
 
 def train(
     docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    languages: int = LANGUAGES,
+    others: int = OTHERS,
 ) -> LanguageModel | None:
-    """Learn from up to ``per_language`` labelled texts (of rows that share an id, one) of up to ``languages`` languages.
+    """Learn from up to ``per_language`` labelled texts (of rows that share an id, one) of every language.
 
     Rows without id, language or letter and held-out rows are not learned from.  A share of each language, by a hash of
-    the id, is ranked: twice what is wanted on average, so that a language of any size gives a few rows.  The texts of
-    the sample are found by a broadcast of at most ``per_language * languages`` ids; its feature vectors, of a fixed
-    length, come to the driver.  None if there is nothing to learn from.
+    the id, is ranked: twice what is wanted on average of its different ids, so that a language of any size gives a few rows.
+    The machines of a family are fitted in one task, from the sample of its languages and up to ``others`` texts of other
+    families; only the weights come to the driver.  None if there is nothing to learn from.
     """
     usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         learnable(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     )
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("count"))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (
-        usable.select("id", "lang").join(F.broadcast(counts), "lang").where(draw * F.col("count") < 2 * per_language)
+    chosen = staged(
+        usable.select("id", "lang").join(counts, "lang").where(draw * F.col("count") < 2 * per_language)
         .select("id", "lang").distinct().withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= per_language).select("id", "lang")
+        .where(F.col("rank") <= per_language), "chosen",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [features(t) for t in batch.column(2).to_pylist()]
             packed = pa.array([None if f is None else f.tobytes() for f in made], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["id", "lang", "x"])
+            families = pa.array([family_of(v) for v in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), families, batch.column(3), packed], ["id", "lang", "family", "rank", "x"])
 
     id_type = usable.schema["id"].dataType.simpleString()
-    found = (
-        usable.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text")
-        .mapInArrow(run, f"id {id_type}, lang string, x binary").where("x is not null")
-        .groupBy("id", "lang").agg(F.min("x").alias("x")).collect()
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    sample = staged(
+        usable.join(few, ["id", "lang"]).select("id", "lang", "text", "rank")
+        .mapInArrow(run, f"id {id_type}, lang string, family string, rank int, x binary").where("x is not null")
+        .groupBy("id", "lang", "family", "rank").agg(F.min("x").alias("x")), "sample",
     )
-    found = sorted(found, key=lambda r: (r["lang"], r["id"]))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in found]).reshape(-1, FEATURES)
-    return fit_languages(x, [r["lang"] for r in found])
+    languages: dict[str, list[str]] = {}
+    for r in sample.select("lang", "family").distinct().collect():
+        languages.setdefault(r["family"], []).append(r["lang"])
+    if not languages:
+        return None
+    # What other families look like: a bounded sample that every task gets.
+    each = max(others // sum(map(len, languages.values())), 4)
+    rest = sorted(sample.where(F.col("rank") <= each).select("family", "lang", "id", "x").collect())
+    shared = docs.sparkSession.sparkContext.broadcast(
+        ([r["family"] for r in rest], np.array([np.frombuffer(r["x"], np.float32) for r in rest]).reshape(-1, FEATURES))
+    )
+
+    def fit(key: tuple[str], rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["lang", "id"])
+        x = np.array([np.frombuffer(v, np.float32) for v in rows["x"]]).reshape(-1, FEATURES)
+        families, vectors = shared.value
+        machines = fit_family(x, rows["lang"].tolist(), vectors[np.array([f != key[0] for f in families], bool)])
+        return pd.DataFrame([(key[0], a, b, w.tobytes(), s) for a, b, w, s in machines], columns=["family", "a", "b", "w", "slope"])
+
+    fitted = sample.groupBy("family").applyInPandas(fit, "family string, a string, b string, w binary, slope double").collect()
+    return assembled(languages, [(r["family"], r["a"], r["b"], np.frombuffer(r["w"], np.float64), r["slope"]) for r in fitted])
 
 
 def predicted(model: LanguageModel | None, text: Column) -> Column:
-    """``struct<lang, score>`` of a text column; ``und`` with score 0 for null, for texts without a letter, and
+    """``struct<lang, score, family_score>`` of a text column; ``und`` with score 0 for null, for texts without a letter, and
     without a model."""
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, family_score double")
     def run(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = np.array([UNKNOWN] * len(texts), dtype=object), np.zeros(len(texts))
+        langs, scores = np.array([UNKNOWN] * len(texts), dtype=object), np.zeros((2, len(texts)))
         for start in range(0, len(texts), 128):
             made = [features(t) for t in texts.iloc[start : start + 128]]
             at = [start + i for i, f in enumerate(made) if f is not None]
             if at and model is not None:
-                names, score = model.predict(np.array([f for f in made if f is not None]))
-                langs[at], scores[at] = names, score
-        return pd.DataFrame({"lang": langs, "score": scores})
+                langs[at], scores[0, at], scores[1, at] = model.predict(np.array([f for f in made if f is not None]))
+        return pd.DataFrame({"lang": langs, "score": scores[0], "family_score": scores[1]})
 
     return run(text)
 
@@ -202,7 +233,8 @@ def predicted(model: LanguageModel | None, text: Column) -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """One row per row of ``docs``: the id, ``held_out``, ``lang_pred``, ``score`` (0 to 1).
 
-    Only the text decides a prediction.  A row without id is neither held out nor learned from.
+    Only the text decides a prediction, so ties and repeated rows are told alike; a text of any length is counted in pieces
+    of a megabyte.  A row without id is neither held out nor learned from.
     """
     model = train(docs, per_language, id_col, text_col, lang_col)
     said = docs.select(
@@ -212,11 +244,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is told with at least ``min_score``; the others, and texts without a
-    letter, go.  All columns stay as they are."""
+    """The rows of ``docs`` whose language is told: those that the machine of some family takes for its own with a
+    probability of at least ``min_score``, however many families there are.  The others, and texts without a letter, go.  All
+    columns stay as they are."""
     model = train(docs, PER_LANGUAGE, id_col, text_col, lang_col)
     name = "_said"
     while name in docs.columns:
         name += "_"
     said = docs.withColumn(name, predicted(model, F.col(text_col)))
-    return said.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= min_score)).drop(name)
+    return said.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.family_score") >= min_score)).drop(name)

@@ -1,6 +1,8 @@
 """A corpus from raw documents to token ids: language, near copies, repeated passages, source mix, tokens.
 
-Every stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept.
+Every stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept.  Extra columns of any name keep
+their values up to the last stage; empty tables give empty tables, repeated rows are treated alike or as copies of each
+other, and texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -10,36 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import bpe, langid, mixing, paragraphs, simhash
-from maskwright.llm.common import setup
+from maskwright.llm.common import fresh, setup
 from maskwright.session import staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts without a letter and undecided ones go."""
+    """Documents whose language can be told; null texts, texts without a letter and undecided ones go, whatever their id."""
     setup(spark)
     return langid.keep_identified(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one of the smallest id; rows without a word are copies of each other."""
     setup(spark)
     return simhash.simhash_dedup(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that several documents share stay in the first of them only."""
+    """Passages that several documents share stay in the first of them only; every row stays, null texts too."""
     setup(spark)
     return paragraphs.remove_passages(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that the sources have their target weights, in a random order."""
+    """Documents repeated or left out so that the sources (null is one) have their target weights, in a random order."""
     setup(spark)
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, added=fresh(docs.columns, "n_copies", "copy", "order_key")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (packed, four bytes each) of every text, and the checksum of what they decode to."""
+    """Token ids (packed, four bytes each) of every text, and the checksum of what they decode to; a null text has none."""
     setup(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     done = bpe.bpe_round_trip(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))

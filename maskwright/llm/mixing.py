@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,10 +63,12 @@ def poisson_table(rate: Column) -> Column:
 def mix(
     docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 0,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shuffled: bool = True,
+    added: Sequence[str] = ("n_copies", "copy", "order_key"),
 ) -> DataFrame:
     """The rows of ``docs``, each repeated as often as its source needs, in a random global order.
 
-    Adds ``n_copies``, ``copy`` (from 0) and ``order_key`` (clashing columns of ``docs`` are replaced).  The number of
+    Adds ``n_copies``, ``copy`` (from 0) and ``order_key``, under the names ``added`` (columns of ``docs`` with these names are
+    replaced: give others to keep them).  The number of
     copies is the Poisson quantile, with the source's rate as mean, of a hash of seed and id: retried tasks agree,
     no row depends on another, and a hot source needs nothing special.  The order is that of ``order_key``, a hash of
     seed, id and copy.  Rows without id draw by the MD5 of their text; repeated rows draw alike.
@@ -75,16 +77,16 @@ def mix(
     rates = staged(
         source_rates(docs, weights, temperature, epochs, source_col).select("source", poisson_table(F.col("rate")).alias("sums")), "rates"
     )
-    clean = docs.drop("n_copies", "copy", "order_key")
-    of, sums = fresh(clean.columns, "_of", "_sums")
+    clean, (number, copy, key) = docs.drop(*added), added
+    of, sums = fresh([*clean.columns, *added], "_of", "_sums")
     rates = rates.select(F.col("source").alias(of), F.col("sums").alias(sums))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     who = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit("")).cast("binary")))
     u = unit_hash(str(seed), F.lit("n"), who)
     drawn = clean.join(rates, F.col(source_col).eqNullSafe(F.col(of))).withColumn(
-        "n_copies", F.size(F.filter(sums, lambda c: c <= u)).cast("long")
+        number, F.size(F.filter(sums, lambda c: c <= u)).cast("long")
     )
-    copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
-    out = copies.withColumn("order_key", hash_bits(str(seed), F.lit("o"), who, F.col("copy"))).drop(of, sums)
-    return out.orderBy("order_key", id_col, "copy") if shuffled else out
+    copies = drawn.where(F.col(number) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1)))
+    out = copies.withColumn(key, hash_bits(str(seed), F.lit("o"), who, F.col(copy))).drop(of, sums)
+    return out.orderBy(key, id_col, copy) if shuffled else out

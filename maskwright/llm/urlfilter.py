@@ -22,6 +22,8 @@ from maskwright.session import staged
 
 #: Bytes of one filter, which is sent along with the query; lists that need more are matched by an equi-join on the key.
 MAX_BYTES = 16 << 20
+#: Bytes of a filter that one row holds while it is built.
+CHUNK = 4096
 
 
 @dataclass(frozen=True)
@@ -59,27 +61,19 @@ def _in_level(level: Level, n: int, key: Column) -> Column:
 def _level(keys: DataFrame, n: int, count: int, error: float) -> Level:
     """A Bloom filter of ``count`` keys that passes a share ``error`` of others.
 
-    Bits are put together by byte before the shuffle; the bytes, whose number the caller has bounded, make one value.
+    Bits are put together by byte, bytes by chunk, each in a shuffle; the chunks, whose number the caller has bounded, are
+    put one behind the other.
     """
     bits = _bits(count, error)
     hashes = max(1, min(30, round(math.log2(1 / error))))
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), n, bits, hashes))).alias("at"))
     octets = at.select(
-        F.floor(F.col("at") / 8).cast("int").alias("o"),
+        F.floor(F.col("at") / 8).cast("long").alias("o"),
         F.call_function("shiftleft", F.lit(1), (F.col("at") % 8).cast("int")).alias("b"),
-    ).groupBy("o").agg(F.bit_or("b").alias("b"))
-    packed = octets.agg(F.map_from_entries(F.collect_list(F.struct("o", "b"))).alias("m")).select(
-        F.unhex(
-            F.array_join(
-                F.transform(
-                    F.sequence(F.lit(0), F.lit(bits // 8 - 1)),
-                    lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("m", i), F.lit(0))), 2, "0"),
-                ),
-                "",
-            )
-        )
-    )
-    return Level(bits, hashes, bytes(packed.first()[0]))
+    ).union(keys.sparkSession.range(bits // 8).select(F.col("id").alias("o"), F.lit(0).alias("b"))).groupBy("o").agg(F.bit_or("b").alias("b"))
+    chunks = octets.groupBy(F.floor(F.col("o") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("o", "b"))).alias("bytes"))
+    packed = chunks.select("chunk", F.unhex(F.array_join(F.transform("bytes", lambda x: F.lpad(F.hex(x["b"]), 2, "0")), "")).alias("data"))
+    return Level(bits, hashes, b"".join(bytes(r["data"]) for r in packed.orderBy("chunk").collect()))
 
 
 def _bits(count: int, error: float) -> int:

@@ -59,5 +59,7 @@ def test_stages_take_odd_and_empty_tables(llm_spark, odd, none, sf):
             made = stage(llm_spark, docs, sf)
             if name != "tokens":
                 assert made.columns == docs.columns
+                for c in ("n_copies", "copy", "order_key", "_said", "_spans"):
+                    assert not c in docs.columns or {r[0] for r in made.select(c).distinct().collect()} <= {f"extra {c}"}
             docs = staged(made, "test")
         assert docs.count() >= 0

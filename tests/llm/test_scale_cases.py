@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-from maskwright.llm import components, hnsw, langid, paragraphs
+from maskwright.llm import components, hnsw, langid, paragraphs, urlfilter
 
 
 def vocabulary(seed, n, size=4000):
@@ -146,3 +146,13 @@ def test_every_language_is_learned(llm_spark):
     for row, name in zip(made, names):
         margins = [(float(np.r_[row, 1.0] @ w) * s, f[0]) for w, s, f in zip(model.family_rows, model.family_slopes, model.families)]
         assert max(margins)[1] == name
+
+
+def test_a_long_list_of_keys_is_exact(llm_spark):
+    """Building is linear: 300,000 listed keys of 600,000."""
+    universe = paragraphs.staged(llm_spark.range(600_000).select(F.concat(F.lit("host"), "id", F.lit(".net/")).alias("key")), "universe")
+    listed = universe.where(F.xxhash64("key") % 2 == 0)
+    made = urlfilter.cascade(listed, universe)
+    assert len(made.levels) > 2 and len(made.levels[0].data) > urlfilter.CHUNK
+    wrong = universe.where(made.holds(F.col("key")) != (F.xxhash64("key") % 2 == 0))
+    assert wrong.count() == 0

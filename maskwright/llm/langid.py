@@ -28,7 +28,7 @@ FEATURES = 4096
 PER_LANGUAGE = 400
 #: Texts of other families that a family's machine learns from, dealt evenly to their languages (four of each at least).
 OTHERS = 2000
-#: Rows of sampled ids (some 20 bytes each) up to which they are broadcast; beyond, the texts are joined by a shuffle.
+#: Rows of languages and of sampled ids (some 20 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 UNKNOWN = "und"
 #: Probability of its family from which a document is kept: the machine of one family at least takes it rather for its own.
@@ -167,7 +167,8 @@ def train(
     usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         learnable(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     )
-    counts = usable.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("count"))
+    counts = staged(usable.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("count")), "languages")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = staged(

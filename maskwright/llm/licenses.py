@@ -13,6 +13,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from pathlib import Path
 
 import pyarrow as pa
@@ -200,6 +201,10 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+#: Coverage, matched words, first and last place (excluded) in the text.
+Hit = tuple[float, int, int, int]
+
+
 @dataclass(frozen=True)
 class Notice:
     name: str
@@ -217,27 +222,60 @@ class Notice:
         """Words that have to be aligned."""
         return max(1, int(-(-coverage * len(self.words) // 1)))
 
-    def find(self, words: Sequence[str], places: dict[str, list[int]], coverage: float) -> tuple[float, int, int, int] | None:
-        """Best coverage with matched words, first and last place (excluded) in the text; None below ``coverage``.
+    def find(self, words: Sequence[str], places: dict[str, list[int]], coverage: float) -> list[Hit]:
+        """Places of the notice that do not overlap, the one of most aligned words (then the shortest) first; none below
+        ``coverage``.
 
         Of the words that are fewest in the text, more than may be missing are looked up, so that every possible place of
         the notice is looked at; a place is the stretch around such a word.  Stretches of long notices that begin and end
-        within an eighth of the slack are looked at as one.
+        within an eighth of the slack are looked at as one.  Each is looked at with and without the slack, and what is left
+        of it beside a place that is taken once more: words of a neighbouring copy are no anchors, as they stand twice.
         """
         n, least = len(self.words), self.least(coverage)
         slack = int(n * SLACK) + 2
         rare = sorted(range(n), key=lambda j: (len(places.get(self.words[j], ())), j))[: n - least + 1]
         grid = max(1, slack // 8)
         diagonals = {(i - j) // grid * grid for j in rare for i in places.get(self.words[j], ())}
-        spots = sorted({(max(0, d - slack), min(len(words), d + grid - 1 + n + slack)) for d in diagonals})
-        best = None
-        for lo, hi in spots:
+        spots = sorted({(max(0, d - more), min(len(words), d + grid - 1 + n + more)) for d in diagonals for more in (0, slack)})
+        found: list[tuple[int, int, int, int]] = []
+        looked: set[tuple[int, int]] = set()
+
+        def look(lo: int, hi: int) -> None:
+            if hi - lo < least or (lo, hi) in looked:
+                return
+            looked.add((lo, hi))
             pairs = align(words[lo:hi], self.words)
             if len(pairs) >= least and self.needs <= {self.words[j] for _, j in pairs} and self.bars.isdisjoint(words[lo + pairs[0][0] : lo + pairs[-1][0] + 1]):
-                this = (len(pairs) / n, len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1)
-                if best is None or (-this[1], this[2]) < (-best[1], best[2]):
-                    best = this
-        return best
+                start, end = lo + pairs[0][0], lo + pairs[-1][0] + 1
+                heappush(found, (-len(pairs), end - start, start, end))
+
+        for spot in spots:
+            look(*spot)
+        widest = grid - 1 + n + 2 * slack
+        taken: list[tuple[int, int]] = []
+        hits: list[Hit] = []
+        while found:
+            matched, _, start, end = heappop(found)
+            if not _take(taken, start, end):
+                continue
+            hits.append((-matched / n, -matched, start, end))
+            at = bisect_left(taken, (start, end))
+            left = taken[at - 1][1] if at else 0
+            right = taken[at + 1][0] if at + 1 < len(taken) else len(words)
+            for lo, hi in spots[bisect_left(spots, (start - widest, 0)) : bisect_left(spots, (end, 0))]:
+                if hi > start:
+                    look(max(lo, left), min(hi, start))
+                    look(max(lo, end), min(hi, right))
+        return hits
+
+
+def _take(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Add a stretch to those in order, unless it overlaps one."""
+    at = bisect_left(taken, (start, end))
+    if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
+        return False
+    taken.insert(at, (start, end))
+    return True
 
 
 def by_word(notices: Sequence[Notice]) -> dict[str, list[Notice]]:
@@ -249,27 +287,40 @@ def by_word(notices: Sequence[Notice]) -> dict[str, list[Notice]]:
     return out
 
 
-def find_notices(text: str | None, notices: Mapping[str, Sequence[Notice]], coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
-    """``(name, coverage, matched, start, end)`` of every notice in a text, in words; of the wordings of one name the best."""
+def find_notices(
+    text: str | None, notices: Mapping[str, Sequence[Notice]], coverage: float = COVERAGE, every_place: bool = False
+) -> list[tuple[str, float, int, int, int]]:
+    """``(name, coverage, matched, start, end)`` of every notice in a text, in words: of all wordings of a name the best
+    place, or with ``every_place`` all that do not overlap a better one, in their order."""
     words = words_of(text or "")
     places: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         places.setdefault(w, []).append(i)
-    best: dict[str, tuple[float, int, int, int]] = {}
+    hits: dict[str, list[Hit]] = {}
     # A needed word that the text does not have cannot be aligned.
     for n in (n for w in sorted(notices.keys() & places.keys()) for n in notices[w]):
-        hit = n.find(words, places, coverage) if all(w in places for w in n.needs) else None
-        if hit is not None and (n.name not in best or (-hit[0], -hit[1], hit[2]) < (-best[n.name][0], -best[n.name][1], best[n.name][2])):
-            best[n.name] = hit
-    return [(name, *hit) for name, hit in best.items()]
-
-
-def scan_licenses(docs: DataFrame, notices: Sequence[tuple[str, str, str]] = NOTICES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        if all(w in places for w in n.needs):
+            hits.setdefault(n.name, []).extend(n.find(words, places, coverage))
+    out = []
+    for name, of_name in hits.items():
+        taken: list[tuple[int, int]] = []
+        best = sorted(of_name, key=lambda h: (-h[0], -h[1], h[3] - h[2], h[2]))
+        kept = [h for h in best if _take(taken, h[2], h[3])] if every_place else best[:1]
+        out += [(name, *h) for h in kept]
+    return sorted(out, key=lambda h: h[3:]) if every_place else out
+
+
+def scan_licenses(
+    docs: DataFrame, notices: Sequence[tuple[str, str, str]] = NOTICES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text",
+    every_place: bool = False,
+) -> DataFrame:
     """One row for every notice that a row of ``docs`` holds: the id, ``license``, ``coverage``, ``matched``,
     ``start_word``, ``end_word`` (excluded); one row with nulls for a row of ``docs`` without any.
 
-    The best place of each ``license`` in any of its wordings is given, the first of equal ones.  Null and blank texts hold none; repeated rows are
-    repeated.  Narrow: no shuffle, and memory for a batch of texts.
+    The best place of each ``license`` in any of its wordings is given, the first of equal ones; with ``every_place`` every
+    place that does not overlap a better one of the same license.  Null and blank texts hold none; repeated rows are
+    repeated.  Texts are read whole, of any length: places are looked up by rare words, so time grows with the words and
+    the places.  Narrow: no shuffle, and memory for a batch of texts.
     """
     templates = by_word([Notice.of(*n) for n in notices])
 
@@ -277,7 +328,7 @@ def scan_licenses(docs: DataFrame, notices: Sequence[tuple[str, str, str]] = NOT
         for batch in batches:
             at, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                hits = find_notices(text, templates, coverage) or [(None,) * 5]
+                hits = find_notices(text, templates, coverage, every_place) or [(None,) * 5]
                 at += [i] * len(hits)
                 rows += hits
             kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())

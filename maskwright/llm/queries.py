@@ -44,7 +44,7 @@ def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(documents(spark, sf_dir))
+    return licenses.scan_licenses(documents(spark, sf_dir), every_place=True)
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 import random
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-from maskwright.llm import components, hnsw, langid, paragraphs, urlfilter
+import plain
+
+from maskwright.llm import components, hnsw, langid, licenses, mixing, paragraphs, urlfilter
 
 
 def vocabulary(seed, n, size=4000):
@@ -156,3 +160,57 @@ def test_a_long_list_of_keys_is_exact(llm_spark):
     assert len(made.levels) > 2 and len(made.levels[0].data) > urlfilter.CHUNK
     wrong = universe.where(made.holds(F.col("key")) != (F.xxhash64("key") % 2 == 0))
     assert wrong.count() == 0
+
+
+# Licenses
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_every_place_of_a_notice_and_nothing_else(seed):
+    rng = random.Random(seed)
+    names = ["mit-text", "apache-2.0", "cc-by-nc-4.0", "apache-2.0-header", "isc"]
+    wording = {n: next(t for name, _, t in licenses.NOTICES if name == n) for n in names}
+    templates = licenses.by_word([licenses.Notice.of(*n) for n in licenses.NOTICES])
+    parts, want = [], []
+    for _ in range(12):
+        parts += [f"w{rng.randrange(50)}" for _ in range(rng.choice([0, 0, 1, 5, 90]))]
+        name = rng.choice(names)
+        words = wording[name].split()
+        for _ in range(rng.choice([1, 1, 2, 3])):  # copies one behind the other
+            want.append((name, len(parts), len(parts) + len(words)))
+            parts += words
+    got = licenses.find_notices(" ".join(parts), templates, every_place=True)
+    found = {(n, s, e) for n, _, _, s, e in got}
+    assert found >= set(want)
+    # Whatever else is listed lies inside of one that was planted: a header holds the name of its license.
+    assert all(any(s >= a and e <= b for _, a, b in want) for _, s, e in found)
+    # Places of one license do not overlap, and each is as similar as it is said to be.
+    of = {}
+    for name, coverage, matched, s, e in got:
+        of.setdefault(name, []).append((s, e))
+        text = licenses.words_of(" ".join(parts[s:e]))
+        most = max(plain.longest_common(text, licenses.words_of(t)) / len(licenses.words_of(t)) for n, _, t in licenses.NOTICES if n == name)
+        assert licenses.COVERAGE <= coverage <= most + 1e-9
+    for spans in of.values():
+        assert all(a[1] <= b[0] for a, b in zip(sorted(spans), sorted(spans)[1:]))
+    best = {n: h for n, *h in licenses.find_notices(" ".join(parts), templates)}
+    assert best.keys() == of.keys() and all((h[2], h[3]) in of[n] for n, h in best.items())
+
+
+def test_shuffled_words_of_notices_are_none():
+    templates = licenses.by_word([licenses.Notice.of(*n) for n in licenses.NOTICES])
+    words = sorted({w for _, _, t in licenses.NOTICES for w in licenses.words_of(t) if w and "://" not in w})
+    for seed in range(20):
+        assert licenses.find_notices(" ".join(random.Random(seed).choices(words, k=400)), templates, every_place=True) == []
+
+
+def test_many_copies_of_a_notice_take_linear_time():
+    templates = licenses.by_word([licenses.Notice.of(*n) for n in licenses.NOTICES])
+    line = "Released under the MIT License. "
+    took = []
+    for n in (1000, 4000):
+        begun = time.perf_counter()
+        got = licenses.find_notices(line * n, templates, every_place=True)
+        took.append(time.perf_counter() - begun)
+        assert [h[3] for h in got if h[0] == "mit"] == list(range(0, 5 * n, 5))
+    assert took[1] < 10 * took[0]

@@ -71,7 +71,7 @@ def mix(
     replaced: give others to keep them).  The number of
     copies is the Poisson quantile, with the source's rate as mean, of a hash of seed and id: retried tasks agree,
     no row depends on another, and a hot source needs nothing special.  The order is that of ``order_key``, a hash of
-    seed, id and copy.  Rows without id draw by the MD5 of their text; repeated rows draw alike.
+    seed, id and copy: partition by partition, each with an equal range of keys, sorted.  Rows without id draw by the MD5 of their text; repeated rows draw alike.
     An empty table gives an empty result.
     """
     rates = staged(
@@ -87,6 +87,14 @@ def mix(
     drawn = clean.join(rates, F.col(source_col).eqNullSafe(F.col(of))).withColumn(
         number, F.size(F.filter(sums, lambda c: c <= u)).cast("long")
     )
-    copies = drawn.where(F.col(number) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1)))
+    # Rows of no copies go behind the generator: where the source is a constant, Spark moves a filter before it to the wrong
+    # side of the join.
+    every = F.when(F.col(number) > 0, F.sequence(F.lit(0).cast("long"), F.col(number) - 1))
+    copies = drawn.withColumn(copy, F.explode_outer(every)).where(F.col(copy).isNotNull())
     out = copies.withColumn(key, hash_bits(str(seed), F.lit("o"), who, F.col(copy))).drop(of, sums)
-    return out.orderBy(key, id_col, copy) if shuffled else out
+    if not shuffled:
+        return out
+    # Keys are even over 52 bits: their ranges are known, and no row is worked out twice to find them.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.shiftright(F.shiftright(key, 20) * F.lit(n).cast("long"), 32).cast("int")
+    return out.repartitionById(n, place).sortWithinPartitions(key, id_col, copy)

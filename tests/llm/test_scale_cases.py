@@ -214,3 +214,17 @@ def test_many_copies_of_a_notice_take_linear_time():
         took.append(time.perf_counter() - begun)
         assert [h[3] for h in got if h[0] == "mit"] == list(range(0, 5 * n, 5))
     assert took[1] < 10 * took[0]
+
+
+# Mixing
+
+
+def test_the_mix_reads_its_rows_once(llm_spark):
+    df = llm_spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("t").alias("text"))
+    mixed = mixing.mix(df, epochs=2.0)
+    assert "rangepartitioning" not in mixed._jdf.queryExecution().executedPlan().toString()
+    rows = mixed.select("order_key", F.spark_partition_id().alias("p")).collect()
+    assert [r.order_key for r in rows] == sorted(r.order_key for r in rows)
+    n = int(llm_spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = np.bincount([r.p for r in rows], minlength=n)
+    assert len(sizes) == n and sizes.max() < 1.5 * sizes.mean()

@@ -31,6 +31,8 @@ _OPENING = re.compile(r"\((?:\?(?::|=|!|<=|<!|<(?P<name>[^>]*)>))?")
 _REPEAT = re.compile(r"(?:[*+?]|\{(?P<low>\d+)(?:,(?P<high>\d*))?\})\??")
 _ESCAPED = re.compile(r"\\(?:c[A-Za-z]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|k<[^>]*>|[1-9]\d*|.)", re.DOTALL)
 _NAME = re.compile(r"[^\W\d][\w$]*")
+# A class of word characters only.
+_WORD_CLASS = re.compile(r"\[(?:[a-z](?:-[a-z])?|[A-Z](?:-[A-Z])?|[0-9](?:-[0-9])?|_|\\[dw])+\]")
 _SAME = set("dDwWfnrt")
 
 
@@ -46,6 +48,8 @@ class Untranslatable(ValueError):
 class Translated:
     regex: str
     can_be_empty: bool
+    #: A pattern with the same matches but the empty ones: "" if there are no others, None if none is known.
+    visible: str | None = None
 
 
 def translate(pattern: str) -> Translated:
@@ -56,7 +60,23 @@ def translate(pattern: str) -> Translated:
         raise InvalidPattern("unmatched )")
     if reader.most_referred > reader.groups:
         raise Untranslatable("a number behind a backslash that is no group")
-    return Translated("".join(reader.out), empty)
+    regex = "".join(reader.out)
+    return Translated(regex, empty, _visible(pattern, reader.consumes) if empty else regex)
+
+
+def _visible(pattern: str, consumes: bool) -> str | None:
+    if not consumes:
+        return ""
+    reader = _Reader(pattern)
+    reader.term()
+    if reader.at < len(pattern) or reader.repeat is None or reader.optional_nothing:
+        return None
+    # One thing that may be left out, with nothing behind it: taken wherever it is there, or never if that comes first.
+    repeat, atom = reader.repeat, "".join(reader.out[:-1])
+    lazy, high = len(repeat[0]) > 1 and repeat[0][-1] == "?", repeat["high"]
+    if lazy or (repeat["low"] is not None and not int(high or 0) and high != ""):
+        return ""
+    return atom + {"?": "", "*": "+"}.get(repeat[0], f"{{1,{high}}}")
 
 
 def to_jvm(pattern: str) -> str:
@@ -69,21 +89,29 @@ class _Reader:
         self.text, self.at, self.out = pattern, 0, []
         self.groups = self.most_referred = 0
         self.names: dict[str, str] = {}
+        # Whether what was read last ends with a word character; None if that depends on the text.
+        self.word: bool | None = None
+        self.consumes = False  # anything but assertions has been read
+        # The quantifier read last, and whether what it repeats can match the empty string.
+        self.repeat: re.Match[str] | None = None
+        self.optional_nothing = False
 
     def alternatives(self) -> bool:
         """Reads up to a closing parenthesis or the end; true if it can match the empty string."""
         empty, sequence = False, True
+        self.word = None
         while self.at < len(self.text) and self.text[self.at] != ")":
             if self.text[self.at] == "|":
                 self.out.append("|")
                 self.at += 1
                 empty, sequence = empty or sequence, True
+                self.word = None
             else:
                 sequence &= self.term()
         return empty or sequence
 
     def term(self) -> bool:
-        start, c = len(self.out), self.text[self.at]
+        begin, c, consumes = self.at, self.text[self.at], self.consumes
         fixed = False  # an assertion, which cannot be repeated
         if c == "(":
             empty, fixed = self.group()
@@ -99,13 +127,53 @@ class _Reader:
         elif c in "*+?" or _REPEAT.match(self.text, self.at):
             raise InvalidPattern("nothing to repeat")
         else:
-            self.out.append(r"[^\n\r\u2028\u2029]" if c == "." else "\\" + c if c in "{}]" else c)
-            self.at += 1
+            self.literal()
             empty = False
-        return self.repeated(start, empty, fixed)
+        asserts = c in "^$" or self.text.startswith((r"\b", r"\B", "(?=", "(?!", "(?<=", "(?<!"), begin)
+        self.consumes = consumes or not asserts
+        kind = None if empty else self.word_at(begin, self.at)
+        empty = self.repeated(empty, fixed)
+        self.word = None if empty else kind
+        return empty
+
+    def word_at(self, begin: int, end: int) -> bool | None:
+        """Whether an atom matches word characters only (True) or none of them (False)."""
+        atom = self.text[begin:end]
+        if len(atom) == 1 and atom not in "(.":
+            return bool(re.fullmatch("[A-Za-z0-9_]", atom))
+        if _WORD_CLASS.fullmatch(atom) or atom in (r"\d", r"\w"):
+            return True
+        if atom in (r"\s", r"\W") or re.fullmatch(r"\\[!-/:-@\[-^`{-~]", atom):
+            return False
+        return None
 
-    def repeated(self, start: int, empty: bool, fixed: bool) -> bool:
+    def boundary(self) -> str:
+        """A word boundary in the shortest form; what comes next is looked at first, as it seldom fits."""
+        if self.word is not None:
+            return ENDS_WORD if self.word else "(?=[A-Za-z0-9_])"
+        rest = self.text[self.at : self.at + 1]
+        if rest and rest not in "|()*+?^$.{":
+            ahead = _Reader(self.text)
+            ahead.at = self.at
+            if rest == "[":
+                ahead.character_class()
+            elif rest == "\\":
+                ahead.escape(plain=True)
+            else:
+                ahead.literal()
+            kind, found = self.word_at(self.at, ahead.at), _REPEAT.match(self.text, ahead.at)
+            if kind is not None and (found is None or not _may_be_none(found)):
+                return f"(?={''.join(ahead.out)})" + (STARTS_WORD if kind else "(?<=[A-Za-z0-9_])")
+        return BOUNDARY
+
+    def literal(self) -> None:
+        c = self.text[self.at]
+        self.out.append(r"[^\n\r\u2028\u2029]" if c == "." else "\\" + c if c in "{}]" else c)
+        self.at += 1
+
+    def repeated(self, empty: bool, fixed: bool) -> bool:
         found = _REPEAT.match(self.text, self.at)
+        self.repeat, self.optional_nothing = found, empty
         if not found:
             return empty
         if fixed:
@@ -115,7 +183,7 @@ class _Reader:
             raise InvalidPattern("numbers out of order")
         self.out.append(found[0])
         self.at = found.end()
-        return empty or found[0][0] in "*?" or (low is not None and int(low) == 0)
+        return empty or _may_be_none(found)
 
     def group(self) -> tuple[bool, bool]:
         opening = _OPENING.match(self.text, self.at)
@@ -139,14 +207,17 @@ class _Reader:
         looks = opening[0] in ("(?=", "(?!", "(?<=", "(?<!")
         return empty or looks, opening[0] in ("(?<=", "(?<!")
 
-    def escape(self) -> tuple[bool, bool]:
+    def escape(self, plain: bool = False) -> tuple[bool, bool]:
+        """Reads an escape; with ``plain`` only if it stands for a character or class."""
         found = _ESCAPED.match(self.text, self.at)
         if not found:
             raise InvalidPattern("\\ at the end")
         self.at, atom = found.end(), found[0]
         rest = atom[1:]
+        if plain and (rest in ("b", "B") or rest[0] in "123456789" or rest.startswith("k<")):
+            return False, False
         if rest in ("b", "B"):
-            self.out.append(BOUNDARY if rest == "b" else NOT_BOUNDARY)
+            self.out.append(self.boundary() if rest == "b" else NOT_BOUNDARY)
             return True, True
         if rest[0] in "123456789":
             self.most_referred = max(self.most_referred, int(rest))
@@ -199,6 +270,11 @@ class _Reader:
         self.out.append("".join(parts) + "]")
 
 
+def _may_be_none(repeat: re.Match[str]) -> bool:
+    """A quantifier that allows for no repetition at all."""
+    return repeat[0][0] in "*?" or (repeat["low"] is not None and int(repeat["low"]) == 0)
+
+
 def _character(atom: str) -> str:
     """An escaped character or class outside of what differs by place."""
     rest = atom[1:]

@@ -29,23 +29,52 @@ def _guard(text: Column, rule: Rule, has_digit: Column) -> Column:
     return reduce(operator.or_, [F.contains(text, F.lit(part)) for part in rule.needs])
 
 
+def _marks(text: Column) -> tuple[Column, Column]:
+    """Two strings that do not occur in a text, nor where it and they meet."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit("\x02+"), F.lit(0)), F.char_length)
+    # Longer than any such run of the text.
+    frame = F.concat(F.lit("\x01"), F.repeat(F.lit("\x02"), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
+    used = F.rlike(text, F.lit("[\x01\x02]"))
+    return (
+        F.when(used, F.concat(frame, F.lit("\x03"))).otherwise("\x01"),
+        F.when(used, F.concat(frame, F.lit("\x04"))).otherwise("\x02"),
+    )
+
+
 def _visible_hits(text: Column, rule: Rule) -> Column:
     """Matches of a rule that can match nothing, without the empty ones, each with blanks as long as the gap before it.
 
-    Such a rule matches wherever it is tried, and after an empty match the search moves on by one character, so the
-    matches themselves tell where they are.  Characters of two units would be tried twice; one of a single unit stands
-    in for each while searching.
+    Such a rule matches wherever it is tried, and after an empty match the search moves on by one character.  All matches are
+    put between marks in one pass, and marks around nothing taken out again, so arrays only get as long as there are
+    matches to be seen.  Characters of two units would be tried twice; one of a single unit stands in for each while
+    searching.
     """
     wide = r"[\x{10000}-\x{10FFFF}]"
     searched = F.when(F.rlike(text, F.lit(wide)), F.regexp_replace(text, wide, "\ue000")).otherwise(text)
-    matches = let(searched, lambda t: F.regexp_extract_all(t, F.lit(rule.regex), F.lit(0)))
 
-    def visible(ms: Column) -> Column:
-        sizes = F.transform(ms, lambda m: F.greatest(F.char_length(m), F.lit(1)))
+    def parts(t: Column) -> Column:
+        """The text in front of the first match; then every match with its closing mark and the text behind it."""
+
+        def split_at(marks: Column) -> Column:
+            begin, end = marks["begin"], marks["end"]
+            marked = F.regexp_replace(t, F.lit(rule.regex), F.concat(begin, F.lit("$0"), end))
+            pieces = F.split(F.replace(marked, F.concat(begin, end), F.lit("")), begin, -1)
+            return F.transform(
+                pieces,
+                lambda p, i: F.struct(
+                    F.when(i == 0, 0).otherwise(F.char_length(F.split_part(p, end, F.lit(1)))).alias("size"),
+                    (F.char_length(p) - F.when(i == 0, 0).otherwise(F.char_length(end))).alias("step"),
+                ),
+            )
+
+        begin, end = _marks(t)
+        return let(F.struct(begin.alias("begin"), end.alias("end")), split_at)
+
+    def visible(ps: Column) -> Column:
         return let(
-            sums_before(sizes),
+            sums_before(F.transform(ps, lambda p: p["step"])),
             lambda starts: F.filter(
-                F.transform(ms, lambda m, i: F.struct(F.get(starts, i).alias("start"), F.char_length(m).alias("size"))),
+                F.transform(ps, lambda p, i: F.struct(F.get(starts, i).alias("start"), p["size"].alias("size"))),
                 lambda s: s["size"] > 0,
             ),
         )
@@ -66,7 +95,7 @@ def _visible_hits(text: Column, rule: Rule) -> Column:
         )
 
     none = F.array().cast("array<struct<value:string,gap:string>>")
-    return F.when(text.isNotNull(), let(let(matches, visible), placed)).otherwise(none)
+    return F.when(text.isNotNull(), let(let(let(searched, parts), visible), placed)).otherwise(none)
 
 
 def rule_hits(text: Column, rules: Sequence[Rule], may_match: Column) -> Column:
@@ -89,15 +118,18 @@ def rule_hits(text: Column, rules: Sequence[Rule], may_match: Column) -> Column:
         )
 
     def hit(order: int, rule: Rule) -> Column:
-        if rule.can_be_empty:
+        if rule.visible == "":
+            return fields(order, rule, none, none)
+        if rule.visible is None:
             return let(
                 _visible_hits(text, rule),
                 lambda h: fields(order, rule, F.transform(h, lambda x: x["value"]), F.transform(h, lambda x: x["gap"])),
             )
-        found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
+        regex = rule.visible
+        found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
         return let(
             F.when(_guard(text, rule, may_match), found).otherwise(none),
-            lambda m: fields(order, rule, m, F.when(F.size(m) > 0, F.split(text, rule.regex, -1))),
+            lambda m: fields(order, rule, m, F.when(F.size(m) > 0, F.split(text, regex, -1))),
         )
 
     hits = F.array(*[hit(i, r) for i, r in enumerate(rules)])

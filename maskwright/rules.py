@@ -41,6 +41,12 @@ class Rule:
         """The pattern can match nothing; such matches do not count."""
         return not self.jvm and translate(self.pattern).can_be_empty
 
+    @property
+    def visible(self) -> str | None:
+        """A pattern that matches the same but nothing empty; None if none is known, "" if there are no such matches."""
+        found = self.regex if self.jvm else translate(self.pattern).visible
+        return "(?i)" + found if found and self.ignore_case and not self.jvm else found
+
     @property
     def re2(self) -> str:
         """The pattern in the RE2 dialect."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import pad_to_bucket, word_count
+from maskwright.functions.text import padded_by, word_count
 
 JITTER_MIN_MS = 50
 JITTER_MAX_MS = 250
@@ -15,7 +15,9 @@ JITTER_MAX_MS = 250
 
 def pad_texts(df: DataFrame, text_col: str = "text", out: str = "padded") -> DataFrame:
     """Pad texts to the next multiple of 256 words with trailing spaces."""
-    return df.withColumns({"words": word_count(F.col(text_col)), out: pad_to_bucket(F.col(text_col))})
+    # The words are counted once, for both columns.
+    counted = df.withColumn("_words", word_count(F.col(text_col)))
+    return counted.withColumns({"words": F.col("_words"), out: padded_by(F.col(text_col), F.col("_words"))}).drop("_words")
 
 
 def jitter_timestamps(

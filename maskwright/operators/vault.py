@@ -79,14 +79,32 @@ def _pieces(text: Column, size: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def _all_pieces(text: Column, size: int) -> Column:
+    """All pieces of a text with a number of characters, and maybe some that begin within a character of two units."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+#: Tokens of a conversation that are looked for one by one.
+FEW = 64
+
+
 def contained_tokens(responses: DataFrame, vault: DataFrame, text_col: str = "text") -> DataFrame:
     """``conv_id, turn, token``: the tokens of any shape that an answer of their conversation contains.
 
-    Every token has an anchor, the one of its pieces of ``ANCHOR`` characters that the fewest tokens have (the first by
+    Where a conversation has up to ``FEW`` tokens, each of them is looked for in its answers.  With more of them, each has
+    an anchor, the one of its pieces of ``ANCHOR`` characters that the fewest tokens have (the first by
     spelling of these).  An answer gives a row for each of its pieces of that size, whatever the lengths of the tokens;
     where a piece is an anchor, the whole token is looked for in the answer.
     """
-    held = vault.where((F.length("token") > 0) & ~F.rlike("token", F.lit(rf"\A{BRACKETED}\z"))).select("conv_id", "token").distinct()
+    # Read for both ways; its rows are short.
+    tokens = cut_lineage(vault.where((F.length("token") > 0) & ~F.rlike("token", F.lit(rf"\A{BRACKETED}\z"))).select("conv_id", "token").distinct())
+    counts = tokens.groupBy("conv_id").agg(F.count("*").alias("n"))
+    few = tokens.join(counts.where(F.col("n") <= FEW), "conv_id", "left_semi").groupBy("conv_id").agg(F.collect_list("token").alias("_tokens"))
+    direct = (
+        responses.where(F.col("turn").isNotNull()).select("conv_id", "turn", F.col(text_col).alias("_text")).join(few, "conv_id")
+        .select("conv_id", "turn", F.explode(F.filter("_tokens", lambda t: F.contains("_text", t))).alias("token")).distinct()
+    )
+    held = tokens.join(counts.where(F.col("n") > FEW), "conv_id", "left_semi")
     size = F.least(F.length("token"), F.lit(ANCHOR))
     cut = held.select("token").distinct().select("token", F.explode(F.array_distinct(_pieces(F.col("token"), size))).alias("anchor"))
     often = cut.groupBy("anchor").agg(F.count("*").alias("n"))
@@ -95,12 +113,12 @@ def contained_tokens(responses: DataFrame, vault: DataFrame, text_col: str = "te
     keyed = cut_lineage(held.join(anchors, "token"))
     sizes = sorted(r.n for r in keyed.select(F.length("anchor").alias("n")).distinct().collect())
     if not sizes:
-        return held.select("conv_id", F.lit(None).cast(responses.schema["turn"].dataType).alias("turn"), "token").limit(0)
+        return direct
     text = F.col(text_col)
-    asked = responses.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(*[_pieces(text, F.lit(n)) for n in sizes]))).alias("anchor"))
+    asked = responses.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(*[_all_pieces(text, n) for n in sizes]))).alias("anchor"))
     hits = asked.join(keyed, ["conv_id", "anchor"]).select("conv_id", "turn", "token").distinct()
     found = hits.join(responses.select("conv_id", "turn", text.alias("_text")), ["conv_id", "turn"]).where(F.contains("_text", "token"))
-    return found.select("conv_id", "turn", "token").distinct()
+    return direct.unionByName(found.select("conv_id", "turn", "token").distinct())
 
 
 def candidate_rows(

@@ -54,8 +54,12 @@ def _bucket(conv: Column) -> Column:
 
 
 def _commit(rows: DataFrame, path: str, folder: str, commit: str | None) -> None:
-    """Add rows below ``folder=.../commit=...``; what a commit of this name wrote before is replaced."""
-    named = rows.withColumn("commit", F.lit(f"c-{commit or uuid.uuid4().hex}"))
+    """Add rows below ``folder=.../commit=...``; what a commit of this name wrote before is replaced.
+
+    Rows of a folder are brought together first (a large folder in several parts), as every task writes a file for each folder
+    it has rows of.
+    """
+    named = rows.hint("rebalance", folder).withColumn("commit", F.lit(f"c-{commit or uuid.uuid4().hex}"))
     writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(folder, "commit").parquet(path)
 

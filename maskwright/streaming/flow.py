@@ -140,7 +140,8 @@ def conversation_stream(
         spark = batch.sparkSession
         state = State.before(spark, root, batch_id)
         # Read for each of the tables; the source is read once.
-        everything = rows = cut_lineage(batch)
+        # Its files may be fewer than the cores, and all that follows is done in as many tasks.
+        everything = rows = cut_lineage(batch.repartition("conv_id", "turn", "role"))
         if behind is not None and state.clock is not None:
             too_late = F.coalesce(F.unix_micros("ts") < state.clock - behind, F.lit(False))
             tables.write("too_late", rows.where(too_late).select("conv_id", "turn", "role", "text", "domain", "ts"), batch_id)

@@ -30,6 +30,8 @@ PER_LANGUAGE = 400
 OTHERS = 2000
 #: Rows of languages and of sampled ids (some 20 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of which a machine holds doubles at a time.
+BLOCK = 64
 UNKNOWN = "und"
 #: Probability of its family from which a document is kept: the machine of one family at least takes it rather for its own.
 MIN_SCORE = 0.5
@@ -65,18 +67,35 @@ def features(text: str | None) -> np.ndarray | None:
     return (roots / max(np.linalg.norm(roots), 1e-12)).astype(np.float32)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
+def linear_svm(x: np.ndarray | Sequence[np.ndarray], y: np.ndarray, penalty: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights (the last is the offset) of a squared-hinge linear machine for y in {-1, 1}, and the slope that turns
-    its margins into probabilities.  Both classes weigh the same.  Accelerated gradient steps from zero."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    its margins into probabilities.  Both classes weigh the same.  Accelerated gradient steps from zero.
+
+    ``x`` may be several matrices, one below the other.  They are read block by block, so that beside them no more than
+    ``BLOCK`` rows of doubles are held.
+    """
+    parts = [x] if isinstance(x, np.ndarray) else list(x)
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     step = 1 / (4 * np.sqrt(penalty) + 4)
-    w = ahead = np.zeros(x.shape[1])
+    room = np.ones((BLOCK, parts[0].shape[1] + 1))
+
+    def blocks() -> Iterator[tuple[slice, np.ndarray]]:
+        at = 0
+        for part in parts:
+            for start in range(0, len(part), BLOCK):
+                n = min(BLOCK, len(part) - start)
+                room[:n, :-1] = part[start : start + n]
+                yield slice(at, at + n), room[:n]
+                at += n
+
+    w = ahead = np.zeros(room.shape[1])
     for k in range(rounds):
-        short = np.maximum(0, 1 - y * (x @ ahead)) * y * share
-        new = ahead - step * (penalty * ahead - 2 * (short @ x))
+        pull = np.zeros(len(w))
+        for rows, block in blocks():
+            pull += (np.maximum(0, 1 - y[rows] * (block @ ahead)) * y[rows] * share[rows]) @ block
+        new = ahead - step * (penalty * ahead - 2 * pull)
         w, ahead = new, new + k / (k + 3) * (new - w)
-    margins = y * (x @ w)
+    margins = y * np.concatenate([np.zeros(0), *[block @ w for _, block in blocks()]])
     slopes = np.array([1, 2, 3, 4, 6, 8, 12, 16])
     losses = [(share * np.log1p(np.exp(np.clip(-s * margins, -50, 50)))).sum() for s in slopes]
     return w, float(slopes[int(np.argmin(losses))])
@@ -126,8 +145,7 @@ def fit_family(x: np.ndarray, langs: Sequence[str], others: np.ndarray) -> list[
     """The machines of a family: against others (without languages), and for each pair of its languages."""
     langs = np.array(langs)
     names = sorted(set(langs))
-    both = np.concatenate([x, others])
-    made = [(None, None, *linear_svm(both, np.r_[np.ones(len(x)), -np.ones(len(others))]))]
+    made = [(None, None, *linear_svm([x, others], np.r_[np.ones(len(x)), -np.ones(len(others))]))]
     for a, b in combinations(names, 2):
         rows = (langs == a) | (langs == b)
         made.append((a, b, *linear_svm(x[rows], np.where(langs[rows] == a, 1.0, -1.0))))

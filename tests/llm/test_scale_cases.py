@@ -3,6 +3,7 @@
 import random
 import sys
 import time
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -152,6 +153,27 @@ def test_every_language_is_learned(llm_spark):
         assert max(margins)[1] == name
 
 
+def test_a_machine_holds_few_doubles():
+    """Beside the rows it is given, a family's machine holds a block of them as doubles; the weights are those of plain steps."""
+    rng = np.random.default_rng(3)
+    own, others = (rng.random((n, langid.FEATURES), np.float32) ** 8 for n in (150, 570))
+    both = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (own, others)]
+    tracemalloc.start()
+    top, pair = langid.fit_family(both[0], ["a"] * 75 + ["b"] * 75, both[1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(x.nbytes for x in both)  # doubles of all rows would take twice this
+    y = np.r_[np.ones(150), -np.ones(570)]
+    for got, x, y in ((top, np.concatenate(both), y), (pair, both[0], y[:150] - 2 * (np.arange(150) >= 75))):
+        x = np.hstack([x, np.ones((len(x), 1))])
+        share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+        step, w, ahead = 1 / (4 * np.sqrt(1e-3) + 4), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        for k in range(300):
+            new = ahead - step * (1e-3 * ahead - 2 * ((np.maximum(0, 1 - y * (x @ ahead)) * y * share) @ x))
+            w, ahead = new, new + k / (k + 3) * (new - w)
+        assert np.abs(got[2] - w).max() < 1e-9
+
+
 def test_a_long_list_of_keys_is_exact(llm_spark):
     """Building is linear: 300,000 listed keys of 600,000."""
     universe = paragraphs.staged(llm_spark.range(600_000).select(F.concat(F.lit("host"), "id", F.lit(".net/")).alias("key")), "universe")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import fresh
 from maskwright.llm.components import components
 from maskwright.llm.periodic import split_words, text_bytes
-from maskwright.session import drop_staged, staged
+from maskwright.session import drop_staged, measured, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -367,10 +367,10 @@ def paragraph_links(table: DataFrame, similarity: float = SIMILARITY, block: int
     shared = staged(
         _band_keys(table).groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("key"), "shared"
     )
-    members = staged(_band_keys(table).join(shared, "key").distinct(), "members")
+    members = staged(_band_keys(table).join(measured(shared), "key").distinct(), "members")
     digests = staged(members.select("digest").distinct(), "members")
     sets = staged(
-        table.join(digests, "digest", "left_semi")
+        table.join(measured(digests), "digest", "left_semi")
         .groupBy("digest").agg(F.array_distinct(F.first("shingles")).alias("shingles"), F.count("*").alias("found")),
         "sets",
     )
@@ -403,11 +403,11 @@ def repeated_passages(
     often = table.where("not again").groupBy("digest").count().where("count > 1").select("digest")
     wanted = staged(often.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "full_outer").select("digest", F.coalesce("root", "digest").alias("class")), "shared")
     who = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("hash").alias("hash"))
-    places = staged(table.join(wanted, "digest").select("id", "hash", "start", "n", "class"), "places")
+    places = staged(table.join(measured(wanted), "digest").select("id", "hash", "start", "n", "class"), "places")
     drop_staged(table)
     first = staged(places.groupBy("class").agg(F.min(who).alias("first"), F.max(who).alias("final")).where("first <> final").select("class", "first"), "classes")
     marked = (
-        places.join(first, "class")
+        places.join(measured(first), "class")
         .select(who.alias("who"), "start", "n", "first", (F.col("first") < who).alias("removed")).distinct()
     )
     by_doc = Window.partitionBy("who", "removed").orderBy("start", "n", "first")
@@ -465,6 +465,6 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.Series([t if s is None else without_words(t, zip(s, e)) for t, s, e in zip(texts, starts, ends)], dtype=object)
 
     keyed = docs.withColumns({no_id: F.col(id_col).isNull(), id_: F.coalesce(id_col, F.lit(0)), hash_: F.hash(text_col)})
-    joined = keyed.join(spans, [no_id, id_, hash_], "left")
+    joined = keyed.join(measured(spans), [no_id, id_, hash_], "left")
     shorter: Column = cut(F.col(text_col), F.col(f"{spans_}.start"), F.col(f"{spans_}.end"))
     return joined.withColumn(text_col, F.when(F.col(spans_).isNull(), F.col(text_col)).otherwise(shorter)).select(*docs.columns)

@@ -175,6 +175,8 @@ def fingerprint_links(prints: DataFrame, fp: str = "fp", max_bits: int = MAX_BIT
         balls = _ball_links(staged(inside, "crowded"), max_bits)
         index = index.join(crowded, "key", "left_anti")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    # Both sides have some thirty rows for each row by which Spark sizes them: small enough to be broadcast in its eyes only.
+    probe = probe.hint("merge")
     links = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") < F.col("b")) & close).select("a", "b")
     return (links if balls is None else links.union(balls)).distinct()
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _MADE: list[str] = []
+#: Rows of a stored frame beyond which it is not broadcast, however small its files are (a row may take some 100 bytes).
+BROADCAST_ROWS = 500_000
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -55,6 +57,12 @@ def drop_staged(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """A stored frame that Spark may broadcast by its size only if it has few rows: files may be a tenth, or less, of the hash
+    table that is made of them on the driver."""
+    return df if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame that is read several times, so that it is computed once."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import fresh
 from maskwright.llm.components import components
-from maskwright.session import staged
+from maskwright.session import measured, staged
 
 # The functions below travel with the query.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -140,9 +140,11 @@ def _ball_links(prints: DataFrame, max_bits: int) -> DataFrame:
     """
     near, far = max_bits // 2, max_bits - max_bits // 2
 
+    def flips(radius: int) -> list[int]:
+        return [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(64), n)]
+
     def masks(radius: int) -> Column:
-        flips = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(64), n)]
-        signed = np.array(flips, dtype=np.uint64).view(np.int64)
+        signed = np.array(flips(radius), dtype=np.uint64).view(np.int64)
         return F.from_json(F.lit(str(signed.tolist())), "array<long>")
 
     def ball(radius: int) -> DataFrame:
@@ -150,7 +152,7 @@ def _ball_links(prints: DataFrame, max_bits: int) -> DataFrame:
             "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("word")
         )
 
-    heads = ball(near).groupBy("word").agg(F.min("fp").alias("head"))
+    heads = measured(ball(near).groupBy("word").agg(F.min("fp").alias("head")), prints.count() * len(flips(near)))
     return ball(far).join(heads, "word").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
 
 

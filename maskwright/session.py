@@ -57,10 +57,13 @@ def drop_staged(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def measured(df: DataFrame) -> DataFrame:
-    """A stored frame that Spark may broadcast by its size only if it has few rows: files may be a tenth, or less, of the hash
-    table that is made of them on the driver."""
-    return df if df.count() <= BROADCAST_ROWS else df.hint("merge")
+def measured(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A frame that Spark may broadcast by its size only if it has few rows (counted, if they are not given: of a stored frame).
+
+    Files may be a tenth, or less, of the hash table that is made of them on the driver, and what is exploded from a row is
+    sized like that row.
+    """
+    return df if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df.hint("merge")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

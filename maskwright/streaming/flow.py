@@ -28,7 +28,7 @@ from maskwright.operators.responses import DEBOUNCE_MS, echo_warning, pii_warnin
 from maskwright.operators.vault import candidate_rows
 from maskwright.plans.sanitize import sanitize
 from maskwright.policy import Policy
-from maskwright.session import cut_lineage
+from maskwright.session import cut_lineage, drop_staged, staged
 from maskwright.sources.tables import prompts_of, read_responses
 from maskwright.streaming.state import MERGE, State, bucket_of
 
@@ -321,7 +321,9 @@ def answer_stream(
     def put(batch: DataFrame, batch_id: int) -> None:
         state = State.before(batch.sparkSession, root, batch_id)
         quiet = batch.select("conv_id", F.unix_micros("ts").alias("turn"), "text")
-        rows = cut_lineage(_worth(quiet))
+        # Periods come from the state, but Spark sizes the batch by the files that came with it, maybe one row, and would
+        # broadcast all texts that a late watermark lets go at once.  Stored, they have a size of their own.
+        rows = staged(_worth(quiet), "quiet")
         buckets = [r.b for r in rows.select(bucket_of(F.col("conv_id")).alias("b")).distinct().collect()]
         if buckets:
             kept, newest = _gated(state, rows, buckets)
@@ -329,6 +331,7 @@ def answer_stream(
             scanned = scan_responses(cut_lineage(kept), written.join(rows.select("conv_id").distinct(), "conv_id", "left_semi"))
             tables.write("scanned", scanned.withColumn("ts", F.timestamp_micros("turn")).drop("turn"), batch_id)
             state.commit({"last": newest}, {"last": LAST_TEXT}, None, merge, _keep_last(state))
+        drop_staged(rows)
 
     return run_batches(debounce_stream(updates, gap_ms), checkpoint, put)
 
